@@ -165,15 +165,19 @@ def plan_limits_join(subs: DataFrame, limits: DataFrame) -> DataFrame:
 
 def usage_in_period(subs: DataFrame, docs: DataFrame) -> DataFrame:
     """Per subscription the documents with start <= created_at < end
-    (a null bound is open). Documents are pre-aggregated per (user, day
-    bucket... ) only when bounds allow; here an equi-join on user plus the
-    range predicate, then a count."""
-    d = docs.select(F.col("user_id").alias("_du"), F.col("id").alias("_did"), F.col("created_at").alias("_ca"))
-    cond = ((subs["user_id"] == d["_du"])
-            & (subs["period_start"].isNull() | (d["_ca"] >= subs["period_start"]))
-            & (subs["period_end"].isNull() | (d["_ca"] < subs["period_end"])))
-    j = subs.join(d, cond, "left")
-    return j.groupBy(*subs.columns).agg(F.count("_did").alias("docs_in_period"))
+    (a null bound is open). Documents are first counted per (user,
+    created_at) with a partial aggregate, so the range join sees one row per
+    distinct instant instead of one per document, then summed back onto
+    every subscription (0 when none)."""
+    d = (docs.groupBy(F.col("user_id").alias("_du"), F.col("created_at").alias("_ca"))
+         .agg(F.count(F.lit(1)).alias("_n")))
+    s = subs.select(F.col("user_id").alias("_su"), F.col("period_start").alias("_ps"),
+                    F.col("period_end").alias("_pe"))
+    cond = ((s["_su"] == d["_du"]) & (s["_ps"].isNull() | (d["_ca"] >= s["_ps"]))
+            & (s["_pe"].isNull() | (d["_ca"] < s["_pe"])))
+    counts = s.join(d, cond, "inner").groupBy("_su").agg(F.sum("_n").alias("_cnt"))
+    out = subs.join(counts, subs["user_id"] == counts["_su"], "left")
+    return out.withColumn("docs_in_period", F.coalesce(F.col("_cnt"), F.lit(0)).cast("bigint")).drop("_su", "_cnt")
 
 
 def types_with_counts(types: DataFrame, docs: DataFrame) -> DataFrame:
