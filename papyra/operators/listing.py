@@ -31,7 +31,8 @@ def clamp_page(page, limit) -> tuple[int, int]:
     return max(1, p), min(MAX_PAGE_SIZE, max(1, lim))
 
 
-NEWEST_FIRST = (F.col("created_at").desc(), F.col("id").desc())
+def newest_first() -> tuple[Column, ...]:
+    return (F.col("created_at").desc(), F.col("id").desc())
 
 
 def top_k_per_group(df: DataFrame, group_cols, order: tuple[Column, ...], k: int,
@@ -41,12 +42,13 @@ def top_k_per_group(df: DataFrame, group_cols, order: tuple[Column, ...], k: int
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def paginate(df: DataFrame, page=1, limit=20, group_cols=None, order=NEWEST_FIRST) -> DataFrame:
+def paginate(df: DataFrame, page=1, limit=20, group_cols=None, order=None) -> DataFrame:
     """page of ``limit`` rows, newest first, with total and total_pages.
 
     Without ``group_cols`` it is one tenant's page (distributed
     TakeOrdered with offset); with ``group_cols`` every group's page at once."""
     p, lim = clamp_page(page, limit)
+    order = order or newest_first()
     if not group_cols:
         total = df.groupBy().agg(F.count(F.lit(1)).alias("total"))
         rows = df.orderBy(*order).offset((p - 1) * lim).limit(lim)
@@ -70,7 +72,7 @@ def activity_text(status, filename) -> Column:
 
 def recent_activity(docs: DataFrame, n: int = 5, group_cols=("user_id",)) -> DataFrame:
     """newest ``n`` documents per tenant with their activity text."""
-    top = top_k_per_group(docs, list(group_cols), NEWEST_FIRST, n)
+    top = top_k_per_group(docs, list(group_cols), newest_first(), n)
     return top.withColumn("text", activity_text("status", "filename"))
 
 
