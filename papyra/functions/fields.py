@@ -142,4 +142,5 @@ def round_confidence(x) -> Column:
 
 def confidence_percent_text(x) -> Column:
     """H36 display: one decimal percent."""
-    return F.format_string("%.1f%%", (_c(x).cast("double") * 100))
+    v = _c(x)
+    return F.when(v.isNotNull(), F.format_string("%.1f%%", v.cast("double") * 100))
