@@ -50,9 +50,8 @@ def paginate(df: DataFrame, page=1, limit=20, group_cols=None, order=None) -> Da
     p, lim = clamp_page(page, limit)
     order = order or newest_first()
     if not group_cols:
-        total = df.groupBy().agg(F.count(F.lit(1)).alias("total"))
-        rows = df.orderBy(*order).offset((p - 1) * lim).limit(lim)
-        out = rows.crossJoin(F.broadcast(total))  # one-row side
+        total = df.groupBy().agg(F.count(F.lit(1))).scalar()  # scalar subquery
+        out = df.orderBy(*order).offset((p - 1) * lim).limit(lim).withColumn("total", total)
     else:
         ranked = top_k_per_group(df, group_cols, order, p * lim, "rank")
         rows = ranked.filter(F.col("rank") > (p - 1) * lim)
@@ -102,14 +101,13 @@ def cap_rows(df: DataFrame, order: tuple[Column, ...], max_rows: int = MAX_ROWS,
              preview: int = PREVIEW_ROWS) -> DataFrame:
     """at most ``max_rows`` rows (distributed top-k), with the preview
     flag and whether the input was truncated."""
-    total = df.groupBy().agg(F.count(F.lit(1)).alias("_total"))
+    total = df.groupBy().agg(F.count(F.lit(1))).scalar()  # scalar subquery
     capped = df.orderBy(*order).limit(max_rows)
     # numbering max_rows (<= 1000) rows in one task is bounded work
     w = Window.orderBy(*order)
     capped = capped.withColumn("row_no", F.row_number().over(w))
-    return (capped.crossJoin(F.broadcast(total))
-            .withColumn("in_preview", F.col("row_no") <= preview)
-            .withColumn("truncated", F.col("_total") > max_rows).drop("_total"))
+    return (capped.withColumn("in_preview", F.col("row_no") <= preview)
+            .withColumn("truncated", total > max_rows))
 
 
 def top_users(docs: DataFrame, costs: DataFrame | None = None, k: int = 10) -> DataFrame:

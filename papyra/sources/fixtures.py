@@ -96,6 +96,37 @@ FROM benchmark""",
 SELECT d.doc_id, d.lang, d.source, CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE CAST((d.doc_id % 101) / 100.0 AS DECIMAL(5,2)) END AS confidence,
   l.toxic = 1 AS is_others
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # Documents with injected "Label: value" lines (invoice-like, order-like,
+    # partial), so the lexical baseline and the label extractor have signal.
+    "v_labeled_documents": """
+SELECT doc_id, lang, source, concat(text, CASE doc_id % 4
+  WHEN 0 THEN concat(chr(10), 'Numero de Factura: F-', CAST(doc_id AS STRING), chr(10), 'Fecha: ',
+       CAST(doc_id % 28 + 1 AS STRING), '/', CAST(doc_id % 12 + 1 AS STRING), '/2024', chr(10),
+       'Total: $ ', CAST(doc_id * 37 % 100000 AS STRING), ',50', chr(10), 'Cliente: Cliente ', CAST(doc_id % 50 AS STRING))
+  WHEN 1 THEN concat(chr(10), 'Numero de Orden: OC-', CAST(doc_id AS STRING), chr(10), 'Fecha de Orden: 2024-',
+       lpad(CAST(doc_id % 12 + 1 AS STRING), 2, '0'), '-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), chr(10),
+       'Proveedor: Proveedor ', CAST(doc_id % 30 AS STRING), chr(10), 'Monto Total: ', CAST(doc_id * 53 % 90000 AS STRING),
+       chr(10), 'Estado: abierta')
+  WHEN 2 THEN concat(chr(10), 'Fecha: 2023-11-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), chr(10),
+       'Total: ', CAST(doc_id % 999 AS STRING))
+  ELSE '' END) AS text
+FROM documents""",
+    # The type catalogue used by the reference's manual tests.
+    "v_type_catalogue": """
+SELECT * FROM (VALUES
+  (1, 'Factura', 'Facturas de proveedores y clientes', 1, 'numero_factura', 'Numero de Factura', 'string', TRUE),
+  (1, 'Factura', 'Facturas de proveedores y clientes', 2, 'fecha', 'Fecha', 'date', TRUE),
+  (1, 'Factura', 'Facturas de proveedores y clientes', 3, 'total', 'Total', 'number', TRUE),
+  (1, 'Factura', 'Facturas de proveedores y clientes', 4, 'cliente', 'Cliente', 'string', FALSE),
+  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 1, 'numero_orden', 'Numero de Orden', 'string', TRUE),
+  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 2, 'fecha_orden', 'Fecha de Orden', 'date', TRUE),
+  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 3, 'proveedor', 'Proveedor', 'string', TRUE),
+  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 4, 'monto_total', 'Monto Total', 'number', TRUE),
+  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 5, 'estado', 'Estado', 'string', FALSE),
+  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 1, 'document_title', 'Título del Documento', 'string', FALSE),
+  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 2, 'document_category', 'Categoría', 'string', FALSE),
+  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 3, 'key_entities', 'Resumen/Entidades Clave', 'string', FALSE)
+) AS t(type_id, type_name, description, position, name, label, type, required)""",
 }
 
 # As-of instants of the fixture data (fixed values).
