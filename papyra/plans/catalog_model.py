@@ -108,6 +108,10 @@ def q_label_value_extract(fx):
 
 
 # ---------------------------------------------------------------- J4, C7, D8, G3
+def SLUG_SQL_FN(c: str) -> str:  # noqa: N802 - SQL text builder
+    return f"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in MD.STOP_WORDS) + "]"
 KEY_SQL = ("array_to_string(list_filter(string_split(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g'), ' '), "
            f"lambda w: w <> '' AND NOT list_contains({STOP_SQL}, w)), '-')")
@@ -193,13 +197,15 @@ sch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type_name ORDER
         WHERE position <= 30)"""
 
 
-@query("conform_fields", f"""
-WITH {D7_SQL},
-dt AS (SELECT DISTINCT doc_id, type_name FROM v_fields),
-v AS (SELECT doc_id, name AS field, min(value) AS raw FROM v_fields GROUP BY 1, 2),
-slots AS (SELECT dt.doc_id, dt.type_name, sch.position, sch.name AS field, sch.type AS ftype FROM dt JOIN sch USING (type_name))
-SELECT s.doc_id, s.type_name, s.position, s.field, s.ftype, {convert_sql('v.raw', 's.ftype')} AS value
-FROM slots s LEFT JOIN v ON s.doc_id = v.doc_id AND s.field = v.field""")
+CONFORM_CTE = f"""{D7_SQL},
+dt5 AS (SELECT DISTINCT doc_id, type_name FROM v_fields),
+v5 AS (SELECT doc_id, name AS field, min(value) AS raw FROM v_fields GROUP BY 1, 2),
+slots5 AS (SELECT dt5.doc_id, dt5.type_name, sch.position, sch.name AS field, sch.type AS ftype FROM dt5 JOIN sch USING (type_name)),
+conf AS (SELECT s.doc_id, s.type_name, s.position, s.field, s.ftype, {convert_sql('v5.raw', 's.ftype')} AS value
+         FROM slots5 s LEFT JOIN v5 ON s.doc_id = v5.doc_id AND s.field = v5.field)"""
+
+
+@query("conform_fields", f"WITH {CONFORM_CTE}\nSELECT * FROM conf")
 def q_conform_fields(fx):
     """Every document carries exactly its type's consolidated schema."""
     schema = S.consolidate_schema(fx.v_fields)
