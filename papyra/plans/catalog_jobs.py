@@ -1,7 +1,204 @@
-"""Registered queries."""
+"""Registered queries: composed jobs (K1-K7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import jobs as K
+from .catalog_gates import TENANT
+from .catalog_model import J3_CTE, KEY_SQL, SLUG_SQL_FN, j2_sql
 from .registry import query
+
+VALUE_LINE_SQL = r"\d{2,}|@|\$\s*\d+|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}"
+UP_CTE = """
+up0 AS (SELECT doc_id, CAST(floor(doc_id / 8) % 50 AS BIGINT) AS user_id, CAST(floor(doc_id / 8) AS BIGINT) AS batch_id,
+        concat('doc_', CAST(doc_id AS VARCHAR), ['.pdf', '.png', '.jpg', '.webp', '.gif'][doc_id % 5 + 1]) AS filename,
+        CAST(length(text) * 200 AS BIGINT) AS size_bytes, text FROM v_labeled_documents),
+up AS (SELECT *, CASE lower(string_split(filename, '.')[-1]) WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png'
+        WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'webp' THEN 'image/webp' WHEN 'csv' THEN 'text/csv'
+        WHEN 'txt' THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM up0)"""
+
+
+def k1_cte(threshold: float = 0.7) -> str:
+    return f"""{j2_sql(threshold)},{J3_CTE},{UP_CTE},
+g1 AS (SELECT *, CASE WHEN size_bytes > 10485760 THEN concat('El archivo "', filename, '" pesa ', printf('%.1f', size_bytes / 1048576.0),
+          'MB. El tamaño máximo permitido es 10MB.')
+        WHEN mime NOT IN ('application/pdf', 'image/jpeg', 'image/jpg', 'image/png', 'image/webp')
+        THEN concat('Formato no soportado: "', mime, '". Solo se permiten archivos PDF e imágenes (JPEG, PNG, WebP).') END AS gate_error
+      FROM up),
+q1 AS (SELECT doc_id, CASE WHEN length(text) < 100 THEN false
+        ELSE len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{VALUE_LINE_SQL}'))) / len(string_split(text, chr(10))) >= 0.2 END AS quality_ok
+       FROM up),
+pm AS (SELECT doc_id, count(value) AS populated FROM j3 GROUP BY 1),
+po AS (SELECT l.doc_id, count(*) FILTER (WHERE l.raw_value <> '') AS populated FROM lines3 l JOIN j2 USING (doc_id) WHERE j2.is_others GROUP BY 1),
+pop AS (SELECT * FROM pm UNION ALL SELECT * FROM po),
+k1x AS (SELECT g1.*, j2.best_type_id, j2.best_type_name, j2.score, j2.is_others, q1.quality_ok, pop.populated,
+          CASE WHEN g1.gate_error IS NULL THEN CASE WHEN j2.is_others THEN 'Otros Documentos' ELSE j2.best_type_name END END AS tname
+        FROM g1 LEFT JOIN j2 USING (doc_id) LEFT JOIN q1 USING (doc_id) LEFT JOIN pop USING (doc_id)),
+k1 AS (
+  SELECT doc_id, user_id, CASE WHEN gate_error IS NULL THEN 'completed' ELSE 'error' END AS status, gate_error,
+    CASE WHEN gate_error IS NULL THEN CASE WHEN quality_ok THEN 'standard' WHEN mime = 'application/pdf' THEN 'standard_low_quality'
+      ELSE 'vision' END END AS route,
+    CASE WHEN gate_error IS NULL THEN CASE WHEN NOT quality_ok AND mime <> 'application/pdf' THEN 0.90 ELSE 0.95 END END AS ocr_confidence,
+    CASE WHEN gate_error IS NULL AND NOT is_others THEN best_type_id END AS document_type_id,
+    tname AS document_type_name,
+    CASE WHEN gate_error IS NULL THEN score END AS confidence,
+    CASE WHEN gate_error IS NULL THEN is_others END AS is_others,
+    CASE WHEN tname IS NOT NULL THEN concat_ws('/', CAST(user_id AS VARCHAR), 'tipos', {SLUG_SQL_FN('tname')}, filename) END AS typed_key,
+    CASE WHEN gate_error IS NULL THEN coalesce(populated, 0) END AS populated,
+    CASE WHEN gate_error IS NULL THEN CASE WHEN score > 0 THEN best_type_name ELSE 'Documento Sin Clasificar' END END AS inferred_type
+  FROM k1x)"""
+
+
+def _uploads(fx):
+    return K.uploads_from_documents(fx.v_labeled_documents)
+
+
+@query("process_documents", f"WITH {k1_cte()}\nSELECT * FROM k1")
+def q_process_documents(fx):
+    """K1: every uploaded document through gate, classification, routing,
+    extraction and typed storage key."""
+    return K.process_documents(_uploads(fx), fx.v_type_catalogue)
+
+
+@query("usage_counter", f"""WITH {k1_cte()}
+SELECT user_id, count(*) AS docs_used FROM k1 WHERE status = 'completed' GROUP BY user_id""")
+def q_usage_counter(fx):
+    """I5 (batch form): successful documents per user."""
+    return K.usage_increments(K.process_documents(_uploads(fx), fx.v_type_catalogue))
+
+
+K2_ROWS = f"""{k1_cte()},
+un AS (SELECT doc_id, user_id, coalesce(nullif(inferred_type, ''), nullif(inferred_type, ''), 'Desconocido') AS group_key
+       FROM k1 WHERE status = 'completed' AND is_others),
+cnt2 AS (SELECT user_id, group_key AS variant, count(*) AS n FROM un GROUP BY 1, 2),
+key2 AS (SELECT *, {KEY_SQL.format(c='variant')} AS hkey FROM cnt2),
+canon2 AS (SELECT user_id, hkey, variant AS canonical FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, hkey ORDER BY n DESC, length(variant), variant) AS rn FROM key2) WHERE rn = 1),
+map2 AS (SELECT k.user_id, k.variant, c.canonical FROM key2 k JOIN canon2 c USING (user_id, hkey)),
+rows2 AS (
+  SELECT doc_id, user_id, status, gate_error AS message, CAST(NULL AS VARCHAR) AS group_name, CAST(NULL AS INTEGER) AS document_type_id,
+         CAST(NULL AS VARCHAR) AS document_type_name FROM k1 WHERE status = 'error'
+  UNION ALL SELECT u.doc_id, u.user_id, 'pending_confirmation', NULL, coalesce(m.canonical, u.group_key), NULL, NULL
+         FROM un u LEFT JOIN map2 m ON m.user_id = u.user_id AND m.variant = u.group_key
+  UNION ALL SELECT doc_id, user_id, status, NULL, NULL, document_type_id, document_type_name FROM k1
+         WHERE status = 'completed' AND NOT is_others)"""
+
+
+@query("process_batch", f"WITH {K2_ROWS}\nSELECT * FROM rows2")
+def q_process_batch(fx):
+    """K2: matched → completed, unmatched → pending groups, gate → error."""
+    rows, _ = K.process_batch(_uploads(fx), fx.v_type_catalogue)
+    return rows
+
+
+@query("process_batch_summary", f"""WITH {K2_ROWS}
+SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS processed,
+  count(*) FILTER (WHERE status = 'pending_confirmation') AS pending, count(*) FILTER (WHERE status = 'error') AS errors
+FROM rows2 GROUP BY user_id""")
+def q_process_batch_summary(fx):
+    """Per tenant batch totals."""
+    _, summary = K.process_batch(_uploads(fx), fx.v_type_catalogue)
+    return summary
+
+
+@query("infer_types")
+def q_infer_types(fx):
+    """K3 (flagship): infer document types from sample batches: per batch
+    and type, new or existing, field count and sample count."""
+    _, report = K.infer_types(_uploads(fx), fx.v_type_catalogue)
+    return report
+
+
+@query("infer_types_documents")
+def q_infer_types_documents(fx):
+    """K3: per sample document its type, conformed field count and status."""
+    docs, _ = K.infer_types(_uploads(fx), fx.v_type_catalogue)
+    return docs
+
+
+CONFIRM_REQ_SQL = """
+SELECT id AS doc_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
+  CASE id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'assign_type' ELSE 'create_type' END AS action,
+  CASE WHEN id % 3 = 1 AND id % 5 <> 0 THEN user_id * 10 + (id % 5) + 1 END AS type_id,
+  CASE WHEN id % 3 = 2 AND id % 4 = 0 THEN concat('Tipo ', inferred_type) WHEN id % 3 = 2 AND id % 4 = 1 THEN '' END AS type_name
+FROM v_documents"""
+
+
+@query("confirm_types", f"""
+WITH r AS ({CONFIRM_REQ_SQL}),
+j AS (SELECT r.*, d.user_id AS owner, d.status, d.inferred_type, d.extracted_data,
+        coalesce(nullif(r.type_name, ''), nullif(d.inferred_type, ''), 'Tipo Sin Nombre') AS final_name
+      FROM r LEFT JOIN v_documents d ON r.doc_id = d.id AND r.user_id = d.user_id),
+bn AS (SELECT user_id AS nu, name AS nn, min(id) AS nid FROM v_document_types GROUP BY 1, 2),
+k AS (SELECT j.*, a.id AS aid, a.name AS aname, bn.nid,
+        coalesce(len(list_filter(from_json(coalesce(json_extract(j.extracted_data, '$.fields'), json_extract(j.extracted_data, '$.key_fields')),
+          '[{{"value":"VARCHAR"}}]'), lambda x: x.value IS NOT NULL AND x.value <> '')), 0) = 0 AS low_conf
+      FROM j LEFT JOIN v_document_types a ON j.type_id = a.id AND j.user_id = a.user_id
+      LEFT JOIN bn ON bn.nu = j.user_id AND bn.nn = j.final_name),
+res AS (SELECT *, CASE WHEN owner IS NULL THEN 'error' WHEN status <> 'pending_confirmation' THEN 'error'
+          WHEN action = 'cancel' THEN 'deleted' WHEN action = 'assign_type' AND aid IS NULL THEN 'error' ELSE 'completed' END AS result FROM k)
+SELECT doc_id, user_id, action, result,
+  CASE WHEN result = 'completed' THEN CASE WHEN action = 'assign_type' THEN aid ELSE nid END END AS type_id,
+  CASE WHEN result = 'completed' THEN CASE WHEN action = 'assign_type' THEN aname ELSE final_name END END AS type_name,
+  (result = 'completed' AND action = 'create_type' AND nid IS NULL) AS new_type,
+  CASE WHEN result = 'completed' AND action = 'assign_type' THEN low_conf END AS low_confidence,
+  CASE WHEN owner IS NULL THEN 'Documento no encontrado'
+       WHEN status <> 'pending_confirmation' THEN printf('El documento no está pendiente de confirmación (status: %s)', status)
+       WHEN action = 'assign_type' AND type_id IS NULL THEN 'typeId es requerido para assign_type'
+       WHEN action = 'assign_type' AND aid IS NULL THEN 'Tipo de documento no encontrado' END AS message
+FROM res""")
+def q_confirm_types(fx):
+    """K4: create / assign / cancel requests against every document."""
+    d = fx.v_documents
+    req = d.select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "cancel").when(F.col("id") % 3 == 1, "assign_type")
+        .otherwise("create_type").alias("action"),
+        F.when((F.col("id") % 3 == 1) & (F.col("id") % 5 != 0), F.col("user_id") * 10 + F.col("id") % 5 + 1)
+        .alias("type_id"),
+        F.when((F.col("id") % 3 == 2) & (F.col("id") % 4 == 0), F.concat(F.lit("Tipo "), F.col("inferred_type")))
+        .when((F.col("id") % 3 == 2) & (F.col("id") % 4 == 1), F.lit("")).alias("type_name"))
+    return K.confirm_types(req, d, fx.v_document_types)
+
+
+@query("resolve_pending", """
+WITH a AS (
+  SELECT id AS document_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
+    CASE WHEN id % 4 = 1 THEN concat(inferred_type, ' nuevo') ELSE inferred_type END AS type_name,
+    CASE WHEN id % 2 = 0 THEN user_id * 10 + (id % 5) + 1 END AS type_id
+  FROM v_documents WHERE status = 'pending_confirmation')
+SELECT a.user_id, count(*) AS total, count(d.id) AS completed
+FROM a LEFT JOIN v_documents d ON a.document_id = d.id AND a.user_id = d.user_id GROUP BY a.user_id""")
+def q_resolve_pending(fx):
+    """K5: assignments resolved, with the per-tenant completion summary."""
+    d = fx.v_documents
+    a = d.filter(F.col("status") == "pending_confirmation").select(
+        F.col("id").alias("document_id"),
+        F.when(F.col("id") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(F.col("id") % 4 == 1, F.concat("inferred_type", F.lit(" nuevo")))
+        .otherwise(F.col("inferred_type")).alias("type_name"),
+        F.when(F.col("id") % 2 == 0, F.col("user_id") * 10 + F.col("id") % 5 + 1).alias("type_id"))
+    _, summary = K.resolve_pending(a, d, fx.v_document_types)
+    return summary
+
+
+@query("reprocess")
+def q_reprocess(fx):
+    """K6: documents filed under Others re-run with a 0.5 threshold; still
+    unmatched ones go to pending_confirmation."""
+    up = _uploads(fx)
+    table = K.process_documents(up, fx.v_type_catalogue)
+    ids = table.filter((F.col("status") == "completed") & F.col("is_others")).select("doc_id")
+    return K.reprocess(table, up, ids, fx.v_type_catalogue, threshold=0.5)
+
+
+ASK_SQL = "SELECT id, filename, status, created_at FROM my_documents WHERE user_id = $1 ORDER BY created_at DESC"
+
+
+@query("ask", f"""
+SELECT filename, status, created_at FROM v_documents WHERE user_id = {TENANT} ORDER BY created_at DESC LIMIT 1000""")
+def q_ask(fx):
+    """K7: a chat question answered by guarded SQL, capped, internal columns hidden."""
+    return K.ask(fx.spark, ASK_SQL, TENANT, fx.v_documents, fx.v_document_types)

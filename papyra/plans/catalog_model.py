@@ -34,7 +34,11 @@ def _length_model(text: str) -> str:
 
 
 # ---------------------------------------------------------------- J2
-J2_SQL = f"""
+def j2_sql(threshold: float = 0.7) -> str:
+    return J2_TEMPLATE.replace("@THR", repr(threshold))
+
+
+J2_TEMPLATE = f"""
 cat AS (SELECT * FROM v_type_catalogue),
 var AS (SELECT type_id, name AS field, 'label' AS variant, {TOK.format(c='label')} AS toks FROM cat
         UNION ALL SELECT type_id, name, 'name', {TOK.format(c="replace(name, '_', ' ')")} FROM cat),
@@ -51,7 +55,7 @@ best AS (SELECT doc_id, type_id AS best_type_id, score FROM (
 names AS (SELECT DISTINCT type_id, type_name FROM cat),
 j2 AS (
   SELECT d.doc_id, b.best_type_id, n.type_name AS best_type_name, coalesce(b.score, 0.0) AS score,
-    coalesce(coalesce(b.score, 0.0) < 0.7, false) AS is_others
+    coalesce(coalesce(b.score, 0.0) < @THR, false) AS is_others
   FROM v_labeled_documents d LEFT JOIN best b USING (doc_id) LEFT JOIN names n ON b.best_type_id = n.type_id)"""
 
 
@@ -59,6 +63,9 @@ def _classified(fx):
     return MD.lexical_classify(fx.v_labeled_documents, fx.v_type_catalogue)
 
 
+J2_SQL = j2_sql()
+
+
 @query("lexical_classify", f"WITH {J2_SQL}\nSELECT * FROM j2")
 def q_lexical_classify(fx):
     """Token-overlap classification against the catalogue."""
@@ -87,20 +94,22 @@ def convert_sql(r: str, t: str) -> str:
 LINE_RE = r"(?m)^([^:\n]{1,80}):[ \t]*([^\n]*)$"
 
 
-@query("label_value_extract", f"""
-WITH {J2_SQL},
+J3_CTE = f"""
 dtyp AS (SELECT doc_id, best_type_id AS type_id FROM j2 WHERE NOT is_others),
-raw AS (SELECT doc_id, regexp_extract_all(text, '{LINE_RE}', 1) AS ls, regexp_extract_all(text, '{LINE_RE}', 2) AS vs
-        FROM v_labeled_documents),
-lines AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, lower(trim(unnest(ls))) AS label_key, trim(unnest(vs)) AS raw_value FROM raw),
-keys AS (SELECT DISTINCT type_id, name AS field, lower(trim(label)) AS label_key FROM cat
-         UNION SELECT type_id, name, lower(trim(name)) FROM cat),
-cand AS (SELECT l.doc_id, k.field, l.line_no, l.raw_value FROM lines l JOIN dtyp d USING (doc_id)
-         JOIN keys k ON k.type_id = d.type_id AND k.label_key = l.label_key),
-firstv AS (SELECT doc_id, field, arg_min(raw_value, line_no) AS raw_value FROM cand GROUP BY 1, 2),
-slots AS (SELECT d.doc_id, d.type_id, c.position, c.name AS field, c.type AS ftype FROM dtyp d JOIN cat c ON c.type_id = d.type_id)
-SELECT s.doc_id, s.type_id, s.position, s.field, s.ftype, {convert_sql('f.raw_value', 's.ftype')} AS value
-FROM slots s LEFT JOIN firstv f ON s.doc_id = f.doc_id AND s.field = f.field""")
+raw3 AS (SELECT doc_id, regexp_extract_all(text, '{LINE_RE}', 1) AS ls, regexp_extract_all(text, '{LINE_RE}', 2) AS vs
+         FROM v_labeled_documents),
+lines3 AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, lower(trim(unnest(ls))) AS label_key, trim(unnest(vs)) AS raw_value FROM raw3),
+keys3 AS (SELECT DISTINCT type_id, name AS field, lower(trim(label)) AS label_key FROM cat
+          UNION SELECT type_id, name, lower(trim(name)) FROM cat),
+cand3 AS (SELECT l.doc_id, k.field, l.line_no, l.raw_value FROM lines3 l JOIN dtyp d USING (doc_id)
+          JOIN keys3 k ON k.type_id = d.type_id AND k.label_key = l.label_key),
+firstv AS (SELECT doc_id, field, arg_min(raw_value, line_no) AS raw_value FROM cand3 GROUP BY 1, 2),
+slots3 AS (SELECT d.doc_id, d.type_id, c.position, c.name AS field, c.type AS ftype FROM dtyp d JOIN cat c ON c.type_id = d.type_id),
+j3 AS (SELECT s.doc_id, s.type_id, s.position, s.field, s.ftype, {convert_sql('f.raw_value', 's.ftype')} AS value
+       FROM slots3 s LEFT JOIN firstv f ON s.doc_id = f.doc_id AND s.field = f.field)"""
+
+
+@query("label_value_extract", f"WITH {J2_SQL},{J3_CTE}\nSELECT * FROM j3")
 def q_label_value_extract(fx):
     """Values of the classified type's fields from 'Label: value' lines."""
     c = _classified(fx).filter(~F.col("is_others")).select("doc_id", F.col("best_type_id").alias("type_id"))
