@@ -22,6 +22,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strict_parse_json(text) -> Column:
+    """VARIANT of ``text`` only when the whole text is one JSON value.
+    ``try_parse_json`` alone stops after the first value and ignores what
+    follows; wrapped as ``[text,0]`` any trailing content makes it fail."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), _c(text), F.lit(",0]")))
+    return F.try_variant_get(wrapped, "$[0]", "variant")
+
+
 def clean_model_json(text, mode: str = "reference") -> Column:
     """H1 text stage: strip code fences, keep the greedy ``{...}`` span, drop
     commas before ``}``/``]``, then strip comments. Null when no object.
@@ -44,9 +52,9 @@ def clean_model_json(text, mode: str = "reference") -> Column:
 def parse_model_json(text, mode: str = "reference") -> Column:
     """H1: VARIANT of the repaired reply, null when it cannot be parsed.
     In ``safe`` mode a plain parse is tried first."""
-    cleaned = F.try_parse_json(clean_model_json(text, mode))
+    cleaned = strict_parse_json(clean_model_json(text, mode))
     if mode == "safe":
-        return F.coalesce(F.try_parse_json(_c(text)), cleaned)
+        return F.coalesce(strict_parse_json(_c(text)), cleaned)
     return cleaned
 
 
@@ -60,7 +68,7 @@ def repair_python_dict(text, keywords: bool = True) -> Column:
         fixed = F.regexp_replace(fixed, r"\bTrue\b", "true")
         fixed = F.regexp_replace(fixed, r"\bFalse\b", "false")
         fixed = F.regexp_replace(fixed, r"\bNone\b", "null")
-    return F.coalesce(F.try_parse_json(t), F.try_parse_json(fixed))
+    return F.coalesce(strict_parse_json(t), strict_parse_json(fixed))
 
 
 def json_summary(json_text) -> Column:

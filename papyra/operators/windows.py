@@ -42,23 +42,20 @@ def cache_hits(requests: DataFrame, key_col="content_hash", ts_col="ts", id_col=
     first request at that instant; later ones at the same instant hit)."""
     spark = requests.sparkSession
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    pts = requests.select(F.col(key_col).alias("_k"), us.alias("_t")).distinct()
-    anchors = None
+    pts = cut_lineage(requests.select(F.col(key_col).alias("_k"), us.alias("_t")).distinct())
+    # anchors are >= ttl apart, so no key has more than span/ttl + 1 of them:
+    # that bounds the rounds without probing for emptiness every round
+    span = pts.agg((F.max("_t") - F.min("_t")).alias("s")).first()["s"]
+    rounds = 0 if span is None else int(span // ttl_us) + 1
+    anchors = spark.createDataFrame([], "_k string, _a bigint")
     remaining = pts
-    rnd = 0
-    while True:
+    for rnd in range(rounds):
         a = remaining.groupBy("_k").agg(F.min("_t").alias("_a"))
-        a = cut_lineage(a) if rnd % checkpoint_every == checkpoint_every - 1 else a.cache()
-        if a.isEmpty():
-            break
-        anchors = a if anchors is None else anchors.unionByName(a)
-        remaining = (remaining.join(a, "_k").filter(F.col("_t") >= F.col("_a") + F.lit(ttl_us)).drop("_a"))
-        rnd += 1
-        if rnd % checkpoint_every == 0:
+        anchors = anchors.unionByName(a)
+        remaining = remaining.join(a, "_k").filter(F.col("_t") >= F.col("_a") + F.lit(ttl_us)).drop("_a")
+        if rnd % checkpoint_every == checkpoint_every - 1:
             remaining = cut_lineage(remaining)
             anchors = cut_lineage(anchors)
-    if anchors is None:
-        anchors = spark.createDataFrame([], "_k string, _a bigint")
     req = requests.withColumn("_t", us)
     w_first = req.groupBy(F.col(key_col).alias("_k2"), F.col("_t").alias("_t2")).agg(F.min(id_col).alias("_first_id"))
     out = req.join(anchors, (req[key_col] == anchors["_k"]) & (req["_t"] == anchors["_a"]), "left")

@@ -356,7 +356,7 @@ SELECT id, json_extract_string(f, '$.name') AS name,
 FROM x""")
 def q_report_fields(fx):
     """Every stored field value rendered for display."""
-    parsed = F.try_parse_json("extracted_data")
+    parsed = J.strict_parse_json("extracted_data")
     arr = F.coalesce(F.try_variant_get(parsed, "$.fields", "array<variant>"),
                      F.try_variant_get(parsed, "$.key_fields", "array<variant>"))
     d = fx.v_documents.select("id", F.explode(arr).alias("f"))

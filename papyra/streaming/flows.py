@@ -26,6 +26,14 @@ EVENT_STATUS = {"click": "queued", "view": "processing", "signup": "completed",
                 "purchase": "pending_confirmation", "error": "error"}
 
 
+def with_watermark(df: DataFrame, delay: str | None, ts="ts") -> DataFrame:
+    """Event-time watermark (the event time must be a TIMESTAMP; the
+    tables store TIMESTAMP_NTZ, read as UTC)."""
+    if not delay:
+        return df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def event_status(event_type="event_type") -> Column:
     m = F.create_map(*[F.lit(x) for kv in EVENT_STATUS.items() for x in kv])
     return F.element_at(m, F.col(event_type))
@@ -52,7 +60,7 @@ def inbox_sink(table_path: str):
 
 def status_counts(status_log: DataFrame, window: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Documents per status per event-time window."""
-    s = status_log.withWatermark("ts", watermark) if watermark else status_log
+    s = with_watermark(status_log, watermark)
     g = s.groupBy(F.window("ts", window).alias("w"), "status").agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "n")
 
@@ -63,7 +71,7 @@ def stream_dedup(items: DataFrame, key="content_hash", delay: str = "24 hours")
     """Repeated content dropped while the key's first sighting is
     within the watermark delay (batch form: one row per key)."""
     if items.isStreaming:
-        return items.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+        return with_watermark(items, delay).dropDuplicatesWithinWatermark([key])
     return items.dropDuplicates([key])
 
 
@@ -84,7 +92,7 @@ def process_queue_batch(batch: DataFrame, per_tenant: int = 20) -> DataFrame:
 
 def usage_counter(successes: DataFrame, watermark: str | None = None) -> DataFrame:
     """+1 per successful document per user and calendar month."""
-    s = successes.withWatermark("ts", watermark) if watermark else successes
+    s = with_watermark(successes, watermark)
     return s.groupBy("user_id", F.date_trunc("month", "ts").alias("period")).agg(
         F.count(F.lit(1)).alias("docs_used"))
 
@@ -147,7 +155,7 @@ def billing_fold_stream(events: DataFrame) -> DataFrame:
 def call_rate(calls: DataFrame, limit: int = 10, window: str = "60 seconds", slide: str = "10 seconds",
               watermark: str | None = None) -> DataFrame:
     """Calls per provider in sliding 60 s windows, flagged over the limit."""
-    c = calls.withWatermark("ts", watermark) if watermark else calls
+    c = with_watermark(calls, watermark)
     g = c.groupBy(F.window("ts", window, slide).alias("w"), "provider").agg(F.count(F.lit(1)).alias("calls"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "provider",
                     "calls", (F.col("calls") > limit).alias("over_limit"))
