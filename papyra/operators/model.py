@@ -98,7 +98,10 @@ def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key
     var = field_variants(catalogue)
     n_fields = catalogue.groupBy("type_id").agg(F.count(F.lit(1)).alias("n_fields"))
     names = catalogue.select("type_id", "type_name").distinct()
-    dt = docs.select(key_col, F.explode(tokens(text_col)).alias("token"))
+    # only tokens the catalogue knows leave the document row: the
+    # vocabulary is a scalar subquery (a few dozen words)
+    vocab = var.agg(F.collect_set("token")).scalar()
+    dt = docs.select(key_col, F.explode(F.array_intersect(tokens(text_col), vocab)).alias("token"))
     hits = dt.join(F.broadcast(var), "token")
     found = (hits.groupBy(key_col, "type_id", "field", "variant", "n_tokens").agg(F.count(F.lit(1)).alias("_m"))
              .filter(F.col("_m") == F.col("n_tokens")).select(key_col, "type_id", "field").distinct())
@@ -123,11 +126,12 @@ LABEL_LINE = r"(?md)^([^:\n]{1,80}):[ \t]*([^\n]*)$"
 def label_lines(docs: DataFrame, text_col="text", key_col="doc_id") -> DataFrame:
     """Every ``Label: value`` line of every text as (doc, line_no, label_key,
     raw_value); label_key is the lower-cased, trimmed label."""
-    x = docs.select(key_col, F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 1).alias("l"),
-                    F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 2).alias("v"))
-    z = x.select(key_col, F.posexplode(F.arrays_zip("l", "v")).alias("line_no", "lv"))
-    return z.select(key_col, "line_no", F.lower(F.trim(F.col("lv.l"))).alias("label_key"),
-                    F.trim(F.col("lv.v")).alias("raw_value"))
+    x = docs.select(key_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 0))
+                    .alias("line_no", "line"))
+    # split the (short) matched line at its first ':'
+    label = F.regexp_extract("line", r"^([^:\n]{1,80}):", 1)
+    value = F.regexp_extract("line", r"^[^:\n]{1,80}:[ \t]*(.*)$", 1)
+    return x.select(key_col, "line_no", F.lower(F.trim(label)).alias("label_key"), F.trim(value).alias("raw_value"))
 
 
 def convert_value(raw, ftype) -> Column:
@@ -154,12 +158,13 @@ def convert_value(raw, ftype) -> Column:
             .otherwise(r))
 
 
-def label_value_extract(docs: DataFrame, doc_types: DataFrame, schema: DataFrame,
-                        text_col="text", key_col="doc_id") -> DataFrame:
+def label_value_extract(docs: DataFrame | None, doc_types: DataFrame, schema: DataFrame,
+                        text_col="text", key_col="doc_id", lines: DataFrame | None = None) -> DataFrame:
     """For each document and each field of its type, the value of the
     first ``Label: value`` line whose label equals the field's label (or
-    name), converted by field type; null when absent. Long form."""
-    lines = label_lines(docs, text_col, key_col)
+    name), converted by field type; null when absent. Long form. Pass
+    ``lines`` (from ``label_lines``) to reuse one extraction pass."""
+    lines = lines if lines is not None else label_lines(docs, text_col, key_col)
     s = schema.select("type_id", F.col("name").alias("field"), "label", F.col("type").alias("ftype"), "position")
     keys = (s.select("type_id", "field", F.lower(F.trim("label")).alias("label_key"))
             .unionByName(s.select("type_id", "field", F.lower(F.trim("field")).alias("label_key"))).distinct())
@@ -234,7 +239,14 @@ def conform_fields(doc_types: DataFrame, schema: DataFrame, values: DataFrame, k
     type (numbers, dates, booleans; anything else as text). The pairing is
     documents x their own type's fields only, bounded by the schema size."""
     s = schema.select(type_col, F.col("name").alias("field"), F.col("type").alias("ftype"), "position")
-    v = values.groupBy(key_col, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
+    if doc_types is None:
+        # values carry the document's type: one aggregate gives both the
+        # values and the documents (one read of the field table)
+        vt = values.groupBy(key_col, type_col, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
+        v = vt.select(key_col, "field", "_raw")
+        doc_types = vt.select(key_col, type_col)
+    else:
+        v = values.groupBy(key_col, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
     slots = doc_types.select(key_col, type_col).distinct().join(s, type_col)
     out = slots.join(v, [key_col, "field"], "left")
     return out.select(key_col, type_col, "position", "field", "ftype",

@@ -94,11 +94,12 @@ def consolidate_schema(fields: DataFrame, group_col="type_name", doc_col="doc_id
     documents of the type; required when >= 0.5; the type is the most
     common normalised type (ties → alphabetical); at most ``max_fields``
     fields by frequency then name. Duplicates inside a document count once."""
-    f = fields.withColumn("_t", normalize_field_type("type"))
-    n_docs = f.groupBy(group_col).agg(F.countDistinct(doc_col).alias("_n"))
-    per_doc = f.groupBy(group_col, "name", doc_col).agg(F.lit(1).alias("_one"))
-    having = per_doc.groupBy(group_col, "name").agg(F.count(F.lit(1)).alias("_have"))
-    tcount = f.groupBy(group_col, "name", "_t").agg(F.count(F.lit(1)).alias("_tc"))
+    # one aggregate over the field table; everything else derives from it
+    base = fields.groupBy(group_col, "name", doc_col, normalize_field_type("type").alias("_t")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    n_docs = base.groupBy(group_col).agg(F.countDistinct(doc_col).alias("_n"))
+    having = base.groupBy(group_col, "name").agg(F.countDistinct(doc_col).alias("_have"))
+    tcount = base.groupBy(group_col, "name", "_t").agg(F.sum("_c").alias("_tc"))
     best_t = tcount.groupBy(group_col, "name").agg(
         F.min(F.struct((-F.col("_tc")).alias("neg"), F.col("_t").alias("t"))).alias("_b"))
     out = (having.join(best_t, [group_col, "name"]).join(n_docs, group_col)

@@ -218,7 +218,7 @@ conf AS (SELECT s.doc_id, s.type_name, s.position, s.field, s.ftype, {convert_sq
 def q_conform_fields(fx):
     """Every document carries exactly its type's consolidated schema."""
     schema = S.consolidate_schema(fx.v_fields)
-    return MD.conform_fields(fx.v_fields, schema, fx.v_fields)
+    return MD.conform_fields(None, schema, fx.v_fields)
 
 
 # ---------------------------------------------------------------- J6

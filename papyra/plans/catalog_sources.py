@@ -89,7 +89,7 @@ FROM conf GROUP BY doc_id, type_name""")
 def q_export_fields(fx):
     """Conformed documents as a wide table, one column per field."""
     schema = S.consolidate_schema(fx.v_fields)
-    conformed = MD.conform_fields(fx.v_fields, schema, fx.v_fields)
+    conformed = MD.conform_fields(None, schema, fx.v_fields)
     # the schema is at most 30 fields per type: a bounded list for the pivot
     names = sorted({r["name"] for r in schema.select("name").distinct().collect()})
     return TB.export_fields(conformed, names)

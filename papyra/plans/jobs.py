@@ -44,9 +44,10 @@ def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None)
     cls = classify_unique(ok, catalogue, threshold)
     routed = MD.ocr_route(ok.select("doc_id", "text", "mime")).select("doc_id", "route", "ocr_confidence")
     matched = cls.filter(~F.col("is_others")).select("doc_id", F.col("best_type_id").alias("type_id"))
-    ext = MD.label_value_extract(ok, matched, catalogue)
+    lines = MD.label_lines(ok)  # one pass over the texts serves both branches
+    ext = MD.label_value_extract(None, matched, catalogue, lines=lines)
     pop_m = ext.groupBy("doc_id").agg(F.count("value").alias("populated"))
-    others_lines = MD.label_lines(ok.join(cls.filter(F.col("is_others")).select("doc_id"), "doc_id", "left_semi"))
+    others_lines = lines.join(cls.filter(F.col("is_others")).select("doc_id"), "doc_id", "left_semi")
     pop_o = others_lines.groupBy("doc_id").agg(F.count_if(F.col("raw_value") != "").alias("populated"))
     pop = pop_m.unionByName(pop_o)
     out = (g.select("doc_id", "user_id", "filename", "gate_error")
