@@ -195,6 +195,25 @@ def text_partitioned(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(n, key)
 
 
+def _document_types(spark: SparkSession) -> DataFrame:
+    """Same rows as the ``v_document_types`` SQL, without a cross join: the
+    distinct priorities (a handful) become an array by scalar subquery that
+    every customer row explodes."""
+    from pyspark.sql import functions as F
+    o = spark.table("orders")
+    prios = (o.select(F.substring("o_orderpriority", 1, 1).cast("int").alias("k"),
+                      F.substring("o_orderpriority", 3, 1 << 20).alias("name")).distinct()
+             .agg(F.collect_list(F.struct("k", "name"))).scalar())
+    c = spark.table("customer").select("c_custkey", "c_nationkey", F.explode(prios).alias("p"))
+    c = c.filter((F.col("c_custkey") + F.col("p.k")) % 3 != 0)
+    return c.select((F.col("c_custkey") * 10 + F.col("p.k")).alias("id"), F.col("c_custkey").alias("user_id"),
+                    F.col("p.name").alias("name"),
+                    F.when(F.col("p.k") % 2 == 0, F.concat(F.lit("Tipo "), F.col("p.name"))).alias("description"),
+                    F.col("c_nationkey").alias("nation_key"))
+
+
+DATAFRAME_VIEWS = {"v_document_types": _document_types}
+
 _registered: dict[int, str] = {}
 
 
@@ -210,6 +229,9 @@ def register(spark: SparkSession, sf_dir: str) -> Fixtures:
                 df = text_partitioned(df, TEXT_TABLES[t])
             df.createOrReplaceTempView(t)
         for name, body in VIEW_SQL.items():
-            spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
+            if name in DATAFRAME_VIEWS:
+                DATAFRAME_VIEWS[name](spark).createOrReplaceTempView(name)
+            else:
+                spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
         _registered[key] = sf_dir
     return Fixtures(spark, sf_dir)

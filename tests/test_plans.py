@@ -23,6 +23,12 @@ def test_no_python_in_plan(spark, name):
     assert not any(x in p for x in PYTHON_NODES), name
 
 
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cartesian_or_nested_loop(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
 def test_tenant_filter_pushed_to_scan(spark):
     p = plan(E.queries()["tenant_view"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in p
