@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from . import jobs as K
 from .catalog_gates import TENANT
-from .catalog_model import J3_CTE, KEY_SQL, SLUG_SQL_FN, j2_sql
+from .catalog_model import J3_CTE, KEY_SQL, LINE_RE, SLUG_SQL_FN, convert_sql, j2_sql
+from .catalog_stats import NORM_TYPE_SQL
 from .registry import query
 
 VALUE_LINE_SQL = r"\d{2,}|@|\$\s*\d+|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}"
@@ -102,7 +103,72 @@ def q_process_batch_summary(fx):
     return summary
 
 
-@query("infer_types")
+FIELD_NAME_SQL = ("regexp_replace(regexp_replace(strip_accents(lower(trim({c}))), '[^a-z0-9]+', '_', 'g'), "
+                  "'^_+|_+$', '', 'g')")
+GUESS_SQL = (r"CASE WHEN regexp_matches(trim({c}), '^(\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})$') THEN 'date' "
+             r"WHEN regexp_matches(regexp_replace(trim({c}), '^[$€]\s*', ''), '^-?[0-9][0-9.,]*$') THEN 'number' "
+             r"ELSE 'string' END")
+K3_CTE = f"""{j2_sql()},{UP_CTE},
+f3 AS (SELECT doc_id, user_id, batch_id, filename, size_bytes, mime, text,
+         CASE WHEN mime NOT IN ('application/pdf', 'image/png', 'image/jpeg', 'image/jpg') THEN printf('Tipo no permitido: %s (%s)', filename, mime)
+              WHEN size_bytes > 10485760 THEN printf('Archivo muy grande: %s', filename) END AS file_error FROM up),
+b3 AS (SELECT batch_id, count(*) AS n_files, count(*) FILTER (WHERE file_error IS NULL) AS n_valid FROM f3 GROUP BY 1),
+kept3 AS (SELECT f3.* FROM f3 JOIN b3 USING (batch_id) WHERE b3.n_files BETWEEN 2 AND 10 AND b3.n_valid > 0 AND f3.file_error IS NULL),
+h3 AS (SELECT *, concat(CAST(batch_id AS VARCHAR), ':', sha256(text)) AS ch FROM kept3),
+first3 AS (SELECT ch, min(doc_id) AS doc_id FROM h3 GROUP BY 1),
+d0 AS (SELECT h3.* FROM h3 JOIN first3 USING (ch, doc_id) WHERE text IS NOT NULL AND length(text) > 0),
+d1 AS (SELECT d0.doc_id, d0.user_id, d0.batch_id, d0.text,
+         CASE WHEN j2.score > 0 THEN j2.best_type_name ELSE 'Documento Sin Clasificar' END AS inferred_name
+       FROM d0 JOIN j2 USING (doc_id)),
+hc3 AS (SELECT user_id, inferred_name AS variant, count(*) AS n FROM d1 GROUP BY 1, 2),
+hk3 AS (SELECT *, {KEY_SQL.format(c='variant')} AS hkey FROM hc3),
+hcan3 AS (SELECT user_id, hkey, variant AS canonical FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, hkey ORDER BY n DESC, length(variant), variant) AS rn FROM hk3) WHERE rn = 1),
+hmap3 AS (SELECT hk3.user_id, hk3.variant, hcan3.canonical FROM hk3 JOIN hcan3 USING (user_id, hkey)),
+d2 AS (SELECT d1.*, coalesce(m.canonical, d1.inferred_name) AS type_name FROM d1
+       LEFT JOIN hmap3 m ON m.user_id = d1.user_id AND m.variant = d1.inferred_name),
+catn AS (SELECT DISTINCT type_id AS existing_type_id, type_name FROM v_type_catalogue),
+d3 AS (SELECT d2.*, catn.existing_type_id, catn.existing_type_id IS NULL AS is_new FROM d2 LEFT JOIN catn USING (type_name)),
+rl3 AS (SELECT doc_id, regexp_extract_all(text, '{LINE_RE}', 0) AS ls FROM d3),
+ll3 AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM rl3),
+lk3 AS (SELECT doc_id, line_no, lower(trim(regexp_extract(line, '^([^:\n]{{1,80}}):', 1))) AS label_key,
+          trim(regexp_extract(line, '^[^:\n]{{1,80}}:[ \t]*(.*)$', 1)) AS raw_value FROM ll3),
+kf3 AS (SELECT l.doc_id, concat(CAST(d3.batch_id AS VARCHAR), '|', d3.type_name) AS grp,
+          {FIELD_NAME_SQL.format(c='l.label_key')} AS name, {GUESS_SQL.format(c='l.raw_value')} AS type, l.raw_value AS value
+        FROM lk3 l JOIN d3 USING (doc_id) WHERE d3.is_new),
+kf4 AS (SELECT * FROM kf3 WHERE name <> ''),
+base3 AS (SELECT grp, name, doc_id, {NORM_TYPE_SQL} AS t, count(*) AS c FROM kf4 GROUP BY 1, 2, 3, 4),
+nd3 AS (SELECT grp, count(DISTINCT doc_id) AS n FROM base3 GROUP BY 1),
+hv3 AS (SELECT grp, name, count(DISTINCT doc_id) AS have FROM base3 GROUP BY 1, 2),
+tc3 AS (SELECT grp, name, t, sum(c) AS tc FROM base3 GROUP BY 1, 2, 3),
+bt3 AS (SELECT grp, name, t FROM (SELECT *, row_number() OVER (PARTITION BY grp, name ORDER BY tc DESC, t) AS r FROM tc3) WHERE r = 1),
+o3 AS (SELECT hv3.grp, hv3.name, bt3.t AS type, round(hv3.have / nd3.n, 6) AS frequency FROM hv3 JOIN bt3 USING (grp, name) JOIN nd3 USING (grp)),
+nsch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY frequency DESC, name) AS position FROM o3) WHERE position <= 30),
+dn3 AS (SELECT doc_id, concat(CAST(batch_id AS VARCHAR), '|', type_name) AS grp FROM d3 WHERE is_new),
+vn3 AS (SELECT doc_id, name AS field, min(value) AS raw FROM kf4 GROUP BY 1, 2),
+sn3 AS (SELECT dn3.doc_id, nsch.name AS field, nsch.type AS ftype FROM dn3 JOIN nsch USING (grp)),
+cn3 AS (SELECT sn3.doc_id, {convert_sql('vn3.raw', 'sn3.ftype')} AS value FROM sn3
+        LEFT JOIN vn3 ON sn3.doc_id = vn3.doc_id AND sn3.field = vn3.field),
+de3 AS (SELECT doc_id, existing_type_id AS type_id FROM d3 WHERE NOT is_new),
+keys3e AS (SELECT DISTINCT type_id, name AS field, lower(trim(label)) AS label_key FROM v_type_catalogue
+           UNION SELECT type_id, name, lower(trim(name)) FROM v_type_catalogue),
+cand3e AS (SELECT l.doc_id, k.field, l.line_no, l.raw_value FROM lk3 l JOIN de3 USING (doc_id)
+           JOIN keys3e k ON k.type_id = de3.type_id AND k.label_key = l.label_key),
+fv3 AS (SELECT doc_id, field, arg_min(raw_value, line_no) AS raw_value FROM cand3e GROUP BY 1, 2),
+so3 AS (SELECT de3.doc_id, c.name AS field, c.type AS ftype FROM de3 JOIN v_type_catalogue c ON c.type_id = de3.type_id),
+co3 AS (SELECT so3.doc_id, {convert_sql('fv3.raw_value', 'so3.ftype')} AS value FROM so3
+        LEFT JOIN fv3 ON so3.doc_id = fv3.doc_id AND so3.field = fv3.field),
+pop3 AS (SELECT doc_id, count(value) AS populated, count(*) AS n_fields FROM (SELECT * FROM cn3 UNION ALL SELECT * FROM co3) GROUP BY 1),
+docs3 AS (SELECT d3.doc_id, d3.user_id, d3.batch_id, d3.type_name, d3.is_new, coalesce(pop3.n_fields, 0) AS n_fields,
+            coalesce(pop3.populated, 0) AS populated,
+            CASE WHEN coalesce(pop3.populated, 0) > 0 THEN 'completed' ELSE 'error' END AS status,
+            CASE WHEN coalesce(pop3.populated, 0) > 0 THEN 0.95 ELSE 0.5 END AS confidence
+          FROM d3 LEFT JOIN pop3 USING (doc_id))"""
+
+
+@query("infer_types", f"""WITH {K3_CTE}
+SELECT user_id, batch_id, type_name, is_new, max(n_fields) AS field_count, count(*) AS sample_count
+FROM docs3 GROUP BY user_id, batch_id, type_name, is_new""", headline=True)
 def q_infer_types(fx):
     """K3 (flagship): infer document types from sample batches: per batch
     and type, new or existing, field count and sample count."""
@@ -110,7 +176,7 @@ def q_infer_types(fx):
     return report
 
 
-@query("infer_types_documents")
+@query("infer_types_documents", f"WITH {K3_CTE}\nSELECT * FROM docs3")
 def q_infer_types_documents(fx):
     """K3: per sample document its type, conformed field count and status."""
     docs, _ = K.infer_types(_uploads(fx), fx.v_type_catalogue)
@@ -184,7 +250,30 @@ def q_resolve_pending(fx):
     return summary
 
 
-@query("reprocess")
+K1_CTE_NAMES = ("cat var vt dt hits found nf sc best names j2 dtyp raw3 lines3 keys3 cand3 firstv slots3 j3 "
+                "up0 up g1 q1 pm po pop k1x k1").split()
+
+
+def k1_cte_renamed(threshold: float, suffix: str) -> str:
+    """The K1 CTE chain with every CTE name suffixed (a second copy in one
+    statement; none of the names is also a column name or inside a literal)."""
+    import re
+    sql = k1_cte(threshold)
+    pattern = re.compile(r"\b(" + "|".join(sorted(K1_CTE_NAMES, key=len, reverse=True)) + r")\b")
+    return pattern.sub(lambda m: m.group(1) + suffix, sql)
+
+
+REPROCESS_SQL = f"""WITH {k1_cte()},
+{k1_cte_renamed(0.5, '_r')},
+ids AS (SELECT doc_id FROM k1 WHERE status = 'completed' AND is_others),
+again AS (SELECT doc_id, user_id, CASE WHEN status = 'completed' AND is_others THEN 'pending_confirmation' ELSE status END AS status,
+            gate_error, route, ocr_confidence, document_type_id, document_type_name, confidence, is_others, typed_key, populated,
+            inferred_type FROM k1_r WHERE doc_id IN (SELECT doc_id FROM ids))
+SELECT * FROM k1 WHERE doc_id NOT IN (SELECT doc_id FROM ids)
+UNION ALL SELECT * FROM again"""
+
+
+@query("reprocess", REPROCESS_SQL)
 def q_reprocess(fx):
     """K6: documents filed under Others re-run with a 0.5 threshold; still
     unmatched ones go to pending_confirmation."""
