@@ -163,3 +163,19 @@ def test_model_stage_isolates_failures(spark):
     out = {r.doc_id: r for r in MD.model_stage(rows, MD.demo_model).collect()}
     assert out[2].response is None and "texto insuficiente" in out[2].error
     assert out[1].response == out[3].response and out[1].error is None
+
+
+def test_cache_hits_matches_iterative_form(spark):
+    import random
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(600):
+        key = f"h{rnd.randint(0, 5)}"
+        # bursts and gaps around the 24 h boundary, some identical instants
+        minutes = rnd.choice([rnd.randint(0, 60 * 24 * 20), rnd.randint(0, 3) * 60 * 24])
+        rows.append((i, key, base + dt.timedelta(minutes=minutes)))
+    req = spark.createDataFrame(rows, "event_id bigint, content_hash string, ts timestamp_ntz")
+    a = {r.event_id: r.cache_hit for r in W.cache_hits(req).collect()}
+    b = {r.event_id: r.cache_hit for r in W.cache_hits_iterative(req).collect()}
+    assert a == b
