@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_repair import json_summary, repair_python_dict
+from ..functions.json_repair import repair_python_dict
 
 
 def tenant_value(tenant) -> int | None:
@@ -154,7 +154,3 @@ def pending_only_guard(requests: DataFrame, docs: DataFrame) -> tuple[DataFrame,
         F.col("id").alias("doc_id"), "user_id")
     keys = ["doc_id", "user_id"]
     return (requests.join(pending, keys, "left_semi"), requests.join(pending, keys, "left_anti"))
-
-
-def with_summary(df: DataFrame, json_col="extracted_data") -> DataFrame:
-    return df.withColumn("summary", json_summary(json_col))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import is_others as is_others_expr
-from ..functions.fields import normalize_field_type
 from ..functions.text import content_hash, strip_accents, text_quality
 
 # --------------------------------------------------------------------- J1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.json_repair import json_summary, repair_python_dict
+from ..functions.json_repair import json_summary
 from ..functions.text import mime_from_extension
 from ..operators import gates as G
 from ..operators.matching import docs_with_type

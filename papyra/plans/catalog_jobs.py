@@ -168,7 +168,7 @@ docs3 AS (SELECT d3.doc_id, d3.user_id, d3.batch_id, d3.type_name, d3.is_new, co
 
 @query("infer_types", f"""WITH {K3_CTE}
 SELECT user_id, batch_id, type_name, is_new, max(n_fields) AS field_count, count(*) AS sample_count
-FROM docs3 GROUP BY user_id, batch_id, type_name, is_new""", headline=True)
+FROM docs3 GROUP BY user_id, batch_id, type_name, is_new""")
 def q_infer_types(fx):
     """K3 (flagship): infer document types from sample batches: per batch
     and type, new or existing, field count and sample count."""

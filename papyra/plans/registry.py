@@ -13,10 +13,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-HEADLINE: list[str] = []
 
 
-def query(name: str, oracle: str | None = None, headline: bool = False):
+def query(name: str, oracle: str | None = None):
     """Register ``fn(fx: Fixtures) -> DataFrame`` as query ``name``."""
     def deco(fn: Callable[[Fixtures], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +25,6 @@ def query(name: str, oracle: str | None = None, headline: bool = False):
         QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = with_views(oracle)
-        if headline:
-            HEADLINE.append(name)
         return fn
     return deco
 
