@@ -74,45 +74,52 @@ def tokens(text) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != ""))
 
 
-def field_variants(catalogue: DataFrame) -> DataFrame:
-    """(type_id, field, variant, token, n_tokens): a field is recognised
-    through its label or its name (split at '_'), each as a token set."""
-    f = catalogue.select("type_id", "type_name", F.col("name").alias("field"), "label")
-    by_label = f.select("type_id", "field", F.lit("label").alias("variant"), tokens("label").alias("toks"))
-    by_name = f.select("type_id", "field", F.lit("name").alias("variant"),
+def field_variants(catalogue: DataFrame, keys=()) -> DataFrame:
+    """(keys..., type_id, field, variant, n_tokens, token): a field is
+    recognised through its label or its name (split at '_'), each as a
+    token set."""
+    k = list(keys)
+    f = catalogue.select(*k, "type_id", F.col("name").alias("field"), "label")
+    by_label = f.select(*k, "type_id", "field", F.lit("label").alias("variant"), tokens("label").alias("toks"))
+    by_name = f.select(*k, "type_id", "field", F.lit("name").alias("variant"),
                        tokens(F.regexp_replace("field", "_", " ")).alias("toks"))
     v = by_label.unionByName(by_name).withColumn("n_tokens", F.size("toks"))
-    return v.select("type_id", "field", "variant", "n_tokens", F.explode("toks").alias("token"))
+    return v.select(*k, "type_id", "field", "variant", "n_tokens", F.explode("toks").alias("token"))
 
 
 def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id",
-                     threshold: float | None = None) -> DataFrame:
+                     threshold: float | None = None, tenant_col: str | None = None) -> DataFrame:
     """score(doc, type) = share of the type's fields whose label or name
     tokens all occur in the text; best score, ties to the lowest type id;
     below the threshold (H10) the document is Others.
 
-    The catalogue side is tiny (types x fields x tokens) and broadcast; the
-    document side is exploded to distinct tokens and never paired with
-    types it shares no token with."""
-    var = field_variants(catalogue)
-    n_fields = catalogue.groupBy("type_id").agg(F.count(F.lit(1)).alias("n_fields"))
-    names = catalogue.select("type_id", "type_name").distinct()
-    # only tokens the catalogue knows leave the document row: the
-    # vocabulary is a scalar subquery (a few dozen words)
-    vocab = var.agg(F.collect_set("token")).scalar()
-    dt = docs.select(key_col, F.explode(F.array_intersect(tokens(text_col), vocab)).alias("token"))
-    hits = dt.join(F.broadcast(var), "token")
-    found = (hits.groupBy(key_col, "type_id", "field", "variant", "n_tokens").agg(F.count(F.lit(1)).alias("_m"))
-             .filter(F.col("_m") == F.col("n_tokens")).select(key_col, "type_id", "field").distinct())
-    score = (found.groupBy(key_col, "type_id").agg(F.count(F.lit(1)).alias("_found"))
-             .join(F.broadcast(n_fields), "type_id")
+    With ``tenant_col`` every document is scored only against its own
+    tenant's catalogue (an equi-join on (tenant, token)); without it the
+    catalogue is shared, tiny and broadcast, and only the tokens it knows
+    leave the document row. A document is never paired with a type it
+    shares no token with."""
+    k = [tenant_col] if tenant_col else []
+    var = field_variants(catalogue, k)
+    n_fields = catalogue.groupBy(*k, "type_id").agg(F.count(F.lit(1)).alias("n_fields"))
+    names = catalogue.select(*k, "type_id", "type_name").distinct()
+    toks = tokens(text_col)
+    if not tenant_col:
+        # the vocabulary is a scalar subquery (a few dozen words)
+        toks = F.array_intersect(toks, var.agg(F.collect_set("token")).scalar())
+        var, n_fields, names = F.broadcast(var), F.broadcast(n_fields), F.broadcast(names)
+    dt = docs.select(key_col, *k, F.explode(toks).alias("token"))
+    hits = dt.join(var, [*k, "token"])
+    found = (hits.groupBy(key_col, *k, "type_id", "field", "variant", "n_tokens").agg(F.count(F.lit(1)).alias("_m"))
+             .filter(F.col("_m") == F.col("n_tokens")).select(key_col, *k, "type_id", "field").distinct())
+    score = (found.groupBy(key_col, *k, "type_id").agg(F.count(F.lit(1)).alias("_found"))
+             .join(n_fields, [*k, "type_id"])
              .withColumn("score", F.round(F.col("_found") / F.col("n_fields"), 6)))
-    best = score.groupBy(key_col).agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("type_id"))).alias("_b"))
-    best = best.select(key_col, F.col("_b.type_id").alias("best_type_id"), (-F.col("_b.neg")).alias("score"))
-    out = docs.select(key_col).join(best, key_col, "left").join(
-        F.broadcast(names).withColumnRenamed("type_id", "best_type_id"), "best_type_id", "left")
+    best = score.groupBy(key_col, *k).agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("type_id"))).alias("_b"))
+    best = best.select(key_col, *k, F.col("_b.type_id").alias("best_type_id"), (-F.col("_b.neg")).alias("score"))
+    out = docs.select(key_col, *k).join(best, [key_col, *k], "left").join(
+        names.withColumnRenamed("type_id", "best_type_id"), [*k, "best_type_id"], "left")
     out = out.withColumn("score", F.coalesce(F.col("score"), F.lit(0.0)))
-    return out.select(key_col, "best_type_id", F.col("type_name").alias("best_type_name"), "score",
+    return out.select(key_col, *k, "best_type_id", F.col("type_name").alias("best_type_name"), "score",
                       is_others_expr(F.lit(None).cast("boolean"), "score", threshold).alias("is_others"))
 
 

@@ -25,15 +25,20 @@ UNCLASSIFIED = "Documento Sin Clasificar"
 
 
 def classify_unique(docs: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
-    """J2 over distinct contents only, joined back to every document."""
-    h = docs.select("doc_id", content_hash("text").alias("_h"), "text")
-    uniq = h.groupBy("_h").agg(F.min("doc_id").alias("_rep"))
-    reps = h.join(uniq, (h["_h"] == uniq["_h"]) & (h["doc_id"] == uniq["_rep"]), "left_semi")
-    cls = MD.lexical_classify(reps.select(F.col("_h"), "text"), catalogue, key_col="_h", threshold=threshold)
+    """J2 over distinct contents only, joined back to every document. A
+    catalogue with a ``user_id`` column is per tenant: then the unit of work
+    is (tenant, content), since the same text may match differently."""
+    tenant = "user_id" if "user_id" in catalogue.columns else None
+    k = [tenant] if tenant else []
+    h = docs.select("doc_id", *k, content_hash("text").alias("_h"), "text")
+    uniq = h.groupBy(*k, "_h").agg(F.min("doc_id").alias("_rep"))
+    reps = h.join(uniq.withColumnRenamed("_rep", "doc_id"), [*k, "_h", "doc_id"], "left_semi")
+    cls = MD.lexical_classify(reps.select("_h", *k, "text"), catalogue, key_col="_h", threshold=threshold,
+                              tenant_col=tenant)
     # the model-stage result is materialised once (reliable checkpoint in the
     # shared folder): it is reused several times downstream and must never
     # be recomputed
-    return cut_lineage(h.select("doc_id", "_h").join(cls, "_h", "left").drop("_h"))
+    return cut_lineage(h.select("doc_id", *k, "_h").join(cls, [*k, "_h"], "left").drop("_h", *k))
 
 
 def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
@@ -119,11 +124,12 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     d = d.join(cls, "doc_id")
     d = d.withColumn("inferred_name", F.when(~F.col("is_others"), F.col("best_type_name"))
                      .when(F.col("score") > 0, F.col("best_type_name")).otherwise(F.lit(UNCLASSIFIED)))
-    existing = catalogue.select(F.col("type_id").alias("id"), F.col("type_name").alias("name")).distinct()
+    ck = ["user_id"] if "user_id" in catalogue.columns else []  # per-tenant catalogue?
     mapping = MD.homologate_names(d.select("user_id", F.col("inferred_name").alias("name")), "name", ["user_id"])
     d = M.apply_canonical(d, mapping, "inferred_name", keys=["user_id"]).withColumnRenamed("canonical_name", "type_name")
-    cat_names = existing.select(F.col("name").alias("type_name"), F.col("id").alias("existing_type_id"))
-    d = d.join(F.broadcast(cat_names), "type_name", "left").withColumn("is_new", F.col("existing_type_id").isNull())
+    cat_names = catalogue.select(*ck, "type_name", F.col("type_id").alias("existing_type_id")).distinct()
+    d = (d.join(cat_names if ck else F.broadcast(cat_names), [*ck, "type_name"], "left")
+         .withColumn("is_new", F.col("existing_type_id").isNull()))
     d = cut_lineage(d)
     # fields: catalogue schema for existing types, consolidated key fields for new ones
     lines = MD.label_lines(d.select("doc_id", "text"))

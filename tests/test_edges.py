@@ -179,3 +179,15 @@ def test_cache_hits_matches_iterative_form(spark):
     a = {r.event_id: r.cache_hit for r in W.cache_hits(req).collect()}
     b = {r.event_id: r.cache_hit for r in W.cache_hits_iterative(req).collect()}
     assert a == b
+
+
+def test_lexical_classify_per_tenant(spark):
+    cat = spark.createDataFrame(
+        [(1, 1, "Factura", 1, "total", "Total", "number"), (1, 2, "Orden", 1, "proveedor", "Proveedor", "string"),
+         (2, 3, "Recibo", 1, "total", "Total", "number")],
+        "user_id bigint, type_id int, type_name string, position int, name string, label string, type string")
+    docs = spark.createDataFrame([(10, 1, "Total: 5"), (11, 2, "Total: 7\nProveedor: X"), (12, 2, "nada")],
+                                 "doc_id bigint, user_id bigint, text string")
+    out = {r.doc_id: r for r in MD.lexical_classify(docs, cat, tenant_col="user_id").collect()}
+    assert out[10].best_type_name == "Factura" and out[11].best_type_name == "Recibo"  # own catalogue only
+    assert out[12].best_type_id is None and out[12].is_others
