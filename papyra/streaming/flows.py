@@ -88,6 +88,15 @@ def process_queue_batch(batch: DataFrame, per_tenant: int = 20) -> DataFrame:
                     mime_from_name("filename").alias("mime"))
 
 
+def queue_sink(table_path: str, per_tenant: int = 20):
+    """I4 ``foreachBatch`` writer: each micro-batch of queued rows is
+    processed (≤ ``per_tenant`` per tenant) and its results land in the
+    epoch's own folder, so a retried epoch is written once."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        process_queue_batch(batch, per_tenant).write.mode("overwrite").parquet(f"{table_path}/epoch={epoch_id}")
+    return write
+
+
 # ---------------------------------------------------------------- I5
 
 def usage_counter(successes: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -29,6 +29,11 @@ def _source(spark, df, n_files=4, order="ts"):
     else:
         df = df.repartition(n_files)
     df.write.mode("overwrite").parquet(path)
+    # the file source picks files by modification time: make it follow the
+    # range order of the part files
+    parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    for i, f in enumerate(parts):
+        os.utime(os.path.join(path, f), (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
     return path
 
 
@@ -95,14 +100,22 @@ def test_job_state_stream(spark, fx):
     assert _rows(got, cols) == _rows(want, cols)
 
 
-def test_stream_dedup_keeps_one_per_key(spark, fx):
+def test_stream_dedup_drops_repeats_within_a_day(spark, fx):
+    import datetime as dt
     r = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("content_hash", F.col("ts").cast("timestamp"))
     src = _source(spark, r)
     stream = ST.stream_dedup(RN.read_stream(spark, src, like=r, max_files_per_trigger=1))
     out = tempfile.mkdtemp(prefix="papyra-out-")
     RN.start(stream, _name("dedup_test"), out, "append").awaitTermination()
-    got = spark.read.parquet(out)
-    assert got.count() == got.select("content_hash").distinct().count() == r.select("content_hash").distinct().count()
+    got = spark.read.parquet(out).collect()
+    keys = {x.content_hash for x in got}
+    assert keys == {x.content_hash for x in r.select("content_hash").distinct().collect()}
+    by_key = {}
+    for x in got:
+        by_key.setdefault(x.content_hash, []).append(x.ts)
+    for ts in by_key.values():
+        ts.sort()
+        assert all(b - a >= dt.timedelta(hours=24) for a, b in zip(ts, ts[1:]))
 
 
 def test_inbox_stream_upserts(spark, fx):
@@ -117,3 +130,25 @@ def test_inbox_stream_upserts(spark, fx):
     cols = ["id", "status", "storage_key"]
     assert _rows(got, cols) == _rows(ST.inbox_rows(files, F.col("received_ms")), cols)
     assert os.path.isdir(table)
+
+
+def test_process_queue_stream(spark, fx):
+    d = fx.v_documents.select("id", "user_id", "filename", "status", "created_at")
+    src = _source(spark, d, order="created_at")
+    table = tempfile.mkdtemp(prefix="papyra-queue-")
+    stream = RN.read_stream(spark, src, like=d)  # one micro-batch: the whole queue
+    RN.start(stream, _name("queue_test"), foreach_batch=ST.queue_sink(table)).awaitTermination()
+    cols = ["id", "user_id", "status", "mime"]
+    assert _rows(spark.read.parquet(table).drop("epoch"), cols) == _rows(ST.process_queue_batch(d), cols)
+
+
+def test_call_rate_stream(spark, fx):
+    calls = fx.v_stage_metrics.filter(F.col("provider").isNotNull()).select("provider", "ts")
+    src = _source(spark, calls)
+    stream = ST.call_rate(RN.read_stream(spark, src, like=calls, max_files_per_trigger=1), watermark="2 minutes")
+    out = tempfile.mkdtemp(prefix="papyra-out-")
+    RN.start(stream, _name("rate_test"), out, "append").awaitTermination()
+    got = spark.read.parquet(out)
+    w = got.agg(F.max("window_start")).first()[0]
+    cols = ["window_start", "provider", "calls", "over_limit"]
+    assert _rows(got, cols) == _rows(ST.call_rate(calls).filter(F.col("window_start") <= w), cols)
