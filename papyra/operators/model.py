@@ -140,25 +140,25 @@ def label_lines(docs: DataFrame, text_col="text", key_col="doc_id") -> DataFrame
     return x.select(key_col, "line_no", F.lower(F.trim(label)).alias("label_key"), F.trim(value).alias("raw_value"))
 
 
+DMY_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
+
+
 def convert_value(raw, ftype) -> Column:
     """dates → YYYY-MM-DD (d/m/y or ISO), numbers → digits with '.' decimal
-    (',' is the decimal mark when present), booleans, else the text."""
+    (',' is the decimal mark when present), booleans, else the text. Each
+    branch runs its regexes once per value."""
     r = F.col(raw) if isinstance(raw, str) else raw
     t = F.col(ftype) if isinstance(ftype, str) else ftype
-    dmy = F.regexp_extract(r, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 0)
-    date_txt = F.when(dmy != "", F.format_string(
-        "%s-%s-%s", F.regexp_extract(r, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3),
-        F.lpad(F.regexp_extract(r, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 2), 2, "0"),
-        F.lpad(F.regexp_extract(r, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 1), 2, "0")))\
-        .otherwise(F.regexp_extract(r, r"^(\d{4}-\d{2}-\d{2})", 1))
-    date_v = F.call_function("try_to_date", date_txt, F.lit("yyyy-MM-dd"))
-    num = F.regexp_replace(r, r"[^0-9,.\-]", "")
-    num = F.when(num.contains(","), F.regexp_replace(F.regexp_replace(num, r"\.", ""), ",", ".")).otherwise(num)
-    num_v = num.try_cast("decimal(38,2)")
+    parts = F.split(r, "/")
+    dmy = F.concat_ws("-", F.get(parts, 2), F.lpad(F.get(parts, 1), 2, "0"), F.lpad(F.get(parts, 0), 2, "0"))
+    date_txt = F.when(r.rlike(DMY_RE), dmy).otherwise(F.regexp_extract(r, r"^(\d{4}-\d{2}-\d{2})", 1))
+    cleaned = F.regexp_replace(r, r"[^0-9,.\-]", "")
+    num = F.when(F.instr(cleaned, ",") > 0, F.translate(F.regexp_replace(cleaned, r"\.", ""), ",", "."))\
+        .otherwise(cleaned)
     low = F.lower(r)
     return (F.when(r.isNull() | (r == ""), F.lit(None))
-            .when(t == "date", date_v.cast("string"))
-            .when(t == "number", num_v.cast("string"))
+            .when(t == "date", date_txt.try_cast("date").cast("string"))
+            .when(t == "number", num.try_cast("decimal(38,2)").cast("string"))
             .when(t == "boolean", F.when(low.isin("si", "sí", "true", "yes", "1"), "true")
                   .when(low.isin("no", "false", "0"), "false"))
             .otherwise(r))
