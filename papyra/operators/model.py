@@ -88,7 +88,8 @@ def field_variants(catalogue: DataFrame, keys=()) -> DataFrame:
 
 
 def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id",
-                     threshold: float | None = None, tenant_col: str | None = None) -> DataFrame:
+                     threshold: float | None = None, tenant_col: str | None = None,
+                     token_col: str | None = None) -> DataFrame:
     """score(doc, type) = share of the type's fields whose label or name
     tokens all occur in the text; best score, ties to the lowest type id;
     below the threshold (H10) the document is Others.
@@ -97,12 +98,13 @@ def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key
     tenant's catalogue (an equi-join on (tenant, token)); without it the
     catalogue is shared, tiny and broadcast, and only the tokens it knows
     leave the document row. A document is never paired with a type it
-    shares no token with."""
+    shares no token with. ``token_col`` takes tokens computed earlier (see
+    ``text_features``) instead of the text."""
     k = [tenant_col] if tenant_col else []
     var = field_variants(catalogue, k)
     n_fields = catalogue.groupBy(*k, "type_id").agg(F.count(F.lit(1)).alias("n_fields"))
     names = catalogue.select(*k, "type_id", "type_name").distinct()
-    toks = tokens(text_col)
+    toks = F.col(token_col) if token_col else tokens(text_col)
     if not tenant_col:
         # the vocabulary is a scalar subquery (a few dozen words)
         toks = F.array_intersect(toks, var.agg(F.collect_set("token")).scalar())
@@ -123,17 +125,37 @@ def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key
                       is_others_expr(F.lit(None).cast("boolean"), "score", threshold).alias("is_others"))
 
 
+def text_features(docs: DataFrame, catalogue: DataFrame | None = None, text_col="text") -> DataFrame:
+    """One pass over the texts: content hash, catalogue tokens (only the
+    words the shared catalogue knows; all tokens for per-tenant
+    catalogues), OCR quality and the ``Label: value`` lines. The text
+    column is dropped, so what is materialised downstream stays small."""
+    toks = tokens(text_col)
+    if catalogue is not None and "user_id" not in catalogue.columns:
+        toks = F.array_intersect(toks, field_variants(catalogue).agg(F.collect_set("token")).scalar())
+    return docs.withColumn("_h", content_hash(text_col)).withColumn("_toks", toks) \
+        .withColumn("quality_ok", text_quality(text_col)).withColumn("_lines", label_line_array(text_col)) \
+        .drop(text_col)
+
+
 # --------------------------------------------------------------------- J3
 
 # (?d): only "\n" ends a line, as in the other engines
 LABEL_LINE = r"(?md)^([^:\n]{1,80}):[ \t]*([^\n]*)$"
 
 
-def label_lines(docs: DataFrame, text_col="text", key_col="doc_id") -> DataFrame:
+def label_line_array(text) -> Column:
+    """The ``Label: value`` lines of a text, in order."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(t, F.lit(LABEL_LINE), 0)
+
+
+def label_lines(docs: DataFrame, text_col="text", key_col="doc_id", lines_col: str | None = None) -> DataFrame:
     """Every ``Label: value`` line of every text as (doc, line_no, label_key,
-    raw_value); label_key is the lower-cased, trimmed label."""
-    x = docs.select(key_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 0))
-                    .alias("line_no", "line"))
+    raw_value); label_key is the lower-cased, trimmed label. ``lines_col``
+    takes the line array computed earlier instead of the text."""
+    arr = F.col(lines_col) if lines_col else label_line_array(text_col)
+    x = docs.select(key_col, F.posexplode(arr).alias("line_no", "line"))
     # split the (short) matched line at its first ':'
     label = F.regexp_extract("line", r"^([^:\n]{1,80}):", 1)
     value = F.regexp_extract("line", r"^[^:\n]{1,80}:[ \t]*(.*)$", 1)

@@ -27,14 +27,19 @@ UNCLASSIFIED = "Documento Sin Clasificar"
 def classify_unique(docs: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
     """J2 over distinct contents only, joined back to every document. A
     catalogue with a ``user_id`` column is per tenant: then the unit of work
-    is (tenant, content), since the same text may match differently."""
+    is (tenant, content), since the same text may match differently.
+    ``docs`` carries either the text or ``text_features`` columns."""
     tenant = "user_id" if "user_id" in catalogue.columns else None
     k = [tenant] if tenant else []
-    h = docs.select("doc_id", *k, content_hash("text").alias("_h"), "text")
+    if "_h" in docs.columns:
+        h = docs.select("doc_id", *k, "_h", "_toks")
+        tok = {"token_col": "_toks"}
+    else:
+        h = docs.select("doc_id", *k, content_hash("text").alias("_h"), "text")
+        tok = {}
     uniq = h.groupBy(*k, "_h").agg(F.min("doc_id").alias("_rep"))
-    reps = h.join(uniq.withColumnRenamed("_rep", "doc_id"), [*k, "_h", "doc_id"], "left_semi")
-    cls = MD.lexical_classify(reps.select("_h", *k, "text"), catalogue, key_col="_h", threshold=threshold,
-                              tenant_col=tenant)
+    reps = h.join(uniq.withColumnRenamed("_rep", "doc_id"), [*k, "_h", "doc_id"], "left_semi").drop("doc_id")
+    cls = MD.lexical_classify(reps, catalogue, key_col="_h", threshold=threshold, tenant_col=tenant, **tok)
     # the model-stage result is materialised once (reliable checkpoint in the
     # shared folder): it is reused several times downstream and must never
     # be recomputed
@@ -43,13 +48,20 @@ def classify_unique(docs: DataFrame, catalogue: DataFrame, threshold=None) -> Da
 
 def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
     """K1: gate → classify (unique contents) → threshold → resolve (matched
-    type or Others) → extract → typed key. One row per upload."""
+    type or Others) → extract → typed key. One row per upload. The texts
+    are read once: their features (hash, catalogue tokens, quality, label
+    lines) are materialised and every later step works on those."""
     g = G.file_gate(uploads)
-    ok = g.filter(F.col("gate_error").isNull())
-    cls = classify_unique(ok, catalogue, threshold)
-    routed = MD.ocr_route(ok.select("doc_id", "text", "mime")).select("doc_id", "route", "ocr_confidence")
+    ok = g.filter(F.col("gate_error").isNull()).select("doc_id", "user_id", "mime", "text")
+    feats = cut_lineage(MD.text_features(ok, catalogue))
+    cls = classify_unique(feats, catalogue, threshold)
+    routed = feats.select("doc_id", F.when(F.col("quality_ok"), "standard")
+                          .when(F.col("mime") == "application/pdf", "standard_low_quality").otherwise("vision")
+                          .alias("route"))
+    routed = routed.withColumn("ocr_confidence", F.when(F.col("route") == "vision", F.lit(MD.OCR_CONFIDENCE_VISION))
+                               .otherwise(F.lit(MD.OCR_CONFIDENCE_STANDARD)))
     matched = cls.filter(~F.col("is_others")).select("doc_id", F.col("best_type_id").alias("type_id"))
-    lines = MD.label_lines(ok)  # one pass over the texts serves both branches
+    lines = MD.label_lines(feats, lines_col="_lines")  # one line table serves both branches
     ext = MD.label_value_extract(None, matched, catalogue, lines=lines)
     pop_m = ext.groupBy("doc_id").agg(F.count("value").alias("populated"))
     others_lines = lines.join(cls.filter(F.col("is_others")).select("doc_id"), "doc_id", "left_semi")
