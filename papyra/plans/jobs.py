@@ -126,12 +126,13 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     Returns (documents, report)."""
     files = uploads.select("doc_id", "user_id", batch_col, "filename", "size_bytes", "mime", "text")
     gated = G.batch_gate(files, batch_col=batch_col)
-    kept = gated.filter(F.col("file_kept")).drop("file_error", "n_files", "n_valid", "batch_error",
-                                                 "batch_accepted", "file_kept")
-    d = dedup_by_content(kept.withColumn("content_hash", F.concat_ws(":", F.col(batch_col).cast("string"),
-                                                                     content_hash("text"))),
+    kept = gated.filter(F.col("file_kept")).select("doc_id", "user_id", batch_col, "text")
+    # one pass over the sample texts; everything after works on their features
+    kept = kept.withColumn("_usable", F.col("text").isNotNull() & (F.length("text") > 0))
+    feats = cut_lineage(MD.text_features(kept, catalogue))
+    d = dedup_by_content(feats.withColumn("content_hash", F.concat_ws(":", F.col(batch_col).cast("string"), "_h")),
                          hash_col="content_hash", order_col="doc_id")
-    d = G.usable_text(d.filter(F.col("kept")).drop("kept"))
+    d = d.filter(F.col("kept") & F.col("_usable")).drop("kept", "_usable", "content_hash")
     cls = classify_unique(d, catalogue, threshold)
     d = d.join(cls, "doc_id")
     d = d.withColumn("inferred_name", F.when(~F.col("is_others"), F.col("best_type_name"))
@@ -142,9 +143,9 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     cat_names = catalogue.select(*ck, "type_name", F.col("type_id").alias("existing_type_id")).distinct()
     d = (d.join(cat_names if ck else F.broadcast(cat_names), [*ck, "type_name"], "left")
          .withColumn("is_new", F.col("existing_type_id").isNull()))
-    d = cut_lineage(d)
+    d = cut_lineage(d)  # reused by every branch below
     # fields: catalogue schema for existing types, consolidated key fields for new ones
-    lines = MD.label_lines(d.select("doc_id", "text"))
+    lines = MD.label_lines(d, lines_col="_lines")
     kf = (lines.join(d.select("doc_id", "user_id", batch_col, "type_name", "is_new"), "doc_id")
           .filter(F.col("is_new")).select("doc_id", "user_id", batch_col, "type_name", _field_name("label_key").alias("name"),
                                           guess_type("raw_value").alias("type"), F.col("raw_value").alias("value"))
@@ -155,9 +156,9 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     dn = d.filter(F.col("is_new")).withColumn("group", F.concat_ws("|", F.col(batch_col).cast("string"), "type_name"))
     conf_new = MD.conform_fields(dn.select("doc_id", "group"), new_schema, kf.select("doc_id", "name", "value"),
                                  type_col="group")
-    de = d.filter(~F.col("is_new")).select("doc_id", F.col("existing_type_id").alias("type_id"), "text")
-    conf_old = MD.label_value_extract(de, de.select("doc_id", "type_id"),
-                                      catalogue.select("type_id", "name", "label", "type", "position"))
+    de = d.filter(~F.col("is_new")).select("doc_id", F.col("existing_type_id").alias("type_id"))
+    conf_old = MD.label_value_extract(None, de, catalogue.select("type_id", "name", "label", "type", "position"),
+                                      lines=lines)
     pop = (conf_new.groupBy("doc_id").agg(F.count("value").alias("populated"), F.count(F.lit(1)).alias("n_fields"))
            .unionByName(conf_old.groupBy("doc_id").agg(F.count("value").alias("populated"),
                                                       F.count(F.lit(1)).alias("n_fields"))))
