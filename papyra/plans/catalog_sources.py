@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..session import cut_lineage
 from ..operators import model as MD
 from ..operators import stats as S
 from ..sources import catalogue as CAT
@@ -88,9 +89,10 @@ SELECT doc_id, type_name, max(CASE WHEN field = 'cliente' THEN value END) AS cli
 FROM conf GROUP BY doc_id, type_name""")
 def q_export_fields(fx):
     """Conformed documents as a wide table, one column per field."""
-    schema = S.consolidate_schema(fx.v_fields)
+    # the schema is at most 30 fields per type: materialised once, it gives
+    # the (bounded) column list of the pivot and drives the conform step
+    schema = cut_lineage(S.consolidate_schema(fx.v_fields))
     conformed = MD.conform_fields(None, schema, fx.v_fields)
-    # the schema is at most 30 fields per type: a bounded list for the pivot
     names = sorted({r["name"] for r in schema.select("name").distinct().collect()})
     return TB.export_fields(conformed, names)
 
