@@ -30,7 +30,7 @@ def strict_parse_json(text) -> Column:
     return F.try_variant_get(wrapped, "$[0]", "variant")
 
 
-def clean_model_json(text, mode: str = "reference") -> Column:
+def clean_model_json(text, mode: str = "safe") -> Column:
     """H1 text stage: strip code fences, keep the greedy ``{...}`` span, drop
     commas before ``}``/``]``, then strip comments. Null when no object.
 
@@ -49,9 +49,10 @@ def clean_model_json(text, mode: str = "reference") -> Column:
     return span
 
 
-def parse_model_json(text, mode: str = "reference") -> Column:
+def parse_model_json(text, mode: str = "safe") -> Column:
     """H1: VARIANT of the repaired reply, null when it cannot be parsed.
-    In ``safe`` mode a plain parse is tried first."""
+    ``safe`` (default) tries a plain parse first and keeps ``//`` inside
+    values; ``reference`` runs the original clean-up chain only."""
     cleaned = strict_parse_json(clean_model_json(text, mode))
     if mode == "safe":
         return F.coalesce(strict_parse_json(_c(text)), cleaned)

@@ -29,7 +29,7 @@ SELECT id, coalesce(json_valid(j), false) AS parsed_ok,
 FROM k""")
 def q_parse_model_json(fx):
     """H1: model replies with fences, prose, trailing commas, dicts, no JSON."""
-    v = J.parse_model_json("response")
+    v = J.parse_model_json("response", mode="reference")
     r = fx.v_responses.select("id", v.alias("v"))
     return r.select("id", F.col("v").isNotNull().alias("parsed_ok"),
                     J.vget("v", "$.inferred_type").alias("inferred_type"),

@@ -24,8 +24,8 @@ def test_parse_model_json_edges(spark):
             ("{\"a\": 1} and {\"b\": 2}",),                          # two objects: greedy span fails
             ("```json\n{\"a\": [1, 2,],}\n```",),                    # fence + trailing commas
             ("",), (None,)]
-    ref = _one(spark, rows, "t string", F.to_json(J.parse_model_json("t")))
-    safe = _one(spark, rows, "t string", F.to_json(J.parse_model_json("t", mode="safe")))
+    ref = _one(spark, rows, "t string", F.to_json(J.parse_model_json("t", mode="reference")))
+    safe = _one(spark, rows, "t string", F.to_json(J.parse_model_json("t")))
     assert ref[0] is None  # '//' stripping breaks the URL, as in the original
     assert safe[0] == '{"a":1,"url":"http://x.y/z"}'
     assert ref[1] == '{"a":{"b":{"c":2}}}'
