@@ -53,7 +53,7 @@ def q_repair_python_dict(fx):
 
 @query("json_summary", "SELECT id, json_extract_string(extracted_data, '$.summary') AS summary FROM v_documents")
 def q_json_summary(fx):
-    """H4."""
+    """H4: the stored extraction's summary."""
     return fx.v_documents.select("id", J.json_summary("extracted_data").alias("summary"))
 
 
@@ -90,7 +90,7 @@ NORM_TYPE_SQL = """CASE WHEN lower(trim(type)) IN ('number','integer','float','c
 
 @query("normalize_field_type", f"SELECT doc_id, name, type, {NORM_TYPE_SQL} AS normalized FROM v_fields")
 def q_normalize_field_type(fx):
-    """H8."""
+    """H8: field type synonyms normalised."""
     return fx.v_fields.select("doc_id", "name", "type", H.normalize_field_type("type").alias("normalized"))
 
 
@@ -158,7 +158,7 @@ def q_text_quality(fx):
 SELECT event_id, {TOK_SQL.format(c='input_chars')} AS input_tokens, {TOK_SQL.format(c='output_chars')} AS output_tokens,
   round({STAGE_COST_SQL}, 9) AS cost_usd FROM v_stage_metrics""")
 def q_stage_cost(fx):
-    """H14."""
+    """Token estimates and stage cost of every pipeline stage."""
     s = fx.v_stage_metrics
     return s.select("event_id", H.token_estimate("input_chars").alias("input_tokens"),
                     H.token_estimate("output_chars").alias("output_tokens"),
@@ -168,7 +168,7 @@ def q_stage_cost(fx):
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def q_content_hash(fx):
-    """H15."""
+    """Hex SHA-256 of every document text."""
     return fx.documents.select("doc_id", X.content_hash("text").alias("content_hash"))
 
 
@@ -193,7 +193,7 @@ SELECT s.user_id, CAST(CASE WHEN pl.lim IS NULL OR pl.lim <= 0 THEN 0
   ELSE floor(s.docs_used_this_period / pl.lim * 100 + 0.5) END AS BIGINT) AS usage_percent
 FROM v_subscriptions s LEFT JOIN pl ON s.plan = pl.plan""")
 def q_usage_percent(fx):
-    """H25."""
+    """Plan usage percent (unlimited or no limit → 0)."""
     from ..schemas import plan_limits_df
     j = M.plan_limits_join(fx.v_subscriptions, plan_limits_df(fx.spark))
     return j.select("user_id", H.usage_percent("docs_used_this_period", "docs_per_month").alias("usage_percent"))
@@ -268,7 +268,7 @@ SELECT event_id, CASE WHEN contains(m, 'No se pudo extraer texto') OR contains(m
   WHEN contains(m, 'Gemini') OR contains(m, 'Failed to parse') OR contains(m, 'generateContent') THEN 'model' ELSE 'other' END AS category
 FROM (SELECT event_id, {ERR_MSG_SQL} AS m FROM events)""")
 def q_failure_category(fx):
-    """H33."""
+    """Failure category (ocr / model / other) from the error message."""
     return _call_log(fx).select("event_id", R.failure_category("message").alias("category"))
 
 
@@ -278,7 +278,7 @@ SELECT event_id, status IN (429, 500, 502, 503) OR contains(lower(m), 'econnrese
   OR contains(lower(m), 'rate limit') OR contains(lower(m), 'quota') AS retryable
 FROM (SELECT event_id, {ERR_MSG_SQL} AS m, {ERR_STATUS_SQL} AS status FROM events)""")
 def q_is_retryable(fx):
-    """H34."""
+    """Retryable calls by status code or message phrase."""
     return _call_log(fx).select("event_id", R.is_retryable("status", "message").alias("retryable"))
 
 
@@ -286,7 +286,7 @@ def q_is_retryable(fx):
 SELECT doc_id, CAST(CAST(confidence AS DECIMAL(5,2)) AS DOUBLE) AS confidence_score,
   printf('%.1f%%', CAST(confidence AS DOUBLE) * 100) AS confidence_text FROM v_classified""")
 def q_round_confidence(fx):
-    """H36."""
+    """Confidence as decimal(5,2) and as percent text."""
     c = fx.v_classified
     return c.select("doc_id", H.round_confidence("confidence").cast("double").alias("confidence_score"),
                     H.confidence_percent_text("confidence").alias("confidence_text"))

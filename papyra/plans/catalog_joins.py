@@ -15,7 +15,7 @@ from .registry import query
 SELECT d.id, d.user_id, d.document_type_id, t.name AS document_type_name
 FROM v_documents d LEFT JOIN v_document_types t ON d.document_type_id = t.id""")
 def q_docs_with_type(fx):
-    """C1."""
+    """Documents with their type name (left join)."""
     return M.docs_with_type(fx.v_documents.select("id", "user_id", "document_type_id"), fx.v_document_types)
 
 
@@ -57,7 +57,7 @@ WITH {_best_sql(False)}
 SELECT i.id, i.user_id, i.classified_name, b.match_type_id, b.match_type_name, b.match_kind
 FROM items i LEFT JOIN best b ON i.id = b.id""")
 def q_match_type_exact(fx):
-    """C2."""
+    """Exact type match on lower(trim(name)) within the tenant."""
     it = _items(fx).select("id", "user_id", "classified_name")
     return M.match_type_exact(it, fx.v_document_types)
 
@@ -67,7 +67,7 @@ WITH {_best_sql(True)}
 SELECT i.id, i.user_id, i.classified_name, b.match_type_id, b.match_type_name, b.match_kind
 FROM items i LEFT JOIN best b ON i.id = b.id""")
 def q_match_type_partial(fx):
-    """C3."""
+    """Exact, else partial (contains either way) type match; lowest id first."""
     it = _items(fx).select("id", "user_id", "classified_name")
     return M.match_type_partial(it, fx.v_document_types)
 
@@ -81,7 +81,7 @@ SELECT i.id, i.user_id, i.classified_name, i.is_others,
   i.is_others OR b.match_type_id IS NULL AS resolved_is_others
 FROM items i LEFT JOIN best b ON i.id = b.id""")
 def q_resolve_type(fx):
-    """C4."""
+    """C4: route each document: Others flag, exact, partial or Others fallback."""
     it = _items(fx).select("id", "user_id", "classified_name", "is_others")
     return M.resolve_type(it, fx.v_document_types)
 
@@ -104,7 +104,7 @@ t AS (SELECT user_id AS u, lower(trim(name)) AS nn, min(id) AS type_id FROM v_do
 SELECT n.user_id, n.inferred_name, t.type_id, t.type_id IS NULL AS is_new
 FROM n LEFT JOIN t ON n.user_id = t.u AND lower(trim(n.inferred_name)) = t.nn""")
 def q_existing_or_new(fx):
-    """C6."""
+    """Inferred names per tenant joined to the catalogue, with is_new."""
     return M.existing_or_new_types(fx.v_documents, fx.v_document_types)
 
 
@@ -170,7 +170,7 @@ def q_resolve_assignments(fx):
 SELECT s.user_id, s.plan, pl.docs_per_month, pl.doc_types_max, pl.max_file_size_mb, pl.batch_infer_max, pl.price
 FROM v_subscriptions s LEFT JOIN {PLAN_VALUES_SQL} ON s.plan = pl.plan""")
 def q_plan_limits_join(fx):
-    """C11."""
+    """C11: subscriptions with their plan limits and price."""
     s = fx.v_subscriptions.select("user_id", "plan")
     return M.plan_limits_join(s, plan_limits_df(fx.spark))
 
@@ -194,7 +194,7 @@ FROM v_document_types t LEFT JOIN c ON t.id = c.tid
 UNION ALL
 SELECT u, NULL, NULL, n FROM c WHERE tid IS NULL""")
 def q_types_with_counts(fx):
-    """C13."""
+    """Every type with its document count; untyped documents apart."""
     return M.types_with_counts(fx.v_document_types, fx.v_documents)
 
 

@@ -45,14 +45,14 @@ SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed')
   count(*) FILTER (WHERE status = 'pending_confirmation') AS pending
 FROM v_documents GROUP BY user_id""")
 def q_status_stats(fx):
-    """D2."""
+    """Document counts by status per tenant."""
     return S.status_stats(fx.v_documents)
 
 
 @query("docs_per_type", """
 SELECT user_id, document_type_id, count(*) AS doc_count FROM v_documents GROUP BY 1, 2""")
 def q_docs_per_type(fx):
-    """D3."""
+    """D3: documents per (tenant, type), the null type kept."""
     return S.docs_per_type(fx.v_documents)
 
 
@@ -138,7 +138,7 @@ SELECT id, coalesce(len(list_filter(from_json(coalesce(json_extract(extracted_da
   json_extract(extracted_data, '$.key_fields')), '[{"value":"VARCHAR"}]'), lambda x: x.value IS NOT NULL AND x.value <> '')), 0) = 0 AS low_confidence
 FROM v_documents""")
 def q_populated_fields(fx):
-    """D9."""
+    """Populated (non-null, non-empty) fields per document; low confidence at 0."""
     return S.populated_fields(fx.v_documents.select("id", "extracted_data")).drop("extracted_data")
 
 
@@ -150,7 +150,7 @@ SELECT run_id, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIG
   NOT bool_or(stage = 'ocr') AS cache_hit
 FROM s GROUP BY run_id""")
 def q_run_metrics(fx):
-    """D10."""
+    """Per run wall time, cost, ordered stages and OCR cache hit."""
     return S.run_metrics(stages_with_cost(fx))
 
 
@@ -167,7 +167,7 @@ WITH u AS ({USAGE_SQL})
 SELECT user_id, docs_used_this_period AS stored, docs_in_period AS recounted,
   docs_used_this_period <> docs_in_period AS mismatch, docs_in_period AS corrected FROM u""")
 def q_usage_mismatch(fx):
-    """D11."""
+    """Stored usage counter against the recount, and the fix."""
     u = M.usage_in_period(fx.v_subscriptions, fx.v_documents)
     return S.usage_mismatch(u)
 
@@ -177,7 +177,7 @@ SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed')
   CASE WHEN count(*) > 0 THEN floor(count(*) FILTER (WHERE status = 'completed') / count(*) * 1000 + 0.5) / 10 ELSE 0 END AS success_rate
 FROM v_documents GROUP BY user_id""")
 def q_success_rate(fx):
-    """D12."""
+    """Completed share per tenant, one decimal, half up."""
     s = S.status_stats(fx.v_documents).select("user_id", "total", "completed")
     return s.withColumn("success_rate", S.success_rate("completed", "total"))
 
@@ -192,7 +192,7 @@ SELECT user_id, round(CAST(sum({EST_SQL}) AS DOUBLE), 3) AS est_bytes,
   round(least(CAST(sum({EST_SQL}) AS DOUBLE) / 5368709120 * 100, 100.0), 6) AS percent
 FROM v_documents GROUP BY user_id""")
 def q_storage_usage(fx):
-    """D13."""
+    """Estimated storage per tenant and percent of the 5 GiB quota."""
     return S.storage_usage(fx.v_documents)
 
 
@@ -201,7 +201,7 @@ SELECT s.plan, count(*) AS subscribers, CAST(sum(pl.price) AS BIGINT) AS mrr
 FROM v_subscriptions s LEFT JOIN {PLAN_VALUES_SQL} ON s.plan = pl.plan
 WHERE s.active GROUP BY ROLLUP (s.plan)""")
 def q_mrr_by_plan(fx):
-    """D14."""
+    """Active subscribers and monthly revenue per plan, with the total."""
     return S.mrr_by_plan(fx.v_subscriptions, plan_limits_df(fx.spark))
 
 
@@ -227,7 +227,7 @@ d AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT run_id) AS documents,
   round(coalesce(sum(cost_usd) FILTER (WHERE provider IS NULL), 0.0), 9) AS other_cost FROM s GROUP BY 1)
 SELECT *, round(ocr_cost + model_cost + other_cost, 9) AS total_cost FROM d""")
 def q_cost_by_provider_day(fx):
-    """D16."""
+    """Per day documents and cost by provider."""
     return S.cost_by_provider_day(stages_with_cost(fx))
 
 
@@ -236,7 +236,7 @@ SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed')
   count(*) FILTER (WHERE status = 'pending_confirmation') AS pending, count(*) FILTER (WHERE status = 'error') AS errors
 FROM v_documents GROUP BY user_id""")
 def q_batch_summary(fx):
-    """D19."""
+    """Batch totals: processed, pending and errors per tenant."""
     return S.batch_summary(fx.v_documents)
 
 
@@ -247,7 +247,7 @@ SELECT s.user_id, s.plan, s.docs_used_this_period, pl.docs_per_month, coalesce(t
   pl.doc_types_max <> -1 AND coalesce(tc.type_count, 0) >= pl.doc_types_max AS type_denied
 FROM v_subscriptions s LEFT JOIN {PLAN_VALUES_SQL} ON s.plan = pl.plan LEFT JOIN tc ON s.user_id = tc.user_id""")
 def q_quota_check(fx):
-    """D21."""
+    """Document and type quota verdicts per user."""
     sl = M.plan_limits_join(fx.v_subscriptions, plan_limits_df(fx.spark))
     tc = fx.v_document_types.groupBy("user_id").agg(F.count(F.lit(1)).alias("type_count"))
     return S.quota_check(sl, tc)
@@ -290,7 +290,7 @@ def q_new_types_this_month(fx):
 @query("distinct_type_names", """
 SELECT DISTINCT user_id, inferred_type FROM v_documents WHERE status <> 'error'""")
 def q_distinct_type_names(fx):
-    """D24."""
+    """Distinct inferred type names per tenant, error rows excluded."""
     return fx.v_documents.filter(F.col("status") != "error").select("user_id", "inferred_type").distinct()
 
 
@@ -313,5 +313,5 @@ SELECT d.user_id, count(*) AS documents, count(*) FILTER (WHERE status = 'comple
   count(DISTINCT t.name) AS types_in_use, arg_max(d.filename, (d.created_at, d.id)) AS newest_filename
 FROM v_documents d LEFT JOIN v_document_types t ON d.document_type_id = t.id GROUP BY d.user_id""")
 def q_chat_counts(fx):
-    """D26."""
+    """The chat's suggested questions per tenant."""
     return S.chat_counts(M.docs_with_type(fx.v_documents, fx.v_document_types))
