@@ -24,7 +24,8 @@ def q_model_stage(fx):
     """A batch function over unique prompts (Arrow batches), failures
     isolated per row, answers joined back to every document."""
     rows = fx.documents.select("doc_id", truncate_marked("text", 3000, "...(truncated)").alias("prompt"))
-    return MD.model_stage(rows, _length_model, partitions=8).select("doc_id", "response", "error")
+    parallelism = int(fx.spark.conf.get("spark.sql.shuffle.partitions"))
+    return MD.model_stage(rows, _length_model, partitions=parallelism).select("doc_id", "response", "error")
 
 
 def _length_model(text: str) -> str:
