@@ -41,18 +41,19 @@ def q_audit_extracted(fx):
 WITH base AS (SELECT id, user_id, status, document_type_id, created_at AS updated_at, 0 AS src FROM v_documents),
 ch AS (SELECT id, user_id, 'completed' AS status, document_type_id, created_at + INTERVAL 1 DAY AS updated_at, 1 AS src
        FROM v_documents WHERE status = 'queued'
-       UNION ALL SELECT id + 100000000, user_id, 'queued', CAST(NULL AS BIGINT), created_at, 1 FROM v_documents WHERE id % 10 = 0),
+       UNION ALL SELECT id + 100000000, user_id, 'queued', CAST(NULL AS BIGINT), created_at, 1 FROM v_documents WHERE status = 'error'),
 u AS (SELECT * FROM base UNION ALL SELECT * FROM ch)
 SELECT id, user_id, status, document_type_id, updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, src DESC) AS rn FROM u) WHERE rn = 1""")
 def q_upsert_documents(fx):
-    """A4: processed queue rows replace theirs; new uploads insert."""
+    """A4: processed queue rows replace theirs; failed documents uploaded
+    again arrive as new rows and insert."""
     d = fx.v_documents
     base = d.select("id", "user_id", "status", "document_type_id", F.col("created_at").alias("updated_at"))
     done = d.filter(F.col("status") == "queued").select(
         "id", "user_id", F.lit("completed").alias("status"), "document_type_id",
         (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("updated_at"))
-    new = d.filter(F.col("id") % 10 == 0).select(
+    new = d.filter(F.col("status") == "error").select(
         (F.col("id") + 100000000).alias("id"), "user_id", F.lit("queued").alias("status"),
         F.lit(None).cast("bigint").alias("document_type_id"), F.col("created_at").alias("updated_at"))
     return TB.upsert_documents(base, done.unionByName(new))

@@ -135,7 +135,7 @@ def q_chunk_items(fx):
 
 
 @query("roll_period", f"""
-WITH s AS (SELECT * FROM v_subscriptions WHERE user_id % 7 <> 0),
+WITH s AS (SELECT * FROM v_subscriptions WHERE plan <> 'free'),
 j AS (SELECT c.c_custkey AS user_id, s.plan, s.docs_used_this_period, s.period_start, s.period_end
       FROM customer c LEFT JOIN s ON c.c_custkey = s.user_id),
 k AS (SELECT *, plan IS NULL AS missing,
@@ -147,8 +147,9 @@ SELECT user_id, coalesce(plan, 'free') AS plan,
   CASE WHEN missing THEN 'created' WHEN expired THEN 'reset' ELSE 'unchanged' END AS action
 FROM k""")
 def q_roll_period(fx):
-    """Users without a subscription get a free one; expired periods restart."""
+    """Free users have no subscription row yet and get one; expired
+    periods restart."""
     users = fx.customer.select(F.col("c_custkey").alias("user_id"))
-    subs = fx.v_subscriptions.filter(F.col("user_id") % 7 != 0).select(
+    subs = fx.v_subscriptions.filter(F.col("plan") != "free").select(
         "user_id", "plan", "docs_used_this_period", "period_start", "period_end")
     return W.roll_period(users, subs, ASOF_ORDERS)
