@@ -183,15 +183,19 @@ class Fixtures:
 
 
 # Text tables whose per-row work (tokenising, regexes, hashing whole texts)
-# dominates: read hash-partitioned by their id so that work spreads over all
-# cores even when a file holds one huge row group, and later joins and
-# aggregations on the id reuse the partitioning. Stored bucketed by the id
-# (``bucketBy``) the same layout comes without this shuffle.
+# dominates. When the scan yields fewer input splits than the session's
+# parallelism (a small table, or one file holding one huge row group) the
+# rows are hash-partitioned by their id so that work spreads over all cores,
+# and later joins and aggregations on the id reuse the partitioning. A large
+# table already arrives in many splits and is left alone (stored bucketed by
+# the id, it also needs no shuffle for those joins).
 TEXT_TABLES = {"documents": "doc_id"}
 
 
 def text_partitioned(df: DataFrame, key: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= n:
+        return df
     return df.repartition(n, key)
 
 
