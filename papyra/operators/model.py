@@ -96,8 +96,10 @@ def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key
 
     With ``tenant_col`` every document is scored only against its own
     tenant's catalogue (an equi-join on (tenant, token)); without it the
-    catalogue is shared, tiny and broadcast, and only the tokens it knows
-    leave the document row. A document is never paired with a type it
+    catalogue is shared and only the tokens it knows leave the document row
+    (its vocabulary, a scalar subquery, is bounded by the distinct words of
+    field labels). No side is broadcast by hint: AQE picks the join from
+    the measured sizes. A document is never paired with a type it
     shares no token with. ``token_col`` takes tokens computed earlier (see
     ``text_features``) instead of the text."""
     k = [tenant_col] if tenant_col else []
@@ -108,7 +110,6 @@ def lexical_classify(docs: DataFrame, catalogue: DataFrame, text_col="text", key
     if not tenant_col:
         # the vocabulary is a scalar subquery (a few dozen words)
         toks = F.array_intersect(toks, var.agg(F.collect_set("token")).scalar())
-        var, n_fields, names = F.broadcast(var), F.broadcast(n_fields), F.broadcast(names)
     dt = docs.select(key_col, *k, F.explode(toks).alias("token"))
     hits = dt.join(var, [*k, "token"])
     found = (hits.groupBy(key_col, *k, "type_id", "field", "variant", "n_tokens").agg(F.count(F.lit(1)).alias("_m"))

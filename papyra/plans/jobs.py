@@ -141,7 +141,7 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     mapping = MD.homologate_names(d.select("user_id", F.col("inferred_name").alias("name")), "name", ["user_id"])
     d = M.apply_canonical(d, mapping, "inferred_name", keys=["user_id"]).withColumnRenamed("canonical_name", "type_name")
     cat_names = catalogue.select(*ck, "type_name", F.col("type_id").alias("existing_type_id")).distinct()
-    d = (d.join(cat_names if ck else F.broadcast(cat_names), [*ck, "type_name"], "left")
+    d = (d.join(cat_names, [*ck, "type_name"], "left")
          .withColumn("is_new", F.col("existing_type_id").isNull()))
     d = cut_lineage(d)  # reused by every branch below
     # fields: catalogue schema for existing types, consolidated key fields for new ones
