@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, sharding
+from . import bpe, lines, repetition, sharding, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                public_tokenizers.PATTERN, with_ids=False)
+
+
+def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(documents(spark, sf_dir))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_index(spark, path).drop("file")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return done.select("doc_id", "n_lines", "n_dropped",
@@ -23,7 +38,8 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir), n_shards=16, seed=42)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_line_dedup, op8_shuffle_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_bpe, op2_repetition_quality, op5_token_files, op7_line_dedup, op8_shuffle_shards)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
