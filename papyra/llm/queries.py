@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, repetition, sharding, token_files
+from . import bpe, lines, repetition, sharding, simhash, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle_words=4, max_bits=4)
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.token_index(spark, path).drop("file")
@@ -39,7 +44,7 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe, op2_repetition_quality, op5_token_files, op7_line_dedup, op8_shuffle_shards)}
+    op1_bpe, op2_repetition_quality, op3_simhash, op5_token_files, op7_line_dedup, op8_shuffle_shards)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
