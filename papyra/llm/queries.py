@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, repetition, sharding, simhash, token_files
+from . import bpe, lines, repetition, sharding, simhash, token_files, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,15 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir), n_shards=16, seed=42)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe, op2_repetition_quality, op3_simhash, op5_token_files, op7_line_dedup, op8_shuffle_shards)}
+    op1_bpe, op2_repetition_quality, op3_simhash, op5_token_files, op7_line_dedup, op8_shuffle_shards,
+    op9_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
