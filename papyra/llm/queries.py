@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, repetition, sharding, simhash, token_files, toxicity
+from . import bpe, decontaminate, lines, pseudonyms, repetition, sharding, simhash, token_files, toxicity
 from .common import documents
 
+# The registered query's key is fixed so that its result can be checked; a
+# production run passes its own secret.
+PSEUDONYM_KEY = "registered-query"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,11 +32,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.drop("text_hash")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.token_index(spark, path).drop("file")
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key=PSEUDONYM_KEY)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return done.select("doc_id", "n_lines", "n_dropped",
@@ -50,7 +64,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_bpe, op2_repetition_quality, op3_simhash, op5_token_files, op7_line_dedup, op8_shuffle_shards,
+    op1_bpe, op2_repetition_quality, op3_simhash, op4_decontaminate,
+    op5_token_files, op6_pseudonyms, op7_line_dedup, op8_shuffle_shards,
     op9_toxicity)}
 
 ORACLES: dict[str, str] = {

@@ -94,9 +94,16 @@ class Scorer:
                     -self.model.drift)
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words and the maximal segments. A positive word scores
+        where it comes first and nothing where it is repeated: repeats are no
+        further evidence."""
         words = WORD.findall(text.lower())
         drift = -self.model.drift
-        marked = [(i, s) for i, s in enumerate(map(self.of.__getitem__, words)) if s != drift]
+        marked, met = [], set()
+        for i, s in enumerate(map(self.of.__getitem__, words)):
+            if s != drift:
+                marked.append((i, s if s <= 0 or words[i] not in met else 0.0))
+                met.add(words[i])
         return len(words), segments(marked, self.model.drift)
 
     def surprise(self, n_words: int, score: float) -> float:
@@ -145,8 +152,8 @@ def word_scores(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prio
     return {f: s for f, s in scores.items() if s > 0 or any(p in hot for p in features(f.rstrip("*")) if p != f)}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_docs: int = 3, prior: float = 8.0,
-          drift: float = 1.5, significance: float = 0.01, seed: int = 7) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_docs: int = 3, prior: float = 16.0,
+          drift: float = 1.0, significance: float = 0.01, seed: int = 7) -> ToxicityModel:
     """Fit on labelled rows that are not held out.
 
     A bounded sample: where there are more than ``sample_rows`` such labels,
@@ -155,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     Two thirds of the sample give word counts (documents that hold a word, so
     one long text counts once; features of fewer than ``min_docs`` are left
     out), the rest fits the extreme-value law and the final weights on texts
-    whose words were not counted. What reaches the driver is bounded by the
+    whose words were not counted; the model then takes the counts of all. What reaches the driver is bounded by the
     sample. Labels other than 0 and 1 and null ids are not used; labels that
     repeat an id count as 1 if one is 1. With no labels, or of one kind only,
     every text scores the neutral 0.5.
@@ -174,27 +181,35 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
-                held[y].update(found)
-                held[y][""] += 1
-            for y, c in held.items():
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()),
-                                                      pa.array(list(c.values()), pa.int64())], ["feature", "y", "n"])
-
-    counted = (sample.filter("_fold > 0").select("text", "_y").mapInArrow(count, "feature string, y int, n long")
-               .groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"),
-                                       F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
-               .filter((F.col("n1") + F.col("n0") >= min_docs) | (F.col("feature") == "")))
-    table = counted.toPandas()
-    counts = dict(zip(table["feature"], zip(table["n1"].tolist(), table["n0"].tolist(), strict=True), strict=True))
-    toxic, clean = counts.pop("", (0, 0))
+            held: dict[tuple[int, bool], Counter] = {}
+            for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = held.setdefault((y, fold > 0), Counter())
+                c.update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
+                c[""] += 1
+            for (y, counted), c in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()),
+                     pa.array([counted] * len(c), pa.bool_()), pa.array(list(c.values()), pa.int64())],
+                    ["feature", "y", "counted", "n"])
+
+    def total(y: int, counted: bool) -> Column:
+        return F.sum(F.when((F.col("y") == y) & (F.col("counted") | F.lit(not counted)), F.col("n")).otherwise(0))
+
+    table = (sample.select("text", "_y", "_fold").mapInArrow(count, "feature string, y int, counted boolean, n long")
+             .groupBy("feature").agg(total(1, True).alias("c1"), total(0, True).alias("c0"),
+                                     total(1, False).alias("a1"), total(0, False).alias("a0"))
+             .filter((F.col("a1") + F.col("a0") >= min_docs) | (F.col("feature") == ""))).toPandas()
+
+    def scored(n1: str, n0: str) -> dict[str, float] | None:
+        counts = dict(zip(table["feature"], zip(table[n1].tolist(), table[n0].tolist(), strict=True), strict=True))
+        toxic, clean = counts.pop("", (0, 0))
+        counts = {f: c for f, c in counts.items() if sum(c) >= min_docs}
+        return word_scores(counts, toxic, clean, prior, drift) if toxic and clean else None
+
     neutral = ToxicityModel({}, drift, 0.0, 1.0, significance, (0.0, 0.0, 0.0))
-    if not toxic or not clean:
+    scores = scored("c1", "c0")
+    if scores is None:
         return neutral
-    scores = word_scores(counts, toxic, clean, prior, drift)
     draft = ToxicityModel(scores, drift, 0.0, 1.0, significance, (0.0, 0.0, 0.0))
     sent = spark.sparkContext.broadcast(draft)
 
@@ -220,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     for size, found in zip(sizes.tolist(), rest["found"], strict=True):
         s = [judge.surprise(size, v) for v in found]
         x.append((1.0, math.log1p(max(s, default=0.0)), math.log1p(sum(v for v in s if v >= least))))
-    return ToxicityModel(scores, drift, location, scale, significance, logistic(np.array(x), y))
+    return ToxicityModel(scored("a1", "a0") or scores, drift, location, scale, significance, logistic(np.array(x), y))
 
 
 def gumbel(best: np.ndarray, log_words: np.ndarray) -> tuple[float, float]:
