@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, pseudonyms, repetition, sharding, simhash, token_files, toxicity
+from . import bpe, decontaminate, lines, pseudonyms, repetition, sharding, simhash, substrings, token_files, toxicity
 from .common import documents
 
 # The registered query's key is fixed so that its result can be checked; a
@@ -63,10 +63,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), length=200, with_text=False)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_bpe, op2_repetition_quality, op3_simhash, op4_decontaminate,
     op5_token_files, op6_pseudonyms, op7_line_dedup, op8_shuffle_shards,
-    op9_toxicity)}
+    op9_toxicity, op10_substrings)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
