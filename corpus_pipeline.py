@@ -1,4 +1,4 @@
-"""Corpus pipeline: documents to training-ready token digests.
+"""Corpus pipeline: documents to token ids.
 
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs,
 sf_dir), works on every row its predecessor kept and returns a DataFrame. All
@@ -7,19 +7,47 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import lines
+from papyra.llm import bpe, decontaminate, lines, simhash, toxicity
 from papyra.llm.common import documents, stored
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose passages score as toxic go (score of 0.7 or more)."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject_toxic(docs, model, threshold=0.7)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go; every document stays."""
+    """Lines of 40 characters or more found in 5 documents or more stay in one
+    of them; every document stays."""
     return lines.clean_documents(docs, min_chars=40, min_docs=5)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs, shingle_words=4, max_bits=4)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of the ids and of the bytes
+    decoded from them."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
     ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", drop_leaks),
+    ("byte_level_bpe", encode),
 ]
 
 # Learned scores, connected components and merges are beyond SQL.
