@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +47,20 @@ def pin_session(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``. In local mode, where one
+    machine is the cluster, an unset folder falls back to a fresh scratch
+    folder; anywhere else that is an error, since executors and a restarted
+    driver would not find what is written there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         path = tempfile.mkdtemp(prefix="papyra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    current = spark.sparkContext.getCheckpointDir()
+    if not current or not current.removeprefix("file:").startswith(path.removeprefix("file://").removeprefix("file:")):
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 

@@ -3,6 +3,7 @@ folder; tenant scoping edge cases."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators import gates as G
@@ -27,3 +28,18 @@ def test_tenant_scope_edges(spark, fx):
     one = d.filter(F.col("user_id") == 7).select("id").first().id
     assert G.document_by_id(d, fx.v_document_types, one, "7").count() == 1
     assert G.document_by_id(d, fx.v_document_types, one, "8").count() == 0
+
+
+def test_no_scratch_folder_off_local_mode():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
