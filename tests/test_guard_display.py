@@ -37,6 +37,46 @@ def test_guarded_select_sees_only_the_tenant(spark, fx):
     assert guarded_select(spark, sql, "", fx.v_documents, fx.v_document_types).count() == 0
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT filename FROM v_documents WHERE user_id = $1",
+    "SELECT * FROM parquet.`/tmp/x` WHERE 1 = $1",
+    "SELECT * FROM parquet.tmp WHERE 1 = $1",
+    "SELECT * FROM spark_catalog.default.v_documents WHERE 1 = $1",
+    "SELECT * FROM my_documents WHERE user_id = $1 AND id IN (SELECT id FROM v_documents)",
+    "SELECT (SELECT max(id) FROM v_documents) FROM my_documents WHERE user_id = $1",
+    "SELECT * FROM (WITH c AS (SELECT * FROM v_documents) SELECT * FROM c) z WHERE user_id = $1",
+    "SELECT * FROM (WITH v_documents AS (SELECT * FROM my_documents) SELECT 1) z, v_documents WHERE user_id = $1",
+    "SELECT * FROM my_documents d JOIN documents x ON d.id = x.doc_id WHERE user_id = $1",
+    "SELECT 1 FROM my_documents WHERE user_id = $1 UNION ALL SELECT id FROM v_documents",
+    "SELECT * FROM IDENTIFIER('v_' || 'documents') WHERE user_id = $1",
+    "SELECT * FROM range(5) WHERE id = $1",
+    "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM my_documents WHERE user_id = $1",
+])
+def test_guard_refuses_every_other_relation(spark, fx, sql):
+    with pytest.raises(GuardError):
+        guarded_select(spark, sql, 7, fx.v_documents, fx.v_document_types)
+
+
+def test_guard_allows_own_expressions(spark, fx):
+    sql = "SELECT * FROM (WITH c AS (SELECT id, user_id FROM my_documents) SELECT count(*) AS n FROM c WHERE user_id = $1) z"
+    n = guarded_select(spark, sql, 7, fx.v_documents, fx.v_document_types).first().n
+    assert n == fx.v_documents.filter("user_id = 7").count()
+    before = set(t.name for t in spark.catalog.listTables())
+    guarded_select(spark, sql, 7, fx.v_documents, fx.v_document_types, max_rows=1)
+    assert set(t.name for t in spark.catalog.listTables()) == before
+
+
+def test_two_tenants_at_once(spark, fx):
+    from concurrent.futures import ThreadPoolExecutor
+    sql = "SELECT DISTINCT user_id FROM my_documents WHERE user_id = $1 OR true"
+
+    def run(tenant):
+        return tenant, [r.user_id for r in guarded_select(spark, sql, tenant, fx.v_documents, fx.v_document_types).collect()]
+
+    with ThreadPoolExecutor(4) as pool:
+        assert all(rows in ([], [t]) for t, rows in pool.map(run, [7, 8, 10, 11] * 2))
+
+
 def _eval(spark, rows, schema, expr):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr.alias("x")).collect()]
 
