@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import ASOF_EVENTS
 from ..streaming import flows as ST
+from . import jobs as K
+from .catalog_jobs import k1_cte
 from .registry import query
 
 STATUS_SQL = """CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'signup' THEN 'completed'
@@ -43,14 +45,13 @@ def q_stream_dedup(fx):
     return ST.stream_dedup(r).select("content_hash")
 
 
-@query("process_queue", """
-SELECT id, user_id, CASE WHEN regexp_matches(filename, '\\.[A-Za-z0-9]+$') THEN 'completed' ELSE 'error' END AS status,
-  CASE WHEN ends_with(lower(filename), '.pdf') THEN 'application/pdf' ELSE 'image/jpeg' END AS mime
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rank FROM v_documents WHERE status = 'queued')
-WHERE rank <= 20""")
+@query("process_queue", f"""WITH {k1_cte()}
+SELECT doc_id, user_id, status, gate_error, document_type_name, typed_key FROM k1""")
 def q_process_queue(fx):
-    """I4: a micro-batch of the queue: ≤ 20 per tenant, failures per row."""
-    return ST.process_queue_batch(fx.v_documents.select("id", "user_id", "filename", "status", "created_at"))
+    """I4: every queued upload through K1, failures per row."""
+    queue = K.uploads_from_documents(fx.v_labeled_documents).withColumn("status", F.lit("queued"))
+    done = ST.process_queue_batch(queue, lambda q: K.process_documents(q, fx.v_type_catalogue))
+    return done.select("doc_id", "user_id", "status", "gate_error", "document_type_name", "typed_key")
 
 
 @query("usage_by_period", f"""

@@ -11,15 +11,14 @@ audit) ``applyInPandasWithState`` keeps it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import inbox_key, mime_from_name
-from ..operators.listing import take_queued
+from ..functions.text import inbox_key
 
 # Document status carried by each kind of logged event.
 EVENT_STATUS = {"click": "queued", "view": "processing", "signup": "completed",
@@ -77,23 +76,19 @@ def stream_dedup(items: DataFrame, key="content_hash", delay: str = "24 hours")
 
 # ---------------------------------------------------------------- I4
 
-def process_queue_batch(batch: DataFrame, per_tenant: int = 20) -> DataFrame:
-    """I4 per micro-batch: at most ``per_tenant`` queued documents per
-    tenant are processed; a row whose processing fails is set to error
-    (here: a file name without an extension cannot be typed) and never
-    fails the batch."""
-    q = take_queued(batch, per_tenant)
-    has_ext = F.col("filename").rlike(r"\.[A-Za-z0-9]+$")
-    return q.select("id", "user_id", F.when(has_ext, "completed").otherwise("error").alias("status"),
-                    mime_from_name("filename").alias("mime"))
+def process_queue_batch(batch: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """I4 per micro-batch: every queued upload goes through ``process`` (K1
+    with its catalogue); a row that fails is an error row there and never
+    fails the batch. A micro-batch is bounded by the source's trigger options,
+    not by leaving rows out: what the stream has consumed is processed."""
+    return process(batch.filter(F.col("status") == "queued").drop("status"))
 
 
-def queue_sink(table_path: str, per_tenant: int = 20):
-    """I4 ``foreachBatch`` writer: each micro-batch of queued rows is
-    processed (≤ ``per_tenant`` per tenant) and its results land in the
+def queue_sink(table_path: str, process: Callable[[DataFrame], DataFrame]):
+    """I4 ``foreachBatch`` writer: the results of each micro-batch land in the
     epoch's own folder, so a retried epoch is written once."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        process_queue_batch(batch, per_tenant).write.mode("overwrite").parquet(f"{table_path}/epoch={epoch_id}")
+        process_queue_batch(batch, process).write.mode("overwrite").parquet(f"{table_path}/epoch={epoch_id}")
     return write
 
 
@@ -209,33 +204,45 @@ def job_state(events: DataFrame, asof: str) -> DataFrame:
                     F.coalesce(now_us - done_us > JOB_TTL_US, F.lit(False)).alias("expired"))
 
 
+JOB_FIELDS = ("w_step", "w_progress", "w_message", "w_status", "w_completed_at")
+# the fields, then the event (time, id) that wrote each of them
 JOB_STATE_SCHEMA = ("step string, progress int, message string, status string, completed_at timestamp, "
-                    "last_ts timestamp, last_id bigint")
+                    + ", ".join(f"ts{i} timestamp, id{i} bigint" for i in range(len(JOB_FIELDS))))
 JOB_OUT_SCHEMA = ("job_id bigint, step string, progress int, message string, status string, "
                   "completed_at timestamp, expired boolean")
+# The state of a job before its first event.
+JOB_START = ("queued", 0, "En cola...", "processing", None)
 
 
 def _job_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (job_id,) = key
+    n = len(JOB_FIELDS)
     if state.hasTimedOut:
         st = state.get
         state.remove()
-        yield pd.DataFrame([{"job_id": job_id, "step": st[0], "progress": st[1], "message": st[2], "status": st[3],
-                             "completed_at": st[4], "expired": True}])
+        yield _job_row(job_id, st, True)
         return
-    st = list(state.get) if state.exists else ["queued", 0, "En cola...", "processing", None, None, None]
+    st = list(state.get) if state.exists else [*JOB_START, *[None] * (2 * n)]
     rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for r in rows.itertuples(index=False):
-        for i, c in enumerate(("w_step", "w_progress", "w_message", "w_status", "w_completed_at")):
-            v = getattr(r, c)
-            if v is not None and not (isinstance(v, float) and pd.isna(v)) and v is not pd.NaT:
-                st[i] = int(v) if c == "w_progress" else v
-        st[5], st[6] = r.ts, r.event_id
+    for i, c in enumerate(JOB_FIELDS):
+        wrote = rows[rows[c].notna()]
+        if not len(wrote):
+            continue
+        last = wrote.iloc[-1]
+        ts, event_id = last["ts"], int(last["event_id"])
+        if st[n + 2 * i] is None or (ts, event_id) > (pd.Timestamp(st[n + 2 * i]), st[n + 2 * i + 1]):
+            st[i] = int(last[c]) if c == "w_progress" else last[c]
+            st[n + 2 * i], st[n + 2 * i + 1] = ts, event_id
     state.update(tuple(st))
     if st[4] is not None:
-        state.setTimeoutTimestamp(int(pd.Timestamp(st[4]).timestamp() * 1000) + JOB_TTL_US // 1000)
-    yield pd.DataFrame([{"job_id": job_id, "step": st[0], "progress": st[1], "message": st[2], "status": st[3],
-                         "completed_at": st[4], "expired": False}])
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(st[4]).timestamp() * 1000) + JOB_TTL_US // 1000,
+                                      state.getCurrentWatermarkMs() + 1))
+    yield _job_row(job_id, st, False)
+
+
+def _job_row(job_id, st, expired: bool) -> pd.DataFrame:
+    return pd.DataFrame([{"job_id": job_id, "step": st[0], "progress": st[1], "message": st[2], "status": st[3],
+                          "completed_at": st[4], "expired": expired}])
 
 
 def job_state_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:

@@ -1,12 +1,14 @@
 """Streaming flows run to completion (availableNow) over files equal their
 batch forms."""
 
+import datetime as dt
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from papyra.plans import jobs as K
 from papyra.sources.fixtures import ASOF_EVENTS
 from papyra.streaming import flows as ST
 from papyra.streaming import runners as RN
@@ -132,14 +134,44 @@ def test_inbox_stream_upserts(spark, fx):
     assert os.path.isdir(table)
 
 
-def test_process_queue_stream(spark, fx):
-    d = fx.v_documents.select("id", "user_id", "filename", "status", "created_at")
-    src = _source(spark, d, order="created_at")
+def test_process_queue_stream_loses_nothing(spark, fx):
+    """25 queued uploads of one tenant over three micro-batches, all through K1."""
+    up = K.uploads_from_documents(fx.v_labeled_documents).filter("doc_id < 25").withColumn("user_id", F.lit(1).cast("bigint"))
+    queue = up.withColumn("status", F.lit("queued"))
+    src = _source(spark, queue, n_files=3, order="doc_id")
     table = tempfile.mkdtemp(prefix="papyra-queue-")
-    stream = RN.read_stream(spark, src, like=d)  # one micro-batch: the whole queue
-    RN.start(stream, _name("queue_test"), foreach_batch=ST.queue_sink(table)).awaitTermination()
-    cols = ["id", "user_id", "status", "mime"]
-    assert _rows(spark.read.parquet(table).drop("epoch"), cols) == _rows(ST.process_queue_batch(d), cols)
+
+    def process(q):
+        return K.process_documents(q, fx.v_type_catalogue)
+
+    stream = RN.read_stream(spark, src, like=queue, max_files_per_trigger=1)
+    RN.start(stream, _name("queue_test"), foreach_batch=ST.queue_sink(table, process)).awaitTermination()
+    got = spark.read.parquet(table)
+    assert got.select("epoch").distinct().count() == 3
+    cols = ["doc_id", "user_id", "status", "document_type_name", "typed_key"]
+    assert sorted(map(repr, _rows(got, cols[:3]))) == sorted(map(repr, _rows(process(up), cols[:3])))
+    assert got.count() == 25
+
+
+def test_late_job_events_do_not_overwrite_newer_state(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, 5, base + dt.timedelta(minutes=m), stage, dur) for m, stage, dur in
+            ((20, "classify", 90), (10, "ocr", 20), (30, "extract", 60), (5, "upload", 15))]
+    files = [spark.createDataFrame([(i, *r[1:])], "event_id bigint, run_id bigint, ts timestamp_ntz, stage string, duration_ms bigint")
+             for i, r in enumerate(rows)]
+    path = tempfile.mkdtemp(prefix="papyra-src-")
+    for i, f in enumerate(files):
+        f.coalesce(1).write.mode("append").parquet(path)
+    for i, name in enumerate(sorted((f for f in os.listdir(path) if f.endswith(".parquet")),
+                                    key=lambda f: os.path.getmtime(os.path.join(path, f)))):
+        os.utime(os.path.join(path, name), (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    events = spark.read.parquet(path)
+    stream = ST.job_state_stream(RN.read_stream(spark, path, like=events, max_files_per_trigger=1), watermark="2 hours")
+    out = tempfile.mkdtemp(prefix="papyra-out-")
+    RN.start(stream, _name("late_job_test"), output_mode="update", foreach_batch=RN.snapshot_writer(out)).awaitTermination()
+    got = RN.latest_by_key(spark, out, ["job_id"]).collect()
+    batch = ST.job_state(events, "2024-01-01 01:00:00").collect()
+    assert [(r.job_id, r.step, r.progress, r.message) for r in got] == [(r.job_id, r.step, r.progress, r.message) for r in batch]
 
 
 def test_call_rate_stream(spark, fx):
