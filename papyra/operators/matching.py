@@ -29,25 +29,26 @@ def best_type_match(items: DataFrame, types: DataFrame, name_col: str = "classif
     the item's name; else (``partial``) the first type (lowest id) whose
     name contains the item's name or is contained in it.
 
-    Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
+    An empty name matches nothing. Partial matching compares the distinct
+    names of a tenant's items, not the items, and only those without an exact
+    match. Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
     ``match_kind`` ('exact' | 'partial' | null)."""
     t = types.select(F.col(user_col).alias("_tu"), F.col("id").alias("_tid"),
                      F.col("name").alias("_tname"), norm_name("name").alias("_tn"))
-    it = items.select(F.col(key).alias("_k"), F.col(user_col).alias("_u"),
-                      norm_name(name_col).alias("_cn"))
-    exact = F.col("_tn") == F.col("_cn")
-    cond = F.col("_u") == F.col("_tu")
+    t = t.filter(F.col("_tn") != "")
+    names = items.select(F.col(user_col).alias("_u"), norm_name(name_col).alias("_cn")).filter(F.col("_cn") != "").distinct()
+    first = F.min(F.struct(F.col("_tid").alias("tid"), F.col("_tname").alias("tname")))
+    exact = t.groupBy(F.col("_tu").alias("_u"), F.col("_tn").alias("_cn")).agg(first.alias("_m"))
+    best = names.join(exact, ["_u", "_cn"]).withColumn("_kind", F.lit("exact"))
     if partial:
-        cond = cond & (exact | F.col("_tn").contains(F.col("_cn")) | F.col("_cn").contains(F.col("_tn")))
-    else:
-        cond = cond & exact
-    cand = it.join(t, cond, "inner")
-    best = cand.groupBy("_k").agg(F.min(F.struct(
-        F.when(exact, 0).otherwise(1).alias("rank"), F.col("_tid").alias("tid"),
-        F.col("_tname").alias("tname"))).alias("_m"))
-    best = best.select("_k", F.col("_m.tid").alias("match_type_id"), F.col("_m.tname").alias("match_type_name"),
-                       F.when(F.col("_m.rank") == 0, "exact").otherwise("partial").alias("match_kind"))
-    return items.join(best, items[key] == best["_k"], "left").drop("_k")
+        rest = names.join(exact, ["_u", "_cn"], "left_anti")
+        within = F.col("_tn").contains(F.col("_cn")) | F.col("_cn").contains(F.col("_tn"))
+        near = rest.join(t, (F.col("_u") == F.col("_tu")) & within).groupBy("_u", "_cn").agg(first.alias("_m"))
+        best = best.unionByName(near.withColumn("_kind", F.lit("partial")))
+    best = best.select(F.col("_u").alias("_best_u"), F.col("_cn").alias("_best_name"), F.col("_m.tid").alias("match_type_id"),
+                       F.col("_m.tname").alias("match_type_name"), F.col("_kind").alias("match_kind"))
+    return items.join(best, (items[user_col] == best["_best_u"]) & (norm_name(items[name_col]) == best["_best_name"]),
+                      "left").drop("_best_u", "_best_name")
 
 
 def match_type_exact(items: DataFrame, types: DataFrame, name_col="classified_name", key="id") -> DataFrame:

@@ -142,7 +142,7 @@ def text_features(docs: DataFrame, catalogue: DataFrame | None = None, text_col=
 # --------------------------------------------------------------------- J3
 
 # (?d): only "\n" ends a line, as in the other engines
-LABEL_LINE = r"(?md)^([^:\n]{1,80}):[ \t]*([^\n]*)$"
+LABEL_LINE = r"(?md)^([^:\n]+):[ \t]*([^\n]*)$"
 
 
 def label_line_array(text) -> Column:
@@ -157,9 +157,9 @@ def label_lines(docs: DataFrame, text_col="text", key_col="doc_id", lines_col: s
     takes the line array computed earlier instead of the text."""
     arr = F.col(lines_col) if lines_col else label_line_array(text_col)
     x = docs.select(key_col, F.posexplode(arr).alias("line_no", "line"))
-    # split the (short) matched line at its first ':'
-    label = F.regexp_extract("line", r"^([^:\n]{1,80}):", 1)
-    value = F.regexp_extract("line", r"^[^:\n]{1,80}:[ \t]*(.*)$", 1)
+    # split the matched line at its first ':'
+    label = F.regexp_extract("line", r"^([^:\n]+):", 1)
+    value = F.regexp_extract("line", r"^[^:\n]+:[ \t]*(.*)$", 1)
     return x.select(key_col, "line_no", F.lower(F.trim(label)).alias("label_key"), F.trim(value).alias("raw_value"))
 
 
@@ -167,21 +167,26 @@ DMY_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 
 def convert_value(raw, ftype) -> Column:
-    """dates → YYYY-MM-DD (d/m/y or ISO), numbers → digits with '.' decimal
-    (',' is the decimal mark when present), booleans, else the text. Each
-    branch runs its regexes once per value."""
+    """dates → YYYY-MM-DD (d/m/y or ISO), numbers → their digits with '.' as
+    the decimal mark, as many as the text has, booleans, else the text.
+
+    The last separator of a number is its decimal mark if it comes once; other
+    separators group digits (1,234.56 and 1.234,56 are 1234.56; 1.234.567 is
+    1234567; 1,5 is 1.5). What is then no number is null."""
     r = F.col(raw) if isinstance(raw, str) else raw
     t = F.col(ftype) if isinstance(ftype, str) else ftype
     parts = F.split(r, "/")
     dmy = F.concat_ws("-", F.get(parts, 2), F.lpad(F.get(parts, 1), 2, "0"), F.lpad(F.get(parts, 0), 2, "0"))
     date_txt = F.when(r.rlike(DMY_RE), dmy).otherwise(F.regexp_extract(r, r"^(\d{4}-\d{2}-\d{2})", 1))
     cleaned = F.regexp_replace(r, r"[^0-9,.\-]", "")
-    num = F.when(F.instr(cleaned, ",") > 0, F.translate(F.regexp_replace(cleaned, r"\.", ""), ",", "."))\
-        .otherwise(cleaned)
+    num = (F.when(cleaned.rlike("^[^,]*,[^,]*$") & cleaned.rlike(",[^.]*$"), F.translate(cleaned, ",.", "."))
+           .when(cleaned.rlike("^[^.]*[.][^.]*$") & cleaned.rlike("[.][^,]*$"), F.replace(cleaned, F.lit(","), F.lit("")))
+           .when(cleaned.contains(",") & cleaned.contains("."), F.lit(""))
+           .otherwise(F.translate(cleaned, ",.", "")))
     low = F.lower(r)
     return (F.when(r.isNull() | (r == ""), F.lit(None))
             .when(t == "date", date_txt.try_cast("date").cast("string"))
-            .when(t == "number", num.try_cast("decimal(38,2)").cast("string"))
+            .when(t == "number", F.nullif(F.regexp_extract(num, "^-?[0-9]+([.][0-9]+)?$", 0), F.lit("")))
             .when(t == "boolean", F.when(low.isin("si", "sí", "true", "yes", "1"), "true")
                   .when(low.isin("no", "false", "0"), "false"))
             .otherwise(r))

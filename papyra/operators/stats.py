@@ -118,11 +118,13 @@ def populated_fields(docs: DataFrame, json_col="extracted_data") -> DataFrame:
 
 
 def run_metrics(stages: DataFrame) -> DataFrame:
-    """Per run the wall time (first start to last start), cost (null
-    as 0), ordered stage list and whether OCR was skipped (cache hit)."""
+    """Per run the wall time (first start to the end of the stage that
+    ends last), cost (null as 0), ordered stage list and whether OCR was
+    skipped (cache hit). A run is a handful of stages."""
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    end_us = ts_us + F.coalesce(F.col("duration_ms"), F.lit(0)) * 1000
     return stages.groupBy("run_id").agg(
-        F.floor((F.max(ts_us) - F.min(ts_us)) / 1000).cast("bigint").alias("total_duration_ms"),
+        F.floor((F.max(end_us) - F.min(ts_us)) / 1000).cast("bigint").alias("total_duration_ms"),
         F.round(F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))), 9).alias("total_cost_usd"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "stage"))),
                                  lambda s: s.getField("stage")), ",").alias("stages"),
@@ -192,22 +194,23 @@ def rate_text(num, den, decimals=1, suffix="%") -> Column:
                                     F.lit(suffix))).otherwise(F.lit("N/A"))
 
 
-def cache_hit_rate(flags: DataFrame, group_cols=()) -> DataFrame:
-    """Hits, misses, cache size (distinct anchored entries), hit rate
-    one decimal or 'N/A'."""
-    out = flags.groupBy(*group_cols).agg(_cnt(F.col("cache_hit")).alias("hits"),
-                                         _cnt(~F.col("cache_hit")).alias("misses"))
-    return out.withColumn("size", F.col("misses")).withColumn(
-        "hit_rate", rate_text(F.col("hits"), F.col("hits") + F.col("misses")))
+def repeat_rate(flags: DataFrame, group_cols=()) -> DataFrame:
+    """Repeated and first requests, and the share of repeats to one
+    decimal or 'N/A'."""
+    out = flags.groupBy(*group_cols).agg(_cnt(F.col("repeated")).alias("repeats"),
+                                         _cnt(~F.col("repeated")).alias("first_requests"))
+    return out.withColumn("repeat_rate", rate_text(F.col("repeats"), F.col("repeats") + F.col("first_requests")))
 
 
-def wait_stats(calls: DataFrame, group_cols=("provider",)) -> DataFrame:
-    """Acquires, total wait and average wait ('N/A' without acquires)."""
-    out = calls.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("acquires"),
-                                         F.sum("wait_ms").cast("bigint").alias("total_wait_ms"))
-    avg = F.when(F.col("acquires") > 0, F.concat(
-        F.format_string("%.0f", F.col("total_wait_ms") / F.col("acquires")), F.lit("ms"))).otherwise("N/A")
-    return out.withColumn("avg_wait", avg)
+def call_spacing(calls: DataFrame, group_cols=("provider",)) -> DataFrame:
+    """D18, on the audited log: calls, calls closer than the provider's
+    spacing, by how many milliseconds in all and on average ('N/A' without
+    calls)."""
+    out = calls.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("calls"), _cnt(F.col("delay_breach")).alias("too_close"),
+                                         F.sum("wait_ms").cast("bigint").alias("short_ms"))
+    avg = F.when(F.col("calls") > 0, F.concat(
+        F.format_string("%.0f", F.col("short_ms") / F.col("calls")), F.lit("ms"))).otherwise("N/A")
+    return out.withColumn("avg_short", avg)
 
 
 def batch_summary(results: DataFrame, group_cols=("user_id",)) -> DataFrame:

@@ -1,11 +1,7 @@
 """Window-style operators (E1-E7), written so no single key lands in one task.
 
-* E1 keeps the first upload per content hash with a ``min`` aggregate and a
-  semi-join on (hash, id) rather than a window over the hash.
-* E2 (24 h anchored cache) is an exact iteration of ``min`` aggregates: each
-  round fixes the next anchor of every hash at once. Rounds are bounded by
-  the number of days the data spans, not by its size; lineage is cut with a
-  reliable checkpoint every few rounds.
+* E1 and E2 find the first row per content hash with a ``min`` aggregate and
+  one equi-join rather than a window over the hash.
 * E3 (trailing 60 s) partitions by (provider, minute) and adds the previous
   minute's calls shifted by 60 s, so a window never spans a whole provider.
 """
@@ -15,119 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 
 def dedup_by_content(docs: DataFrame, hash_col="content_hash", order_col="doc_id") -> DataFrame:
     """``kept`` marks the first upload (lowest ``order_col``) of each
-    content hash; the others are the skipped duplicates."""
-    first = docs.groupBy(hash_col).agg(F.min(order_col).alias(order_col))
-    kept = docs.join(first, [hash_col, order_col], "left_semi").withColumn("kept", F.lit(True))
-    skipped = docs.join(first, [hash_col, order_col], "left_anti").withColumn("kept", F.lit(False))
-    return kept.unionByName(skipped)
-
-
-CACHE_TTL_US = 24 * 3600 * 1_000_000
-
-
-def _successor(pts: DataFrame, ttl_us: int, bucket_us: int) -> DataFrame:
-    """next(p) = first point of the same key at or after p + ttl, for every
-    point, as a bucketed as-of: inside the (key, bucket) of p + ttl by a
-    running min over a window; otherwise the first point of the next
-    non-empty bucket, looked up on the per-key table of busy buckets (its
-    size is bounded by the time span, not by the data)."""
-    data = pts.select("_k", F.floor(F.col("_t") / bucket_us).alias("_b"), F.col("_t").alias("_x"),
-                      F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_src"))
-    q = pts.select("_k", F.floor((F.col("_t") + ttl_us) / bucket_us).alias("_b"), (F.col("_t") + ttl_us).alias("_x"),
-                   F.lit(0).alias("_kind"), F.col("_t").alias("_src"))
-    # descending order, queries after data at the same instant: the running
-    # min over rows so far is the first data point >= the query
-    w = (Window.partitionBy("_k", "_b").orderBy(F.col("_x").desc(), F.col("_kind").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = data.unionByName(q).withColumn("_in", F.min(F.when(F.col("_kind") == 1, F.col("_x"))).over(w))
-    inb = u.filter(F.col("_kind") == 0).select("_k", "_b", F.col("_src").alias("_t"), "_in")
-    firsts = data.groupBy("_k", "_b").agg(F.min("_x").alias("_first"))
-    qb = inb.select("_k", "_b").distinct()
-    bt = (firsts.select("_k", "_b", "_first", F.lit(1).alias("_kind"))
-          .unionByName(qb.select("_k", "_b", F.lit(None).cast("bigint").alias("_first"), F.lit(0).alias("_kind"))))
-    # buckets strictly after the query's: within a bucket the query row
-    # comes before its data row
-    wb = (Window.partitionBy("_k").orderBy(F.col("_b").desc(), F.col("_kind").asc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    later = (bt.withColumn("_later", F.min(F.when(F.col("_kind") == 1, F.col("_first"))).over(wb))
-             .filter(F.col("_kind") == 0).select("_k", "_b", "_later"))
-    nxt = inb.join(later, ["_k", "_b"], "left")
-    return nxt.select("_k", "_t", F.coalesce("_in", "_later").alias("_n"))
-
-
-def cache_hits(requests: DataFrame, key_col="content_hash", ts_col="ts", id_col="event_id",
-               ttl_us: int = CACHE_TTL_US, bucket_us: int = 60 * 1_000_000) -> DataFrame:
-    """A request hits when its key was stored less than ``ttl`` before;
-    the entry time is set at a miss and not refreshed by hits.
-
-    Anchors per key: a1 = first request, a(k+1) = next(a(k)) where next(p) is
-    the first request at or after p + ttl. ``next`` comes from a bucketed
-    as-of (no window over a whole key); the anchors are the orbit of a1,
-    found by pointer doubling: jump tables next^(2^j) (one equi-join per
-    level, log2 of the longest chain), then the orbit is widened level by
-    level from the top. Work O(N log D); every level is checkpointed. A
-    request is a miss iff it is an anchor (the first request at that instant)."""
-    spark = requests.sparkSession
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    pts = cut_lineage(requests.select(F.col(key_col).alias("_k"), us.alias("_t")).distinct())
-    levels = [cut_lineage(_successor(pts, ttl_us, bucket_us).filter(F.col("_n").isNotNull()))]
-    while not levels[-1].isEmpty():
-        j = levels[-1]
-        nxt = (j.alias("a").join(j.alias("b"), (F.col("a._k") == F.col("b._k")) & (F.col("a._n") == F.col("b._t")))
-               .select(F.col("a._k").alias("_k"), F.col("a._t").alias("_t"), F.col("b._n").alias("_n")))
-        levels.append(cut_lineage(nxt))
-    orbit = pts.groupBy("_k").agg(F.min("_t").alias("_t"))
-    for j in reversed(levels[:-1]):
-        jumped = orbit.join(j, ["_k", "_t"]).select("_k", F.col("_n").alias("_t"))
-        orbit = cut_lineage(orbit.unionByName(jumped).distinct())
-    anchors = orbit.select("_k", F.col("_t").alias("_a"))
-    req = requests.withColumn("_t", us)
-    w_first = req.groupBy(F.col(key_col).alias("_k2"), F.col("_t").alias("_t2")).agg(F.min(id_col).alias("_first_id"))
-    out = req.join(anchors, (req[key_col] == anchors["_k"]) & (req["_t"] == anchors["_a"]), "left")
-    out = out.join(w_first, (out[key_col] == w_first["_k2"]) & (out["_t"] == w_first["_t2"]), "left")
-    miss = F.col("_a").isNotNull() & (F.col(id_col) == F.col("_first_id"))
-    return out.withColumn("cache_hit", ~miss).drop("_k", "_a", "_k2", "_t2", "_first_id", "_t")
-
-
-
-
-def cache_hits_iterative(requests: DataFrame, key_col="content_hash", ts_col="ts", id_col="event_id",
-               ttl_us: int = CACHE_TTL_US, checkpoint_every: int = 4) -> DataFrame:
-    """E2, reference form (kept to cross-check ``cache_hits``): one
-    aggregate round per ``ttl`` of time spanned.
-
-    Anchors per key: a1 = first request, a(k+1) = first request at or after
-    a(k) + ttl. Every round takes ``min(ts)`` of the still-uncovered
-    requests per key (partial aggregation) and covers everything before
-    anchor + ttl. A request is a miss iff its timestamp is an anchor (the
-    first request at that instant; later ones at the same instant hit)."""
-    spark = requests.sparkSession
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    pts = cut_lineage(requests.select(F.col(key_col).alias("_k"), us.alias("_t")).distinct())
-    # anchors are >= ttl apart, so no key has more than span/ttl + 1 of them:
-    # that bounds the rounds without probing for emptiness every round
-    span = pts.agg((F.max("_t") - F.min("_t")).alias("s")).first()["s"]
-    rounds = 0 if span is None else int(span // ttl_us) + 1
-    anchors = spark.createDataFrame([], "_k string, _a bigint")
-    remaining = pts
-    for rnd in range(rounds):
-        a = remaining.groupBy("_k").agg(F.min("_t").alias("_a"))
-        anchors = anchors.unionByName(a)
-        remaining = remaining.join(a, "_k").filter(F.col("_t") >= F.col("_a") + F.lit(ttl_us)).drop("_a")
-        if rnd % checkpoint_every == checkpoint_every - 1:
-            remaining = cut_lineage(remaining)
-            anchors = cut_lineage(anchors)
-    req = requests.withColumn("_t", us)
-    w_first = req.groupBy(F.col(key_col).alias("_k2"), F.col("_t").alias("_t2")).agg(F.min(id_col).alias("_first_id"))
-    out = req.join(anchors, (req[key_col] == anchors["_k"]) & (req["_t"] == anchors["_a"]), "left")
-    out = out.join(w_first, (out[key_col] == w_first["_k2"]) & (out["_t"] == w_first["_t2"]), "left")
-    miss = F.col("_a").isNotNull() & (F.col(id_col) == F.col("_first_id"))
-    return out.withColumn("cache_hit", ~miss).drop("_k", "_a", "_k2", "_t2", "_first_id", "_t")
+    content hash; the others are the skipped duplicates. A row without a hash
+    repeats nothing and is kept (the usable-text gate judges it). One partial
+    aggregate and one equi-join."""
+    first = docs.groupBy(F.col(hash_col).alias("_first_hash")).agg(F.min(order_col).alias("_first"))
+    joined = docs.join(first, docs[hash_col] == F.col("_first_hash"), "left")
+    kept = F.col(hash_col).isNull() | F.col(order_col).eqNullSafe(F.col("_first"))
+    return joined.withColumn("kept", kept).drop("_first_hash", "_first")
+
+
+def repeat_requests(requests: DataFrame, key_col="content_hash", ts_col="ts", id_col="event_id") -> DataFrame:
+    """E2, on the log as it is: ``repeated`` marks every request whose content
+    was asked for before (first by time, then id), with the milliseconds since
+    that first request. What a content-keyed store can save is what repeats;
+    no store is imitated. One partial aggregate per content and one equi-join."""
+    first = requests.groupBy(F.col(key_col).alias("_k")).agg(
+        F.min(F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id"))).alias("_first"))
+    joined = requests.join(first, requests[key_col].eqNullSafe(F.col("_k")))
+    since = F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.col("_first.ts").cast("timestamp"))
+    return (joined.withColumn("repeated", F.col(id_col) != F.col("_first.id"))
+            .withColumn("since_first_ms", F.floor(since / 1000).cast("bigint")).drop("_k", "_first"))
 
 
 # Rate limits per provider (calls per minute, minimum spacing in ms).

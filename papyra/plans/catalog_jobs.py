@@ -131,8 +131,8 @@ catn AS (SELECT DISTINCT type_id AS existing_type_id, type_name FROM v_type_cata
 d3 AS (SELECT d2.*, catn.existing_type_id, catn.existing_type_id IS NULL AS is_new FROM d2 LEFT JOIN catn USING (type_name)),
 rl3 AS (SELECT doc_id, regexp_extract_all(text, '{LINE_RE}', 0) AS ls FROM d3),
 ll3 AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM rl3),
-lk3 AS (SELECT doc_id, line_no, lower(trim(regexp_extract(line, '^([^:\n]{{1,80}}):', 1))) AS label_key,
-          trim(regexp_extract(line, '^[^:\n]{{1,80}}:[ \t]*(.*)$', 1)) AS raw_value FROM ll3),
+lk3 AS (SELECT doc_id, line_no, lower(trim(regexp_extract(line, '^([^:\n]+):', 1))) AS label_key,
+          trim(regexp_extract(line, '^[^:\n]+:[ \t]*(.*)$', 1)) AS raw_value FROM ll3),
 kf3 AS (SELECT l.doc_id, concat(CAST(d3.batch_id AS VARCHAR), '|', d3.type_name) AS grp,
           {FIELD_NAME_SQL.format(c='l.label_key')} AS name, {GUESS_SQL.format(c='l.raw_value')} AS type, l.raw_value AS value
         FROM lk3 l JOIN d3 USING (doc_id) WHERE d3.is_new),

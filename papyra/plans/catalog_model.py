@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate_marked
 from ..operators import model as MD
 from ..operators import stats as S
 from .catalog_stats import NORM_TYPE_SQL
@@ -16,14 +15,13 @@ TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p
 
 # ---------------------------------------------------------------- J1
 @query("model_stage", """
-WITH p AS (SELECT doc_id, concat(substr(text, 1, 3000), CASE WHEN length(text) > 3000 THEN '...(truncated)' ELSE '' END) AS prompt
-           FROM documents)
+WITH p AS (SELECT doc_id, text AS prompt FROM documents)
 SELECT doc_id, CASE WHEN length(prompt) >= 100 THEN printf('chars=%d;mod=%d', length(prompt), length(prompt) % 100) END AS response,
   CASE WHEN length(prompt) < 100 THEN 'ValueError: texto insuficiente' END AS error FROM p""")
 def q_model_stage(fx):
     """A batch function over unique prompts (Arrow batches), failures
     isolated per row, answers joined back to every document."""
-    rows = fx.documents.select("doc_id", truncate_marked("text", 3000, "...(truncated)").alias("prompt"))
+    rows = fx.documents.select("doc_id", F.col("text").alias("prompt"))
     parallelism = int(fx.spark.conf.get("spark.sql.shuffle.partitions"))
     return MD.model_stage(rows, _length_model, partitions=parallelism).select("doc_id", "response", "error")
 
@@ -80,19 +78,22 @@ CONVERT_TEMPLATE = r"""CASE WHEN @R IS NULL OR @R = '' THEN NULL
         THEN printf('%s-%s-%s', regexp_extract(@R, '@DMY', 3), lpad(regexp_extract(@R, '@DMY', 2), 2, '0'),
                     lpad(regexp_extract(@R, '@DMY', 1), 2, '0'))
         ELSE regexp_extract(@R, '^(\d{4}-\d{2}-\d{2})', 1) END AS DATE) AS VARCHAR)
-  WHEN @T = 'number' THEN CAST(TRY_CAST(CASE WHEN contains(regexp_replace(@R, '[^0-9,.\-]', '', 'g'), ',')
-        THEN replace(replace(regexp_replace(@R, '[^0-9,.\-]', '', 'g'), '.', ''), ',', '.')
-        ELSE regexp_replace(@R, '[^0-9,.\-]', '', 'g') END AS DECIMAL(38,2)) AS VARCHAR)
+  WHEN @T = 'number' THEN nullif(regexp_extract(CASE
+        WHEN regexp_matches(@C, '^[^,]*,[^,]*$') AND regexp_matches(@C, ',[^.]*$') THEN replace(replace(@C, '.', ''), ',', '.')
+        WHEN regexp_matches(@C, '^[^.]*[.][^.]*$') AND regexp_matches(@C, '[.][^,]*$') THEN replace(@C, ',', '')
+        WHEN contains(@C, ',') AND contains(@C, '.') THEN ''
+        ELSE replace(replace(@C, ',', ''), '.', '') END, '^-?[0-9]+([.][0-9]+)?$', 0), '')
   WHEN @T = 'boolean' THEN CASE WHEN lower(@R) IN ('si', 'sí', 'true', 'yes', '1') THEN 'true'
         WHEN lower(@R) IN ('no', 'false', '0') THEN 'false' END
   ELSE @R END"""
 
 
 def convert_sql(r: str, t: str) -> str:
-    return CONVERT_TEMPLATE.replace("@DMY", DMY).replace("@R", r).replace("@T", t)
+    cleaned = f"regexp_replace({r}, '[^0-9,.\\-]', '', 'g')"
+    return CONVERT_TEMPLATE.replace("@DMY", DMY).replace("@C", cleaned).replace("@R", r).replace("@T", t)
 
 
-LINE_RE = r"(?m)^([^:\n]{1,80}):[ \t]*([^\n]*)$"
+LINE_RE = r"(?m)^([^:\n]+):[ \t]*([^\n]*)$"
 
 
 J3_CTE = f"""

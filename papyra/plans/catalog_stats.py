@@ -144,7 +144,7 @@ def q_populated_fields(fx):
 
 @query("run_metrics", f"""
 WITH s AS ({STAGES_SQL})
-SELECT run_id, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS total_duration_ms,
+SELECT run_id, CAST(floor((max(epoch_us(ts) + coalesce(duration_ms, 0) * 1000) - epoch_us(min(ts))) / 1000) AS BIGINT) AS total_duration_ms,
   round(sum(coalesce(cost_usd, 0.0)), 9) AS total_cost_usd,
   string_agg(stage, ',' ORDER BY ts, event_id) AS stages,
   NOT bool_or(stage = 'ocr') AS cache_hit

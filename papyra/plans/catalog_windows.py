@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..operators import listing as L
 from ..operators import stats as S
 from ..operators import windows as W
 from ..sources.fixtures import ASOF_ORDERS
@@ -23,42 +22,32 @@ def q_dedup_by_content(fx):
     return W.dedup_by_content(d)
 
 
-OCR_REQ_SQL = "SELECT event_id, ts, content_hash FROM v_stage_metrics WHERE stage = 'ocr'"
-CACHE_SQL = f"""
-WITH RECURSIVE p AS (SELECT DISTINCT content_hash AS k, ts FROM ({OCR_REQ_SQL})),
-a(k, anchor) AS (
-  SELECT k, min(ts) FROM p GROUP BY k
-  UNION ALL
-  SELECT a.k, (SELECT min(p.ts) FROM p WHERE p.k = a.k AND p.ts >= a.anchor + INTERVAL 24 HOUR)
-  FROM a WHERE EXISTS (SELECT 1 FROM p WHERE p.k = a.k AND p.ts >= a.anchor + INTERVAL 24 HOUR)),
-r AS ({OCR_REQ_SQL}),
-fi AS (SELECT content_hash, ts, min(event_id) AS first_id FROM r GROUP BY 1, 2),
+REPEAT_SQL = """
+WITH r AS (SELECT event_id, ts, content_hash FROM v_stage_metrics WHERE stage = 'ocr'),
 flags AS (
-  SELECT r.event_id, r.ts, r.content_hash,
-    NOT (a.anchor IS NOT NULL AND r.event_id = fi.first_id) AS cache_hit
-  FROM r LEFT JOIN a ON r.content_hash = a.k AND r.ts = a.anchor
-  JOIN fi ON r.content_hash = fi.content_hash AND r.ts = fi.ts)"""
+  SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY ts, event_id) > 1 AS repeated,
+    CAST(floor((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY content_hash))) / 1000) AS BIGINT) AS since_first_ms
+  FROM r)"""
 
 
-def _cache_flags(fx):
+def _repeats(fx):
     req = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("event_id", "ts", "content_hash")
-    return W.cache_hits(req)
+    return W.repeat_requests(req)
 
 
-@query("cache_hits", f"{CACHE_SQL}\nSELECT event_id, ts, content_hash, cache_hit FROM flags")
-def q_cache_hits(fx):
-    """OCR requests that hit a 24 h entry anchored at the last miss."""
-    return _cache_flags(fx)
+@query("repeat_requests", f"{REPEAT_SQL}\nSELECT event_id, ts, content_hash, repeated, since_first_ms FROM flags")
+def q_repeat_requests(fx):
+    """OCR requests whose content was asked for before."""
+    return _repeats(fx)
 
 
-@query("cache_hit_rate", f"""{CACHE_SQL}
-SELECT count(*) FILTER (WHERE cache_hit) AS hits, count(*) FILTER (WHERE NOT cache_hit) AS misses,
-  count(*) FILTER (WHERE NOT cache_hit) AS size,
-  CASE WHEN count(*) > 0 THEN concat(printf('%.1f', count(*) FILTER (WHERE cache_hit) / count(*) * 100), '%') ELSE 'N/A' END AS hit_rate
+@query("repeat_rate", f"""{REPEAT_SQL}
+SELECT count(*) FILTER (WHERE repeated) AS repeats, count(*) FILTER (WHERE NOT repeated) AS first_requests,
+  CASE WHEN count(*) > 0 THEN concat(printf('%.1f', count(*) FILTER (WHERE repeated) / count(*) * 100), '%') ELSE 'N/A' END AS repeat_rate
 FROM flags""")
-def q_cache_hit_rate(fx):
-    """Hits, misses, entries and hit rate of the OCR cache."""
-    return S.cache_hit_rate(_cache_flags(fx))
+def q_repeat_rate(fx):
+    """Repeated and first OCR requests and the share of repeats."""
+    return S.repeat_rate(_repeats(fx))
 
 
 CALLS_SQL = "SELECT provider, event_id, ts FROM v_stage_metrics WHERE provider IS NOT NULL"
@@ -89,13 +78,13 @@ def q_rate_audit(fx):
     return _audit(fx)
 
 
-@query("wait_stats", f"""{AUDIT_SQL}
-SELECT provider, count(*) AS acquires, CAST(sum(wait_ms) AS BIGINT) AS total_wait_ms,
-  CASE WHEN count(*) > 0 THEN concat(printf('%.0f', sum(wait_ms) / count(*)), 'ms') ELSE 'N/A' END AS avg_wait
+@query("call_spacing", f"""{AUDIT_SQL}
+SELECT provider, count(*) AS calls, count(*) FILTER (WHERE delay_breach) AS too_close, CAST(sum(wait_ms) AS BIGINT) AS short_ms,
+  CASE WHEN count(*) > 0 THEN concat(printf('%.0f', sum(wait_ms) / count(*)), 'ms') ELSE 'N/A' END AS avg_short
 FROM audit GROUP BY provider""")
-def q_wait_stats(fx):
-    """Acquires and spacing waits per provider."""
-    return S.wait_stats(_audit(fx))
+def q_call_spacing(fx):
+    """Calls closer than the provider's spacing, and by how much."""
+    return S.call_spacing(_audit(fx))
 
 
 @query("daily_activity", f"""
@@ -125,12 +114,11 @@ def q_growth(fx):
 
 
 @query("chunk_items", """
-SELECT user_id, id, rank, CAST(floor((rank - 1) / 5) AS BIGINT) AS chunk FROM (
-  SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rank
-  FROM v_documents WHERE status = 'queued') WHERE rank <= 20""")
+SELECT user_id, id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) - 1) / 5) AS BIGINT) AS chunk
+FROM v_documents WHERE status = 'queued'""")
 def q_chunk_items(fx):
-    """The ≤ 20 queued documents per tenant in chunks of 5."""
-    q = L.take_queued(fx.v_documents).select("user_id", "id", "rank", "created_at")
+    """All queued documents of every tenant in chunks of 5."""
+    q = fx.v_documents.filter(F.col("status") == "queued").select("user_id", "id", "created_at")
     return W.chunk_items(q, 5, ["user_id"], (F.col("created_at"), F.col("id"))).drop("created_at")
 
 

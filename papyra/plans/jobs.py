@@ -222,11 +222,12 @@ def resolve_pending(assignments: DataFrame, docs: DataFrame, types: DataFrame) -
 
 def reprocess(table: DataFrame, uploads: DataFrame, ids: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
     """K6: re-run K1 for the chosen documents; a document that still matches
-    no type goes to pending_confirmation; the rows are upserted by id."""
+    no type goes to pending_confirmation; the rows are upserted by id. A
+    chosen document that has no upload keeps its row."""
     again = process_documents(uploads.join(ids, "doc_id", "left_semi"), catalogue, threshold)
     again = again.withColumn("status", F.when((F.col("status") == "completed") & F.col("is_others"),
                                               "pending_confirmation").otherwise(F.col("status")))
-    keep = table.join(ids, "doc_id", "left_anti")
+    keep = table.join(again.select("doc_id"), "doc_id", "left_anti")
     return keep.unionByName(again.select(*table.columns))
 
 

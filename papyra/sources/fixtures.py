@@ -100,32 +100,33 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     # partial), so the lexical baseline and the label extractor have signal.
     "v_labeled_documents": """
 SELECT doc_id, lang, source, concat(text, CASE doc_id % 4
-  WHEN 0 THEN concat(chr(10), 'Numero de Factura: F-', CAST(doc_id AS STRING), chr(10), 'Fecha: ',
+  WHEN 0 THEN concat(chr(10), 'Folio: F-', CAST(doc_id AS STRING), chr(10), 'Emitido el: ',
        CAST(doc_id % 28 + 1 AS STRING), '/', CAST(doc_id % 12 + 1 AS STRING), '/2024', chr(10),
-       'Total: $ ', CAST(doc_id * 37 % 100000 AS STRING), ',50', chr(10), 'Cliente: Cliente ', CAST(doc_id % 50 AS STRING))
-  WHEN 1 THEN concat(chr(10), 'Numero de Orden: OC-', CAST(doc_id AS STRING), chr(10), 'Fecha de Orden: 2024-',
+       'Importe: $ ', CAST(doc_id * 37 % 100000 AS STRING), ',50', chr(10), 'Comprador: Comprador ', CAST(doc_id % 50 AS STRING))
+  WHEN 1 THEN concat(chr(10), 'Referencia Pedido: P-', CAST(doc_id AS STRING), chr(10), 'Pedido el: 2024-',
        lpad(CAST(doc_id % 12 + 1 AS STRING), 2, '0'), '-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), chr(10),
-       'Proveedor: Proveedor ', CAST(doc_id % 30 AS STRING), chr(10), 'Monto Total: ', CAST(doc_id * 53 % 90000 AS STRING),
-       chr(10), 'Estado: abierta')
-  WHEN 2 THEN concat(chr(10), 'Fecha: 2023-11-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), chr(10),
-       'Total: ', CAST(doc_id % 999 AS STRING))
+       'Suministrador: Casa ', CAST(doc_id % 30 AS STRING), chr(10), 'Valor Pedido: ', CAST(doc_id * 53 % 90000 AS STRING),
+       chr(10), 'Avance: abierto')
+  WHEN 2 THEN concat(chr(10), 'Emitido el: 2023-11-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), chr(10),
+       'Importe: ', CAST(doc_id % 999 AS STRING))
   ELSE '' END) AS text
 FROM documents""",
-    # The type catalogue used by the reference's manual tests.
+    # A shared catalogue of three types: how sales, orders and deliveries of
+    # the order tables would be filed.
     "v_type_catalogue": """
 SELECT * FROM (VALUES
-  (1, 'Factura', 'Facturas de proveedores y clientes', 1, 'numero_factura', 'Numero de Factura', 'string', TRUE),
-  (1, 'Factura', 'Facturas de proveedores y clientes', 2, 'fecha', 'Fecha', 'date', TRUE),
-  (1, 'Factura', 'Facturas de proveedores y clientes', 3, 'total', 'Total', 'number', TRUE),
-  (1, 'Factura', 'Facturas de proveedores y clientes', 4, 'cliente', 'Cliente', 'string', FALSE),
-  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 1, 'numero_orden', 'Numero de Orden', 'string', TRUE),
-  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 2, 'fecha_orden', 'Fecha de Orden', 'date', TRUE),
-  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 3, 'proveedor', 'Proveedor', 'string', TRUE),
-  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 4, 'monto_total', 'Monto Total', 'number', TRUE),
-  (2, 'Orden de Compra', 'Ordenes de compra a proveedores', 5, 'estado', 'Estado', 'string', FALSE),
-  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 1, 'document_title', 'Título del Documento', 'string', FALSE),
-  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 2, 'document_category', 'Categoría', 'string', FALSE),
-  (3, 'Otros Documentos', 'Documentos que no coinciden con ningún tipo', 3, 'key_entities', 'Resumen/Entidades Clave', 'string', FALSE)
+  (1, 'Venta', 'Ventas a un comprador', 1, 'folio', 'Folio', 'string', TRUE),
+  (1, 'Venta', 'Ventas a un comprador', 2, 'emitido_el', 'Emitido el', 'date', TRUE),
+  (1, 'Venta', 'Ventas a un comprador', 3, 'importe', 'Importe', 'number', TRUE),
+  (1, 'Venta', 'Ventas a un comprador', 4, 'comprador', 'Comprador', 'string', FALSE),
+  (2, 'Pedido', 'Encargos a un suministrador', 1, 'referencia', 'Referencia Pedido', 'string', TRUE),
+  (2, 'Pedido', 'Encargos a un suministrador', 2, 'pedido_el', 'Pedido el', 'date', TRUE),
+  (2, 'Pedido', 'Encargos a un suministrador', 3, 'suministrador', 'Suministrador', 'string', TRUE),
+  (2, 'Pedido', 'Encargos a un suministrador', 4, 'valor_pedido', 'Valor Pedido', 'number', TRUE),
+  (2, 'Pedido', 'Encargos a un suministrador', 5, 'avance', 'Avance', 'string', FALSE),
+  (3, 'Entrega', 'Bultos recibidos', 1, 'bultos', 'Bultos', 'number', FALSE),
+  (3, 'Entrega', 'Bultos recibidos', 2, 'destino', 'Destino', 'string', FALSE),
+  (3, 'Entrega', 'Bultos recibidos', 3, 'recibido_por', 'Recibido por', 'string', FALSE)
 ) AS t(type_id, type_name, description, position, name, label, type, required)""",
 }
 
@@ -182,23 +183,6 @@ class Fixtures:
         raise AttributeError(name)
 
 
-# Text tables whose per-row work (tokenising, regexes, hashing whole texts)
-# dominates. When the scan yields fewer input splits than the session's
-# parallelism (a small table, or one file holding one huge row group) the
-# rows are hash-partitioned by their id so that work spreads over all cores,
-# and later joins and aggregations on the id reuse the partitioning. A large
-# table already arrives in many splits and is left alone (stored bucketed by
-# the id, it also needs no shuffle for those joins).
-TEXT_TABLES = {"documents": "doc_id"}
-
-
-def text_partitioned(df: DataFrame, key: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key)
-
-
 def _document_types(spark: SparkSession) -> DataFrame:
     """Same rows as the ``v_document_types`` SQL, without a cross join: the
     distinct priorities (a handful) become an array by scalar subquery that
@@ -228,10 +212,7 @@ def register(spark: SparkSession, sf_dir: str) -> Fixtures:
     key = id(spark)
     if _registered.get(key) != sf_dir or not spark.catalog.tableExists("v_documents"):
         for t in BASE_TABLES:
-            df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            if t in TEXT_TABLES:
-                df = text_partitioned(df, TEXT_TABLES[t])
-            df.createOrReplaceTempView(t)
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, body in VIEW_SQL.items():
             if name in DATAFRAME_VIEWS:
                 DATAFRAME_VIEWS[name](spark).createOrReplaceTempView(name)

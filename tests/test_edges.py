@@ -12,6 +12,7 @@ from papyra.operators import matching as M
 from papyra.operators import model as MD
 from papyra.operators import stats as S
 from papyra.operators import windows as W
+from papyra.plans import jobs as K
 
 
 def _one(spark, rows, schema, expr):
@@ -86,7 +87,7 @@ def test_partial_match_edges(spark):
                                   "id bigint, user_id bigint, name string")
     out = {r.id: r for r in M.match_type_partial(items, types).collect()}
     assert out[1].match_type_id == 4          # prefix of two names → lowest id
-    assert out[2].match_type_id == 4          # empty label is contained in every name
+    assert out[2].match_type_id is None       # an empty answer names no type
     assert out[3].match_type_id is None       # same name, other tenant
 
 
@@ -118,15 +119,55 @@ def test_consolidate_schema_edges(spark):
     assert out["all"].frequency == 1.0 and out["half"].required  # exactly 50 % is required
 
 
-def test_cache_hits_anchoring(spark):
+def test_repeat_requests(spark):
     base = dt.datetime(2024, 1, 1)
-    rows = [(1, "h", base), (2, "h", base + dt.timedelta(hours=23)),      # hit
-            (3, "h", base + dt.timedelta(hours=24)),                        # exactly 24 h: miss, re-anchors
-            (4, "h", base + dt.timedelta(hours=47)),                        # hit of the new anchor
-            (5, "h", base + dt.timedelta(hours=49))]                        # hit? no: 25 h after re-anchor
+    rows = [(3, "h", base), (2, "h", base), (1, "h", base + dt.timedelta(hours=1)), (4, "g", base), (5, None, base),
+            (6, None, base + dt.timedelta(seconds=2))]
     req = spark.createDataFrame(rows, "event_id bigint, content_hash string, ts timestamp_ntz")
-    out = {r.event_id: r.cache_hit for r in W.cache_hits(req).collect()}
-    assert out == {1: False, 2: True, 3: False, 4: True, 5: False}
+    out = {r.event_id: (r.repeated, r.since_first_ms) for r in W.repeat_requests(req).collect()}
+    assert out == {2: (False, 0), 3: (True, 0), 1: (True, 3_600_000), 4: (False, 0), 5: (False, 0), 6: (True, 2000)}
+
+
+def test_dedup_keeps_rows_without_hash(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "doc_id bigint, content_hash string")
+    out = {r.doc_id: r.kept for r in W.dedup_by_content(d).collect()}
+    assert out == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_numbers_keep_their_digits(spark):
+    cases = {"1.23456": "1.23456", "1,234.56": "1234.56", "1.234,56": "1234.56", "$ 37,50": "37.50", "1.234.567": "1234567",
+             "1,234,567": "1234567", "-5": "-5", "12": "12", "1.2,3.4": None, "abc": None, "5-": None, "": None}
+    df = spark.createDataFrame([(k, "number") for k in cases], "v string, t string")
+    assert {r.v: r.x for r in df.withColumn("x", MD.convert_value("v", "t")).collect()} == cases
+
+
+def test_long_labels_are_read(spark):
+    label = "etiqueta " * 25
+    d = spark.createDataFrame([(1, f"{label}: valor\nsin nada")], "doc_id bigint, text string")
+    assert [(r.label_key, r.raw_value) for r in MD.label_lines(d).collect()] == [(label.strip(), "valor")]
+
+
+def test_an_empty_name_matches_no_type(spark):
+    types = spark.createDataFrame([(1, 10, "Venta"), (2, 10, "")], "id bigint, user_id bigint, name string")
+    items = spark.createDataFrame([(1, 10, ""), (2, 10, " venta "), (3, 10, "ventas del mes"), (4, 10, None), (5, 11, "venta")],
+                                  "id bigint, user_id bigint, classified_name string")
+    out = {r.id: (r.match_type_id, r.match_kind) for r in M.match_type_partial(items, types).collect()}
+    assert out == {1: (None, None), 2: (1, "exact"), 3: (1, "partial"), 4: (None, None), 5: (None, None)}
+
+
+def test_reprocess_keeps_documents_without_upload(spark, fx):
+    up = K.uploads_from_documents(fx.v_labeled_documents).filter("doc_id < 40")
+    table = K.process_documents(up, fx.v_type_catalogue)
+    ids = table.select("doc_id").filter("doc_id IN (1, 2, 3)")
+    out = K.reprocess(table, up.filter("doc_id <> 2"), ids, fx.v_type_catalogue, threshold=0.5)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in table.collect())
+
+
+def test_run_ends_with_its_last_stage(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, 7, base, "ocr", 5000, 0.1), (2, 7, base + dt.timedelta(seconds=2), "save", 1500, None)]
+    d = spark.createDataFrame(rows, "event_id bigint, run_id bigint, ts timestamp_ntz, stage string, duration_ms bigint, cost_usd double")
+    assert [r.total_duration_ms for r in S.run_metrics(d).collect()] == [5000]
 
 
 def test_merge_groups_edges(spark):
@@ -165,22 +206,6 @@ def test_model_stage_isolates_failures(spark):
     assert out[1].response == out[3].response and out[1].error is None
 
 
-def test_cache_hits_matches_iterative_form(spark):
-    import random
-    rnd = random.Random(7)
-    base = dt.datetime(2024, 1, 1)
-    rows = []
-    for i in range(600):
-        key = f"h{rnd.randint(0, 5)}"
-        # bursts and gaps around the 24 h boundary, some identical instants
-        minutes = rnd.choice([rnd.randint(0, 60 * 24 * 20), rnd.randint(0, 3) * 60 * 24])
-        rows.append((i, key, base + dt.timedelta(minutes=minutes)))
-    req = spark.createDataFrame(rows, "event_id bigint, content_hash string, ts timestamp_ntz")
-    a = {r.event_id: r.cache_hit for r in W.cache_hits(req).collect()}
-    b = {r.event_id: r.cache_hit for r in W.cache_hits_iterative(req).collect()}
-    assert a == b
-
-
 def test_lexical_classify_per_tenant(spark):
     cat = spark.createDataFrame(
         [(1, 1, "Factura", 1, "total", "Total", "number"), (1, 2, "Orden", 1, "proveedor", "Proveedor", "string"),
