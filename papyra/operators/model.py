@@ -351,9 +351,39 @@ def types_description(catalogue: DataFrame) -> Column:
     return tl.groupBy().agg(_ordered_join("line", "rn", "\n")).scalar()
 
 
-def classify_prompts(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id") -> DataFrame:
-    """H31: 'Classify this document' prompt per document (text cut at 3000)."""
+def classify_prompts(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id",
+                     max_chars: int | None = None) -> DataFrame:
+    """H31: 'Classify this document' prompt per document, with the whole text;
+    ``max_chars`` cuts it with a mark, for models of a bounded context."""
     from ..functions.text import truncate_marked
-    prompt = F.concat(F.lit("Classify this document. Available types:\n"), types_description(catalogue),
-                      F.lit("\n\nDocument text:\n"), truncate_marked(text_col, 3000, "...(truncated)"))
+    text = truncate_marked(text_col, max_chars, "...(truncated)") if max_chars else F.col(text_col)
+    prompt = F.concat(F.lit("Classify this document. Available types:\n"),
+                      F.coalesce(types_description(catalogue), F.lit("")),
+                      F.lit("\n\nDocument text:\n"), F.coalesce(text, F.lit("")))
     return docs.select(key_col, prompt.alias("prompt"))
+
+
+def classify_with_model(docs: DataFrame, catalogue: DataFrame, fn: ModelFn, threshold: float | None = None,
+                        max_chars: int | None = None, key_col="doc_id") -> DataFrame:
+    """The model stage as the jobs use it: prompt (H31), one call per distinct
+    prompt (J1), reply repaired and read (H1, H2), low confidence to Others
+    (H10), name resolved to a type of the tenant (C4). Columns as
+    ``lexical_classify`` gives them, plus ``answer`` (the name the model gave)
+    and ``model_error`` (a failed call or a reply without JSON)."""
+    from ..functions.json_repair import parse_model_json, repair_python_dict, vget
+    from .matching import resolve_type
+    tenant = F.col("user_id") if "user_id" in catalogue.columns else F.lit(0).cast("bigint")
+    prompts = classify_prompts(docs, catalogue, key_col=key_col, max_chars=max_chars)
+    called = model_stage(prompts, fn, key_col=key_col).select(key_col, "response", "error")
+    read = called.withColumn("_v", F.coalesce(parse_model_json("response"), repair_python_dict("response")))
+    read = read.select(
+        key_col, F.trim(vget("_v", "$.inferred_type")).alias("answer"), vget("_v", "$.confidence", "double").alias("_conf"),
+        F.coalesce("error", F.when(F.col("_v").isNull(), F.lit("La respuesta no es JSON"))).alias("model_error"))
+    items = docs.select(key_col, tenant.alias("user_id")).join(read, key_col)
+    items = items.withColumn("_low", is_others_expr(F.lit(None).cast("boolean"), "_conf", threshold))
+    types = catalogue.select(tenant.alias("user_id"), F.col("type_id").alias("id"), F.col("type_name").alias("name")).distinct()
+    got = resolve_type(items, types, "answer", "_low", key_col)
+    return got.select(key_col, F.col("resolved_type_id").alias("best_type_id"),
+                      F.col("resolved_type_name").alias("best_type_name"),
+                      F.coalesce("_conf", F.lit(0.0)).alias("score"), F.col("resolved_is_others").alias("is_others"),
+                      "answer", "model_error")

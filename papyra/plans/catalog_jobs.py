@@ -20,6 +20,19 @@ up AS (SELECT *, CASE lower(string_split(filename, '.')[-1]) WHEN 'pdf' THEN 'ap
         WHEN 'txt' THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM up0)"""
 
 
+# J2's columns as the rule below answers: what it says, and what that matches.
+MODEL_J2 = """
+cat AS (SELECT * FROM v_type_catalogue),
+says AS (SELECT doc_id, CASE WHEN contains(text, chr(10) || 'Folio: ') THEN 'folio' WHEN contains(text, chr(10) || 'Referencia Pedido: ') THEN 'ref'
+           WHEN contains(text, chr(10) || 'Emitido el: ') THEN 'date' ELSE 'none' END AS kind FROM v_labeled_documents),
+j2 AS (SELECT doc_id, kind, CASE kind WHEN 'folio' THEN 1 WHEN 'ref' THEN 2 END AS best_type_id,
+         CASE kind WHEN 'folio' THEN 'Venta' WHEN 'ref' THEN 'Pedido' END AS best_type_name,
+         CASE kind WHEN 'folio' THEN 0.9 WHEN 'ref' THEN 0.8 WHEN 'date' THEN 0.95 ELSE 0.0 END AS score,
+         kind IN ('date', 'none') AS is_others,
+         CASE kind WHEN 'folio' THEN 'Venta' WHEN 'ref' THEN 'pedido de compra' WHEN 'date' THEN 'Recibo Simple' END AS answer
+       FROM says)"""
+
+
 def k1_cte(threshold: float = 0.7) -> str:
     return f"""{j2_sql(threshold)},{J3_CTE},{UP_CTE},
 g1 AS (SELECT *, CASE WHEN size_bytes > 10485760 THEN concat('El archivo "', filename, '" pesa ', printf('%.1f', size_bytes / 1048576.0),
@@ -51,6 +64,38 @@ k1 AS (
   FROM k1x)"""
 
 
+# ---- K1 with a caller's function: a rule that answers as a model would
+def label_rule(prompt: str) -> str:
+    if "\nFolio: " in prompt:
+        return '{"inferred_type": "Venta", "confidence": 0.9}'
+    if "\nReferencia Pedido: " in prompt:
+        return 'Claro:\n```json\n{"inferred_type": "pedido de compra", "confidence": 0.8,}\n```'
+    if "\nEmitido el: " in prompt:
+        return "{'inferred_type': 'Recibo Simple', 'confidence': 0.95}"
+    raise ValueError("sin datos")
+
+
+MODEL_K1_CTE = f"""{k1_cte().replace(j2_sql(0.7), MODEL_J2)},
+k1m AS (
+  SELECT k1.* REPLACE (
+      CASE WHEN k1.gate_error IS NULL AND kind = 'none' THEN 'error' ELSE k1.status END AS status,
+      coalesce(k1.gate_error, CASE WHEN kind = 'none' THEN 'ValueError: sin datos' END) AS gate_error,
+      CASE WHEN kind <> 'none' THEN route END AS route, CASE WHEN kind <> 'none' THEN ocr_confidence END AS ocr_confidence,
+      CASE WHEN kind <> 'none' THEN document_type_name END AS document_type_name,
+      CASE WHEN kind <> 'none' THEN confidence END AS confidence, CASE WHEN kind <> 'none' THEN k1.is_others END AS is_others,
+      CASE WHEN kind <> 'none' THEN typed_key END AS typed_key, CASE WHEN kind <> 'none' THEN populated END AS populated,
+      CASE WHEN k1.gate_error IS NULL AND kind <> 'none' THEN answer END AS inferred_type)
+  FROM k1 JOIN j2 USING (doc_id))"""
+
+
+@query("process_documents_model", f"WITH {MODEL_K1_CTE}\nSELECT * FROM k1m")
+def q_process_documents_model(fx):
+    """K1 with a caller's function: prompt, one call per distinct prompt,
+    reply repaired, low confidence and unknown names to Others, failures per
+    row."""
+    return K.process_documents(_uploads(fx), fx.v_type_catalogue, model=label_rule)
+
+
 def _uploads(fx):
     return K.uploads_from_documents(fx.v_labeled_documents)
 
@@ -118,7 +163,7 @@ h3 AS (SELECT *, concat(CAST(batch_id AS VARCHAR), ':', sha256(text)) AS ch FROM
 first3 AS (SELECT ch, min(doc_id) AS doc_id FROM h3 GROUP BY 1),
 d0 AS (SELECT h3.* FROM h3 JOIN first3 USING (ch, doc_id) WHERE text IS NOT NULL AND length(text) > 0),
 d1 AS (SELECT d0.doc_id, d0.user_id, d0.batch_id, d0.text,
-         CASE WHEN j2.score > 0 THEN j2.best_type_name ELSE 'Documento Sin Clasificar' END AS inferred_name
+         CASE WHEN NOT j2.is_others THEN j2.best_type_name ELSE 'Documento Sin Clasificar' END AS inferred_name
        FROM d0 JOIN j2 USING (doc_id)),
 hc3 AS (SELECT user_id, inferred_name AS variant, count(*) AS n FROM d1 GROUP BY 1, 2),
 hk3 AS (SELECT *, {KEY_SQL.format(c='variant')} AS hkey FROM hc3),
@@ -127,8 +172,8 @@ hcan3 AS (SELECT user_id, hkey, variant AS canonical FROM (
 hmap3 AS (SELECT hk3.user_id, hk3.variant, hcan3.canonical FROM hk3 JOIN hcan3 USING (user_id, hkey)),
 d2 AS (SELECT d1.*, coalesce(m.canonical, d1.inferred_name) AS type_name FROM d1
        LEFT JOIN hmap3 m ON m.user_id = d1.user_id AND m.variant = d1.inferred_name),
-catn AS (SELECT DISTINCT type_id AS existing_type_id, type_name FROM v_type_catalogue),
-d3 AS (SELECT d2.*, catn.existing_type_id, catn.existing_type_id IS NULL AS is_new FROM d2 LEFT JOIN catn USING (type_name)),
+catn AS (SELECT min(type_id) AS existing_type_id, lower(trim(type_name)) AS low_name FROM v_type_catalogue GROUP BY 2),
+d3 AS (SELECT d2.*, catn.existing_type_id, catn.existing_type_id IS NULL AS is_new FROM d2 LEFT JOIN catn ON lower(trim(d2.type_name)) = low_name),
 rl3 AS (SELECT doc_id, regexp_extract_all(text, '{LINE_RE}', 0) AS ls FROM d3),
 ll3 AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM rl3),
 lk3 AS (SELECT doc_id, line_no, lower(trim(regexp_extract(line, '^([^:\n]+):', 1))) AS label_key,
@@ -183,6 +228,20 @@ def q_infer_types_documents(fx):
     return docs
 
 
+MODEL_K3_CTE = K3_CTE.replace(j2_sql(), MODEL_J2).replace(
+    "CASE WHEN NOT j2.is_others THEN j2.best_type_name ELSE 'Documento Sin Clasificar' END AS inferred_name",
+    "coalesce(CASE WHEN NOT j2.is_others THEN j2.best_type_name END, j2.answer, 'Documento Sin Clasificar') AS inferred_name")
+
+
+@query("infer_types_model", f"""WITH {MODEL_K3_CTE}
+SELECT user_id, batch_id, type_name, is_new, max(n_fields) AS field_count, count(*) AS sample_count
+FROM docs3 GROUP BY user_id, batch_id, type_name, is_new""")
+def q_infer_types_model(fx):
+    """K3 with a caller's function: new names come from its answers."""
+    _, report = K.infer_types(_uploads(fx), fx.v_type_catalogue, model=label_rule)
+    return report
+
+
 CONFIRM_REQ_SQL = """
 SELECT id AS doc_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
   CASE id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'assign_type' ELSE 'create_type' END AS action,

@@ -1,7 +1,9 @@
-"""Composed jobs (K1-K7): the reference's entry points as one lazy plan each.
+"""Composed jobs (K1-K7): the reference's entry points.
 
 Every step is an operator from ``papyra.operators``; the only Python
-boundary is the optional model function (J1). Classification runs once per
+boundary is the caller's model function (J1), if one is given. Text features
+and classifications are materialised when a job is built (reliable
+checkpoints in the shared folder); the rest is lazy. Classification runs once per
 distinct content and is joined back (the reference's cache and dedup).
 """
 
@@ -46,15 +48,36 @@ def classify_unique(docs: DataFrame, catalogue: DataFrame, threshold=None) -> Da
     return cut_lineage(h.select("doc_id", *k, "_h").join(cls, [*k, "_h"], "left").drop("_h", *k))
 
 
-def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
+def has_types(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``_has_types``: whether the row's tenant (or anyone, for a shared
+    catalogue) has a type to match."""
+    if "user_id" not in catalogue.columns:
+        return rows.withColumn("_has_types", catalogue.agg((F.count(F.lit(1)) > 0)).scalar())
+    owners = catalogue.select("user_id").distinct().withColumn("_has_types", F.lit(True))
+    return rows.join(owners, "user_id", "left").withColumn("_has_types", F.coalesce("_has_types", F.lit(False)))
+
+
+def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None, model: MD.ModelFn | None = None,
+                      max_chars: int | None = None) -> DataFrame:
     """K1: gate → classify (unique contents) → threshold → resolve (matched
-    type or Others) → extract → typed key. One row per upload. The texts
-    are read once: their features (hash, catalogue tokens, quality, label
-    lines) are materialised and every later step works on those."""
-    g = G.file_gate(uploads)
+    type or Others) → extract → typed key. One row per upload.
+
+    ``model`` is the caller's function from a prompt to a reply (J1): its
+    answers are read, repaired and resolved (H1, H10, C4), a failing call
+    makes an error row; without it the lexical baseline (J2) classifies. A
+    document whose tenant has no type yet waits for one
+    (``pending_confirmation``). Text features (hash, catalogue tokens,
+    quality, label lines) are materialised and the later steps work on those;
+    the gate columns come from a second, pruned scan."""
+    g = has_types(G.file_gate(uploads), catalogue)
     ok = g.filter(F.col("gate_error").isNull()).select("doc_id", "user_id", "mime", "text")
     feats = cut_lineage(MD.text_features(ok, catalogue))
-    cls = classify_unique(feats, catalogue, threshold)
+    if model is None:
+        cls = classify_unique(feats, catalogue, threshold)
+        cls = cls.withColumn("answer", F.when(F.col("score") > 0, F.col("best_type_name"))) \
+            .withColumn("model_error", F.lit(None).cast("string"))
+    else:
+        cls = cut_lineage(MD.classify_with_model(ok.select("doc_id", "user_id", "text"), catalogue, model, threshold, max_chars))
     routed = feats.select("doc_id", F.when(F.col("quality_ok"), "standard")
                           .when(F.col("mime") == "application/pdf", "standard_low_quality").otherwise("vision")
                           .alias("route"))
@@ -67,19 +90,23 @@ def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None)
     others_lines = lines.join(cls.filter(F.col("is_others")).select("doc_id"), "doc_id", "left_semi")
     pop_o = others_lines.groupBy("doc_id").agg(F.count_if(F.col("raw_value") != "").alias("populated"))
     pop = pop_m.unionByName(pop_o)
-    out = (g.select("doc_id", "user_id", "filename", "gate_error")
+    out = (g.select("doc_id", "user_id", "filename", "gate_error", "_has_types")
            .join(cls, "doc_id", "left").join(routed, "doc_id", "left").join(pop, "doc_id", "left"))
-    type_name = F.when(F.col("gate_error").isNull(),
-                       F.when(F.col("is_others"), F.lit(OTHERS_TYPE_NAME)).otherwise(F.col("best_type_name")))
+    out = out.withColumn("gate_error", F.coalesce("gate_error", F.when(F.col("_has_types"), F.col("model_error"))))
+    good = F.col("gate_error").isNull() & F.col("_has_types")
+    type_name = F.when(good, F.when(F.col("is_others"), F.lit(OTHERS_TYPE_NAME)).otherwise(F.col("best_type_name")))
+    out = out.withColumns({c: F.when(F.col("gate_error").isNull(), F.col(c)) for c in ("route", "ocr_confidence", "score")}
+                          | {c: F.when(good, F.col(c)) for c in ("is_others", "best_type_id")})
     return out.select(
-        "doc_id", "user_id", F.when(F.col("gate_error").isNull(), "completed").otherwise("error").alias("status"),
+        "doc_id", "user_id", F.when(F.col("gate_error").isNotNull(), "error")
+        .when(F.col("_has_types"), "completed").otherwise("pending_confirmation").alias("status"),
         "gate_error", "route", "ocr_confidence",
         F.when(~F.col("is_others"), F.col("best_type_id")).alias("document_type_id"),
         type_name.alias("document_type_name"), F.col("score").alias("confidence"), "is_others",
         F.when(type_name.isNotNull(), typed_key("user_id", type_name, "filename")).alias("typed_key"),
         F.when(F.col("gate_error").isNull(), F.coalesce(F.col("populated"), F.lit(0))).cast("bigint").alias("populated"),
-        F.when(F.col("gate_error").isNull(), F.when(F.col("score") > 0, F.col("best_type_name"))
-               .otherwise(F.lit(UNCLASSIFIED))).alias("inferred_type"))
+        F.when(F.col("gate_error").isNull(), F.coalesce(F.nullif("answer", F.lit("")), F.lit(UNCLASSIFIED)))
+        .alias("inferred_type"))
 
 
 def usage_increments(processed: DataFrame) -> DataFrame:
@@ -88,11 +115,14 @@ def usage_increments(processed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("docs_used"))
 
 
-def process_batch(uploads: DataFrame, catalogue: DataFrame, batch_cols=("user_id",), threshold=None):
+def process_batch(uploads: DataFrame, catalogue: DataFrame, batch_cols=("user_id",), threshold=None,
+                  model: MD.ModelFn | None = None):
     """K2: matched documents complete; unmatched ones are grouped by their
-    inferred name (homologated per tenant) and left pending; gate failures
-    are errors. Returns (rows, summary)."""
-    p = process_documents(uploads, catalogue, threshold)
+    inferred name (homologated per tenant) and left pending; gate and model
+    failures are errors. Returns (rows, summary)."""
+    p = process_documents(uploads, catalogue, threshold, model)
+    p = p.withColumn("is_others", F.coalesce("is_others", F.col("status") == "pending_confirmation")) \
+        .withColumn("status", F.when(F.col("status") == "pending_confirmation", "completed").otherwise(F.col("status")))
     unmatched = p.filter((F.col("status") == "completed") & F.col("is_others"))
     grouped = S.group_by_inferred(unmatched, "inferred_type", "inferred_type")
     names = grouped.select(*batch_cols, F.col("group_key").alias("name"))
@@ -120,10 +150,13 @@ def guess_type(value) -> F.Column:
             .otherwise("string"))
 
 
-def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id", threshold=None):
+def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id", threshold=None,
+                model: MD.ModelFn | None = None, max_chars: int | None = None):
     """K3 (infer types from samples): batch gate → dedup → usable text →
     classify → existing/new → homologate → consolidate → conform → save.
-    Returns (documents, report)."""
+    A document that matches a type of the catalogue gets it; otherwise its
+    name is what ``model`` answered, or one bucket with the lexical baseline,
+    which has no names of its own. Returns (documents, report)."""
     files = uploads.select("doc_id", "user_id", batch_col, "filename", "size_bytes", "mime", "text")
     gated = G.batch_gate(files, batch_col=batch_col)
     kept = gated.filter(F.col("file_kept")).select("doc_id", "user_id", batch_col, "text")
@@ -133,15 +166,20 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     d = dedup_by_content(feats.withColumn("content_hash", F.concat_ws(":", F.col(batch_col).cast("string"), "_h")),
                          hash_col="content_hash", order_col="doc_id")
     d = d.filter(F.col("kept") & F.col("_usable")).drop("kept", "_usable", "content_hash")
-    cls = classify_unique(d, catalogue, threshold)
+    if model is None:
+        cls = classify_unique(d, catalogue, threshold).withColumn("answer", F.lit(None).cast("string"))
+    else:
+        texts = kept.select("doc_id", "user_id", "text").join(d.select("doc_id"), "doc_id", "left_semi")
+        cls = cut_lineage(MD.classify_with_model(texts, catalogue, model, threshold, max_chars)).drop("model_error")
     d = d.join(cls, "doc_id")
     d = d.withColumn("inferred_name", F.when(~F.col("is_others"), F.col("best_type_name"))
-                     .when(F.col("score") > 0, F.col("best_type_name")).otherwise(F.lit(UNCLASSIFIED)))
+                     .otherwise(F.coalesce(F.nullif("answer", F.lit("")), F.lit(UNCLASSIFIED)))).drop("answer")
     ck = ["user_id"] if "user_id" in catalogue.columns else []  # per-tenant catalogue?
     mapping = MD.homologate_names(d.select("user_id", F.col("inferred_name").alias("name")), "name", ["user_id"])
     d = M.apply_canonical(d, mapping, "inferred_name", keys=["user_id"]).withColumnRenamed("canonical_name", "type_name")
-    cat_names = catalogue.select(*ck, "type_name", F.col("type_id").alias("existing_type_id")).distinct()
-    d = (d.join(cat_names, [*ck, "type_name"], "left")
+    cat_names = (catalogue.withColumn("_name", F.lower(F.trim("type_name"))).groupBy(*ck, "_name")
+                 .agg(F.min("type_id").alias("existing_type_id")))
+    d = (d.withColumn("_name", F.lower(F.trim("type_name"))).join(cat_names, [*ck, "_name"], "left").drop("_name")
          .withColumn("is_new", F.col("existing_type_id").isNull()))
     d = cut_lineage(d)  # reused by every branch below
     # fields: catalogue schema for existing types, consolidated key fields for new ones
@@ -220,11 +258,12 @@ def resolve_pending(assignments: DataFrame, docs: DataFrame, types: DataFrame) -
     return r, summary
 
 
-def reprocess(table: DataFrame, uploads: DataFrame, ids: DataFrame, catalogue: DataFrame, threshold=None) -> DataFrame:
+def reprocess(table: DataFrame, uploads: DataFrame, ids: DataFrame, catalogue: DataFrame, threshold=None,
+              model: MD.ModelFn | None = None) -> DataFrame:
     """K6: re-run K1 for the chosen documents; a document that still matches
     no type goes to pending_confirmation; the rows are upserted by id. A
     chosen document that has no upload keeps its row."""
-    again = process_documents(uploads.join(ids, "doc_id", "left_semi"), catalogue, threshold)
+    again = process_documents(uploads.join(ids, "doc_id", "left_semi"), catalogue, threshold, model)
     again = again.withColumn("status", F.when((F.col("status") == "completed") & F.col("is_others"),
                                               "pending_confirmation").otherwise(F.col("status")))
     keep = table.join(again.select("doc_id"), "doc_id", "left_anti")

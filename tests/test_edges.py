@@ -163,6 +163,34 @@ def test_reprocess_keeps_documents_without_upload(spark, fx):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in table.collect())
 
 
+def test_jobs_with_a_model(spark, fx):
+    calls = {"Folio: 1": '{"inferred_type": "VENTA", "confidence": 0.9}', "raro": '{"inferred_type": "Bitacora", "confidence": 0.99}',
+             "dudoso": '{"inferred_type": "Venta", "confidence": 0.2}', "roto": "no es json"}
+
+    def model(prompt):
+        return next(v for k, v in calls.items() if prompt.endswith(k))
+
+    texts = list(calls) + ["nada"]
+    up = spark.createDataFrame([(i, 1, 1, f"a{i}.pdf", 100, "application/pdf", t) for i, t in enumerate(texts)],
+                               "doc_id bigint, user_id bigint, batch_id bigint, filename string, size_bytes bigint, mime string, text string")
+    out = {r.doc_id: r for r in K.process_documents(up, fx.v_type_catalogue, model=model).collect()}
+    assert [out[i].status for i in range(5)] == ["completed", "completed", "completed", "error", "error"]
+    assert (out[0].document_type_name, out[0].document_type_id, out[0].populated) == ("Venta", 1, 1)
+    assert out[1].is_others and out[1].inferred_type == "Bitacora" and out[2].is_others
+    assert out[3].gate_error == "La respuesta no es JSON" and "StopIteration" in out[4].gate_error
+    _, report = K.infer_types(up.filter("doc_id < 2"), fx.v_type_catalogue, model=model)
+    assert {(r.type_name, r.is_new) for r in report.collect()} == {("Venta", False), ("Bitacora", True)}
+
+
+def test_documents_wait_where_there_is_no_type(spark, fx):
+    up = K.uploads_from_documents(fx.v_labeled_documents).filter("doc_id < 24")
+    none = {r.status for r in K.process_documents(up, fx.v_type_catalogue.limit(0)).collect()}
+    assert none == {"pending_confirmation", "error"}
+    own = fx.v_type_catalogue.withColumn("user_id", F.lit(1).cast("bigint"))
+    for r in K.process_documents(up, own).collect():
+        assert r.status == "error" or (r.status == "completed") == (r.user_id == 1)
+
+
 def test_run_ends_with_its_last_stage(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(1, 7, base, "ocr", 5000, 0.1), (2, 7, base + dt.timedelta(seconds=2), "save", 1500, None)]
