@@ -142,15 +142,27 @@ def visible_columns(df: DataFrame) -> DataFrame:
     return df.select(*(keep or df.columns))
 
 
+def tag_errors(df: DataFrame, error="error") -> DataFrame:
+    """Every row once, ``ok`` where it has no error; a bad row never
+    fails the batch."""
+    return df.withColumn("ok", F.col(error).isNull())
+
+
 def split_errors(df: DataFrame, error="error") -> tuple[DataFrame, DataFrame]:
-    """(ok rows, failed rows) from one plan; a bad row never fails the batch."""
+    """B11 as two frames: (ok rows, failed rows)."""
     return df.filter(F.col(error).isNull()), df.filter(F.col(error).isNotNull())
 
 
+def tag_pending(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every request once, ``accepted`` if its document belongs to the
+    same tenant and is in pending_confirmation. One join."""
+    pending = (docs.filter(F.col("status") == "pending_confirmation")
+               .select(F.col("id").alias("doc_id"), "user_id").distinct().withColumn("_pending", F.lit(True)))
+    return (requests.join(pending, ["doc_id", "user_id"], "left")
+            .withColumn("accepted", F.col("_pending").isNotNull()).drop("_pending"))
+
+
 def pending_only_guard(requests: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A confirm/assign/cancel request is valid only for a document of
-    the same tenant in pending_confirmation. Returns (accepted, rejected)."""
-    pending = docs.filter(F.col("status") == "pending_confirmation").select(
-        F.col("id").alias("doc_id"), "user_id")
-    keys = ["doc_id", "user_id"]
-    return (requests.join(pending, keys, "left_semi"), requests.join(pending, keys, "left_anti"))
+    """B12 as two frames: (accepted, rejected)."""
+    tagged = tag_pending(requests, docs)
+    return tagged.filter("accepted").drop("accepted"), tagged.filter("NOT accepted").drop("accepted")

@@ -163,30 +163,30 @@ def mrr_by_plan(subs: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def docs_by_period(events: DataFrame, asof: str, ts_col="ts", key="run_id", cost="cost_usd") -> DataFrame:
-    """Documents and cost today / this week / this month as of ``asof``."""
+    """Documents and cost today / this week / this month as of ``asof``.
+    One scan: each run's events are reduced to its flags and costs, then the
+    runs are counted."""
     a = F.to_timestamp(F.lit(asof)).cast("timestamp_ntz")
-    rows = []
-    for label, unit in (("today", "day"), ("this_week", "week"), ("this_month", "month")):
-        start = F.date_trunc(unit, a).cast("timestamp_ntz")
-        e = events.filter((F.col(ts_col) >= start) & (F.col(ts_col) < a + F.expr("INTERVAL 1 DAY")))
-        rows.append(e.groupBy().agg(F.countDistinct(key).alias("documents"),
-                                    F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 9).alias("cost_usd"))
-                    .withColumn("period", F.lit(label)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    units = {"today": "day", "this_week": "week", "this_month": "month"}
+    inside = {p: (F.col(ts_col) >= F.date_trunc(u, a).cast("timestamp_ntz")) for p, u in units.items()}
+    any_of = inside["today"] | inside["this_week"] | inside["this_month"]
+    e = events.filter((F.col(ts_col) < a + F.expr("INTERVAL 1 DAY")) & any_of)
+    runs = e.groupBy(key).agg(*[F.max(c).alias(f"_in_{p}") for p, c in inside.items()],
+                              *[F.sum(F.when(c, F.col(cost))).alias(f"_cost_{p}") for p, c in inside.items()])
+    total = runs.agg(*[F.count_if(f"_in_{p}").alias(f"_n_{p}") for p in units],
+                     *[F.round(F.coalesce(F.sum(f"_cost_{p}"), F.lit(0.0)), 9).alias(f"_c_{p}") for p in units])
+    rows = F.array(*[F.struct(F.col(f"_n_{p}").alias("documents"), F.col(f"_c_{p}").alias("cost_usd"),
+                              F.lit(p).alias("period")) for p in units])
+    return total.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def cost_by_provider_day(events: DataFrame, providers=("ocr", "model")) -> DataFrame:
-    """Per day documents, cost per provider (pivot) and total."""
+    """Per day documents, cost per provider and total, in one aggregate."""
     e = events.withColumn("day", F.to_date("ts")).withColumn("_p", F.coalesce(F.col("provider"), F.lit("other")))
-    docs = e.groupBy("day").agg(F.countDistinct("run_id").alias("documents"))
-    piv = e.groupBy("day").pivot("_p", list(providers) + ["other"]).agg(F.sum("cost_usd"))
-    out = docs.join(piv, "day")
-    cols = [F.round(F.coalesce(F.col(p), F.lit(0.0)), 9).alias(f"{p}_cost") for p in list(providers) + ["other"]]
-    out = out.select("day", "documents", *cols)
-    return out.withColumn("total_cost", F.round(sum(F.col(f"{p}_cost") for p in list(providers) + ["other"]), 9))
+    names = [*providers, "other"]
+    out = e.groupBy("day").agg(F.countDistinct("run_id").alias("documents"), *[
+        F.round(F.coalesce(F.sum(F.when(F.col("_p") == p, F.col("cost_usd"))), F.lit(0.0)), 9).alias(f"{p}_cost") for p in names])
+    return out.withColumn("total_cost", F.round(sum(F.col(f"{p}_cost") for p in names), 9))
 
 
 def rate_text(num, den, decimals=1, suffix="%") -> Column:

@@ -138,13 +138,12 @@ def q_guarded_select(fx):
     return guarded_select(fx.spark, CANNED_SQL, TENANT, docs=fx.v_documents, types=fx.v_document_types)
 
 
-TEXT_ERR_SQL = "CASE WHEN text IS NULL OR length(text) = 0 THEN 'OCR: sin texto' WHEN length(text) < 100 THEN 'OCR: texto insuficiente' END"
+TEXT_ERR_SQL = "CASE WHEN text IS NULL OR length(text) = 0 THEN 'OCR: sin texto' END"
 
 
 def _ocr_docs(fx):
     d = fx.documents
-    err = (F.when(F.col("text").isNull() | (F.length("text") == 0), F.lit("OCR: sin texto"))
-           .when(F.length("text") < 100, F.lit("OCR: texto insuficiente")))
+    err = F.when(F.col("text").isNull() | (F.length("text") == 0), F.lit("OCR: sin texto"))
     return d.select("doc_id", "lang", "source", "n_chars", "text").withColumn("error", err)
 
 
@@ -167,9 +166,7 @@ def q_visible_columns(fx):
 SELECT doc_id, error, error IS NULL AS ok FROM (SELECT *, {TEXT_ERR_SQL} AS error FROM documents)""")
 def q_split_errors(fx):
     """Ok and failed rows of one plan, tagged."""
-    ok, bad = G.split_errors(_ocr_docs(fx))
-    return (ok.select("doc_id", "error", F.lit(True).alias("ok"))
-            .unionByName(bad.select("doc_id", "error", F.lit(False).alias("ok"))))
+    return G.tag_errors(_ocr_docs(fx)).select("doc_id", "error", "ok")
 
 
 @query("pending_only_guard", """
@@ -184,5 +181,4 @@ def q_pending_only_guard(fx):
     d = fx.v_documents
     req = d.select(F.col("id").alias("doc_id"), "user_id").unionByName(
         d.select(F.col("id").alias("doc_id"), (F.col("user_id") + 1).alias("user_id")))
-    acc, rej = G.pending_only_guard(req, d)
-    return acc.withColumn("accepted", F.lit(True)).unionByName(rej.withColumn("accepted", F.lit(False)))
+    return G.tag_pending(req, d)

@@ -20,15 +20,17 @@ def scan_documents(docs: DataFrame, tenant) -> DataFrame:
 
 
 def upsert_documents(base: DataFrame, changes: DataFrame, key="id", version="updated_at") -> DataFrame:
-    """A4: rows of ``changes`` replace rows with the same key (latest
-    version wins; on a tie the change wins); new keys are inserted. A
-    ``max_by`` aggregate, so no key ever needs a sort of its own group."""
+    """A4: rows of ``changes`` replace rows of ``base`` (one per key) with the
+    same key (latest version wins; on a tie the change wins); new keys are
+    inserted. Only the changes are aggregated; the base meets them in one
+    join, which stays in place where AQE finds them small."""
     cols = base.columns
-    tagged = (base.select(*cols).withColumn("_src", F.lit(0))
-              .unionByName(changes.select(*cols).withColumn("_src", F.lit(1))))
-    best = tagged.groupBy(key).agg(F.max_by(F.struct(*[c for c in cols if c != key]),
-                                            F.struct(version, "_src")).alias("_r"))
-    return best.select(key, "_r.*").select(*cols)
+    last = changes.groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(F.struct(*cols), F.struct(version)).alias("_change"))
+    joined = base.join(last, base[key] == F.col("_key"), "full_outer")
+    wins = F.col("_key").isNotNull() & (base[key].isNull() | ~(base[version] > F.col(f"_change.{version}"))
+                                        | base[version].isNull())
+    return joined.select(*[F.when(wins, F.col(f"_change.{c}")).otherwise(base[c]).alias(c) for c in cols])
 
 
 def merge_into_table(spark, table: str, changes: DataFrame, key="id") -> None:
