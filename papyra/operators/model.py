@@ -268,22 +268,23 @@ def merge_groups(groups: DataFrame, mapping: DataFrame, group_cols=("user_id",),
 
 def conform_fields(doc_types: DataFrame, schema: DataFrame, values: DataFrame, key_col="doc_id",
                    type_col="type_name") -> DataFrame:
-    """Every document of a type gets exactly the type's fields in schema
-    order; missing → null; extra fields dropped; values cast to the field
+    """Every document of a type (``type_col``: one column or several) gets
+    exactly the type's fields in schema order; missing → null; extra fields dropped; values cast to the field
     type (numbers, dates, booleans; anything else as text). The pairing is
     documents x their own type's fields only, bounded by the schema size."""
-    s = schema.select(type_col, F.col("name").alias("field"), F.col("type").alias("ftype"), "position")
+    t = [type_col] if isinstance(type_col, str) else list(type_col)
+    s = schema.select(*t, F.col("name").alias("field"), F.col("type").alias("ftype"), "position")
     if doc_types is None:
         # values carry the document's type: one aggregate gives both the
         # values and the documents (one read of the field table)
-        vt = values.groupBy(key_col, type_col, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
+        vt = values.groupBy(key_col, *t, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
         v = vt.select(key_col, "field", "_raw")
-        doc_types = vt.select(key_col, type_col)
+        doc_types = vt.select(key_col, *t)
     else:
         v = values.groupBy(key_col, F.col("name").alias("field")).agg(F.min("value").alias("_raw"))
-    slots = doc_types.select(key_col, type_col).distinct().join(s, type_col)
+    slots = doc_types.select(key_col, *t).distinct().join(s, t)
     out = slots.join(v, [key_col, "field"], "left")
-    return out.select(key_col, type_col, "position", "field", "ftype",
+    return out.select(key_col, *t, "position", "field", "ftype",
                       convert_value("_raw", "ftype").alias("value"))
 
 
@@ -318,15 +319,16 @@ def _ordered_join(parts_col: str, order_col: str, sep: str) -> Column:
 
 
 def schema_context(types: DataFrame, docs: DataFrame, schema: DataFrame) -> DataFrame:
-    """Per tenant, each type with id, document count and its fields;
+    """Per tenant, each type with id, document count and its own fields
+    (``schema`` per tenant and type name);
     a tenant without types gets the count of its untyped documents."""
     cnt = docs.groupBy(F.col("document_type_id").alias("_tid")).agg(F.count(F.lit(1)).alias("_n"))
     line = F.format_string('    - "%s" (%s): %s%s', "name", "type", "name",
                            F.when(F.col("required"), " [required]").otherwise(""))
-    fl = schema.withColumn("_line", line).groupBy(F.col("type_name").alias("_tname")).agg(
+    fl = schema.withColumn("_line", line).groupBy(F.col("user_id").alias("_tuser"), F.col("type_name").alias("_tname")).agg(
         _ordered_join("_line", "position", "\n").alias("_fields"))
     t = (types.select("user_id", "id", "name").join(cnt, F.col("id") == F.col("_tid"), "left")
-         .join(fl, F.col("name") == F.col("_tname"), "left"))
+         .join(fl, (F.col("user_id") == F.col("_tuser")) & (F.col("name") == F.col("_tname")), "left"))
     block = F.concat(F.format_string('  Tipo "%s" (id=%d, %d documentos):', "name", "id",
                                      F.coalesce(F.col("_n"), F.lit(0))),
                      F.lit("\n"), F.coalesce(F.col("_fields"), F.lit("    (sin campos definidos)")))

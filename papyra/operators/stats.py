@@ -89,25 +89,29 @@ REQUIRED_SHARE = 0.5
 
 
 def consolidate_schema(fields: DataFrame, group_col="type_name", doc_col="doc_id",
-                       max_fields: int = MAX_SCHEMA_FIELDS) -> DataFrame:
-    """One schema per type. frequency = documents having the field /
-    documents of the type; required when >= 0.5; the type is the most
-    common normalised type (ties → alphabetical); at most ``max_fields``
-    fields by frequency then name. Duplicates inside a document count once."""
+                       max_fields: int | None = MAX_SCHEMA_FIELDS) -> DataFrame:
+    """One schema per type (``group_col``: one column or several, such as
+    tenant and type name, so that no tenant's fields shape another's type).
+    frequency = documents having the field / documents of the type; required
+    when >= 0.5; the type is the most common normalised type (ties →
+    alphabetical); at most ``max_fields`` fields (None: all) by frequency then
+    name. Duplicates inside a document count once."""
+    g = [group_col] if isinstance(group_col, str) else list(group_col)
     # one aggregate over the field table; everything else derives from it
-    base = fields.groupBy(group_col, "name", doc_col, normalize_field_type("type").alias("_t")).agg(
+    base = fields.groupBy(*g, "name", doc_col, normalize_field_type("type").alias("_t")).agg(
         F.count(F.lit(1)).alias("_c"))
-    n_docs = base.groupBy(group_col).agg(F.countDistinct(doc_col).alias("_n"))
-    having = base.groupBy(group_col, "name").agg(F.countDistinct(doc_col).alias("_have"))
-    tcount = base.groupBy(group_col, "name", "_t").agg(F.sum("_c").alias("_tc"))
-    best_t = tcount.groupBy(group_col, "name").agg(
+    n_docs = base.groupBy(*g).agg(F.countDistinct(doc_col).alias("_n"))
+    having = base.groupBy(*g, "name").agg(F.countDistinct(doc_col).alias("_have"))
+    tcount = base.groupBy(*g, "name", "_t").agg(F.sum("_c").alias("_tc"))
+    best_t = tcount.groupBy(*g, "name").agg(
         F.min(F.struct((-F.col("_tc")).alias("neg"), F.col("_t").alias("t"))).alias("_b"))
-    out = (having.join(best_t, [group_col, "name"]).join(n_docs, group_col)
-           .select(group_col, "name", F.col("_b.t").alias("type"),
+    out = (having.join(best_t, [*g, "name"]).join(n_docs, g)
+           .select(*g, "name", F.col("_b.t").alias("type"),
                    F.round(F.col("_have") / F.col("_n"), 6).alias("frequency"),
                    (F.col("_have") / F.col("_n") >= REQUIRED_SHARE).alias("required")))
-    w = Window.partitionBy(group_col).orderBy(F.col("frequency").desc(), F.col("name").asc())
-    return out.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max_fields)
+    w = Window.partitionBy(*g).orderBy(F.col("frequency").desc(), F.col("name").asc())
+    out = out.withColumn("position", F.row_number().over(w))
+    return out if max_fields is None else out.filter(F.col("position") <= max_fields)
 
 
 def populated_fields(docs: DataFrame, json_col="extracted_data") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model as MD
 from ..operators import stats as S
-from .catalog_stats import NORM_TYPE_SQL
+from .catalog_stats import D7_SQL, TENANT_TYPE
 from .registry import query
 
 TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
@@ -196,31 +196,20 @@ def q_merge_groups(fx):
 
 
 # ---------------------------------------------------------------- J5
-D7_SQL = f"""
-f7 AS (SELECT *, {NORM_TYPE_SQL} AS t FROM v_fields),
-n7 AS (SELECT type_name, count(DISTINCT doc_id) AS n FROM f7 GROUP BY 1),
-h7 AS (SELECT type_name, name, count(DISTINCT doc_id) AS have FROM f7 GROUP BY 1, 2),
-tc7 AS (SELECT type_name, name, t, count(*) AS c FROM f7 GROUP BY 1, 2, 3),
-bt7 AS (SELECT type_name, name, t FROM (SELECT *, row_number() OVER (PARTITION BY type_name, name ORDER BY c DESC, t) AS r FROM tc7) WHERE r = 1),
-o7 AS (SELECT h7.type_name, h7.name, bt7.t AS type, round(h7.have / n7.n, 6) AS frequency, h7.have / n7.n >= 0.5 AS required
-       FROM h7 JOIN bt7 ON h7.type_name = bt7.type_name AND h7.name = bt7.name JOIN n7 ON h7.type_name = n7.type_name),
-sch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type_name ORDER BY frequency DESC, name) AS position FROM o7)
-        WHERE position <= 30)"""
-
-
 CONFORM_CTE = f"""{D7_SQL},
-dt5 AS (SELECT DISTINCT doc_id, type_name FROM v_fields),
+dt5 AS (SELECT DISTINCT doc_id, user_id, type_name FROM v_fields),
 v5 AS (SELECT doc_id, name AS field, min(value) AS raw FROM v_fields GROUP BY 1, 2),
-slots5 AS (SELECT dt5.doc_id, dt5.type_name, sch.position, sch.name AS field, sch.type AS ftype FROM dt5 JOIN sch USING (type_name)),
-conf AS (SELECT s.doc_id, s.type_name, s.position, s.field, s.ftype, {convert_sql('v5.raw', 's.ftype')} AS value
+slots5 AS (SELECT dt5.doc_id, dt5.user_id, dt5.type_name, sch.position, sch.name AS field, sch.type AS ftype
+           FROM dt5 JOIN sch USING (user_id, type_name)),
+conf AS (SELECT s.doc_id, s.user_id, s.type_name, s.position, s.field, s.ftype, {convert_sql('v5.raw', 's.ftype')} AS value
          FROM slots5 s LEFT JOIN v5 ON s.doc_id = v5.doc_id AND s.field = v5.field)"""
 
 
 @query("conform_fields", f"WITH {CONFORM_CTE}\nSELECT * FROM conf")
 def q_conform_fields(fx):
     """Every document carries exactly its type's consolidated schema."""
-    schema = S.consolidate_schema(fx.v_fields)
-    return MD.conform_fields(None, schema, fx.v_fields)
+    schema = S.consolidate_schema(fx.v_fields, TENANT_TYPE)
+    return MD.conform_fields(None, schema, fx.v_fields, type_col=TENANT_TYPE)
 
 
 # ---------------------------------------------------------------- J6
@@ -245,11 +234,11 @@ def q_ocr_route(fx):
 @query("schema_context", f"""
 WITH {D7_SQL},
 cnt AS (SELECT document_type_id AS tid, count(*) AS n FROM v_documents GROUP BY 1),
-fl AS (SELECT type_name, string_agg(printf('    - "%s" (%s): %s%s', name, type, name, CASE WHEN required THEN ' [required]' ELSE '' END),
-         chr(10) ORDER BY position) AS fields FROM sch GROUP BY 1),
+fl AS (SELECT user_id, type_name, string_agg(printf('    - "%s" (%s): %s%s', name, type, name, CASE WHEN required THEN ' [required]' ELSE '' END),
+         chr(10) ORDER BY position) AS fields FROM sch GROUP BY 1, 2),
 td AS (SELECT t.user_id, t.id, printf('  Tipo "%s" (id=%d, %d documentos):', t.name, t.id, coalesce(c.n, 0)) || chr(10)
          || coalesce(fl.fields, '    (sin campos definidos)') AS block
-       FROM v_document_types t LEFT JOIN cnt c ON c.tid = t.id LEFT JOIN fl ON fl.type_name = t.name)
+       FROM v_document_types t LEFT JOIN cnt c ON c.tid = t.id LEFT JOIN fl ON fl.user_id = t.user_id AND fl.type_name = t.name)
 SELECT user_id, 'Tipos de documento del usuario y sus campos extraídos:' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY id) AS context
 FROM td GROUP BY user_id
 UNION ALL
@@ -257,7 +246,7 @@ SELECT user_id, printf('El usuario tiene %d documentos sin tipo definido.', coun
 FROM v_documents WHERE user_id NOT IN (SELECT user_id FROM v_document_types) GROUP BY user_id""")
 def q_schema_context(fx):
     """Per tenant, its types with document counts and field lists."""
-    return MD.schema_context(fx.v_document_types, fx.v_documents, S.consolidate_schema(fx.v_fields))
+    return MD.schema_context(fx.v_document_types, fx.v_documents, S.consolidate_schema(fx.v_fields, TENANT_TYPE))
 
 
 @query("build_prompt", """

@@ -13,6 +13,7 @@ from ..sources import objects as O
 from ..sources import tables as TB
 from .catalog_gates import TENANT
 from .catalog_model import CONFORM_CTE, SLUG_SQL_FN
+from .catalog_stats import TENANT_TYPE
 from .registry import query
 
 
@@ -92,8 +93,8 @@ def q_export_fields(fx):
     """Conformed documents as a wide table, one column per field."""
     # the schema is at most 30 fields per type: materialised once, it gives
     # the (bounded) column list of the pivot and drives the conform step
-    schema = cut_lineage(S.consolidate_schema(fx.v_fields))
-    conformed = MD.conform_fields(None, schema, fx.v_fields)
+    schema = cut_lineage(S.consolidate_schema(fx.v_fields, TENANT_TYPE))
+    conformed = MD.conform_fields(None, schema, fx.v_fields, type_col=TENANT_TYPE)
     names = sorted({r["name"] for r in schema.select("name").distinct().collect()})
     return TB.export_fields(conformed, names)
 

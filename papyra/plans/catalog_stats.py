@@ -116,19 +116,25 @@ NORM_TYPE_SQL = """CASE WHEN lower(trim(type)) IN ('number','integer','float','c
   WHEN lower(trim(type)) IN ('array','list') THEN 'array' ELSE 'string' END"""
 
 
-@query("consolidate_schema", f"""
-WITH f AS (SELECT *, {NORM_TYPE_SQL} AS t FROM v_fields),
-n AS (SELECT type_name, count(DISTINCT doc_id) AS n FROM f GROUP BY 1),
-h AS (SELECT type_name, name, count(DISTINCT doc_id) AS have FROM f GROUP BY 1, 2),
-tc AS (SELECT type_name, name, t, count(*) AS c FROM f GROUP BY 1, 2, 3),
-bt AS (SELECT type_name, name, t FROM (SELECT *, row_number() OVER (PARTITION BY type_name, name ORDER BY c DESC, t) AS r FROM tc) WHERE r = 1),
-o AS (SELECT h.type_name, h.name, bt.t AS type, round(h.have / n.n, 6) AS frequency, h.have / n.n >= 0.5 AS required
-      FROM h JOIN bt ON h.type_name = bt.type_name AND h.name = bt.name JOIN n ON h.type_name = n.type_name)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type_name ORDER BY frequency DESC, name) AS position FROM o)
-WHERE position <= 30""")
+# A schema belongs to one tenant's type.
+TENANT_TYPE = ("user_id", "type_name")
+D7_SQL = f"""
+f7 AS (SELECT *, {NORM_TYPE_SQL} AS t FROM v_fields),
+n7 AS (SELECT user_id, type_name, count(DISTINCT doc_id) AS n FROM f7 GROUP BY 1, 2),
+h7 AS (SELECT user_id, type_name, name, count(DISTINCT doc_id) AS have FROM f7 GROUP BY 1, 2, 3),
+tc7 AS (SELECT user_id, type_name, name, t, count(*) AS c FROM f7 GROUP BY 1, 2, 3, 4),
+bt7 AS (SELECT user_id, type_name, name, t FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, type_name, name ORDER BY c DESC, t) AS r FROM tc7) WHERE r = 1),
+o7 AS (SELECT user_id, type_name, name, bt7.t AS type, round(h7.have / n7.n, 6) AS frequency, h7.have / n7.n >= 0.5 AS required
+       FROM h7 JOIN bt7 USING (user_id, type_name, name) JOIN n7 USING (user_id, type_name)),
+sch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type_name ORDER BY frequency DESC, name) AS position FROM o7)
+        WHERE position <= 30)"""
+
+
+@query("consolidate_schema", f"WITH {D7_SQL}\nSELECT * FROM sch")
 def q_consolidate_schema(fx):
-    """One schema per type from the fields its documents carry."""
-    return S.consolidate_schema(fx.v_fields)
+    """One schema per tenant and type from the fields its documents carry."""
+    return S.consolidate_schema(fx.v_fields, TENANT_TYPE)
 
 
 @query("populated_fields", """
@@ -299,13 +305,8 @@ SELECT type_name, count(DISTINCT name) AS field_count, count(DISTINCT doc_id) AS
 FROM v_fields GROUP BY GROUPING SETS ((type_name), ())""")
 def q_inference_report(fx):
     """Per type field and sample counts, plus the totals row."""
-    f = fx.v_fields
-    per = f.groupBy("type_name").agg(F.countDistinct("name").alias("field_count"),
-                                     F.countDistinct("doc_id").alias("sample_count"))
-    tot = f.groupBy().agg(F.countDistinct("name").alias("field_count"),
-                          F.countDistinct("doc_id").alias("sample_count")).select(
-        F.lit(None).cast("string").alias("type_name"), "field_count", "sample_count")
-    return per.unionByName(tot)
+    return fx.v_fields.rollup("type_name").agg(F.countDistinct("name").alias("field_count"),
+                                               F.countDistinct("doc_id").alias("sample_count"))
 
 
 @query("chat_counts", """

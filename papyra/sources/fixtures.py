@@ -47,13 +47,13 @@ FROM customer c CROSS JOIN (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) A
                                    substr(o_orderpriority, 3) AS name FROM orders) p
 WHERE (c.c_custkey + p.k) % 3 <> 0""",
     "v_fields": """
-SELECT o_orderkey AS doc_id, substr(o_orderpriority, 3) AS type_name, 'cliente' AS name, 'string' AS type,
+SELECT o_orderkey AS doc_id, o_custkey AS user_id, substr(o_orderpriority, 3) AS type_name, 'cliente' AS name, 'string' AS type,
        CAST(o_custkey AS STRING) AS value FROM orders
-UNION ALL SELECT o_orderkey, substr(o_orderpriority, 3), 'total', CASE WHEN o_orderkey % 3 = 0 THEN 'currency' ELSE 'Number' END,
+UNION ALL SELECT o_orderkey, o_custkey, substr(o_orderpriority, 3), 'total', CASE WHEN o_orderkey % 3 = 0 THEN 'currency' ELSE 'Number' END,
        CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) FROM orders WHERE o_orderkey % 5 <> 0
-UNION ALL SELECT o_orderkey, substr(o_orderpriority, 3), 'fecha', 'datetime', substr(CAST(o_orderdate AS STRING), 1, 10)
+UNION ALL SELECT o_orderkey, o_custkey, substr(o_orderpriority, 3), 'fecha', 'datetime', substr(CAST(o_orderdate AS STRING), 1, 10)
        FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, substr(o_orderpriority, 3), 'estado', 'string', o_orderstatus FROM orders WHERE o_orderkey % 3 = 0""",
+UNION ALL SELECT o_orderkey, o_custkey, substr(o_orderpriority, 3), 'estado', 'string', o_orderstatus FROM orders WHERE o_orderkey % 3 = 0""",
     "v_subscriptions": """
 SELECT c_custkey AS user_id,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'starter' WHEN 'FURNITURE' THEN 'pro' WHEN 'HOUSEHOLD' THEN 'enterprise' ELSE 'free' END AS plan,
