@@ -65,15 +65,15 @@ def q_usage_by_period(fx):
 BILLING_SQL = """
 WITH e AS (SELECT * FROM v_billing_events WHERE customer_ref IN (SELECT customer_ref FROM v_subscriptions)),
 c AS (SELECT customer_ref, ts, event_id,
-  CASE WHEN event_type = 'checkout.session.completed' THEN coalesce(CASE price_id WHEN 'price_starter' THEN 'starter' WHEN 'price_pro' THEN 'pro' END, 'starter')
+  CASE WHEN event_type = 'checkout.session.completed' THEN coalesce(target_plan, 'starter')
        WHEN event_type = 'customer.subscription.updated' THEN CASE price_id WHEN 'price_starter' THEN 'starter' WHEN 'price_pro' THEN 'pro' END
        WHEN event_type = 'customer.subscription.deleted' THEN 'free' END AS w_plan,
   CASE WHEN event_type IN ('checkout.session.completed', 'customer.subscription.deleted') THEN true
        WHEN event_type = 'customer.subscription.updated' THEN status IN ('active', 'trialing')
        WHEN event_type = 'invoice.payment_failed' THEN false END AS w_active,
   CASE WHEN event_type = 'checkout.session.completed' THEN 0 END AS w_used,
-  CASE WHEN event_type = 'checkout.session.completed' THEN ts END AS w_start,
-  CASE WHEN event_type = 'checkout.session.completed' THEN ts + INTERVAL 30 DAY END AS w_end,
+  CASE event_type WHEN 'checkout.session.completed' THEN ts WHEN 'customer.subscription.updated' THEN period_start END AS w_start,
+  CASE event_type WHEN 'checkout.session.completed' THEN ts + INTERVAL 30 DAY WHEN 'customer.subscription.updated' THEN period_end END AS w_end,
   CASE WHEN event_type = 'checkout.session.completed' THEN true WHEN event_type = 'customer.subscription.deleted' THEN false END AS w_has_sub
   FROM e),
 l AS (SELECT customer_ref,

@@ -78,7 +78,10 @@ SELECT event_id, ts, CASE WHEN user_id % 10 = 0 THEN 'cus_unknown' ELSE concat('
   CASE event_type WHEN 'signup' THEN 'checkout.session.completed' WHEN 'purchase' THEN 'customer.subscription.updated'
        WHEN 'click' THEN 'customer.subscription.deleted' WHEN 'error' THEN 'invoice.payment_failed' ELSE 'other' END AS event_type,
   CASE event_id % 3 WHEN 0 THEN 'price_starter' WHEN 1 THEN 'price_pro' END AS price_id,
-  CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' ELSE 'past_due' END AS status
+  CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' ELSE 'past_due' END AS status,
+  CASE event_id % 5 WHEN 0 THEN 'starter' WHEN 1 THEN 'pro' WHEN 2 THEN 'enterprise' END AS target_plan,
+  CASE WHEN event_type = 'purchase' THEN ts END AS period_start,
+  CASE WHEN event_type = 'purchase' AND event_id % 7 <> 0 THEN ts + INTERVAL 31 DAY END AS period_end
 FROM events""",
     "v_object_keys": """
 SELECT id, user_id, filename, size_bytes,

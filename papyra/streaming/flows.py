@@ -108,20 +108,21 @@ CHECKOUT_DAYS = 30
 
 
 def billing_changes(events: DataFrame) -> DataFrame:
-    """Per event, the fields it writes (null = not written)."""
+    """Per event, the fields it writes (null = not written). A checkout names
+    its target plan; an update carries the plan's price and its period."""
     et = F.col("event_type")
     price_plan = F.element_at(F.create_map(*[F.lit(x) for kv in PRICE_PLANS.items() for x in kv]), F.col("price_id"))
     chk, upd = et == "checkout.session.completed", et == "customer.subscription.updated"
     dele, fail = et == "customer.subscription.deleted", et == "invoice.payment_failed"
     return events.select(
         "customer_ref", "ts", "event_id",
-        F.when(chk, F.coalesce(price_plan, F.lit("starter"))).when(upd, price_plan).when(dele, F.lit("free"))
+        F.when(chk, F.coalesce("target_plan", F.lit("starter"))).when(upd, price_plan).when(dele, F.lit("free"))
         .alias("w_plan"),
         F.when(chk | dele, F.lit(True)).when(upd, F.col("status").isin("active", "trialing"))
         .when(fail, F.lit(False)).alias("w_active"),
         F.when(chk, F.lit(0)).alias("w_used"),
-        F.when(chk, F.col("ts")).alias("w_start"),
-        F.when(chk, F.col("ts") + F.expr(f"INTERVAL {CHECKOUT_DAYS} DAYS")).alias("w_end"),
+        F.when(chk, F.col("ts")).when(upd, F.col("period_start")).alias("w_start"),
+        F.when(chk, F.col("ts") + F.expr(f"INTERVAL {CHECKOUT_DAYS} DAYS")).when(upd, F.col("period_end")).alias("w_end"),
         F.when(chk, F.lit(True)).when(dele, F.lit(False)).alias("w_has_sub"))
 
 

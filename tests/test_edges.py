@@ -13,6 +13,7 @@ from papyra.operators import model as MD
 from papyra.operators import stats as S
 from papyra.operators import windows as W
 from papyra.plans import jobs as K
+from papyra.sources import tables as TB
 
 
 def _one(spark, rows, schema, expr):
@@ -119,6 +120,27 @@ def test_consolidate_schema_edges(spark):
     assert out["all"].frequency == 1.0 and out["half"].required  # exactly 50 % is required
 
 
+def test_schemas_of_two_tenants_stay_apart(spark):
+    rows = [(1, 10, "Venta", "total", "number", "1"), (2, 10, "Venta", "fecha", "date", "2024-01-01"),
+            (3, 20, "Venta", "placa", "string", "x")]
+    f = spark.createDataFrame(rows, "doc_id bigint, user_id bigint, type_name string, name string, type string, value string")
+    keys = ("user_id", "type_name")
+    schema = S.consolidate_schema(f, keys)
+    assert {(r.user_id, r.name) for r in schema.collect()} == {(10, "total"), (10, "fecha"), (20, "placa")}
+    out = {(r.doc_id, r.field): r.value for r in MD.conform_fields(None, schema, f, type_col=keys).collect()}
+    assert out == {(1, "total"): "1", (1, "fecha"): None, (2, "total"): None, (2, "fecha"): "2024-01-01", (3, "placa"): "x"}
+    types = spark.createDataFrame([(5, 10, "Venta"), (6, 20, "Venta")], "id bigint, user_id bigint, name string")
+    docs = spark.createDataFrame([(1, 10, 5)], "id bigint, user_id bigint, document_type_id bigint")
+    text = {r.user_id: r.context for r in MD.schema_context(types, docs, schema).collect()}
+    assert "placa" not in text[10] and "total" not in text[20]
+
+
+def test_upsert_keeps_the_latest(spark):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "c", None)], "id bigint, v string, updated_at int")
+    new = spark.createDataFrame([(1, "x", 4), (2, "y", 5), (2, "z", 6), (3, "w", 1), (9, "n", 1)], "id bigint, v string, updated_at int")
+    assert {r.id: r.v for r in TB.upsert_documents(base, new).collect()} == {1: "a", 2: "z", 3: "w", 9: "n"}
+
+
 def test_repeat_requests(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(3, "h", base), (2, "h", base), (1, "h", base + dt.timedelta(hours=1)), (4, "g", base), (5, None, base),
