@@ -27,8 +27,6 @@ from .bpe import _slices
 from .common import id_text, stored
 
 Q = 32
-# A run has at most this many windows, so its slice is short.
-MOST_STARTS = 128
 # Window starts of a text handled in one array pass.
 BLOCK = 1 << 18
 # Different runs of a bucket that one task refines in memory; larger buckets
@@ -63,7 +61,9 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def text_runs(text: bytes, length: int) -> Iterator[tuple[int, int, int, int, bool]]:
     """Runs (first start, starts, bucket, hash of the slice, whether the
-    bucket's q-gram comes twice in it) that hold every window of a text once."""
+    bucket's q-gram comes twice in it) that hold every window of a text once.
+    One occurrence of a q-gram gives at most ``width`` neighbouring windows;
+    longer runs, where it is repeated, are cut to that, so slices stay short."""
     width = length - Q + 1
     for at in range(0, max(0, len(text) - length + 1), BLOCK):
         b = np.frombuffer(text, np.uint8, min(BLOCK + length - 1, len(text) - at), at)
@@ -71,10 +71,10 @@ def text_runs(text: bytes, length: int) -> Iterator[tuple[int, int, int, int, bo
         least = sliding_min(h, width)
         begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         sizes = np.diff(np.r_[begin, len(least)])
-        if (sizes > MOST_STARTS).any():
-            parts = -(-sizes // MOST_STARTS)
+        if (sizes > width).any():
+            parts = -(-sizes // width)
             k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin, sizes = np.repeat(begin, parts) + MOST_STARTS * k, np.minimum(np.repeat(sizes, parts) - MOST_STARTS * k, MOST_STARTS)
+            begin, sizes = np.repeat(begin, parts) + width * k, np.minimum(np.repeat(sizes, parts) - width * k, width)
         for p, n, v in zip(begin.tolist(), sizes.tolist(), least[begin], strict=True):
             twice = np.count_nonzero(h[p:p + n + width - 1] == v) > 1
             yield at + p, n, int(v), xxhash.xxh3_64_intdigest(text[at + p:at + p + n + length - 1]), twice
