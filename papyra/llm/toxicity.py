@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, _slices
-from .common import id_text
+from .common import id_text, stored
 
 WORD = re.compile(r"\w+")
 # Lengths of the beginnings of a word that back its own rate off, short first.
@@ -195,19 +196,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     def total(y: int, counted: bool) -> Column:
         return F.sum(F.when((F.col("y") == y) & (F.col("counted") | F.lit(not counted)), F.col("n")).otherwise(0))
 
-    table = (sample.select("text", "_y", "_fold").mapInArrow(count, "feature string, y int, counted boolean, n long")
-             .groupBy("feature").agg(total(1, True).alias("c1"), total(0, True).alias("c0"),
-                                     total(1, False).alias("a1"), total(0, False).alias("a0"))
-             .filter((F.col("a1") + F.col("a0") >= min_docs) | (F.col("feature") == ""))).toPandas()
+    table = stored(sample.select("text", "_y", "_fold").mapInArrow(count, "feature string, y int, counted boolean, n long")
+                   .groupBy("feature").agg(total(1, True).alias("c1"), total(0, True).alias("c0"),
+                                           total(1, False).alias("a1"), total(0, False).alias("a0"))
+                   .filter((F.col("a1") + F.col("a0") >= min_docs) | (F.col("feature") == "")), "features")
 
-    def scored(n1: str, n0: str) -> dict[str, float] | None:
-        counts = dict(zip(table["feature"], zip(table[n1].tolist(), table[n0].tolist(), strict=True), strict=True))
+    def scored(rows: pd.DataFrame, n1: str, n0: str) -> dict[str, float] | None:
+        counts = dict(zip(rows["feature"], zip(rows[n1].tolist(), rows[n0].tolist(), strict=True), strict=True))
         toxic, clean = counts.pop("", (0, 0))
         counts = {f: c for f, c in counts.items() if sum(c) >= min_docs}
         return word_scores(counts, toxic, clean, prior, drift) if toxic and clean else None
 
+    # a feature of clean documents alone matters only where it corrects a positive beginning
+    known_features = table.filter("a1 > 0 OR feature = ''").toPandas()
+    positive = {f[:STEMS[0]] for n in ("c", "a") for f, s in (scored(known_features, f"{n}1", f"{n}0") or {}).items()
+                if f.endswith("*") and s > 0}
+    if positive:
+        clean_too = table.filter("a1 = 0").filter(F.substring("feature", 1, STEMS[0]).isin(sorted(positive)))
+        known_features = pd.concat([known_features, clean_too.toPandas()])
     neutral = ToxicityModel({}, drift, 0.0, 1.0, significance, (0.0, 0.0, 0.0))
-    scores = scored("c1", "c0")
+    scores = scored(known_features, "c1", "c0")
     if scores is None:
         return neutral
     draft = ToxicityModel(scores, drift, 0.0, 1.0, significance, (0.0, 0.0, 0.0))
@@ -235,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     for size, found in zip(sizes.tolist(), rest["found"], strict=True):
         s = [judge.surprise(size, v) for v in found]
         x.append((1.0, math.log1p(max(s, default=0.0)), math.log1p(sum(v for v in s if v >= least))))
-    return ToxicityModel(scored("a1", "a0") or scores, drift, location, scale, significance, logistic(np.array(x), y))
+    return ToxicityModel(scored(known_features, "a1", "a0") or scores, drift, location, scale, significance, logistic(np.array(x), y))
 
 
 def gumbel(best: np.ndarray, log_words: np.ndarray) -> tuple[float, float]:
