@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import id_text
 
 # Entries a worker's memo may hold before it starts anew; results do not depend on it.
-MEMO = 600_000
+MEMO = 500_000
 NEVER = 1 << 62
 # A space between two white-space characters (or before the end) belongs to a
 # run that the pattern splits as a whole.
@@ -37,15 +37,19 @@ _IN_RUN = re.compile(r"\s (?!\S)")
 
 
 class Memo(dict):
-    """Bounded memo of ``fn``: emptied when full."""
+    """Bounded memo of ``fn`` in two generations: when the young one is full it
+    becomes the old one, from which entries in use move up again."""
 
     def __init__(self, fn, limit: int = MEMO):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -58,6 +62,15 @@ def word_parts(text: str) -> list[str] | None:
     return None if _IN_RUN.search(text) else text.split(" ")
 
 
+# Marks that make a match of their own after a word of letters.
+MARKS = frozenset(".,;:!?")
+
+
+def is_marked_word(part: str) -> bool:
+    """Letters and one mark, as "word,": two matches of the pattern."""
+    return part[-1:] in MARKS and part[:-1].isalpha()
+
+
 def read_ranks(blob: bytes) -> dict[bytes, int]:
     """A rank file: one base64 token and its rank per line."""
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, blob.splitlines())}
@@ -78,7 +91,8 @@ class BytePairEncoder:
         self.halves = Memo(self._halves)
         self.fits = Memo(self._fits, 2 * MEMO)
         self.shorter = Memo(self._shorter)
-        self.after_space = Memo(lambda part: self._packed(" " + part))
+        self.after_space = Memo(self._after_space)
+        self.after_word = Memo(self._packed)
 
     def _halves(self, token: int) -> tuple[int, int] | None | bool:
         """The two tokens whose merge makes ``token``; None for a single byte,
@@ -121,41 +135,45 @@ class BytePairEncoder:
         b = self.tokens[token]
         return next((k for k in range(len(b) - 1, 0, -1) if b[:k] in self.ranks), 0)
 
-    def _longest(self, piece: str, pos: int) -> int:
-        """Length of the longest token at ``pos``: down from the deepest trie
-        node on the path to the first that is a token."""
-        length = self.trie.longest_prefix(piece[pos:pos + self.most])
-        while piece[pos:pos + length] not in self.ranks:
-            length -= 1
-        return length
-
     def encode_piece(self, piece: str) -> list[int]:
-        ranks, tokens, fits = self.ranks, self.tokens, self.fits
+        ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        tokens, fits, most, deepest = self.tokens, self.fits, self.most, self.trie.longest_prefix
         n = len(piece)
-        is_open = bytearray(b"\x01") * (n + 1)
+        closed: set[int] = set()
         out: list[int] = []
-        pos, length, left = 0, self._longest(piece, 0), 0
+        pos = left = length = 0
         while pos < n:
-            token = ranks[piece[pos:pos + length]]
-            if is_open[pos + length] and fits[left << 32 | token]:
+            if not length:  # longest token here: down from the deepest trie node on the path
+                length = deepest(piece[pos:pos + most])
+                while (token := ranks.get(piece[pos:pos + length])) is None:
+                    length -= 1
+            if pos + length not in closed and fits[left << 32 | token]:
                 out.append(token)
                 left = token + 1
                 pos += length
-                if pos < n:
-                    length = self._longest(piece, pos)
+                length = 0
                 continue
             length = self.shorter[token]
             while not length:  # nothing may start here: never come back, change the token before
-                is_open[pos] = 0
+                closed.add(pos)
                 last = out.pop()
                 left = out[-1] + 1 if out else 0
                 pos -= len(tokens[last])
                 length = self.shorter[last]
+            token = ranks[piece[pos:pos + length]]
         return out
 
+    def _after_space(self, part: str) -> bytes:
+        if part.isalpha():
+            ids = self.encode_piece((" " + part).encode().decode("latin-1"))
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if is_marked_word(part):
+            return self.after_space[part[:-1]] + self.after_word[part[-1]]
+        return self._packed(" " + part)
+
     def _packed(self, text: str) -> bytes:
         ids: list[int] = []
         for piece in self.pattern.findall(text):

@@ -10,7 +10,9 @@ them side by side in numpy.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, _slices, word_parts
+from .bpe import Memo, _slices, is_marked_word, word_parts
 from .common import id_text, shared_path
 
 # Fixed values of the format.
@@ -142,20 +144,47 @@ def from_bytes(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, n
     return [None if z else d for d, z in zip(doc_ids.tolist(), null.tolist(), strict=True)], sizes, offsets, words
 
 
+def byte_characters() -> dict[int, str]:
+    """Characters that byte-level tokenizer files write for bytes: printable
+    Latin-1 stands for itself, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(blob: bytes):
+    """``encode(text)``: ids of a whole text as little-endian 32-bit integers.
+
+    A byte-level tokenizer with the usual pattern and no normaliser cuts a
+    text before the space of each word, so parts can be encoded alone: words
+    of letters by the library's merge model, other parts by its ``encode``,
+    both memoised. Any other tokenizer, and texts with a special token or with
+    runs of white space that straddle a cut, are encoded in one call."""
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_buffer(blob)
+    file = json.loads(blob)
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+    cut = file.get("pre_tokenizer") or {}
+    by_words = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex"), file.get("normalizer"),
+                file["model"].get("type"), file["model"].get("dropout")) == ("ByteLevel", False, True, None, "BPE", None)
+    merge, character = tok.model.tokenize, byte_characters()
 
     def ids_of(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    after_space = Memo(lambda part: ids_of(" " + part))
+    def word(part: str) -> bytes:
+        if part.isalpha():
+            ids = [t.id for t in merge((" " + part).encode().decode("latin-1").translate(character))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if is_marked_word(part):
+            return after_space[part[:-1]] + after_word[part[-1]]
+        return ids_of(" " + part)
+
+    after_space, after_word = Memo(word), Memo(ids_of)
 
     def encode(text: str) -> bytes:
-        parts = None if any(s in text for s in specials) else word_parts(text)
+        parts = None if not by_words or any(s in text for s in specials) else word_parts(text)
         if parts is None:
             return ids_of(text)
         return ids_of(parts[0]) + b"".join(map(after_space.__getitem__, parts[1:]))
@@ -170,10 +199,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     ascending document id (null first). Returns the folder, which also gets
     the Parquet table ``manifest`` (file, n_docs, n_ids).
 
-    The tokenizer splits a text before the space of each word, so words are
-    encoded apart and memoised; texts with runs of white space that straddle
-    such a cut, or with a special token, are encoded in one call.
-
     Documents are range-partitioned by (id, text hash) and sorted inside each
     partition by Spark (both spill); a task holds at most ``file_ids`` ids
     beside one text. A file is written under a name of its own and renamed
