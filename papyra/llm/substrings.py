@@ -33,7 +33,7 @@ BLOCK = 1 << 18
 # are refined by window with distributed counts.
 BUCKET_RUNS = 1024
 # Bytes of slices refined in one array pass.
-WAVE_BYTES = 4 << 20
+WAVE_BYTES = 1 << 20
 
 _BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
