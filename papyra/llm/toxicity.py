@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,20 +56,26 @@ def held_out(doc_id: Column) -> Column:
 
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last, total) of a text whose words
-    score ``-drift`` except the given (place, score) ones, ascending by place.
-
-    One pass with running totals: a new positive score opens a segment; while
-    an earlier one starts lower and ends lower, the two and all between join.
-    Each segment points to the nearest earlier one that starts lower, so the
-    search back is linear in all."""
-    first, last, low, high, back = [], [], [], [], []
-    total, seen = 0.0, 0
+    score ``-drift`` except the given (place, score) ones, ascending by place."""
+    rises, total, seen = [], 0.0, 0
     for place, score in scores:
         total -= drift * (place - seen)
         seen = place + 1
         before, total = total, total + score
-        if score <= 0:
-            continue
+        if score > 0:
+            rises.append((place, before, total))
+    return maximal(rises)
+
+
+def maximal(rises: Iterable[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first, last, total) from the running total
+    before and after every positive score, ascending by place.
+
+    A positive score opens a segment; while an earlier one starts lower and
+    ends lower, the two and all between join. Each segment points to the
+    nearest earlier one that starts lower, so the search back is linear in all."""
+    first, last, low, high, back = [], [], [], [], []
+    for place, before, total in rises:
         a, z, lo, hi = place, place, before, total
         j = len(first) - 1
         while True:
@@ -94,18 +100,20 @@ class Scorer:
         return next((self.model.scores[f] for f in reversed(features(word)) if f in self.model.scores),
                     -self.model.drift)
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words and the maximal segments. A positive word scores
-        where it comes first and nothing where it is repeated: repeats are no
-        further evidence."""
+    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float, bool]]]:
+        """Number of words and the maximal segments, every word scored wherever
+        it occurs; the mark tells a passage from a copy of an earlier one."""
         words = WORD.findall(text.lower())
-        drift = -self.model.drift
-        marked, met = [], set()
-        for i, s in enumerate(map(self.of.__getitem__, words)):
-            if s != drift:
-                marked.append((i, s if s <= 0 or words[i] not in met else 0.0))
-                met.add(words[i])
-        return len(words), segments(marked, self.model.drift)
+        own = np.fromiter(map(self.of.__getitem__, words), float, len(words))
+        total = np.concatenate([[0.0], np.cumsum(own)])
+        hot = np.flatnonzero(own > 0)
+        found = maximal(zip(hot.tolist(), total[hot].tolist(), total[hot + 1].tolist(), strict=True))
+        met, out = set(), []
+        for first, last, score in found:
+            passage = tuple(words[first:last + 1])
+            out.append((first, last, score, passage not in met))
+            met.add(passage)
+        return len(words), out
 
     def surprise(self, n_words: int, score: float) -> float:
         """-ln of the chance that a clean text of this length has so good a segment."""
@@ -115,18 +123,24 @@ class Scorer:
         p = -math.expm1(-e)
         return -math.log(max(p, 1e-300))
 
-    def evidence(self, text: str) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """Best surprise, log of the joint surprise of the significant
-        passages, and those passages (first, last word, surprise)."""
-        n, found = self.passages(text)
-        judged = [(a, z, self.surprise(n, s)) for a, z, s in found]
-        good = [x for x in judged if x[2] >= -math.log(self.model.significance)]
-        return (max((x[2] for x in judged), default=0.0), math.log1p(sum(x[2] for x in good)), good)
+    def weigh(self, n_words: int, found: list[tuple[float, bool]]) -> tuple[float, float, list[float]]:
+        """Log of the best surprise, log of the joint surprise of the
+        significant passages, each distinct one once (copies are no further
+        evidence), and the surprise of every (score, distinct) passage."""
+        judged = [self.surprise(n_words, s) for s, _ in found]
+        joint = sum(x for x, (_, distinct) in zip(judged, found, strict=True) if distinct and self.significant(x))
+        return math.log1p(max(judged, default=0.0)), math.log1p(joint), judged
+
+    def significant(self, surprise: float) -> bool:
+        return surprise >= -math.log(self.model.significance)
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        best, joint, good = self.evidence(text)
+        """Probability, and all significant passages (first, last word, surprise)."""
+        n, found = self.passages(text)
+        best, joint, judged = self.weigh(n, [(s, distinct) for _, _, s, distinct in found])
+        good = [(a, z, x) for (a, z, _, _), x in zip(found, judged, strict=True) if self.significant(x)]
         b, w1, w2 = self.model.weights
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, b + w1 * math.log1p(best) + w2 * joint)))), good
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, b + w1 * best + w2 * joint)))), good
 
 
 def _logit(p: float) -> float:
@@ -227,9 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
             found = [scorer.passages(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([k for k, _ in found], pa.int64()),
-                 pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64()))], ["y", "n", "found"])
+                 pa.array([[s for _, _, s, _ in x] for _, x in found], pa.list_(pa.float64())),
+                 pa.array([[d for *_, d in x] for _, x in found], pa.list_(pa.bool_()))], ["y", "n", "found", "distinct"])
 
-    rest = sample.filter("_fold = 0").select("text", "_y").mapInArrow(best, "y int, n long, found array<double>").toPandas()
+    rest = sample.filter("_fold = 0").select("text", "_y").mapInArrow(
+        best, "y int, n long, found array<double>, distinct array<boolean>").toPandas()
     y = rest["y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return neutral
@@ -238,11 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     location, scale = gumbel(top[y == 0], np.log(sizes[y == 0]))
     fitted = ToxicityModel(scores, drift, location, scale, significance, (0.0, 0.0, 0.0))
     judge = Scorer(fitted)
-    least = -math.log(significance)
-    x = []
-    for size, found in zip(sizes.tolist(), rest["found"], strict=True):
-        s = [judge.surprise(size, v) for v in found]
-        x.append((1.0, math.log1p(max(s, default=0.0)), math.log1p(sum(v for v in s if v >= least))))
+    x = [(1.0, *judge.weigh(size, list(zip(found, distinct, strict=True)))[:2])
+         for size, found, distinct in zip(sizes.tolist(), rest["found"], rest["distinct"], strict=True)]
     return ToxicityModel(scored(known_features, "a1", "a0") or scores, drift, location, scale, significance, logistic(np.array(x), y))
 
 

@@ -105,6 +105,19 @@ def test_sample_is_bounded(spark):
     assert model.scores
 
 
+def test_repeated_passages_are_all_found_and_count_once():
+    model = toxicity.ToxicityModel({"vile": 2.0, "rotten": 2.0, "nasty": 2.0}, 1.0, 0.0, 0.5, 0.01, (-3.0, 0.0, 2.0))
+    gap = " plain" * 20
+    score = toxicity.Scorer(model).score
+    copies, twice = score("vile rotten nasty" + gap + " vile rotten nasty" + gap)
+    assert [(a, z) for a, z, _ in twice] == [(0, 2), (23, 25)]
+    alone, once = score("vile rotten nasty" + gap + " plain plain plain" + gap)
+    assert copies == alone and len(once) == 1
+    # words met before, far apart, do not hide a dense passage
+    _, late = score("vile" + gap + " rotten" + gap + " nasty" + gap + " nasty vile rotten")
+    assert [(a, z) for a, z, _ in late] == [(63, 65)]
+
+
 def test_query_leaves_clean_documents_alone(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
     got = queries.QUERIES["op9_toxicity"](spark, SF_SMALL).collect()
