@@ -32,8 +32,9 @@ STEMS = (4, 5, 6)
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``scores``: words and beginnings ("beginning*") with a score of their
-    own; every other word scores ``-drift``. ``location`` and ``scale`` are the
+    """``scores``: log-odds less ``drift`` of the words and beginnings
+    ("beginning*") of the vocabulary; words unknown by any of them score
+    ``-drift``. ``location`` and ``scale`` are the
     Gumbel law of the best segment's score less scale * ln(words); ``weights``
     turn (1, best surprise, log of joint surprise) into the logit."""
     scores: dict[str, float]
@@ -148,8 +149,7 @@ def _logit(p: float) -> float:
 
 
 def word_scores(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float, drift: float) -> dict[str, float]:
-    """Scores of the features worth keeping: positive ones, and others that
-    correct a positive beginning of theirs."""
+    """Log-odds less the drift of every counted feature, positive or not."""
     base = (toxic + 0.5) / (toxic + clean + 1)
     rate: dict[str, float] = {}
 
@@ -162,9 +162,7 @@ def word_scores(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prio
             rate[f] = (n1 + prior * above) / (n1 + n0 + prior)
         return rate[f]
 
-    scores = {f: _logit(theta(f)) - _logit(base) - drift for f in counts}
-    hot = {f for f, s in scores.items() if s > 0}
-    return {f: s for f, s in scores.items() if s > 0 or any(p in hot for p in features(f.rstrip("*")) if p != f)}
+    return {f: _logit(theta(f)) - _logit(base) - drift for f in counts}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_docs: int = 3, prior: float = 16.0,
@@ -221,13 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
         counts = {f: c for f, c in counts.items() if sum(c) >= min_docs}
         return word_scores(counts, toxic, clean, prior, drift) if toxic and clean else None
 
-    # a feature of clean documents alone matters only where it corrects a positive beginning
-    known_features = table.filter("a1 > 0 OR feature = ''").toPandas()
-    positive = {f[:STEMS[0]] for n in ("c", "a") for f, s in (scored(known_features, f"{n}1", f"{n}0") or {}).items()
-                if f.endswith("*") and s > 0}
-    if positive:
-        clean_too = table.filter("a1 = 0").filter(F.substring("feature", 1, STEMS[0]).isin(sorted(positive)))
-        known_features = pd.concat([known_features, clean_too.toPandas()])
+    known_features = table.toPandas()
     neutral = ToxicityModel({}, drift, 0.0, 1.0, significance, (0.0, 0.0, 0.0))
     scores = scored(known_features, "c1", "c0")
     if scores is None:

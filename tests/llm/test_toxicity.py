@@ -118,6 +118,15 @@ def test_repeated_passages_are_all_found_and_count_once():
     assert [(a, z) for a, z, _ in late] == [(63, 65)]
 
 
+def test_every_counted_word_keeps_its_log_odds():
+    scores = toxicity.word_scores({"mild": (20, 60), "pure": (0, 400), "vile": (90, 0)}, 100, 900, 16.0, 1.0)
+    assert -0.5 < scores["mild"] < 0 and scores["pure"] < -3 and scores["vile"] > 2
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(scores, 1.0, 0.0, 0.5, 0.01, (0.0, 1.0, 1.0)))
+    mild = " ".join(["vile", *["mild"] * 12, "vile"])
+    assert [(a, z) for a, z, *_ in scorer.passages(mild)[1]] == [(0, 13)]
+    assert [(a, z) for a, z, *_ in scorer.passages("vile pure vile")[1]] == [(0, 0), (2, 2)]
+
+
 def test_query_leaves_clean_documents_alone(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
     got = queries.QUERIES["op9_toxicity"](spark, SF_SMALL).collect()
