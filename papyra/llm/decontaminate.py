@@ -42,6 +42,12 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
 
 
+def allowed(size: int, span: int, errors: int) -> int:
+    """Substitutions in a window of ``size`` words: in proportion to ``span``,
+    rounded down, so very short items are met exactly."""
+    return errors * size // span
+
+
 def seeds(h: np.ndarray, span: int, errors: int) -> np.ndarray:
     """Hash of every window under every mask: masks x windows."""
     n = len(h) - span + 1
@@ -72,18 +78,21 @@ def _windows(ids: pa.Array, extra: pa.Array, hits: list[tuple[int, np.ndarray, n
 
 
 def test_seeds(benchmark: DataFrame, span: int, errors: int, id_col: str, text_col: str) -> DataFrame:
-    """``item_id, seed, item_window`` of every window of every item."""
+    """``item_id, seed, item_window`` of every window of every item; an item
+    of fewer than ``span`` words is one window of its whole length."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
+            hits: dict[int, list] = {}
             for r, text in enumerate(batch.column(1).to_pylist()):
                 h = word_hashes(text or "")
-                s = seeds(h, span, errors)
-                if s.shape[1]:
-                    w = np.lib.stride_tricks.sliding_window_view(h, span)
-                    hits.append((r, s.reshape(-1), np.tile(w, (len(s), 1))))
-            yield _windows(batch.column(0), batch.column(0), hits, ["item_id", "item", "seed", "item_window"])
+                size = min(len(h), span)
+                if size:
+                    s = seeds(h, size, allowed(size, span, errors))
+                    w = np.lib.stride_tricks.sliding_window_view(h, size)
+                    hits.setdefault(size, []).append((r, s.reshape(-1), np.tile(w, (len(s), 1))))
+            for found in hits.values():
+                yield _windows(batch.column(0), batch.column(0), found, ["item_id", "item", "seed", "item_window"])
 
     base = benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].alias("text"))
     kind = base.schema["item_id"].dataType.simpleString()
@@ -112,20 +121,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 12, errors: in
     """``doc_id, text_hash, item_id, n_windows, same_words`` for each text and
     item that share a window of ``span`` words (letters and digits, lower
     case) with at most ``errors`` substitutions: how many windows of the item,
-    and the most equal words in one.
+    and the most equal words in one. An item of fewer words is one window of
+    its whole length, with ``errors`` scaled down (by 12 and 2: one from 6
+    words on, none below); texts are scanned for the lengths that occur.
 
     Test seeds are stored once. Training texts are scanned in place; only
     seeds that the bitmap of test seeds cannot rule out leave the scan, with
     their window, and meet the test seeds in an equi-join, whose hot seeds AQE
     splits. Windows are compared natively.
 
-    Null or empty texts, and texts and items of fewer than ``span`` words,
-    share no window. Null and repeated ids take part; rows that repeat id and
+    Texts and items without a word, and texts shorter than the item's windows,
+    share none. Null and repeated ids take part; rows that repeat id and
     text give one result. An empty table gives no rows.
     """
     tests = stored(test_seeds(benchmark, span, errors, item_id, item_text), "test-seeds")
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(tests))
     low = np.uint64((1 << BITMAP_BITS) - 1)
+    sizes = sorted(r[0] for r in tests.select(F.size("item_window")).distinct().collect())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = bits.value
@@ -137,25 +149,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 12, errors: in
 
         for batch in batches:
             for part in _slices(batch):
-                hits = []
+                hits: dict[int, list] = {}
                 for r, text in enumerate(part.column(1).to_pylist()):
                     h = word_hashes(text or "")
-                    s = seeds(h, span, errors)
-                    mask, at = np.nonzero(may_hit(s, 0))
-                    if len(at):
-                        ok = may_hit(s[mask, at], BITMAP_BITS)
-                        mask, at = mask[ok], at[ok]
-                    if len(at):
-                        hits.append((r, s[mask, at], np.lib.stride_tricks.sliding_window_view(h, span)[at]))
-                if hits:
-                    yield _windows(part.column(0), part.column(2), hits, names)
+                    for size in sizes:
+                        s = seeds(h, size, allowed(size, span, errors))
+                        mask, at = np.nonzero(may_hit(s, 0))
+                        if len(at):
+                            ok = may_hit(s[mask, at], BITMAP_BITS)
+                            mask, at = mask[ok], at[ok]
+                        if len(at) and len(s) == 1:  # an exact window again is the same row again
+                            at = at[np.unique(s[0, at], return_index=True)[1]]
+                            mask = np.zeros_like(at)
+                        if len(at):
+                            hits.setdefault(size, []).append(
+                                (r, s[mask, at], np.lib.stride_tricks.sliding_window_view(h, size)[at]))
+                for found in hits.values():
+                    yield _windows(part.column(0), part.column(2), found, names)
 
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
                        F.xxhash64(docs[text_col]).alias("text_hash"))
     kind = base.schema["doc_id"].dataType.simpleString()
     found = base.mapInArrow(rows, f"doc_id {kind}, text_hash long, seed long, window array<long>")
     same = F.aggregate(F.zip_with("window", "item_window", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (found.join(tests, "seed").withColumn("same", same).filter(F.col("same") >= span - errors)
+    size = F.size("item_window")
+    return (found.join(tests, "seed").filter(F.size("window") == size).withColumn("same", same)
+            .filter(F.col("same") >= size - F.floor(size * errors / span))
             .groupBy("doc_id", "text_hash", "item_id")
             .agg(F.count_distinct("item_window").alias("n_windows"), F.max("same").alias("same_words")))
 

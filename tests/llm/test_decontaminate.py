@@ -75,6 +75,20 @@ def test_edge_rows(spark):
     assert decontaminate.find_leaks(edges.frame(spark), bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame(
+        [(1, "Capital of France?"), (2, "one two three four five six seven"), (3, "solo"), (4, " ".join(f"v{i}" for i in range(11)))],
+        "item_id long, text string")
+    eleven = [f"v{i}" for i in range(11)]
+    docs = [(1, "what is the CAPITAL of France today, capital of france"), (2, "capital of spain"),
+            (3, "a one two THREE x five six seven b"), (4, "one two three x y six seven"), (5, "solo solo solo"),
+            (6, " ".join(eleven)), (7, " ".join(["z", *eleven[:4], "x", *eleven[5:]])), (8, " ".join(["x", "x", *eleven[2:]])),
+            (9, "of"), (10, "")]
+    got = decontaminate.find_leaks(edges.frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.same_words) for r in got} == {
+        (1, 1): (1, 3), (3, 2): (1, 6), (5, 3): (1, 1), (6, 4): (1, 11), (7, 4): (1, 10)}
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
