@@ -17,23 +17,34 @@ ROUNDS = 10
 # Formats, tried in this order at each place of a text.
 _BEFORE = r"(?<![\p{L}\p{N}_])(?<!\p{N}[.])"
 _AFTER = r"(?![\p{L}\p{N}_])(?![.]\p{N})"
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}[.]\d{2}[.]\d{4}"
+_IP = r"\d{1,3}(?:[.]\d{1,3}){3}"
+_SSN_FORM = r"\d{3}-\d{2}-\d{4}"
+_CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
+# National digits of country codes that have one length only, so that a number after the phone is not read as part of it.
+_NATIONAL = {10: "1|7|52|57|91", 9: "31|33|34|41|48|61|351", 8: "45|47|65"}
+# 8 to 15 digits, spelt out: Java bounds no group repeated in a look-behind.
+_SIZED = "(?<=" + "|".join("[+]" + r"[ .()-]{0,3}\d" * n + "[)]?" for n in range(8, 16)) + ")"
+_GROUPS = r"[+]\d{1,3}(?:[ .-]?%s(?:[(]\d{1,4}[)]|\d{1,4})){2,6}" + _AFTER + _SIZED
+_PHONE = "|".join([
+    *(rf"[+](?:{codes})(?:[ .-]?[(]0[)])?(?:[ .-]?[(]?\d[)]?){{{n}}}{_AFTER}" for n, codes in _NATIONAL.items()),
+    # other codes: as many groups as make 15 digits at most, up to a value of another format if that leaves a phone
+    _GROUPS % f"(?!(?<= )(?:{_DATE}|{_IP}|{_SSN_FORM}|{_CARD}){_AFTER})", _GROUPS % ""])
 _FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:[.][\p{L}\p{N}-]{1,63}){0,8}[.]\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": r"(?<=(?i:token|secret|password|key)[^\p{L}\p{N}\"']{0,6}[=:][^\p{L}\p{N}\"']{0,6}[\"'])[0-9A-Fa-f]{16,128}(?=[\"'])",
-    "date": _BEFORE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}[.]\d{2}[.]\d{4})" + _AFTER,
-    "ip": _BEFORE + r"\d{1,3}(?:[.]\d{1,3}){3}" + _AFTER,
-    "phone": r"(?:(?<![\p{L}\p{N}_+])[+]\d{1,3}(?:[ .-]?(?:[(]\d{1,4}[)]|\d{1,4})){2,6}|" + _BEFORE
-             + r"(?:[(]\d{3}[)] |\d{3}-)\d{3}-\d{4})" + _AFTER,
-    "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
-    "card": _BEFORE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})" + _AFTER,
+    "date": _BEFORE + rf"(?:\d{{4}}-\d{{2}}-\d{{2}}(?=[Tt]\d{{2}}:?\d{{2}})|(?:{_DATE}){_AFTER})",
+    "ip": _BEFORE + _IP + _AFTER,
+    "phone": rf"(?:(?<![\p{{L}}\p{{N}}_+])(?:{_PHONE})|" + _BEFORE + r"(?:[(]\d{3}[)] |\d{3}-)\d{3}-\d{4}" + _AFTER + ")",
+    "ssn": _BEFORE + _SSN_FORM + _AFTER,
+    "card": _BEFORE + f"(?:{_CARD})" + _AFTER,
 }
 KINDS = tuple(_FORMATS)
 _ANY = "|".join(_FORMATS.values())
 # Shapes that tell the kinds of a match apart, without what surrounds it.
 _SHAPES = {
-    "email": "@", "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}[.]\d{2}[.]\d{4})$",
-    "ip": r"^\d{1,3}(?:[.]\d{1,3}){3}$", "ssn": r"^\d{3}-\d{2}-\d{4}$",
-    "phone": r"^[+(]|^\d{3}-\d{3}-\d{4}$", "card": r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})$",
+    "email": "@", "date": f"^(?:{_DATE})$", "ip": f"^{_IP}$", "ssn": f"^{_SSN_FORM}$",
+    "phone": r"^[+(]|^\d{3}-\d{3}-\d{4}$", "card": f"^(?:{_CARD})$",
 }
 # 1900-01-01 to 2099-12-31: 73,049 days = 17 * 4297. SSN areas 001-899 but 666, groups 01-99, serials 0001-9999.
 _DAYS, _SSN = (17, 4297), (898, 99 * 9999)
@@ -139,11 +150,18 @@ def _ssn(m: Column, key: str) -> Column:
         F.floor(p["r"] / 9999) + 1, p["r"] % 9999 + 1))
 
 
+def _read(m: Column, month: int, day: int) -> Column:
+    return F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, month, 2), F.substring(m, day, 2)).try_cast("date")
+
+
+def _month_first(m: Column) -> Column:
+    """Whether the day comes second: only where the day-first reading is no date."""
+    return ~m.rlike("^\\d{4}-") & _read(m, 4, 1).isNull()
+
+
 def _day(m: Column) -> Column:
     """The date of a match, null if there is none in the range."""
-    iso = F.when(m.rlike("^\\d{4}-"), m).otherwise(
-        F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = iso.try_cast("date")
+    day = F.when(m.rlike("^\\d{4}-"), m.try_cast("date")).otherwise(F.coalesce(_read(m, 4, 1), _read(m, 1, 4)))
     return F.when(day.between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")), day)
 
 
@@ -152,6 +170,8 @@ def _date(m: Column, key: str) -> Column:
     pair = feistel(F.floor(k / _DAYS[1]), k % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, F.lit("date"))
     new = _named(pair, lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * _DAYS[1] + p["r"]).cast("int")))
     return _named(new, lambda n: F.when(m.rlike("^\\d{4}-"), F.date_format(n, "yyyy-MM-dd"))
+                  .when(_month_first(m), F.when(m.contains("/"), F.date_format(n, "MM/dd/yyyy"))
+                        .otherwise(F.date_format(n, "MM.dd.yyyy")))
                   .when(m.contains("/"), F.date_format(n, "dd/MM/yyyy")).otherwise(F.date_format(n, "dd.MM.yyyy")))
 
 

@@ -51,6 +51,23 @@ def test_formats_stay(spark):
     assert got[8].text[:3] not in ("000", "666") and not got[8].text.startswith("9")
 
 
+def test_numbers_after_a_phone_and_date_times(spark):
+    texts = ["+1 (017) 555-7713", "+1 (017) 555-7713 2024-01-31", "+1 (017) 555-7713 12 people", "2024-01-31",
+             "+49 30 1234567", "+49 30 1234567 2024-01-31", "+49 30 1234567 4026083977531332", "+49 30 1234567 123-45-6789",
+             "1984-05-17T10:00:00Z", "1984-05-17", "12/25/1999", "1999-12-25", "+33 1 42.68.53.00", "+44 20 7123 4567 89012345"]
+    got = _rewrite(spark, texts)
+    out = [got[i].text for i in range(len(texts))]
+    assert out[0] != texts[0] and out[1] == f"{out[0]} {out[3]}" and out[2] == f"{out[0]} 12 people"
+    assert out[4] != texts[4] and out[3] != texts[3] and out[5] == f"{out[4]} {out[3]}"
+    assert out[6].startswith(out[4] + " ") and out[6][-16:] != texts[6][-16:] and _luhn(out[6][-16:])
+    assert out[7].startswith(out[4] + " ") and out[7][-11:] != texts[7][-11:] and got[7].n_ssn == 1
+    assert out[8] == f"{out[9]}T10:00:00Z" and out[9] != texts[9]
+    month, day, year = out[10].split("/")
+    assert f"{year}-{month}-{day}" == out[11] != texts[11]
+    assert got[12].n_phone == 1 and out[12][-11:] != texts[12][-11:]
+    assert got[13].n_phone == 1 and out[13][:16] != texts[13][:16] and out[13][16:] == texts[13][16:]
+
+
 def test_what_fails_its_check_stays(spark):
     texts = ["1234567812345678", "999.1.1.1", "1.2.3.4.5", "version 4.0.", "2023-02-29", "31.02.2003", "000-12-3456",
              "666-12-1234", "+1 23", "x4026083977531332", "user@host", "deadbeefdeadbeefdeadbeef", "", None]
