@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import is_others as is_others_expr
@@ -341,28 +341,36 @@ def schema_context(types: DataFrame, docs: DataFrame, schema: DataFrame) -> Data
     return typed.unionByName(untyped)
 
 
-def types_description(catalogue: DataFrame) -> Column:
-    """The numbered catalogue block of the classify prompt, as a scalar
-    subquery (the catalogue is a handful of rows)."""
-    tl = catalogue.groupBy("type_id", "type_name", "description").agg(
+def types_description(catalogue: DataFrame) -> DataFrame:
+    """The numbered catalogue block of the classify prompt (``types``): one row
+    per ``user_id`` of a per-tenant catalogue, one row for a shared one."""
+    keys = [c for c in ("user_id",) if c in catalogue.columns]
+    tl = catalogue.groupBy(*keys, "type_id", "type_name", "description").agg(
         _ordered_join("label", "position", ", ").alias("labels"))
-    tl = tl.withColumn("rn", F.row_number().over(Window.orderBy("type_id")))
-    tl = tl.withColumn("line", F.format_string('%d. "%s": %s | Campos: %s', "rn", "type_name",
+    tl = tl.withColumn("line", F.format_string('"%s": %s | Campos: %s', "type_name",
                                                F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("-")),
                                                "labels"))
-    return tl.groupBy().agg(_ordered_join("line", "rn", "\n")).scalar()
+    numbered = F.transform(F.array_sort(F.collect_list(F.struct("type_id", "line"))),
+                           lambda t, i: F.format_string("%d. %s", i + 1, t["line"]))
+    return tl.groupBy(*keys).agg(F.array_join(numbered, "\n").alias("types"))
 
 
 def classify_prompts(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id",
                      max_chars: int | None = None) -> DataFrame:
     """H31: 'Classify this document' prompt per document, with the whole text;
-    ``max_chars`` cuts it with a mark, for models of a bounded context."""
+    ``max_chars`` cuts it with a mark, for models of a bounded context. With a
+    per-tenant catalogue a prompt lists the types of the document's tenant only."""
     from ..functions.text import truncate_marked
     text = truncate_marked(text_col, max_chars, "...(truncated)") if max_chars else F.col(text_col)
-    prompt = F.concat(F.lit("Classify this document. Available types:\n"),
-                      F.coalesce(types_description(catalogue), F.lit("")),
-                      F.lit("\n\nDocument text:\n"), F.coalesce(text, F.lit("")))
-    return docs.select(key_col, prompt.alias("prompt"))
+    described = types_description(catalogue)
+    if "user_id" in catalogue.columns:
+        rows = docs.select(F.col(key_col), F.col("user_id").alias("_tenant"), text.alias("_text")).join(
+            described.select(F.col("user_id").alias("_tenant"), F.col("types").alias("_types")), "_tenant", "left")
+    else:
+        rows = docs.select(F.col(key_col), text.alias("_text"), described.scalar().alias("_types"))
+    prompt = F.concat(F.lit("Classify this document. Available types:\n"), F.coalesce("_types", F.lit("")),
+                      F.lit("\n\nDocument text:\n"), F.coalesce("_text", F.lit("")))
+    return rows.select(key_col, prompt.alias("prompt"))
 
 
 def classify_with_model(docs: DataFrame, catalogue: DataFrame, fn: ModelFn, threshold: float | None = None,

@@ -260,7 +260,7 @@ p AS (SELECT d.doc_id, 'Classify this document. Available types:' || chr(10) ||
       FROM v_labeled_documents d)
 SELECT doc_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM p""")
 def q_build_prompt(fx):
-    """The classification prompt of every document."""
+    """H31 (classify only): the classification prompt of every document."""
     p = MD.classify_prompts(fx.v_labeled_documents, fx.v_type_catalogue, max_chars=3000)
     return p.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_len"))
 

@@ -266,3 +266,16 @@ def test_lexical_classify_per_tenant(spark):
     out = {r.doc_id: r for r in MD.lexical_classify(docs, cat, tenant_col="user_id").collect()}
     assert out[10].best_type_name == "Factura" and out[11].best_type_name == "Recibo"  # own catalogue only
     assert out[12].best_type_id is None and out[12].is_others
+
+
+def test_prompt_lists_only_the_tenants_types(spark):
+    cat = spark.createDataFrame([(1, 7, "Invoice", "bills", "Total", 2), (1, 7, "Invoice", "bills", "Date", 1),
+                                 (1, 9, "Memo", None, "To", 1), (2, 8, "Letter", "", "From", 1)],
+                                "user_id long, type_id long, type_name string, description string, label string, position int")
+    docs = spark.createDataFrame([(10, 1, "a"), (11, 2, "b"), (12, 3, "c"), (13, None, None)], "doc_id long, user_id long, text string")
+    frame = "Classify this document. Available types:\n%s\n\nDocument text:\n%s"
+    got = {r.doc_id: r.prompt for r in MD.classify_prompts(docs, cat).collect()}
+    assert got == {10: frame % ('1. "Invoice": bills | Campos: Date, Total\n2. "Memo": - | Campos: To', "a"),
+                   11: frame % ('1. "Letter": - | Campos: From', "b"), 12: frame % ("", "c"), 13: frame % ("", "")}
+    shared = MD.classify_prompts(docs, cat.filter("user_id = 2").drop("user_id")).collect()
+    assert {r.prompt for r in shared} == {frame % ('1. "Letter": - | Campos: From', t) for t in ("a", "b", "c", "")}
