@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, id_text
+from .common import SPACES, ascii_lower, free_name, id_text
 
 
 def _key(line: Column) -> Column:
@@ -78,11 +78,11 @@ def clean_documents(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
     their names; rows that repeat id and text are cleaned alike.
     """
     base = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    hits = _hits(base, min_chars, min_docs).select(F.col("hit_id").alias("_hit_id"), F.col("hit_row").alias("_hit_row"),
-                                                   F.col("dropped").alias("_dropped"))
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_hit_id"))
-                       & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hit_row")), "left")
-    changed = F.when(F.col("_dropped").isNotNull(), _kept(docs["text"], F.col("_dropped")))
+    hit_id, hit_row, dropped = (free_name(docs, c) for c in ("_hit_id", "_hit_row", "_dropped"))
+    hits = _hits(base, min_chars, min_docs).toDF(hit_id, hit_row, dropped)
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(F.col(hit_id))
+                       & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hit_row)), "left")
+    changed = F.when(F.col(dropped).isNotNull(), _kept(docs["text"], F.col(dropped)))
     new = {"text": F.coalesce(changed, docs["text"])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length(changed).cast(docs.schema["n_chars"].dataType), docs["n_chars"])

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 10
 # Formats, tried in this order at each place of a text.
 _BEFORE = r"(?<![\p{L}\p{N}_])(?<!\p{N}[.])"
@@ -217,9 +219,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     input column named like a count is replaced by the count.
     """
     text = docs[text_col]
+    found, made = free_name(docs, "_hits"), free_name(docs, "_new")
     some = text.rlike("[0-9@=]")
     hits = F.when(some, F.regexp_extract_all(text, F.lit(_ANY), 0)).otherwise(F.array().cast("array<string>"))
-    read = docs.withColumn("_hits", F.transform(hits, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
+    read = docs.withColumn(found, F.transform(hits, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
 
     def new(h: Column) -> Column:
         m, out = h["m"], F
@@ -228,12 +231,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             out = out.when(h["kind"] == kind, make(m, key))
         return out.otherwise(m)
 
-    read = read.withColumn("_new", F.transform("_hits", new))
+    read = read.withColumn(made, F.transform(found, new))
     gaps = F.split(text, _ANY, -1)
-    whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
-    changed = F.exists("_hits", lambda h: h["kind"].isNotNull())
+    whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(made), i), F.lit("")))), "")
+    changed = F.exists(found, lambda h: h["kind"].isNotNull())
     out = read.withColumn(text_col, F.when(changed, whole).otherwise(F.col(text_col)))
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("_hits", lambda h: h["kind"] == kind)), F.lit(0)).cast("long")
+        return F.coalesce(F.size(F.filter(found, lambda h: h["kind"] == kind)), F.lit(0)).cast("long")
 
-    return out.withColumns({f"n_{kind}": count(kind) for kind in KINDS}).drop("_hits", "_new")
+    return out.withColumns({f"n_{kind}": count(kind) for kind in KINDS}).drop(found, made)

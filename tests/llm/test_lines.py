@@ -60,6 +60,14 @@ def test_pipeline_form(spark):
     assert len(changed) == len(expected) and all(r.n_chars == len(r.text) for r in changed)
 
 
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(i, edges.LINE, "a", "b", "c") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hit_id string, _hit_row string, _dropped string")
+    got = lines.clean_documents(df)
+    assert got.columns == df.columns
+    assert edges.bag(tuple(r) for r in got.collect()) == edges.bag((i, edges.LINE if i == 5 else "", *"abc") for i in range(6))
+
+
 def test_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")

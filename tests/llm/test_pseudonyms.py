@@ -89,6 +89,12 @@ def test_edge_rows(spark, rows):
     assert edges.bag((r.doc_id, r.text) for r in got.collect()) == edges.bag(rows)
 
 
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "on 2024-02-29", "x", "y")], "doc_id long, text string, _hits string, _NEW string")
+    (got,) = pseudonyms.pseudonymise(df, "k").collect()
+    assert got["_hits"] == "x" and got["_NEW"] == "y" and got.n_date == 1 and got.text != "on 2024-02-29"
+
+
 def test_query_leaves_no_value_and_no_clean_text_changed(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     found = 0
