@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, pseudonyms, repetition, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, decontaminate, filter_audit, lines, pseudonyms, repetition, sharding, simhash, substrings, token_files, toxicity
 from .common import documents
 
 # The registered query's key is fixed so that its result can be checked; a
@@ -67,10 +67,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), length=200, with_text=False)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of all 120 orders of the five filters for every source; edge
+    rows as in ``filter_audit.filter_masks``."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_bpe, op2_repetition_quality, op3_simhash, op4_decontaminate,
     op5_token_files, op6_pseudonyms, op7_line_dedup, op8_shuffle_shards,
-    op9_toxicity, op10_substrings)}
+    op9_toxicity, op10_substrings, op12_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
@@ -90,4 +96,41 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+
+    "op12_filter_audit": r"""
+WITH words AS (
+  SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT doc_id, coalesce(source, '') AS part,
+         (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM words),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, s AS step, 1 << (ascii(filter_order[s]) - 65) AS bit,
+         list_sum([0] || list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS prior
+  FROM orders, range(1, 6) AS r(s)),
+figures AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & (prior | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & prior <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & prior = 0), 0) AS toxic_lost
+  FROM counts, (SELECT filter_order, step, bit::INT AS bit, prior::INT AS prior FROM steps)
+  GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM figures""",
 }
