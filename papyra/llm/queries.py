@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, lines, pseudonyms, repetition, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, decontaminate, filter_audit, lines, pseudonyms, ranked_search, repetition, sharding, simhash, substrings, token_files, toxicity
 from .common import documents
 
 # The registered query's key is fixed so that its result can be checked; a
@@ -73,10 +73,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item; edge rows as in
+    ``ranked_search.ranked_search``."""
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_bpe, op2_repetition_quality, op3_simhash, op4_decontaminate,
     op5_token_files, op6_pseudonyms, op7_line_dedup, op8_shuffle_shards,
-    op9_toxicity, op10_substrings, op12_filter_audit)}
+    op9_toxicity, op10_substrings, op12_filter_audit, op13_ranked_search)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
@@ -133,4 +139,27 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM figures""",
+
+    "op13_ranked_search": r"""
+WITH held AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM held GROUP BY doc, term),
+size AS (SELECT doc, sum(tf)::BIGINT AS n FROM tf GROUP BY doc),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+       FROM tf, corpus GROUP BY term, n_docs),
+asked AS (
+  SELECT DISTINCT row, item_id, term FROM (
+    SELECT row_number() OVER () AS row, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+scored AS (
+  SELECT row, any_value(item_id) AS item_id, tf.doc, any_value(doc_id) AS doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN size ON size.doc = tf.doc, corpus
+  GROUP BY row, tf.doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
