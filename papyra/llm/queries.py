@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, lines, pseudonyms, ranked_search, repetition, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, decontaminate, embedding_dedup, filter_audit, lines, pseudonyms, ranked_search, repetition, sharding, simhash, substrings, token_files, toxicity
 from .common import documents
 
 # The registered query's key is fixed so that its result can be checked; a
@@ -67,6 +67,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), length=200, with_text=False)
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding; edge rows as in
+    ``embedding_dedup.near_duplicates``."""
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of all 120 orders of the five filters for every source; edge
     rows as in ``filter_audit.filter_masks``."""
@@ -82,7 +88,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_bpe, op2_repetition_quality, op3_simhash, op4_decontaminate,
     op5_token_files, op6_pseudonyms, op7_line_dedup, op8_shuffle_shards,
-    op9_toxicity, op10_substrings, op12_filter_audit, op13_ranked_search)}
+    op9_toxicity, op10_substrings, op11_embeddings, op12_filter_audit, op13_ranked_search)}
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
@@ -103,6 +109,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
 
+    "op11_embeddings": r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, low) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.vec_id WHERE r.low < l.b),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(low) AS component_id, min(low) = r.vec_id AS kept
+FROM reach r LEFT JOIN counts USING (vec_id) GROUP BY r.vec_id""",
+
     "op12_filter_audit": r"""
 WITH words AS (
   SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
