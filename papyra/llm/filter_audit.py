@@ -31,7 +31,7 @@ DUPLICATE = 1 << FILTERS.index("E")
 # First prefix length in bytes, and by what it grows where a prefix is crowded.
 PREFIX, GROWTH = 16, 4
 # Bytes of text that one prefix may hold, and that one trie (in a task) is filled with.
-CROWDED, TRIE_BYTES = 16 << 20, 32 << 20
+CROWDED, TRIE_BYTES = 1 << 20, 32 << 20
 MAX_RANGES = 20_000
 
 
@@ -94,24 +94,33 @@ def crowded_prefixes(docs: DataFrame, limit: int = CROWDED) -> dict[int, np.ndar
     """Hashes of the prefixes, by length, that hold more than ``limit`` bytes
     of text, or a 2^20th of all bytes if that is more: at most 2^20 hashes a
     length, whatever the table. Lengths grow until none is crowded or the
-    texts end."""
+    texts end. The texts are read twice at most: for the first length, and
+    once for all longer prefixes of those under a crowded one."""
     raw = utf8(F.col("text"))
     sizes = docs.select(F.octet_length(raw).cast("long").alias("size"), raw.alias("raw"))
     head = lambda length: F.xxhash64(F.substring("raw", 1, length))
+    weighed = (F.sum("size").alias("size"), F.max("size").alias("longest"))
+    counts = stored(sizes.groupBy(head(PREFIX).alias("h")).agg(*weighed), "prefixes")
+    total, longest = counts.agg(F.sum("size"), F.max("longest")).first()
+    limit = max(limit, (total or 0) >> 20)
     found: dict[int, np.ndarray] = {}
-    length, rest = PREFIX, sizes.select("size", head(PREFIX).alias("h"))
+    length, rest = PREFIX, None
     while True:
-        counts = rest.groupBy("h").agg(F.sum("size").alias("size"))
-        if not found:
-            counts = stored(counts, "prefixes")
-            limit = max(limit, (counts.agg(F.sum("size")).first()[0] or 0) >> 20)
-        heavy = stored(counts.filter(F.col("size") > limit).select("h"), "crowded")
-        found[length] = np.sort(np.array([r.h for r in heavy.collect()], np.int64).view(np.uint64))
+        heavy = stored(counts.filter(F.col("size") > limit).select(F.col("h").alias("was")), "crowded")
+        found[length] = np.sort(np.array([r.was for r in heavy.collect()], np.int64).view(np.uint64))
         if not len(found[length]):
             return found
-        longer = sizes.filter(F.col("size") > length).select("size", head(length).alias("was"), head(length * GROWTH).alias("h"))
-        rest = longer.join(heavy.withColumnRenamed("h", "was"), "was").select("size", "h")
-        length *= GROWTH
+        if rest is None:
+            longer = [PREFIX * GROWTH ** k for k in range(1, 32) if PREFIX * GROWTH ** (k - 1) < longest]
+            under = sizes.filter(F.col("size") > PREFIX).withColumn("was", head(PREFIX)).join(heavy, "was")
+            rest = stored(under.select("size", F.col("was").alias(f"h{PREFIX}"), *[
+                F.when(F.col("size") > n // GROWTH, head(n)).alias(f"h{n}") for n in longer]), "longer-prefixes")
+        was, length = length, length * GROWTH
+        if f"h{length}" not in rest.columns:
+            found[length] = np.empty(0, np.uint64)
+            return found
+        counts = (rest.select("size", F.col(f"h{was}").alias("was"), F.col(f"h{length}").alias("h")).filter("h IS NOT NULL")
+                  .join(heavy, "was").groupBy("h").agg(*weighed))
 
 
 def adaptive_prefix(text: bytes, crowded: dict[int, np.ndarray]) -> bytes:
