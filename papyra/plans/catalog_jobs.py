@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from . import changes as CH
 from . import jobs as K
 from .catalog_gates import TENANT
 from .catalog_model import J3_CTE, KEY_SQL, LINE_RE, SLUG_SQL_FN, convert_sql, j2_sql
@@ -250,31 +252,63 @@ SELECT id AS doc_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS u
 FROM v_documents"""
 
 
-@query("confirm_types", f"""
-WITH r AS ({CONFIRM_REQ_SQL}),
-j AS (SELECT r.*, d.user_id AS owner, d.status, d.inferred_type, d.extracted_data,
-        coalesce(nullif(r.type_name, ''), nullif(d.inferred_type, ''), 'Tipo Sin Nombre') AS final_name
-      FROM r LEFT JOIN v_documents d ON r.doc_id = d.id AND r.user_id = d.user_id),
-bn AS (SELECT user_id AS nu, name AS nn, min(id) AS nid FROM v_document_types GROUP BY 1, 2),
-k AS (SELECT j.*, a.id AS aid, a.name AS aname, bn.nid,
-        coalesce(len(list_filter(from_json(coalesce(json_extract(j.extracted_data, '$.fields'), json_extract(j.extracted_data, '$.key_fields')),
-          '[{{"value":"VARCHAR"}}]'), lambda x: x.value IS NOT NULL AND x.value <> '')), 0) = 0 AS low_conf
-      FROM j LEFT JOIN v_document_types a ON j.type_id = a.id AND j.user_id = a.user_id
-      LEFT JOIN bn ON bn.nu = j.user_id AND bn.nn = j.final_name),
-res AS (SELECT *, CASE WHEN owner IS NULL THEN 'error' WHEN status <> 'pending_confirmation' THEN 'error'
-          WHEN action = 'cancel' THEN 'deleted' WHEN action = 'assign_type' AND aid IS NULL THEN 'error' ELSE 'completed' END AS result FROM k)
-SELECT doc_id, user_id, action, result,
-  CASE WHEN result = 'completed' THEN CASE WHEN action = 'assign_type' THEN aid ELSE nid END END AS type_id,
-  CASE WHEN result = 'completed' THEN CASE WHEN action = 'assign_type' THEN aname ELSE final_name END END AS type_name,
-  (result = 'completed' AND action = 'create_type' AND nid IS NULL) AS new_type,
-  CASE WHEN result = 'completed' AND action = 'assign_type' THEN low_conf END AS low_confidence,
-  CASE WHEN owner IS NULL THEN 'Documento no encontrado'
-       WHEN status <> 'pending_confirmation' THEN printf('El documento no está pendiente de confirmación (status: %s)', status)
-       WHEN action = 'assign_type' AND type_id IS NULL THEN 'typeId es requerido para assign_type'
-       WHEN action = 'assign_type' AND aid IS NULL THEN 'Tipo de documento no encontrado' END AS message
-FROM res""")
-def q_confirm_types(fx):
-    """K4: create / assign / cancel requests against every document."""
+# Parts that K4 and K5 share: fields of a document, schema of a type, what a
+# document holds after it is extracted again (``chosen``: doc_id, type_id).
+STORED_CTE = """
+parsed AS (SELECT id, json_extract_string(extracted_data, '$.summary') AS summary,
+  from_json(coalesce(json_extract(extracted_data, '$.fields'), json_extract(extracted_data, '$.key_fields')),
+            '[{"name":"VARCHAR","type":"VARCHAR","value":"VARCHAR"}]') AS fs FROM v_documents),
+held AS (SELECT id AS doc_id, unnest(range(1, len(fs) + 1)) AS pos, unnest(fs) AS f FROM parsed)"""
+
+
+def _made_cte(type_expr: str, described: str) -> str:
+    return f"""
+firsts AS (SELECT user_id, name, min(doc_id) AS doc_id FROM wanted GROUP BY 1, 2),
+made AS (
+  SELECT (SELECT max(id) FROM v_types) + row_number() OVER (ORDER BY w.user_id, w.name) AS id, w.user_id, w.name, {described} AS description,
+    to_json({{'fields': list({{'name': h.name, 'type': h.ntype, 'label': h.name, 'required': false, 'description': ''}} ORDER BY pos)}})::VARCHAR AS field_schema
+  FROM firsts w JOIN parsed p ON p.id = w.doc_id JOIN (SELECT doc_id, pos, f.name AS name, {type_expr} AS ntype FROM (SELECT *, f.type AS type FROM held)) h
+    ON h.doc_id = w.doc_id GROUP BY w.user_id, w.name, p.summary),
+types_after AS (SELECT id, user_id, name, description, field_schema FROM v_types UNION ALL SELECT * FROM made)"""
+
+
+IMAGE_CTE = f"""
+schemas AS (SELECT id AS type_id, unnest(range(1, len(fs) + 1)) AS position, unnest(fs) AS s FROM (
+  SELECT id, from_json(json_extract(field_schema, '$.fields'), '[{{"name":"VARCHAR","type":"VARCHAR"}}]') AS fs FROM types_after)),
+vals AS (SELECT doc_id, f.name AS name, min(f.value) AS value FROM held GROUP BY 1, 2),
+slots AS (SELECT c.doc_id, position, s.name AS field, s.type AS ftype, v.value AS raw FROM chosen c JOIN schemas USING (type_id)
+          LEFT JOIN vals v ON v.doc_id = c.doc_id AND v.name = s.name),
+conf AS (SELECT doc_id, position, field, ftype, {convert_sql('raw', 'ftype')} AS value FROM slots),
+packed AS (SELECT doc_id, count(nullif(value, '')) AS populated,
+             to_json(list({{'name': field, 'type': ftype, 'value': value}} ORDER BY position))::VARCHAR AS fields FROM conf GROUP BY 1),
+images AS (SELECT c.doc_id, c.type_id, coalesce(populated, 0) AS populated,
+             concat('{{"summary":', coalesce(to_json(p.summary)::VARCHAR, 'null'), ',"fields":', coalesce(fields, '[]'), '}}') AS data
+           FROM chosen c JOIN parsed p ON p.id = c.doc_id LEFT JOIN packed USING (doc_id))"""
+
+AFTER_SQL = """SELECT id, user_id, CAST(coalesce(i.type_id, document_type_id) AS BIGINT) AS document_type_id, filename,
+  CASE WHEN i.doc_id IS NOT NULL THEN 'completed' ELSE status END AS status, confidence_score, inferred_type, size_bytes,
+  coalesce(i.data, extracted_data) AS extracted_data, created_at
+FROM v_documents LEFT JOIN images i ON i.doc_id = id"""
+
+CONFIRM_CTE = f"""
+r AS ({CONFIRM_REQ_SQL}),
+j AS (SELECT r.*, d.user_id AS owner, d.status, d.filename,
+        CASE WHEN action = 'create_type' THEN coalesce(nullif(r.type_name, ''), nullif(d.inferred_type, ''), 'Tipo Sin Nombre')
+             WHEN action = 'assign_type' THEN a.name END AS final_name, a.id AS aid
+      FROM r LEFT JOIN v_documents d ON r.doc_id = d.id AND r.user_id = d.user_id
+      LEFT JOIN v_types a ON r.type_id = a.id AND r.user_id = a.user_id),
+bn AS (SELECT user_id AS nu, name AS nn, min(id) AS nid FROM v_types GROUP BY 1, 2),
+res AS (SELECT *, CASE WHEN owner IS NULL OR status <> 'pending_confirmation' THEN 'error' WHEN action = 'cancel' THEN 'deleted'
+                       WHEN action = 'assign_type' AND aid IS NULL THEN 'error' ELSE 'completed' END AS result
+        FROM j LEFT JOIN bn ON nu = user_id AND nn = final_name),{STORED_CTE},
+wanted AS (SELECT user_id, final_name AS name, doc_id FROM res WHERE result = 'completed' AND action = 'create_type' AND nid IS NULL),
+{_made_cte(NORM_TYPE_SQL, "coalesce(nullif(p.summary, ''), concat('Tipo \"', w.name, '\" creado desde batch'))").strip()},
+chosen AS (SELECT res.doc_id, coalesce(CASE WHEN action = 'assign_type' THEN aid END, nid, m.id) AS type_id
+           FROM res LEFT JOIN made m ON m.user_id = res.user_id AND m.name = final_name WHERE result = 'completed'),
+{IMAGE_CTE.strip()}"""
+
+
+def _confirm(fx):
     d = fx.v_documents
     req = d.select(
         F.col("id").alias("doc_id"),
@@ -285,28 +319,119 @@ def q_confirm_types(fx):
         .alias("type_id"),
         F.when((F.col("id") % 3 == 2) & (F.col("id") % 4 == 0), F.concat(F.lit("Tipo "), F.col("inferred_type")))
         .when((F.col("id") % 3 == 2) & (F.col("id") % 4 == 1), F.lit("")).alias("type_name"))
-    return K.confirm_types(req, d, fx.v_document_types)
+    return CH.confirm_changes(req, d, fx.v_types)
+
 
+@query("confirm_types", f"""
+WITH {CONFIRM_CTE}
+SELECT res.doc_id, user_id, action, result, c.type_id,
+  CASE WHEN result = 'completed' THEN final_name END AS type_name,
+  (result = 'completed' AND action = 'create_type' AND nid IS NULL) AS new_type,
+  CASE WHEN result = 'completed' AND action = 'assign_type' THEN i.populated = 0 END AS low_confidence,
+  CASE WHEN result = 'completed' THEN concat_ws('/', CAST(user_id AS VARCHAR), 'tipos', {SLUG_SQL_FN('final_name')}, filename) END AS typed_key,
+  CASE WHEN owner IS NULL THEN 'Documento no encontrado'
+       WHEN status <> 'pending_confirmation' THEN printf('El documento no está pendiente de confirmación (status: %s)', status)
+       WHEN action = 'assign_type' AND r_type IS NULL THEN 'typeId es requerido para assign_type'
+       WHEN action = 'assign_type' AND aid IS NULL THEN 'Tipo de documento no encontrado' END AS message
+FROM (SELECT *, type_id AS r_type FROM res) res LEFT JOIN (SELECT doc_id, type_id FROM chosen) c ON c.doc_id = res.doc_id
+LEFT JOIN images i ON i.doc_id = res.doc_id""")
+def q_confirm_types(fx):
+    """K4: create / assign / cancel requests against every document."""
+    return _confirm(fx).results
 
-@query("resolve_pending", """
-WITH a AS (
+
+@query("confirm_documents", f"""
+WITH {CONFIRM_CTE}
+{AFTER_SQL} WHERE id NOT IN (SELECT doc_id FROM res WHERE result = 'deleted')""")
+def q_confirm_documents(fx):
+    """K4: the document table after the requests: completed ones extracted
+    again to their type's schema, cancelled ones gone."""
+    return CH.apply_changes(fx.v_documents, fx.v_types, _confirm(fx))[0]
+
+
+@query("confirm_type_table", f"WITH {CONFIRM_CTE}\nSELECT * FROM types_after")
+def q_confirm_type_table(fx):
+    """K4: the type table after the requests, new types with their ids."""
+    return CH.apply_changes(fx.v_documents, fx.v_types, _confirm(fx))[1]
+
+
+RESOLVE_SQL = """
   SELECT id AS document_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
     CASE WHEN id % 4 = 1 THEN concat(inferred_type, ' nuevo') ELSE inferred_type END AS type_name,
     CASE WHEN id % 2 = 0 THEN user_id * 10 + (id % 5) + 1 END AS type_id
-  FROM v_documents WHERE status = 'pending_confirmation')
+  FROM v_documents WHERE status = 'pending_confirmation'"""
+
+
+@query("resolve_pending", f"""
+WITH a AS ({RESOLVE_SQL})
 SELECT a.user_id, count(*) AS total, count(d.id) AS completed
 FROM a LEFT JOIN v_documents d ON a.document_id = d.id AND a.user_id = d.user_id GROUP BY a.user_id""")
 def q_resolve_pending(fx):
     """K5: assignments resolved, with the per-tenant completion summary."""
-    d = fx.v_documents
-    a = d.filter(F.col("status") == "pending_confirmation").select(
+    _, summary = K.resolve_pending(_assignments(fx), fx.v_documents, fx.v_document_types)
+    return summary
+
+
+def _assignments(fx):
+    return fx.v_documents.filter(F.col("status") == "pending_confirmation").select(
         F.col("id").alias("document_id"),
         F.when(F.col("id") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
         F.when(F.col("id") % 4 == 1, F.concat("inferred_type", F.lit(" nuevo")))
         .otherwise(F.col("inferred_type")).alias("type_name"),
         F.when(F.col("id") % 2 == 0, F.col("user_id") * 10 + F.col("id") % 5 + 1).alias("type_id"))
-    _, summary = K.resolve_pending(a, d, fx.v_document_types)
-    return summary
+
+
+RESOLVE_CTE = f"""
+a AS ({RESOLVE_SQL}),
+bn AS (SELECT user_id AS nu, name AS nn, min(id) AS nid FROM v_types GROUP BY 1, 2),
+ra AS (SELECT a.document_id AS doc_id, a.user_id, type_name AS name, CASE WHEN type_id IS NOT NULL THEN t.id ELSE nid END AS known
+       FROM a JOIN v_documents d ON d.id = a.document_id AND d.user_id = a.user_id
+       LEFT JOIN v_types t ON t.id = a.type_id AND t.user_id = a.user_id
+       LEFT JOIN bn ON a.type_id IS NULL AND nu = a.user_id AND nn = a.type_name),{STORED_CTE},
+wanted AS (SELECT user_id, name, doc_id FROM ra WHERE known IS NULL),
+{_made_cte("coalesce(nullif(type, ''), 'string')", "concat('Tipo \"', w.name, '\" creado desde procesamiento batch')").strip()},
+chosen AS (SELECT ra.doc_id, coalesce(known, m.id) AS type_id FROM ra LEFT JOIN made m ON m.user_id = ra.user_id AND m.name = ra.name),
+{IMAGE_CTE.strip()}"""
+
+
+@query("resolve_documents", f"WITH {RESOLVE_CTE}\n{AFTER_SQL}")
+def q_resolve_documents(fx):
+    """K5: the document table after the assignments."""
+    return CH.apply_changes(fx.v_documents, fx.v_types, CH.resolve_changes(_assignments(fx), fx.v_documents, fx.v_types))[0]
+
+
+@query("resolve_type_table", f"WITH {RESOLVE_CTE}\nSELECT * FROM types_after")
+def q_resolve_type_table(fx):
+    """K5: the type table after the assignments."""
+    return CH.apply_changes(fx.v_documents, fx.v_types, CH.resolve_changes(_assignments(fx), fx.v_documents, fx.v_types))[1]
+
+
+FILED_CTE = f"""{k1_cte()},
+need AS (SELECT DISTINCT user_id FROM k1 WHERE status = 'completed' AND is_others),
+own AS (SELECT user_id, min(id) AS id FROM v_types WHERE name = 'Otros Documentos' GROUP BY 1),
+made AS (SELECT (SELECT max(id) FROM v_types) + row_number() OVER (ORDER BY user_id) AS id, user_id, 'Otros Documentos' AS name,
+           '{CH.OTHERS_DESCRIPTION}' AS description, '{CH.OTHERS_SCHEMA}' AS field_schema
+         FROM need WHERE user_id NOT IN (SELECT user_id FROM own)),
+catch_all AS (SELECT user_id, id FROM own UNION ALL SELECT user_id, id FROM made)"""
+
+
+@query("process_documents_filed", f"""WITH {FILED_CTE}
+SELECT k1.* REPLACE (CAST(CASE WHEN status = 'completed' AND is_others THEN c.id ELSE document_type_id END AS INTEGER) AS document_type_id)
+FROM k1 LEFT JOIN catch_all c ON c.user_id = k1.user_id""")
+def q_process_documents_filed(fx):
+    """K1 applied: documents that match no type are filed under their
+    tenant's catch-all type (A4 by document id)."""
+    table = cut_lineage(K.process_documents(_uploads(fx), fx.v_type_catalogue))
+    return CH.apply_changes(table, fx.v_types, CH.file_others(table, fx.v_types), "doc_id", "doc_id")[0]
+
+
+@query("process_type_table", f"""WITH {FILED_CTE}
+SELECT id, user_id, name, description, field_schema FROM v_types UNION ALL SELECT * FROM made""")
+def q_process_type_table(fx):
+    """K1 applied: the type table with the catch-all types it made, one per
+    tenant that had none."""
+    table = cut_lineage(K.process_documents(_uploads(fx), fx.v_type_catalogue))
+    return CH.apply_changes(table, fx.v_types, CH.file_others(table, fx.v_types), "doc_id", "doc_id")[1]
 
 
 K1_CTE_NAMES = ("cat var vt dt hits found nf sc best names j2 dtyp raw3 lines3 keys3 cand3 firstv slots3 j3 "

@@ -20,9 +20,9 @@ from ..operators import stats as S
 from ..operators.listing import merge_results
 from ..operators.windows import dedup_by_content
 from ..session import cut_lineage
+from .changes import OTHERS_TYPE_NAME, confirm_changes
 from .guard import guarded_select
 
-OTHERS_TYPE_NAME = "Otros Documentos"
 UNCLASSIFIED = "Documento Sin Clasificar"
 
 
@@ -211,47 +211,14 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
     return docs, report
 
 
-def confirm_types(requests: DataFrame, docs: DataFrame, types: DataFrame) -> DataFrame:
-    """K4: create_type / assign_type / cancel for pending documents of the
-    requesting tenant (B12); anything else is rejected."""
-    req = requests.withColumnRenamed("doc_id", "id")
-    d = docs.select(F.col("id").alias("_did"), F.col("user_id").alias("_owner"), "status", "inferred_type",
-                    "extracted_data")
-    j = req.join(d, (F.col("id") == F.col("_did")) & (F.col("user_id") == F.col("_owner")), "left").drop("_did")
-    found = F.col("_owner").isNotNull()
-    pending = found & (F.col("status") == "pending_confirmation")
-    by_id = types.select(F.col("id").alias("_aid"), F.col("user_id").alias("_au"), F.col("name").alias("_aname"))
-    j = j.join(by_id, (F.col("type_id") == F.col("_aid")) & (F.col("user_id") == F.col("_au")), "left")
-    final_name = F.coalesce(F.nullif(F.col("type_name"), F.lit("")), F.nullif(F.col("inferred_type"), F.lit("")),
-                            F.lit("Tipo Sin Nombre"))
-    j = j.withColumn("_final", final_name)
-    by_name = types.groupBy(F.col("user_id").alias("_nu"), F.col("name").alias("_nn")).agg(F.min("id").alias("_nid"))
-    j = j.join(by_name, (F.col("_nu") == F.col("user_id")) & (F.col("_nn") == F.col("_final")), "left")
-    populated = S.populated_fields(j.select("id", "extracted_data").dropDuplicates(["id"])).select(
-        "id", "low_confidence")
-    j = j.join(populated, "id", "left")
-    act = F.col("action")
-    result = (F.when(~found, "error").when(~pending, "error")
-              .when(act == "cancel", "deleted")
-              .when((act == "assign_type") & F.col("_aid").isNull(), "error")
-              .otherwise("completed"))
-    message = (F.when(~found, F.lit("Documento no encontrado"))
-               .when(~pending, F.format_string("El documento no está pendiente de confirmación (status: %s)", F.col("status")))
-               .when((act == "assign_type") & F.col("type_id").isNull(), "typeId es requerido para assign_type")
-               .when((act == "assign_type") & F.col("_aid").isNull(), "Tipo de documento no encontrado"))
-    return j.select(
-        F.col("id").alias("doc_id"), "user_id", "action", result.alias("result"),
-        F.when(result == "completed", F.when(act == "assign_type", F.col("_aid")).otherwise(F.col("_nid")))
-        .alias("type_id"),
-        F.when(result == "completed", F.when(act == "assign_type", F.col("_aname")).otherwise(F.col("_final")))
-        .alias("type_name"),
-        ((result == "completed") & (act == "create_type") & F.col("_nid").isNull()).alias("new_type"),
-        F.when((result == "completed") & (act == "assign_type"), F.col("low_confidence")).alias("low_confidence"),
-        message.alias("message"))
+def confirm_types(requests: DataFrame, docs: DataFrame, types: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """K4: the verdict per request; ``confirm_changes`` has the whole change."""
+    return confirm_changes(requests, docs, types, values).results
 
 
 def resolve_pending(assignments: DataFrame, docs: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K5: C10 per assignment, then the batch summary (total, completed)."""
+    """K5: C10 per assignment, then the batch summary (total, completed);
+    ``resolve_changes`` has the types and documents after it."""
     r = M.resolve_assignments(assignments, docs, types)
     summary = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"),
                                        F.count_if(F.col("status") == "completed").alias("completed"))

@@ -46,6 +46,16 @@ SELECT c.c_custkey * 10 + p.k AS id, c.c_custkey AS user_id, p.name,
 FROM customer c CROSS JOIN (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INT) AS k,
                                    substr(o_orderpriority, 3) AS name FROM orders) p
 WHERE (c.c_custkey + p.k) % 3 <> 0""",
+    # Types with their field schema, and a catch-all type for some tenants.
+    "v_types": """
+SELECT id, user_id, name, description,
+  concat('{"fields":[{"name":"total","type":"number","label":"Total","required":true,"description":""}',
+         CASE WHEN id % 2 = 0 THEN ',{"name":"cliente","type":"string","label":"Cliente","required":false,"description":""}' ELSE '' END,
+         CASE WHEN id % 3 = 0 THEN ',{"name":"fecha","type":"date","label":"Fecha","required":false,"description":""}' ELSE '' END,
+         ']}') AS field_schema
+FROM v_document_types
+UNION ALL
+SELECT c_custkey * 10 + 9, c_custkey, 'Otros Documentos', NULL, '{"fields":[]}' FROM customer WHERE c_custkey % 5 = 0""",
     "v_fields": """
 SELECT o_orderkey AS doc_id, o_custkey AS user_id, substr(o_orderpriority, 3) AS type_name, 'cliente' AS name, 'string' AS type,
        CAST(o_custkey AS STRING) AS value FROM orders
