@@ -2,8 +2,9 @@
 
 * E1 and E2 find the first row per content hash with a ``min`` aggregate and
   one equi-join rather than a window over the hash.
-* E3 (trailing 60 s) partitions by (provider, minute) and adds the previous
-  minute's calls shifted by 60 s, so a window never spans a whole provider.
+* E3 (trailing 60 s) and E6 (chunks) place rows in a total order that is
+  range-partitioned (``ranks``): a provider or tenant of any size is spread
+  over many tasks, and what a run needs of the runs before it is one row each.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import before_runs, index_in_group, sorted_runs
+
 
 def dedup_by_content(docs: DataFrame, hash_col="content_hash", order_col="doc_id") -> DataFrame:
     """``kept`` marks the first upload (lowest ``order_col``) of each
@@ -48,28 +51,22 @@ def rate_audit(calls: DataFrame, provider_col="provider", ts_col="ts", id_col="e
     breach flags (``prev_in_window >= rpm``; gap < min spacing)."""
     limits = limits or RATE_LIMITS
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    c = calls.select(F.col(provider_col).alias("_p"), F.col(id_col).alias("_id"), us.alias("_t")) \
-        .withColumn("_m", F.floor(F.col("_t") / WINDOW_US).cast("bigint"))
-    real = c.withColumn("_ghost", F.lit(0))
-    ghost = c.select("_p", "_id", (F.col("_t") + WINDOW_US).alias("_t"), (F.col("_m") + 1).alias("_m"),
-                     F.lit(1).alias("_ghost"))
-    allp = real.unionByName(ghost)
-    # order: time, then ghosts (t' = t + 60 s equal to a call's time is outside its window) before reals, then id
-    w = Window.partitionBy("_p", "_m").orderBy("_t", F.col("_ghost").desc(), "_id")
-    wall = Window.partitionBy("_p", "_m")
-    allp = (allp.withColumn("_reals_before", F.sum(1 - F.col("_ghost")).over(w) - (1 - F.col("_ghost")))
-            .withColumn("_ghosts_upto", F.sum("_ghost").over(w))
-            .withColumn("_ghosts_total", F.sum("_ghost").over(wall))
-            .withColumn("_prev_real", F.max(F.when(F.col("_ghost") == 0, F.col("_t")))
-                        .over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    r = allp.filter(F.col("_ghost") == 0).withColumn(
-        "prev_in_window", (F.col("_reals_before") + F.col("_ghosts_total") - F.col("_ghosts_upto")).cast("bigint"))
-    # previous call outside the minute: the last call of the nearest earlier non-empty minute
-    last = c.groupBy("_p", "_m").agg(F.max("_t").alias("_last"))
-    wm = Window.partitionBy("_p").orderBy("_m")  # one row per busy minute: bounded by the time span
-    last = last.withColumn("_prev_minute_last", F.lag("_last").over(wm)).select("_p", "_m", "_prev_minute_last")
-    r = r.join(last, ["_p", "_m"], "left")
-    prev_t = F.coalesce(F.col("_prev_real"), F.col("_prev_minute_last"))
+    c = calls.select(F.col(provider_col).alias("_p"), F.col(id_col).alias("_id"), us.alias("_t"))
+    # a call counts +1 from its time on and -1 from 60 s later, before the calls
+    # of that instant; over the whole order, providers before this one add 0
+    both = c.withColumn("_n", F.lit(1)).unionByName(c.withColumns({"_t": F.col("_t") + WINDOW_US, "_n": F.lit(-1)}))
+    runs = sorted_runs(both, ["_p", "_t", "_n", "_id"])
+    real = F.when(F.col("_n") == 1, F.struct("_p", "_t"))
+    offsets = before_runs(runs, _open=F.col("_n"))
+    lasts = runs.groupBy("_run").agg(F.max_by(real, F.when(F.col("_n") == 1, F.col("_at"))).alias("_real"))
+    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    lasts = lasts.select("_run", F.last("_real", ignorenulls=True).over(earlier).alias("_carried"))
+    w = Window.partitionBy("_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    r = (runs.withColumns({"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_prev": F.last(real, ignorenulls=True).over(w)})
+         .filter(F.col("_n") == 1).join(offsets, "_run").join(lasts, "_run"))
+    prev = F.coalesce("_prev", "_carried")
+    r = r.withColumn("prev_in_window", (F.col("_open") + F.col("_before")).cast("bigint"))
+    prev_t = F.when(prev["_p"].eqNullSafe(F.col("_p")), prev["_t"])
     r = r.withColumn("gap_ms", F.floor((F.col("_t") - prev_t) / 1000).cast("bigint"))
     lim = F.create_map(*[F.lit(x) for p, (rpm, _) in limits.items() for x in (p, rpm)])
     dly = F.create_map(*[F.lit(x) for p, (_, d) in limits.items() for x in (p, d)])
@@ -109,9 +106,10 @@ def growth(series: DataFrame, period_col="period", value_col="value") -> DataFra
 
 
 def chunk_items(items: DataFrame, n: int, group_cols, order: tuple[Column, ...]) -> DataFrame:
-    """Chunk number ``floor((row_number - 1) / n)`` within each group."""
-    w = Window.partitionBy(*group_cols).orderBy(*order)
-    return items.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("bigint"))
+    """Chunk number ``floor((row_number - 1) / n)`` within each group, in
+    an order that must be total; a group of any size is spread over tasks."""
+    return index_in_group(items, list(group_cols), list(order), "_index").withColumn(
+        "chunk", F.floor(F.col("_index") / n).cast("bigint")).drop("_index")
 
 
 def roll_period(users: DataFrame, subs: DataFrame, now: str) -> DataFrame:
