@@ -38,11 +38,20 @@ def q_status_stream(fx):
     return ST.status_counts(log)
 
 
-@query("stream_dedup", "SELECT DISTINCT content_hash FROM v_stage_metrics WHERE stage = 'ocr'")
+@query("stream_dedup", """
+WITH RECURSIVE e AS (SELECT content_hash, event_id, ts FROM v_stage_metrics WHERE stage = 'ocr'),
+kept AS (
+  SELECT content_hash, min(struct_pack(ts := ts, id := event_id)) AS k FROM e GROUP BY content_hash
+  UNION ALL
+  SELECT kept.content_hash, (SELECT min(struct_pack(ts := e.ts, id := e.event_id)) FROM e
+                             WHERE e.content_hash = kept.content_hash AND e.ts >= kept.k.ts + INTERVAL 24 HOUR)
+  FROM kept WHERE kept.k IS NOT NULL)
+SELECT content_hash, k.id AS event_id, k.ts AS ts FROM kept WHERE k IS NOT NULL""")
 def q_stream_dedup(fx):
-    """One row per content hash (the stream keeps the first sighting)."""
-    r = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("content_hash", "ts")
-    return ST.stream_dedup(r).select("content_hash")
+    """The first sighting of each content, then one at least 24 h after
+    the last that was kept."""
+    r = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("content_hash", "event_id", "ts")
+    return ST.stream_dedup(r)
 
 
 @query("process_queue", f"""WITH {k1_cte()}

@@ -5,8 +5,8 @@ form, used by the oracle) and on a streaming one (same plan under a
 watermark). Folds of state are written as per-field "last writer wins"
 aggregates (``max_by`` over (ts, id)): exact for handlers that overwrite
 fields, partial-aggregation friendly, and valid in streaming update mode.
-Where a flow needs real per-key state with expiry (job state, transition
-audit) ``applyInPandasWithState`` keeps it.
+Where a flow needs real per-key state it has timers and an end
+(``stateful``: I3, I5, I6, I9; ``applyInPandasWithState``: I8).
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import inbox_key
+from ..operators.ranks import sorted_runs
+from ..session import cut_lineage
+from . import stateful as SF
 
 # Document status carried by each kind of logged event.
 EVENT_STATUS = {"click": "queued", "view": "processing", "signup": "completed",
@@ -66,12 +69,55 @@ def status_counts(status_log: DataFrame, window: str = "1 hour", watermark: str
 
 # ---------------------------------------------------------------- I3
 
-def stream_dedup(items: DataFrame, key="content_hash", delay: str = "24 hours") -> DataFrame:
-    """Repeated content dropped while the key's first sighting is
-    within the watermark delay (batch form: one row per key)."""
+def stream_dedup(items: DataFrame, key="content_hash", delay: str = "24 hours", watermark: str = "1 hour") -> DataFrame:
+    """(key, event_id, ts) of the sightings that are kept: the first of
+    each content, then always the next one ``delay`` or more after the last
+    kept one. As a stream, events wait for the watermark and the kept
+    sighting stays as state for ``delay``; both forms give the same rows."""
+    rows = items.select(F.col(key).alias("content_hash"), "event_id", "ts")
     if items.isStreaming:
-        return with_watermark(items, delay).dropDuplicatesWithinWatermark([key])
-    return items.dropDuplicates([key])
+        s = with_watermark(rows, watermark)
+        kept = SF.run_stateful(s, ["content_hash"], SF.Anchors(SF.duration_us(delay)),
+                               f"content_hash {rows.schema['content_hash'].dataType.simpleString()}, event_id bigint, ts timestamp")
+    else:
+        kept = kept_sightings(rows, SF.duration_us(delay))
+    return kept.withColumnRenamed("content_hash", key)
+
+
+def kept_sightings(rows: DataFrame, delay_us: int) -> DataFrame:
+    """I3 batch form without a sequential pass over a content's sightings:
+    each sighting points to the first one ``delay_us`` or more later (one pass
+    over a range-partitioned order), and what the first sighting reaches is
+    marked with jumps that double, so a content seen n times takes log n
+    joins on single rows."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = rows.select(F.col("content_hash").alias("_k"), us.alias("_t"), F.col("event_id").alias("_id"), F.col("ts").alias("_ts"))
+    spans = e.groupBy(F.col("_k").alias("_sk")).agg(F.min(F.struct("_t", "_id", "_ts")).alias("_f"), (F.max("_t") - F.min("_t")).alias("_span"))
+    firsts = spans.select(F.col("_sk").alias("content_hash"), "_f._id", "_f._ts", "_span")
+    out = firsts.select("content_hash", F.col("_id").alias("event_id"), F.col("_ts").alias("ts"))
+    long_ = e.join(spans.filter(F.col("_span") >= delay_us).select("_sk"), F.col("_k").eqNullSafe(F.col("_sk")), "left_semi")
+    # a sighting (1) and, delay later, its probe (0), which comes before the sightings of that instant
+    both = long_.withColumn("_real", F.lit(1)).unionByName(long_.withColumns({"_t": F.col("_t") + delay_us, "_real": F.lit(0)}))
+    runs = sorted_runs(both, ["_k", "_t", "_real", "_id"])
+    mark = F.when(F.col("_real") == 1, F.struct("_k", "_id", "_ts"))
+    after = Window.partitionBy("_run").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    heads = runs.groupBy("_run").agg(F.min_by(mark, F.when(F.col("_real") == 1, F.col("_at"))).alias("_head"))
+    later = Window.orderBy("_run").rowsBetween(1, Window.unboundedFollowing)  # one row a run
+    heads = heads.select("_run", F.first("_head", ignorenulls=True).over(later).alias("_carried"))
+    probes = (runs.withColumn("_next", F.first(mark, ignorenulls=True).over(after)).filter("_real = 0").join(heads, "_run")
+              .withColumn("_next", F.coalesce("_next", "_carried")))
+    same = F.col("_next._k").eqNullSafe(F.col("_k"))
+    jumps = cut_lineage(probes.filter(same).select(F.struct("_k", "_id").alias("_from"), F.struct("_next._k", "_next._id").alias("_to"),
+                                                   F.col("_next._ts").alias("_to_ts")))
+    start = firsts.filter(F.col("_span") >= delay_us).select(F.struct(F.col("content_hash").alias("_k"), "_id").alias("_at"), F.col("_ts"))
+    reached, step = cut_lineage(start), jumps
+    while step.limit(1).count():
+        more = reached.join(step, reached["_at"] == step["_from"]).select(F.col("_to").alias("_at"), F.col("_to_ts").alias("_ts"))
+        reached = cut_lineage(reached.unionByName(more))
+        again = step.select(F.col("_from").alias("_f2"), F.col("_to").alias("_t2"), F.col("_to_ts").alias("_ts2"))
+        step = cut_lineage(step.join(again, step["_to"] == again["_f2"]).select("_from", F.col("_t2").alias("_to"), F.col("_ts2").alias("_to_ts")))
+    rest = reached.join(start.select("_at"), "_at", "left_anti")
+    return out.unionByName(rest.select(F.col("_at._k").alias("content_hash"), F.col("_at._id").alias("event_id"), F.col("_ts").alias("ts")))
 
 
 # ---------------------------------------------------------------- I4
@@ -101,6 +147,16 @@ def usage_counter(successes: DataFrame, watermark: str | None = None) -> DataFra
         F.count(F.lit(1)).alias("docs_used"))
 
 
+def usage_counter_stream(successes: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """I5 streaming form that ends: one row per (user, month) when the
+    watermark has passed the month, after which the key is gone; later events
+    of that month are dropped by the watermark. Appended rows are final, so the
+    stored totals take them as they are."""
+    s = with_watermark(successes, watermark).select("user_id", F.date_trunc("month", "ts").alias("period"), "ts", F.lit(1).alias("n"))
+    kind = successes.schema["user_id"].dataType.simpleString()
+    return SF.run_stateful(s, ["user_id", "period"], SF.MonthCounts(), f"user_id {kind}, period timestamp, docs_used bigint")
+
+
 # ---------------------------------------------------------------- I6
 
 PRICE_PLANS = {"price_starter": "starter", "price_pro": "pro"}
@@ -148,11 +204,26 @@ def billing_fold(events: DataFrame, subs: DataFrame) -> DataFrame:
                     F.coalesce("w_has_sub", F.lit(False)).alias("has_subscription"))
 
 
-def billing_fold_stream(events: DataFrame) -> DataFrame:
-    """I6 streaming form: the per-customer last-writer aggregate (update
-    mode); join it to the subscription table when reading."""
-    return billing_changes(events).groupBy("customer_ref").agg(
-        *[_last(c).alias(c) for c in ("w_plan", "w_active", "w_used", "w_start", "w_end", "w_has_sub")])
+FOLD_FIELDS = {"w_plan": "string", "w_active": "boolean", "w_used": "int", "w_start": "bigint", "w_end": "bigint", "w_has_sub": "boolean"}
+
+
+def billing_fold_stream(events: DataFrame, watermark: str = "1 hour", keep: str = "1 day") -> DataFrame:
+    """I6 streaming form: what a customer's events wrote, emitted when the
+    customer has been quiet for ``keep`` of event time, after which its state
+    is gone. Rows hold each field with the (time, id) of its event, so
+    ``merge_folds`` over stored and new rows is the whole fold in any order."""
+    changes = billing_changes(with_watermark(events, watermark))
+    for c in ("w_start", "w_end"):
+        changes = changes.withColumn(c, F.unix_micros(F.col(c).cast("timestamp")))
+    schema = "customer_ref string, " + ", ".join(f"{c} {t}, {c}_us bigint, {c}_id bigint" for c, t in FOLD_FIELDS.items())
+    return SF.run_stateful(changes, ["customer_ref"], SF.LastWriters(FOLD_FIELDS, SF.duration_us(keep)), schema)
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """Per customer the fields of all emitted folds, as ``billing_fold`` reads them."""
+    merged = SF.merge_folds(rows, list(FOLD_FIELDS))
+    times = {c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("w_start", "w_end")}
+    return merged.withColumns(times).select("customer_ref", *FOLD_FIELDS)
 
 
 # ---------------------------------------------------------------- I7
@@ -280,25 +351,12 @@ def status_history(log: DataFrame, doc_col="doc_id") -> DataFrame:
                     _allowed(F.col("prev_status"), F.col("status")).alias("valid"))
 
 
-HIST_STATE_SCHEMA = "last_status string"
-HIST_OUT_SCHEMA = "doc_id bigint, event_id bigint, prev_status string, status string"
-
-
-def _history_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (doc_id,) = key
-    prev = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        out.append({"doc_id": doc_id, "event_id": r.event_id, "prev_status": prev, "status": r.status})
-        prev = r.status
-    state.update((prev,))
-    yield pd.DataFrame(out)
-
-
-def status_history_stream(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """I9 streaming form: the last status per document kept as state."""
-    s = (log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy("doc_id")
-         .applyInPandasWithState(_history_fn, HIST_OUT_SCHEMA, HIST_STATE_SCHEMA, "append",
-                                 GroupStateTimeout.NoTimeout))
-    return s.withColumn("valid", _allowed(F.col("prev_status"), F.col("status")))
+def status_history_stream(log: DataFrame, watermark: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """I9 streaming form: events wait until the watermark has passed them and
+    are released in event order, so files that come in any order give the
+    batch rows (events later than the watermark are dropped by it). A document
+    without an event for ``keep`` leaves the state; its next event, if any,
+    has no previous status."""
+    s = with_watermark(log.select("doc_id", "event_id", "ts", "status"), watermark)
+    out = SF.run_stateful(s, ["doc_id"], SF.History(SF.duration_us(keep)), "doc_id bigint, event_id bigint, prev_status string, status string")
+    return out.withColumn("valid", _allowed(F.col("prev_status"), F.col("status")))

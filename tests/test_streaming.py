@@ -53,19 +53,49 @@ def test_status_counts_stream_equals_batch(spark, fx):
     assert _rows(got, cols) == _rows(want.filter(F.col("window_start") <= w), cols)
 
 
+def _shuffled(spark, df, last, ts="ts"):
+    """Four files, rows dealt at random, and a last one far ahead in time
+    that lets the watermark pass all of them; (path, the rows)."""
+    path = tempfile.mkdtemp(prefix="papyra-src-")
+    for k in range(4):
+        df.filter(F.pmod(F.hash("event_id"), F.lit(4)) == k).coalesce(1).write.parquet(f"{path}/f{k}")
+    for k in range(2):  # the second one's batch runs under the first one's watermark
+        last.withColumn(ts, F.col(ts) + F.expr(f"INTERVAL {k} DAYS")).coalesce(1).write.parquet(f"{path}/z{k}")
+    for k, f in enumerate(["f0", "f1", "f2", "f3", "z0", "z1"]):
+        for part in os.listdir(f"{path}/{f}"):
+            os.utime(f"{path}/{f}/{part}", (1_700_000_000 + k * 10, 1_700_000_000 + k * 10))
+    return f"{path}/*"
+
+
+def _far(df, key, value, days=400):
+    return df.limit(1).withColumns({key: F.lit(value).cast(df.schema[key].dataType),
+                                    "ts": F.lit(dt.datetime(2025, 6, 1) + dt.timedelta(days=days)).cast("timestamp_ntz")})
+
+
+def _run(stream, name):
+    out = tempfile.mkdtemp(prefix="papyra-out-")
+    q = RN.start(stream, _name(name), out, "append")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), [
+        p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+
+
 def test_billing_fold_stream_equals_batch(spark, fx):
+    """Shuffled files; customers leave the state and the merged folds are the
+    subscriptions that the batch form gives."""
     ev = fx.v_billing_events
-    src = _source(spark, ev)
-    stream = ST.billing_fold_stream(RN.read_stream(spark, src, like=ev, max_files_per_trigger=1))
-    out = tempfile.mkdtemp(prefix="papyra-out-")
-    RN.start(stream, _name("billing_test"), output_mode="update", foreach_batch=RN.snapshot_writer(out)).awaitTermination()
-    latest = RN.latest_by_key(spark, out, ["customer_ref"])
-    subs = fx.v_subscriptions
-    known = latest.join(subs.select("customer_ref"), "customer_ref", "left_semi")
-    batch = ST.billing_changes(ev.join(subs.select("customer_ref"), "customer_ref", "left_semi")).groupBy(
-        "customer_ref").agg(*[ST._last(c).alias(c) for c in ("w_plan", "w_active", "w_used", "w_start", "w_end")])
-    cols = ["customer_ref", "w_plan", "w_active", "w_used", "w_start", "w_end"]
-    assert _rows(known, cols) == _rows(batch, cols)
+    src = _shuffled(spark, ev, _far(ev, "customer_ref", "cus_far"))
+    stream = ST.billing_fold_stream(RN.read_stream(spark, src, like=ev, max_files_per_trigger=1), watermark="60 days")
+    rows, state = _run(stream, "billing_test")
+    assert max(state) > state[-1] and state[-1] <= 3
+    last = ST.folded(rows.filter("customer_ref <> 'cus_far'"))
+    batch = ST.billing_changes(ev).groupBy("customer_ref").agg(*[ST._last(c).alias(c) for c in ST.FOLD_FIELDS])
+    cols = ["customer_ref", *ST.FOLD_FIELDS]
+    assert sorted(map(repr, _rows(last, ["customer_ref"]))) == sorted(map(repr, _rows(batch, ["customer_ref"])))
+    assert {repr(tuple(r[c] for c in cols)) for r in last.collect()} == {repr(tuple(r[c] for c in cols)) for r in batch.collect()}
+    # folds of the same events in two parts merge to the same
+    twice = rows.unionByName(rows)
+    assert {repr(r) for r in ST.folded(twice.filter("customer_ref <> 'cus_far'")).collect()} == {repr(r) for r in last.collect()}
 
 
 def test_usage_counter_stream(spark, fx):
@@ -79,15 +109,30 @@ def test_usage_counter_stream(spark, fx):
     assert _rows(got, cols) == _rows(ST.usage_counter(s), cols)
 
 
+def test_usage_by_month_ends(spark, fx):
+    """A month's total comes once, when the watermark has passed it."""
+    s = fx.events.filter(ST.event_status() == "completed").select("user_id", "event_id", "ts")
+    src = _shuffled(spark, s, _far(s, "user_id", -1))
+    stream = ST.usage_counter_stream(RN.read_stream(spark, src, like=s, max_files_per_trigger=1), watermark="60 days")
+    rows, state = _run(stream, "usage_months_test")
+    assert max(state) > state[-1] and state[-1] <= 4
+    got = rows.filter("user_id <> -1")
+    cols = ["user_id", "period", "docs_used"]
+    assert _rows(got, cols) == _rows(ST.usage_counter(s.withColumn("ts", F.col("ts").cast("timestamp"))), cols)
+
+
 def test_status_history_stream_equals_batch(spark, fx):
+    """Four shuffled files, one per trigger, equal the batch form; documents
+    leave the state."""
     log = fx.events.select(F.floor(F.col("event_id") / 5).cast("bigint").alias("doc_id"), "event_id", "ts",
                            ST.event_status().alias("status"))
-    src = _source(spark, log, n_files=1)
-    stream = ST.status_history_stream(RN.read_stream(spark, src, like=log))
-    out = tempfile.mkdtemp(prefix="papyra-out-")
-    RN.start(stream, _name("history_test"), out, "append").awaitTermination()
+    src = _shuffled(spark, log, _far(log, "doc_id", -1))
+    stream = ST.status_history_stream(RN.read_stream(spark, src, like=log, max_files_per_trigger=1), watermark="60 days")
+    rows, state = _run(stream, "history_test")
+    assert max(state) > state[-1] and state[-1] <= 4
     cols = ["doc_id", "event_id", "prev_status", "status", "valid"]
-    assert _rows(spark.read.parquet(out), cols) == _rows(ST.status_history(log), cols)
+    key = lambda df: sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    assert key(rows.filter("doc_id <> -1")) == key(ST.status_history(log))
 
 
 def test_job_state_stream(spark, fx):
@@ -102,22 +147,34 @@ def test_job_state_stream(spark, fx):
     assert _rows(got, cols) == _rows(want, cols)
 
 
-def test_stream_dedup_drops_repeats_within_a_day(spark, fx):
-    import datetime as dt
-    r = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("content_hash", F.col("ts").cast("timestamp"))
-    src = _source(spark, r)
-    stream = ST.stream_dedup(RN.read_stream(spark, src, like=r, max_files_per_trigger=1))
-    out = tempfile.mkdtemp(prefix="papyra-out-")
-    RN.start(stream, _name("dedup_test"), out, "append").awaitTermination()
-    got = spark.read.parquet(out).collect()
-    keys = {x.content_hash for x in got}
-    assert keys == {x.content_hash for x in r.select("content_hash").distinct().collect()}
-    by_key = {}
-    for x in got:
-        by_key.setdefault(x.content_hash, []).append(x.ts)
-    for ts in by_key.values():
-        ts.sort()
-        assert all(b - a >= dt.timedelta(hours=24) for a, b in zip(ts, ts[1:]))
+def test_stream_dedup_equals_batch_and_a_plain_pass(spark, fx):
+    """Repeats after 24 h are kept, earlier ones dropped, in both forms; a
+    content seen thousands of times over months."""
+    r = fx.v_stage_metrics.filter(F.col("stage") == "ocr").select("content_hash", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    base = dt.datetime(2024, 1, 1)
+    hot = spark.range(3000).select(F.lit("hot").alias("content_hash"), (F.col("id") + 10_000_000).alias("event_id"),
+                                   (F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 61) % 150_000)).alias("ts"))
+    exact = spark.createDataFrame([("edge", 20_000_000 + k, base + dt.timedelta(hours=h)) for k, h in enumerate((0, 23.999, 24, 24, 48, 71.9))],
+                                  "content_hash string, event_id bigint, ts timestamp_ntz")
+    r = r.unionByName(hot).unionByName(exact)
+    seen = {}
+    for x in r.collect():
+        seen.setdefault(x.content_hash, []).append((x.ts, x.event_id))
+    want = []
+    for k, own in seen.items():
+        anchor = None
+        for ts, i in sorted(own):
+            if anchor is None or ts >= anchor + dt.timedelta(hours=24):
+                anchor = ts
+                want.append((k, i))
+    assert ("edge", 20_000_002) in want and ("edge", 20_000_004) in want and sum(k == "hot" for k, _ in want) > 50
+    batch = ST.stream_dedup(r)
+    assert _rows(batch, ["content_hash", "event_id"]) == sorted(want)
+    src = _shuffled(spark, r, _far(r, "content_hash", "far"))
+    rows, state = _run(ST.stream_dedup(RN.read_stream(spark, src, like=r, max_files_per_trigger=1), watermark="200 days"), "dedup_test")
+    assert max(state) > state[-1] and state[-1] <= 4
+    assert _rows(rows.filter("content_hash <> 'far'"), ["content_hash", "event_id"]) == sorted(want)
+    assert ST.stream_dedup(r.limit(0)).count() == 0
 
 
 def test_inbox_stream_upserts(spark, fx):
