@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.gates import tenant_view
 
 
-def load_tables(spark, sf_dir: str, names) -> dict[str, DataFrame]:
-    """Parquet scans of the named tables (column pruning and filter
-    pushdown happen when the plan is built on top)."""
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-
-
 def scan_documents(docs: DataFrame, tenant) -> DataFrame:
     """A1: the tenant's documents, newest first."""
     return tenant_view(docs, tenant).orderBy(F.col("created_at").desc(), F.col("id").desc())
@@ -22,10 +16,10 @@ def scan_documents(docs: DataFrame, tenant) -> DataFrame:
 def upsert_documents(base: DataFrame, changes: DataFrame, key="id", version="updated_at") -> DataFrame:
     """A4: rows of ``changes`` replace rows of ``base`` (one per key) with the
     same key (latest version wins; on a tie the change wins); new keys are
-    inserted. Only the changes are aggregated; the base meets them in one
+    inserted; a change without a key is none. Only the changes are aggregated; the base meets them in one
     join, which stays in place where AQE finds them small."""
     cols = base.columns
-    last = changes.groupBy(F.col(key).alias("_key")).agg(
+    last = changes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
         F.max_by(F.struct(*cols), F.struct(version)).alias("_change"))
     joined = base.join(last, base[key] == F.col("_key"), "full_outer")
     wins = F.col("_key").isNotNull() & (base[key].isNull() | ~(base[version] > F.col(f"_change.{version}"))
@@ -33,12 +27,6 @@ def upsert_documents(base: DataFrame, changes: DataFrame, key="id", version="upd
     return joined.select(*[F.when(wins, F.col(f"_change.{c}")).otherwise(base[c]).alias(c) for c in cols])
 
 
-def merge_into_table(spark, table: str, changes: DataFrame, key="id") -> None:
-    """A4 against a table format that supports MERGE (Delta, Iceberg)."""
-    (changes.mergeInto(table, F.col(f"{table}.{key}") == changes[key])
-     .whenMatched().updateAll().whenNotMatched().insertAll().merge())
-
-
 def delete_guard(types: DataFrame, docs: DataFrame, delete_ids: DataFrame) -> DataFrame:
     """A5 plain delete: a type that still has documents is refused."""
     d = types.join(delete_ids, "id", "left_semi")

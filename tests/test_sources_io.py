@@ -85,9 +85,3 @@ def test_new_types_and_progress(spark):
     assert [tuple(x) for x in new_types_from_assignments(r).collect()] == [(7, "Boleta")]
     p = spark.createDataFrame([(1, 3), (0, 0)], "d int, t int").select(progress_percent("d", "t").alias("p"))
     assert [x.p for x in p.collect()] == [33, 0]
-
-
-def test_load_tables(spark):
-    t = TB.load_tables(spark, "/root/testdata/sf0.001", ["region", "nation"])
-    assert t["region"].count() == 5 and "n_name" in t["nation"].columns
-    assert F is not None
