@@ -1,9 +1,9 @@
 """Joins: type lookup, matching, routing and catalogue joins.
 
-Matching joins are equi-joins on the tenant key with the name condition as
-an extra predicate; the single best candidate per document is chosen with a
+Matching joins are equi-joins on (tenant, name) or, for partial names, on
+(tenant, q-gram); the single best candidate per document is chosen with a
 ``min(struct(rank, id, ...))`` aggregate (partial aggregation, no window over
-a tenant), so a hot tenant is split by AQE's skew handling.
+a tenant), so a hot tenant is split by its names.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .containment import containment_pairs
+
 
 def norm_name(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -29,9 +31,9 @@ def best_type_match(items: DataFrame, types: DataFrame, name_col: str = "classif
     the item's name; else (``partial``) the first type (lowest id) whose
     name contains the item's name or is contained in it.
 
-    An empty name matches nothing. Partial matching compares the distinct
-    names of a tenant's items, not the items, and only those without an exact
-    match. Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
+    An empty name matches nothing. Partial matching looks the distinct names
+    without an exact match up in a q-gram index of the tenant's type names
+    (``containment``); names and types are never paired as such. Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
     ``match_kind`` ('exact' | 'partial' | null)."""
     t = types.select(F.col(user_col).alias("_tu"), F.col("id").alias("_tid"),
                      F.col("name").alias("_tname"), norm_name("name").alias("_tn"))
@@ -42,8 +44,9 @@ def best_type_match(items: DataFrame, types: DataFrame, name_col: str = "classif
     best = names.join(exact, ["_u", "_cn"]).withColumn("_kind", F.lit("exact"))
     if partial:
         rest = names.join(exact, ["_u", "_cn"], "left_anti")
-        within = F.col("_tn").contains(F.col("_cn")) | F.col("_cn").contains(F.col("_tn"))
-        near = rest.join(t, (F.col("_u") == F.col("_tu")) & within).groupBy("_u", "_cn").agg(first.alias("_m"))
+        named = exact.select("_u", F.col("_cn").alias("_tn"), F.col("_m").alias("_t"))
+        near = (containment_pairs(rest, named, "_u", "_cn", "_tn").join(named, ["_u", "_tn"])
+                .groupBy("_u", "_cn").agg(F.min("_t").alias("_m")))
         best = best.unionByName(near.withColumn("_kind", F.lit("partial")))
     best = best.select(F.col("_u").alias("_best_u"), F.col("_cn").alias("_best_name"), F.col("_m.tid").alias("match_type_id"),
                        F.col("_m.tname").alias("match_type_name"), F.col("_kind").alias("match_kind"))
@@ -79,9 +82,9 @@ def resolve_type(items: DataFrame, types: DataFrame, name_col="classified_name",
 def split_matched(items: DataFrame, types: DataFrame, name_col="classified_name",
                   others_col="is_others", key="id") -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched) batch items by existence of a matching type."""
-    r = resolve_type(items, types, name_col, others_col, key).select(key, "resolved_is_others")
-    hits = r.filter(~F.col("resolved_is_others")).select(key)
-    return items.join(hits, key, "left_semi"), items.join(hits, key, "left_anti")
+    r = resolve_type(items, types, name_col, others_col, key)
+    return (r.filter(~F.col("resolved_is_others")).select(*items.columns),
+            r.filter("resolved_is_others").select(*items.columns))
 
 
 def existing_or_new_types(names: DataFrame, types: DataFrame, name_col="inferred_type",
