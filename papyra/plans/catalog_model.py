@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cosine as CO
 from ..operators import model as MD
 from ..operators import stats as S
 from .catalog_stats import D7_SQL, TENANT_TYPE
@@ -145,6 +146,26 @@ def _names(fx):
     return p.select("p_partkey", "p_brand", name.alias("name"))
 
 
+# Names with their vectors: one per embedding, its label as the tenant.
+VECTOR_NAMES_SQL = """v AS (SELECT label AS user_id, concat('tipo ', vec_id) AS name, 1 + vec_id % 7 AS n,
+  [x::DOUBLE FOR x IN embedding] AS e, vec_id AS id FROM embeddings)"""
+
+
+@query("homologate_by_embedding", f"""
+WITH RECURSIVE {VECTOR_NAMES_SQL},
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.user_id = b.user_id AND a.id <> b.id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, low) AS (SELECT id, id FROM v UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id WHERE r.low < l.b),
+grp AS (SELECT id, min(low) AS root FROM reach GROUP BY id),
+canon AS (SELECT root, arg_min(name, struct_pack(a := -n, b := length(name), c := name)) AS canonical FROM grp JOIN v USING (id) GROUP BY root)
+SELECT user_id, name AS variant, canonical, n FROM v JOIN grp USING (id) JOIN canon USING (root)""")
+def q_homologate_by_embedding(fx):
+    """J4, cosine form: names whose embeddings are alike share a canonical."""
+    names = fx.embeddings.select(F.col("label").alias("user_id"), F.concat(F.lit("tipo "), F.col("vec_id").cast("string")).alias("name"),
+                                 (1 + F.col("vec_id") % 7).alias("n"), "embedding")
+    return CO.homologate_by_embedding(names, threshold=0.9)
+
+
 @query("homologate_names", f"WITH {J4_SQL}\nSELECT * FROM j4")
 def q_homologate_names(fx):
     """Spelling variants of part names grouped by normalised key."""
