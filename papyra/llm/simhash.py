@@ -7,7 +7,11 @@ differ are added up, and a pair is dropped as soon as they exceed the budget.
 To spread the work the 64 bits are cut into blocks, one more than the budget:
 two fingerprints within it agree on some block, so each is sent once per
 block to the trie of that block's value, rotated so that the block comes
-first. Tries with many leaves are cut into chunks of which every two meet.
+first. The leaves of a large trie are dealt again in the same way by the bits
+that follow: the whole budget falls on those, so two leaves within it agree on
+one of their blocks too. A fingerprint thus goes to at most (budget + 1)^2
+tries, however many fingerprints there are. What is crowded even then (a dense
+ball of fingerprints) is cut into chunks of which every two meet.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, id_text, stored
+from .common import LOWER_BYTES, free_name, id_text, stored
 from .components import components, join_labels
 
-# A trie of more leaves is cut; two chunks meet in one group.
+# A trie of more leaves is dealt again, then cut; two chunks meet in one group.
 CHUNK = 1024
 # Leaf pairs whose tries are traversed together in one array pass.
 WAVE = 1 << 22
@@ -104,7 +108,7 @@ def trie_links(leaves: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray
 
 
 def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, value, part, rotated, fp), whole groups one after another,
+    """Rows (block, value, sub, part, rotated, fp), whole groups one after another,
     to the edges of a forest that joins the linked fingerprints of a group."""
 
     def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -120,8 +124,8 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        ids = np.stack(cols[:3], axis=1)
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        ids = np.stack(cols[:4], axis=1)
         new = np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]
         new[0] = seen is None or (ids[0] != seen).any()
         seen = ids[-1]
@@ -133,11 +137,11 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
         for g, begin in enumerate(begins.tolist()):
             size = (begins[g + 1] if g + 1 < len(begins) else len(key)) - begin
             if pairs > WAVE:
-                kept.append((key[at:begin], cols[3][at:begin].view(np.uint64), cols[4][at:begin]))
+                kept.append((key[at:begin], cols[4][at:begin].view(np.uint64), cols[5][at:begin]))
                 yield solve([np.concatenate(v) for v in zip(*kept, strict=True)])
                 kept, pairs, at = [], 0, begin
             pairs += size * size
-        kept.append((key[at:], cols[3][at:].view(np.uint64), cols[4][at:]))
+        kept.append((key[at:], cols[4][at:].view(np.uint64), cols[5][at:]))
     if kept:
         yield solve([np.concatenate(v) for v in zip(*kept, strict=True)])
 
@@ -147,6 +151,12 @@ def links(fps: DataFrame, budget: int = 4, chunk: int = CHUNK) -> DataFrame:
     that join exactly those that a chain of steps of ``budget`` differing bits
     at most connects. A group never gives all its pairs: only a forest of its
     linked fingerprints leaves a task."""
+    return dealt(fps, budget, chunk).mapInArrow(lambda b: _forest(b, budget), "a long, b long")
+
+
+def dealt(fps: DataFrame, budget: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """``block, value, sub, part, rotated, fp``: the tries (by the first four)
+    that each fingerprint goes to, a trie whole in one task."""
     n_blocks = budget + 1
     cuts = [64 * k // n_blocks for k in range(n_blocks + 1)]
 
@@ -157,18 +167,37 @@ def links(fps: DataFrame, budget: int = 4, chunk: int = CHUNK) -> DataFrame:
         return F.struct(F.lit(k).cast("long").alias("block"),
                         F.shiftrightunsigned(rotated, 64 - width).alias("value"), rotated.alias("rotated"))
 
+    def second(width: int):
+        """The blocks of the bits after the first block, as hashes of place and value."""
+        rest = 64 - width
+        ends = [rest * k // n_blocks for k in range(n_blocks + 1)]
+        bits = lambda k: F.shiftrightunsigned(F.shiftleft("rotated", width + ends[k]), 64 - (ends[k + 1] - ends[k]))
+        return F.array(*[F.xxhash64(F.lit(k), bits(k)) for k in range(n_blocks)])
+
+    def crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
+
     spread = fps.select("fp", F.explode(F.array(*[part(k) for k in range(n_blocks)])).alias("p")).select("fp", "p.*")
-    large = (spread.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-             .select("block", "value", F.ceil(F.col("n") / chunk).cast("long").alias("chunks")))
+    large = stored(crowded(spread, ["block", "value"]).select("block", "value", F.lit(True).alias("large")), "large-tries")
+    none = F.lit(-1).cast("long")
+    if large.limit(1).count():
+        widths = {k: cuts[k + 1] - cuts[k] for k in range(n_blocks)}
+        again = F.coalesce(*[F.when(F.col("block") == k, second(w)) for k, w in widths.items()])
+        spread = (spread.join(large, ["block", "value"], "left")
+                  .withColumn("sub", F.explode(F.when(F.col("large"), again).otherwise(F.array(none)))).drop("large"))
+        dense = crowded(spread.filter(F.col("sub") != -1), ["block", "value", "sub"]).select(
+            "block", "value", "sub", F.ceil(F.col("n") / chunk).cast("long").alias("chunks"))
+        spread = spread.join(stored(dense, "dense-tries"), ["block", "value", "sub"], "left")
+    else:
+        spread = spread.withColumns({"sub": none, "chunks": F.lit(None).cast("long")})
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     # chunk c meets every other chunk j in the part numbered by the two
-    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(
+    parts = F.when(F.col("chunks").isNull(), F.array(none)).otherwise(F.transform(
         F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != F.col("mine")),
         lambda j: F.least(j, F.col("mine")) * F.col("chunks") + F.greatest(j, F.col("mine"))))
-    dealt = (spread.join(large, ["block", "value"], "left").withColumn("mine", mine)
-             .select("block", "value", F.explode(parts).alias("part"), "rotated", "fp")
-             .repartition("block", "value", "part").sortWithinPartitions("block", "value", "part"))
-    return dealt.mapInArrow(lambda b: _forest(b, budget), "a long, b long")
+    key = ["block", "value", "sub", "part"]
+    return (spread.withColumn("mine", mine).select("block", "value", "sub", F.explode(parts).alias("part"), "rotated", "fp")
+            .repartition(*key).sortWithinPartitions(*key))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4,
@@ -204,16 +233,18 @@ def hex_fingerprint(col: str = "fp"):
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """Pipeline form: of each group of near-duplicates the row with the
     smallest id (null ids last; of rows with one id, the smallest text hash)
-    stays, with all its columns; a row repeated with id and text stays once."""
+    stays, with all its columns; a row repeated with id and text stays once.
+    Nulls, empty texts and ties as in ``near_duplicates``; an empty table stays
+    empty; extra columns may have any name."""
     found = near_duplicates(docs, **params)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    keepers = found.groupBy("root").agg(F.min(rank).alias("r"), F.count("*").alias("n")).select(
-        F.col("r.doc_id").alias("_kept_id"), F.col("r.text_hash").alias("_kept_hash"))
+    row_id, row_hash = free_name(docs, "_kept_id"), free_name(docs, "_kept_hash")
+    keepers = found.groupBy("root").agg(F.min(rank).alias("r")).select(
+        F.col("r.doc_id").alias(row_id), F.col("r.text_hash").alias(row_hash))
     keepers = stored(keepers, "keepers")
-    rows = docs.join(keepers, docs["doc_id"].eqNullSafe(F.col("_kept_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_kept_hash")), "left_semi")
+    rows = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers[row_id]) & (F.xxhash64(docs["text"]) == keepers[row_hash]), "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.limit(1).count():
         return rows
-    marked = rows.withColumn("_kept_hash", F.xxhash64(rows["text"]))
-    return marked.dropDuplicates(["doc_id", "_kept_hash"]).drop("_kept_hash")
+    marked = rows.withColumn(row_hash, F.xxhash64(rows["text"]))
+    return marked.dropDuplicates(["doc_id", row_hash]).drop(row_hash)

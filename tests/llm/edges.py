@@ -4,7 +4,8 @@ those the operators use inside."""
 from pyspark.sql import types as T
 
 EXTRA = ("key", "hash", "score", "bucket", "line", "pos", "record", "shard", "slot", "fp", "root", "n", "kept",
-         "text_hash", "seed", "window", "item_id", "label", "hits", "packed", "row_key", "dropped", "component_id")
+         "text_hash", "seed", "window", "item_id", "label", "hits", "packed", "row_key", "dropped", "component_id",
+         "_kept_id", "_kept_hash", "_leaky_id", "_leaky_hash", "_hits", "_new", "_hit_id", "prefix", "mask", "part", "n_docs")
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 LINE = "This common line is long enough to count as boilerplate text."

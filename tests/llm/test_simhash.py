@@ -107,3 +107,14 @@ def test_one_of_each(spark):
     fps = [_fingerprint(t) for _, t in rows]
     assert len(set(fps)) == len(fps)
     assert simhash.one_of_each(edges.frame(spark, [])).count() == 0
+
+
+def test_replication_stays_constant(spark):
+    """Rows sent to tries per fingerprint, from few to very many."""
+    sent = []
+    for n in (4_000, 64_000):
+        fps = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64)).view(np.int64)
+        df = spark.createDataFrame([(int(v),) for v in fps], "fp long")
+        groups = simhash.dealt(df, 4, chunk=8)
+        sent.append(groups.count() / len(fps))
+    assert sent[1] <= 25 and sent[1] <= sent[0] * 5
