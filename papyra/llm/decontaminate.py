@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, _slices
-from .common import stored
+from .common import free_name, stored
 
 WORD = re.compile(r"\w+")
 # Residue classes of the positions, bits of the test-hash bitmap.
@@ -117,7 +117,7 @@ def _bitmap(tests: DataFrame) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 12, errors: int = 2, id_col: str = "doc_id",
-               text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+               text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_item_words: int = 1) -> DataFrame:
     """``doc_id, text_hash, item_id, n_windows, same_words`` for each text and
     item that share a window of ``span`` words (letters and digits, lower
     case) with at most ``errors`` substitutions: how many windows of the item,
@@ -130,11 +130,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 12, errors: in
     their window, and meet the test seeds in an equi-join, whose hot seeds AQE
     splits. Windows are compared natively.
 
+    Items of fewer than ``min_item_words`` words (up to the span) are left out.
     Texts and items without a word, and texts shorter than the item's windows,
     share none. Null and repeated ids take part; rows that repeat id and
     text give one result. An empty table gives no rows.
     """
-    tests = stored(test_seeds(benchmark, span, errors, item_id, item_text), "test-seeds")
+    # an item of fewer words than the span has windows of its own length
+    tests = stored(test_seeds(benchmark, span, errors, item_id, item_text).filter(F.size("item_window") >= min(min_item_words, span)), "test-seeds")
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(tests))
     low = np.uint64((1 << BITMAP_BITS) - 1)
     sizes = sorted(r[0] for r in tests.select(F.size("item_window")).distinct().collect())
@@ -179,10 +181,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 12, errors: in
             .agg(F.count_distinct("item_window").alias("n_windows"), F.max("same").alias("same_words")))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_item_words: int = 5, **params) -> DataFrame:
     """Pipeline form: rows that share a window with a benchmark item go, the
-    others keep all columns."""
-    leaks = find_leaks(docs, benchmark, **params).select(F.col("doc_id").alias("_leaky_id"),
-                                                         F.col("text_hash").alias("_leaky_hash")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_leaky_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_leaky_hash")), "left_anti")
+    others keep all columns. Items of fewer than ``min_item_words`` words drop
+    no document, since such words stand in clean texts too; ``find_leaks``
+    with its default tells what they meet. Nulls, repeats and empty texts as in
+    ``find_leaks``; an empty table stays empty; extra columns may have any
+    name."""
+    row_id, row_hash = free_name(docs, "_leaky_id"), free_name(docs, "_leaky_hash")
+    leaks = find_leaks(docs, benchmark, min_item_words=min_item_words, **params).select(
+        F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_hash)).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks[row_id]) & (F.xxhash64(docs["text"]) == leaks[row_hash]), "left_anti")
