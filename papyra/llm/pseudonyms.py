@@ -10,6 +10,9 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ _SSN_FORM = r"\d{3}-\d{2}-\d{4}"
 _CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
 # National digits of country codes that have one length only, so that a number after the phone is not read as part of it.
 _NATIONAL = {10: "1|7|52|57|91", 9: "31|33|34|41|48|61|351", 8: "45|47|65"}
+# Country codes: 1 and 7 have one digit, these two, all others three.
+_CODE = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 # 8 to 15 digits, spelt out: Java bounds no group repeated in a look-behind.
 _SIZED = "(?<=" + "|".join("[+]" + r"[ .()-]{0,3}\d" * n + "[)]?" for n in range(8, 16)) + ")"
 _GROUPS = r"[+]\d{1,3}(?:[ .-]?%s(?:[(]\d{1,4}[)]|\d{1,4})){2,6}" + _AFTER + _SIZED
@@ -34,7 +39,7 @@ _PHONE = "|".join([
     _GROUPS % f"(?!(?<= )(?:{_DATE}|{_IP}|{_SSN_FORM}|{_CARD}){_AFTER})", _GROUPS % ""])
 _FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:[.][\p{L}\p{N}-]{1,63}){0,8}[.]\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": r"(?<=(?i:token|secret|password|key)[^\p{L}\p{N}\"']{0,6}[=:][^\p{L}\p{N}\"']{0,6}[\"'])[0-9A-Fa-f]{16,128}(?=[\"'])",
+    "secret": r"(?<=(?i:token|secret|password|key)[^\p{L}\p{N}\"']{0,6}[=:][^\p{L}\p{N}\"']{0,6}[\"'])[0-9A-Fa-f]{16,}+(?=[\"'])",
     "date": _BEFORE + rf"(?:\d{{4}}-\d{{2}}-\d{{2}}(?=[Tt]\d{{2}}:?\d{{2}})|(?:{_DATE}){_AFTER})",
     "ip": _BEFORE + _IP + _AFTER,
     "phone": rf"(?:(?<![\p{{L}}\p{{N}}_+])(?:{_PHONE})|" + _BEFORE + r"(?:[(]\d{3}[)] |\d{3}-)\d{3}-\d{4}" + _AFTER + ")",
@@ -52,8 +57,16 @@ _SHAPES = {
 _DAYS, _SSN = (17, 4297), (898, 99 * 9999)
 
 
+def derived(key: str, kind: str) -> str:
+    """The key of one format. Only these reach a plan (and so logs of plans):
+    they do not tell the caller's key."""
+    return hmac.new(key.encode(), f"papyra pseudonyms {kind}".encode(), hashlib.sha256).hexdigest()
+
+
 def _digest(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
+    """A keyed hash, nested as HMAC is."""
+    inner = F.sha2(F.concat_ws("|", F.lit(key + "i"), *[p.cast("string") for p in parts]), 256)
+    return F.sha2(F.concat(F.lit(key + "o"), inner), 256)
 
 
 def feistel(left: Column, right: Column, n_left: Column, n_right: Column, key: str, tag: Column) -> Column:
@@ -128,8 +141,9 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code (up to the first gap, or one digit) stays."""
-    head = F.regexp_extract(m, r"^([+]\d{1,3}(?=[ .(-])|[+]\d|)", 1)
+    """The country code stays; it follows from the digits alone, so a number
+    has one pseudonym with gaps and without."""
+    head = F.regexp_extract(m, f"^([+](?:{_CODE})|)", 1)
     return _named(head, lambda h: _named(F.substr(m, F.length(h) + 1), lambda rest: F.concat(
         h, refill(rest, permute_digits(_digits(rest), key, "phone")))))
 
@@ -184,7 +198,9 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    h = F.concat(_digest(key, F.lit("secret1"), F.lower(m)), _digest(key, F.lit("secret2"), F.lower(m)))
+    """As many blocks of keyed hashes as the secret is long."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int"))
+    h = F.array_join(F.transform(blocks, lambda i: _digest(key, i, F.lower(m))), "")
     out = F.substr(h, F.lit(1), F.length(m))
     return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
 
@@ -214,6 +230,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     numbering rules) stay as they are. One projection over each row: no
     shuffle and no state, so hot values or long texts need no care.
 
+    A date has one pseudonym in all its notations. A month-first date (read so
+    only where its day is over 12) may get a pseudonym whose day is not; that
+    text is then the same as the day-first notation of another date.
+
     Null text stays null with counts 0; texts without a digit or @ are passed
     through unread by the patterns. Repeated rows are rewritten alike. An
     input column named like a count is replaced by the count.
@@ -228,7 +248,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         m, out = h["m"], F
         for kind, make in (("email", _email), ("secret", _secret), ("date", _date), ("ip", _ip), ("phone", _phone),
                            ("ssn", _ssn), ("card", _card)):
-            out = out.when(h["kind"] == kind, make(m, key))
+            out = out.when(h["kind"] == kind, make(m, derived(key, kind)))
         return out.otherwise(m)
 
     read = read.withColumn(made, F.transform(found, new))

@@ -113,3 +113,42 @@ def test_query_leaves_no_value_and_no_clean_text_changed(spark):
 def test_plan_is_native(spark):
     plan = queries.QUERIES["op6_pseudonyms"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_phones_with_gaps_and_without_share_a_pseudonym(spark):
+    pairs = [("+49 151 12345678", "+4915112345678", "49"), ("+351 912 345 678", "+351912345678", "351"),
+             ("+1 (017) 555-7713", "+10175557713", "1"), ("+7 495 123-45-67", "+74951234567", "7"), ("+41 44 668 18 00", "+41446681800", "41")]
+    got = _rewrite(spark, [t for a, b, _ in pairs for t in (a, b)])
+    for i, (a, b, code) in enumerate(pairs):
+        one, two = got[2 * i].text, got[2 * i + 1].text
+        assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two) and one != a and two != b
+        assert one.startswith(f"+{code}") and re.sub(r"\d", "0", one) == re.sub(r"\d", "0", a)
+
+
+def test_long_secrets_go_and_keys_stay_out_of_plans(spark):
+    secrets = ["ab12" * n for n in (4, 32, 36, 300)]
+    got = _rewrite(spark, [f'token = "{x}" end' for x in secrets], key="the caller's own key")
+    for i, x in enumerate(secrets):
+        new = re.fullmatch(r'token = "([0-9a-f]+)" end', got[i].text)[1]
+        assert len(new) == len(x) and not any(x[k:k + 16] in new for k in range(0, len(x) - 16, 4))
+    assert got[3].text[9:9 + 64] != got[3].text[9 + 64:9 + 128]
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert "caller's own" not in pseudonyms.pseudonymise(df, "the caller's own key")._jdf.queryExecution().toString()
+
+
+def test_rewriting_by_hand(spark):
+    """Find and replace, done again in Python with the pseudonyms of single
+    values: gaps stay as they are, each value becomes what it becomes alone."""
+    values = ["4026083977531332", "+49 30 1234567", "144.137.247.239", "123-45-6789", "2024-02-29", "31/12/1999",
+              "a.b@mail.example.com", "(212) 555-1234"]
+    alone = _rewrite(spark, values)
+    texts = [" é|".join(values), "\n".join(reversed(values)) + "\n", "; ".join(v for v in values for _ in range(3)), "none"]
+    got = _rewrite(spark, texts)
+    for i, t in enumerate(texts):
+        want = t
+        for k, v in enumerate(values):
+            want = want.replace(v, f"\0{k}\0")
+        for k in range(len(values)):
+            want = want.replace(f"\0{k}\0", alone[k].text)
+        assert got[i].text == want
+    assert all(alone[k].text != v for k, v in enumerate(values))
