@@ -30,6 +30,8 @@ from .common import id_text
 
 # Entries a worker's memo may hold before it starts anew; results do not depend on it.
 MEMO = 500_000
+# Longer keys (base64, addresses) seldom come again and are not kept, so a memo is bounded in bytes too.
+MEMO_KEY = 64
 NEVER = 1 << 62
 # A space between two white-space characters (or before the end) belongs to a
 # run that the pattern splits as a whole.
@@ -38,13 +40,16 @@ _IN_RUN = re.compile(r"\s (?!\S)")
 
 class Memo(dict):
     """Bounded memo of ``fn`` in two generations: when the young one is full it
-    becomes the old one, from which entries in use move up again."""
+    becomes the old one, from which entries in use move up again. Keys of more
+    than ``MEMO_KEY`` characters are computed each time."""
 
     def __init__(self, fn, limit: int = MEMO):
         super().__init__()
         self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.fn(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.fn(key)
