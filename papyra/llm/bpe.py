@@ -40,15 +40,15 @@ _IN_RUN = re.compile(r"\s (?!\S)")
 
 class Memo(dict):
     """Bounded memo of ``fn`` in two generations: when the young one is full it
-    becomes the old one, from which entries in use move up again. Keys of more
-    than ``MEMO_KEY`` characters are computed each time."""
+    becomes the old one, from which entries in use move up again. Texts of more
+    than ``longest`` characters are computed each time (None: any key is kept)."""
 
-    def __init__(self, fn, limit: int = MEMO):
+    def __init__(self, fn, limit: int = MEMO, longest: int | None = None):
         super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+        self.fn, self.limit, self.longest, self.old = fn, limit, longest, {}
 
     def __missing__(self, key):
-        if len(key) > MEMO_KEY:
+        if self.longest and len(key) > self.longest:
             return self.fn(key)
         value = self.old.pop(key, None)
         if value is None:
@@ -96,8 +96,8 @@ class BytePairEncoder:
         self.halves = Memo(self._halves)
         self.fits = Memo(self._fits, 2 * MEMO)
         self.shorter = Memo(self._shorter)
-        self.after_space = Memo(self._after_space)
-        self.after_word = Memo(self._packed)
+        self.after_space = Memo(self._after_space, longest=MEMO_KEY)
+        self.after_word = Memo(self._packed, longest=MEMO_KEY)
 
     def _halves(self, token: int) -> tuple[int, int] | None | bool:
         """The two tokens whose merge makes ``token``; None for a single byte,

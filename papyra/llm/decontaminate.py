@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, _slices
+from .bpe import MEMO_KEY, Memo, _slices
 from .common import free_name, stored
 
 WORD = re.compile(r"\w+")
@@ -34,7 +34,7 @@ def masks(errors: int) -> list[tuple[int, ...]]:
     return list(combinations(range(CLASSES), CLASSES - errors))
 
 
-_word_hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode()))
+_word_hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode()), longest=MEMO_KEY)
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, _slices, is_marked_word, word_parts
+from .bpe import MEMO_KEY, is_marked_word, Memo, _slices, word_parts
 from .common import id_text, shared_path
 
 # Fixed values of the format.
@@ -181,7 +181,7 @@ def _tokenizer(blob: bytes):
             return after_space[part[:-1]] + after_word[part[-1]]
         return ids_of(" " + part)
 
-    after_space, after_word = Memo(word), Memo(ids_of)
+    after_space, after_word = Memo(word, longest=MEMO_KEY), Memo(ids_of, longest=MEMO_KEY)
 
     def encode(text: str) -> bytes:
         parts = None if not by_words or any(s in text for s in specials) else word_parts(text)

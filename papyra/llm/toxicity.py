@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, _slices
+from .bpe import MEMO_KEY, Memo, _slices
 from .common import id_text, stored
 
 WORD = re.compile(r"\w+")
@@ -94,7 +94,7 @@ def maximal(rises: Iterable[tuple[int, float, float]]) -> list[tuple[int, int, f
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.of = Memo(self._of)
+        self.of = Memo(self._of, longest=MEMO_KEY)
 
     def _of(self, word: str) -> float:
         """Score of the word or of its longest known beginning."""
