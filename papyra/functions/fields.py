@@ -124,10 +124,11 @@ def field_defaults(fields) -> Column:
 
 
 def utc_timestamp(text) -> Column:
-    """Text without 'Z' or '+' is UTC; parse to a timestamp."""
+    """Text without 'Z' or an offset is UTC; parse to a timestamp. A text
+    that is none gives null."""
     t = _c(text)
-    norm = F.when(t.endswith("Z") | t.contains("+"), t).otherwise(F.concat(t, F.lit("Z")))
-    return F.to_timestamp(norm)
+    zoned = t.endswith("Z") | t.contains("+") | t.rlike(r":\d{2}(?:[.]\d+)?-\d{2}:?\d{2}$")
+    return F.try_to_timestamp(F.when(zoned, t).otherwise(F.concat(t, F.lit("Z"))))
 
 
 def add_month(ts) -> Column:

@@ -279,3 +279,12 @@ def test_prompt_lists_only_the_tenants_types(spark):
                    11: frame % ('1. "Letter": - | Campos: From', "b"), 12: frame % ("", "c"), 13: frame % ("", "")}
     shared = MD.classify_prompts(docs, cat.filter("user_id = 2").drop("user_id")).collect()
     assert {r.prompt for r in shared} == {frame % ('1. "Letter": - | Campos: From', t) for t in ("a", "b", "c", "")}
+
+
+def test_utc_timestamp_offsets_and_bad_texts(spark):
+    from papyra.functions.fields import utc_timestamp
+    texts = {"2024-01-01T10:00:00-03:00": "2024-01-01 13:00:00", "2024-01-01T10:00:00+03:00": "2024-01-01 07:00:00",
+             "2024-01-01T10:00:00Z": "2024-01-01 10:00:00", "2024-01-01T10:00:00": "2024-01-01 10:00:00",
+             "2024-01-01T10:00:00.5-01:00": "2024-01-01 11:00:00.5", "no date": None, "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in df.select("t", utc_timestamp("t").cast("string").alias("u")).collect()} == texts
