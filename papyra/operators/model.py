@@ -374,17 +374,22 @@ def classify_prompts(docs: DataFrame, catalogue: DataFrame, text_col="text", key
 
 
 def classify_with_model(docs: DataFrame, catalogue: DataFrame, fn: ModelFn, threshold: float | None = None,
-                        max_chars: int | None = None, key_col="doc_id") -> DataFrame:
+                        max_chars: int | None = None, key_col="doc_id", store: str | None = None,
+                        model_name: str = "") -> DataFrame:
     """The model stage as the jobs use it: prompt (H31), one call per distinct
     prompt (J1), reply repaired and read (H1, H2), low confidence to Others
     (H10), name resolved to a type of the tenant (C4). Columns as
     ``lexical_classify`` gives them, plus ``answer`` (the name the model gave)
-    and ``model_error`` (a failed call or a reply without JSON)."""
+    and ``model_error`` (a failed call or a reply without JSON). With ``store``
+    (a shared folder) answers are kept there by prompt and ``model_name`` and
+    only missing ones are called."""
+    from .answers import stored_model_stage
     from ..functions.json_repair import parse_model_json, repair_python_dict, vget
     from .matching import resolve_type
     tenant = F.col("user_id") if "user_id" in catalogue.columns else F.lit(0).cast("bigint")
     prompts = classify_prompts(docs, catalogue, key_col=key_col, max_chars=max_chars)
-    called = model_stage(prompts, fn, key_col=key_col).select(key_col, "response", "error")
+    called = stored_model_stage(prompts, fn, store, model_name) if store else model_stage(prompts, fn, key_col=key_col)
+    called = called.select(key_col, "response", "error")
     read = called.withColumn("_v", F.coalesce(parse_model_json("response"), repair_python_dict("response")))
     read = read.select(
         key_col, F.trim(vget("_v", "$.inferred_type")).alias("answer"), vget("_v", "$.confidence", "double").alias("_conf"),

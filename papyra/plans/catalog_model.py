@@ -3,11 +3,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import answers as AN
 from ..operators import cosine as CO
 from ..operators import model as MD
 from ..operators import stats as S
+from ..session import ensure_checkpoint_dir
 from .catalog_stats import D7_SQL, TENANT_TYPE
 from .registry import query
 
@@ -27,6 +31,18 @@ def q_model_stage(fx):
     return MD.model_stage(rows, _length_model, partitions=parallelism).select("doc_id", "response", "error")
 
 
+@query("model_answers", """
+SELECT doc_id, CASE WHEN length(text) >= 100 THEN printf('chars=%d;mod=%d', length(text), length(text) % 100) END AS response,
+  CASE WHEN length(text) < 100 THEN 'ValueError: texto insuficiente' END AS error FROM documents""")
+def q_model_answers(fx):
+    """J1 with stored answers: prompts without an answer are called, a few a
+    task, and every task's answers are kept from its commit on; then all
+    answers are joined back."""
+    store = f"{ensure_checkpoint_dir(fx.spark)}/answers-{uuid.uuid4().hex}"
+    rows = fx.documents.select("doc_id", F.col("text").alias("prompt"))
+    return AN.stored_model_stage(rows, _length_model, store, "length", calls_per_task=2000).select("doc_id", "response", "error")
+
+
 def _length_model(text: str) -> str:
     if len(text) < 100:
         raise ValueError("texto insuficiente")

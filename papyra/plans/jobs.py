@@ -58,13 +58,14 @@ def has_types(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None, model: MD.ModelFn | None = None,
-                      max_chars: int | None = None) -> DataFrame:
+                      max_chars: int | None = None, store: str | None = None) -> DataFrame:
     """K1: gate → classify (unique contents) → threshold → resolve (matched
     type or Others) → extract → typed key. One row per upload.
 
     ``model`` is the caller's function from a prompt to a reply (J1): its
     answers are read, repaired and resolved (H1, H10, C4), a failing call
-    makes an error row; without it the lexical baseline (J2) classifies. A
+    makes an error row; ``store`` keeps the answers across runs; without a model
+    the lexical baseline (J2) classifies. A
     document whose tenant has no type yet waits for one
     (``pending_confirmation``). Text features (hash, catalogue tokens,
     quality, label lines) are materialised and the later steps work on those;
@@ -77,7 +78,8 @@ def process_documents(uploads: DataFrame, catalogue: DataFrame, threshold=None,
         cls = cls.withColumn("answer", F.when(F.col("score") > 0, F.col("best_type_name"))) \
             .withColumn("model_error", F.lit(None).cast("string"))
     else:
-        cls = cut_lineage(MD.classify_with_model(ok.select("doc_id", "user_id", "text"), catalogue, model, threshold, max_chars))
+        cls = cut_lineage(MD.classify_with_model(ok.select("doc_id", "user_id", "text"), catalogue, model, threshold, max_chars,
+                                                  store=store))
     routed = feats.select("doc_id", F.when(F.col("quality_ok"), "standard")
                           .when(F.col("mime") == "application/pdf", "standard_low_quality").otherwise("vision")
                           .alias("route"))
@@ -151,7 +153,7 @@ def guess_type(value) -> F.Column:
 
 
 def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id", threshold=None,
-                model: MD.ModelFn | None = None, max_chars: int | None = None):
+                model: MD.ModelFn | None = None, max_chars: int | None = None, store: str | None = None):
     """K3 (infer types from samples): batch gate → dedup → usable text →
     classify → existing/new → homologate → consolidate → conform → save.
     A document that matches a type of the catalogue gets it; otherwise its
@@ -170,7 +172,7 @@ def infer_types(uploads: DataFrame, catalogue: DataFrame, batch_col="batch_id",
         cls = classify_unique(d, catalogue, threshold).withColumn("answer", F.lit(None).cast("string"))
     else:
         texts = kept.select("doc_id", "user_id", "text").join(d.select("doc_id"), "doc_id", "left_semi")
-        cls = cut_lineage(MD.classify_with_model(texts, catalogue, model, threshold, max_chars)).drop("model_error")
+        cls = cut_lineage(MD.classify_with_model(texts, catalogue, model, threshold, max_chars, store=store)).drop("model_error")
     d = d.join(cls, "doc_id")
     d = d.withColumn("inferred_name", F.when(~F.col("is_others"), F.col("best_type_name"))
                      .otherwise(F.coalesce(F.nullif("answer", F.lit("")), F.lit(UNCLASSIFIED)))).drop("answer")
