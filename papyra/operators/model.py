@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import effective_threshold
 from ..functions.fields import is_others as is_others_expr
 from ..functions.text import content_hash, strip_accents, text_quality
 
@@ -341,13 +342,19 @@ def schema_context(types: DataFrame, docs: DataFrame, schema: DataFrame) -> Data
     return typed.unionByName(untyped)
 
 
-def types_description(catalogue: DataFrame) -> DataFrame:
+CLASSIFY_REPLY = ('Return JSON: {"matchedTypeId": "id or null", "matchedTypeName": "name", "confidence": 0-1, "isOthers": true or false, '
+                  '"inferredType": "name, if isOthers"}\nIf confidence is below %s, set isOthers. JSON only.')
+
+
+def types_description(catalogue: DataFrame, ids: bool = False) -> DataFrame:
     """The numbered catalogue block of the classify prompt (``types``): one row
-    per ``user_id`` of a per-tenant catalogue, one row for a shared one."""
+    per ``user_id`` of a per-tenant catalogue, one row for a shared one; with
+    ``ids`` each type's id is told."""
     keys = [c for c in ("user_id",) if c in catalogue.columns]
     tl = catalogue.groupBy(*keys, "type_id", "type_name", "description").agg(
         _ordered_join("label", "position", ", ").alias("labels"))
-    tl = tl.withColumn("line", F.format_string('"%s": %s | Campos: %s', "type_name",
+    tl = tl.withColumn("line", F.format_string('"%s"%s: %s | Campos: %s', "type_name",
+                                               F.format_string(" [id=%d]", "type_id") if ids else F.lit(""),
                                                F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("-")),
                                                "labels"))
     numbered = F.transform(F.array_sort(F.collect_list(F.struct("type_id", "line"))),
@@ -356,20 +363,22 @@ def types_description(catalogue: DataFrame) -> DataFrame:
 
 
 def classify_prompts(docs: DataFrame, catalogue: DataFrame, text_col="text", key_col="doc_id",
-                     max_chars: int | None = None) -> DataFrame:
+                     max_chars: int | None = None, reply_threshold: float | None = None) -> DataFrame:
     """H31: 'Classify this document' prompt per document, with the whole text;
     ``max_chars`` cuts it with a mark, for models of a bounded context. With a
-    per-tenant catalogue a prompt lists the types of the document's tenant only."""
+    per-tenant catalogue a prompt lists the types of the document's tenant only. With
+    ``reply_threshold`` it lists type ids and asks for the reply that ``classify_with_model`` reads."""
     from ..functions.text import truncate_marked
     text = truncate_marked(text_col, max_chars, "...(truncated)") if max_chars else F.col(text_col)
-    described = types_description(catalogue)
+    described = types_description(catalogue, reply_threshold is not None)
+    reply = "" if reply_threshold is None else f"\n\n{CLASSIFY_REPLY % reply_threshold}"
     if "user_id" in catalogue.columns:
         rows = docs.select(F.col(key_col), F.col("user_id").alias("_tenant"), text.alias("_text")).join(
             described.select(F.col("user_id").alias("_tenant"), F.col("types").alias("_types")), "_tenant", "left")
     else:
         rows = docs.select(F.col(key_col), text.alias("_text"), described.scalar().alias("_types"))
     prompt = F.concat(F.lit("Classify this document. Available types:\n"), F.coalesce("_types", F.lit("")),
-                      F.lit("\n\nDocument text:\n"), F.coalesce("_text", F.lit("")))
+                      F.lit(f"{reply}\n\nDocument text:\n"), F.coalesce("_text", F.lit("")))
     return rows.select(key_col, prompt.alias("prompt"))
 
 
@@ -387,17 +396,30 @@ def classify_with_model(docs: DataFrame, catalogue: DataFrame, fn: ModelFn, thre
     from ..functions.json_repair import parse_model_json, repair_python_dict, vget
     from .matching import resolve_type
     tenant = F.col("user_id") if "user_id" in catalogue.columns else F.lit(0).cast("bigint")
-    prompts = classify_prompts(docs, catalogue, key_col=key_col, max_chars=max_chars)
+    prompts = classify_prompts(docs, catalogue, key_col=key_col, max_chars=max_chars,
+                               reply_threshold=effective_threshold(threshold))
     called = stored_model_stage(prompts, fn, store, model_name) if store else model_stage(prompts, fn, key_col=key_col)
     called = called.select(key_col, "response", "error")
     read = called.withColumn("_v", F.coalesce(parse_model_json("response"), repair_python_dict("response")))
+
+    def told(*names, type_="string"):
+        return F.coalesce(*[vget("_v", f"$.{n}", type_) for n in names])
+
+    def name_of(*names):
+        return F.nullif(F.trim(told(*names)), F.lit(""))
+    matched, inferred = name_of("matchedTypeName", "matched_type_name"), name_of("inferredType", "inferred_type")
     read = read.select(
-        key_col, F.trim(vget("_v", "$.inferred_type")).alias("answer"), vget("_v", "$.confidence", "double").alias("_conf"),
+        key_col, matched.alias("_matched"), inferred.alias("_inferred"), told("matchedTypeId", "matched_type_id", type_="bigint").alias("_id"),
+        told("isOthers", "is_others", type_="boolean").alias("_flag"), told("confidence", type_="double").alias("_conf"),
         F.coalesce("error", F.when(F.col("_v").isNull(), F.lit("La respuesta no es JSON"))).alias("model_error"))
-    items = docs.select(key_col, tenant.alias("user_id")).join(read, key_col)
-    items = items.withColumn("_low", is_others_expr(F.lit(None).cast("boolean"), "_conf", threshold))
     types = catalogue.select(tenant.alias("user_id"), F.col("type_id").alias("id"), F.col("type_name").alias("name")).distinct()
-    got = resolve_type(items, types, "answer", "_low", key_col)
+    # an id counts only if it is a type of the document's own tenant
+    by_id = types.select("user_id", F.col("id").cast("bigint").alias("_id"), F.col("name").alias("_named"))
+    items = docs.select(key_col, tenant.alias("user_id")).join(read, key_col).join(by_id, ["user_id", "_id"], "left")
+    items = items.withColumn("_name", F.coalesce("_matched", "_named", "_inferred")).withColumn(
+        "_low", is_others_expr(F.col("_flag"), "_conf", threshold)).withColumn(
+        "answer", F.when(F.col("_low"), F.coalesce("_inferred", "_name")).otherwise(F.coalesce("_name", "_inferred")))
+    got = resolve_type(items, types, "_name", "_low", key_col)
     return got.select(key_col, F.col("resolved_type_id").alias("best_type_id"),
                       F.col("resolved_type_name").alias("best_type_name"),
                       F.coalesce("_conf", F.lit(0.0)).alias("score"), F.col("resolved_is_others").alias("is_others"),

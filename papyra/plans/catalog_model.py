@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as AN
 from ..operators import cosine as CO
 from ..operators import model as MD
+from ..operators import prompts as PR
 from ..operators import stats as S
 from ..session import ensure_checkpoint_dir
 from .catalog_stats import D7_SQL, TENANT_TYPE
@@ -301,3 +304,45 @@ def q_build_prompt(fx):
     p = MD.classify_prompts(fx.v_labeled_documents, fx.v_type_catalogue, max_chars=3000)
     return p.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_len"))
 
+
+
+# ---------------------------------------------------------------- H31: extract, homologate
+def _label_reader(prompt: str) -> str:
+    """An offline stand-in for a model: the first ``Label: value`` line of the
+    text whose label is the field's label or name."""
+    ask, text = prompt.split("Document text:\n", 1)
+    found: dict[str, str] = {}
+    for label, value in re.findall(r"(?m)^([^:\n]+):[ \t]*([^\n]*)$", text):
+        found.setdefault(label.strip(" ").lower(), (len(found), value.strip(" ")))
+    fields = []
+    for name, label in re.findall(r"(?m)^- (\S+) \([^)]*\): (.*)$", ask):
+        hits = [found[k] for k in {name.lower(), label.strip(" ").lower()} if k in found]
+        fields.append({"name": name, "value": min(hits)[1] if hits else None})
+    return json.dumps({"summary": "", "fields": fields})
+
+
+@query("extract_model", f"WITH {J2_SQL},{J3_CTE}\nSELECT * FROM j3")
+def q_extract_model(fx):
+    """H31 extract: a prompt with the fields of each document's type, one call a
+    distinct prompt, values read from the reply and conformed to the type."""
+    typed = _classified(fx).filter(~F.col("is_others")).select("doc_id", F.col("best_type_id").alias("type_id"))
+    values, _ = PR.extract_with_model(fx.v_labeled_documents.select("doc_id", "text").join(typed, "doc_id"), fx.v_type_catalogue, _label_reader)
+    return values
+
+
+def _key_grouper(prompt: str) -> str:
+    """An offline stand-in for a model: names of a call with the same words."""
+    groups: dict[str, list[str]] = {}
+    for name in re.findall(r"(?m)^\d+\. (.*)$", prompt):
+        words = [w for w in re.sub("[^a-z0-9]+", " ", name.lower()).split() if w not in MD.STOP_WORDS]
+        groups.setdefault(" ".join(words), []).append(name)
+    return json.dumps({"groups": groups})
+
+
+@query("homologate_model", f"""
+WITH names AS ({NAMES_SQL}), k AS (SELECT DISTINCT p_brand, name AS variant, {KEY_SQL.format(c='name')} AS key FROM names)
+SELECT p_brand, variant, replace(key, '-', ' ') AS canonical FROM k""")
+def q_homologate_model(fx):
+    """H31 homologate: a brand's names packed into calls, groups of the replies
+    merged where they share a name, every name once."""
+    return PR.homologate_with_model(_names(fx), _key_grouper, group_cols=["p_brand"], budget=600)
