@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, utf8
 
+# Buckets are dealt over as many shuffle partitions, up to this many.
+MAX_PARTITIONS = 50_000
 # A bucket table of this many rows (two longs each) is small enough to broadcast.
 MAX_BROADCAST_BUCKETS = 100_000
 
@@ -35,7 +37,10 @@ def write_shards(docs: DataFrame, path: str | None = None, n_shards: int = 16, s
     itself), applies Spark's ``shuffle`` (Fisher-Yates) and numbers it from
     the bucket's offset, a running sum over the table of bucket counts.
     Everything after the shuffle is narrow up to the write, whose commit makes
-    it final.
+    it final. ``shuffle`` adds the partition's number to its seed, so buckets
+    are dealt over a number of partitions that follows from their count alone,
+    in bucket order: places depend on rows, ``seed``, ``n_shards`` and
+    ``bucket_bytes``, not on the session's shuffle partitions.
 
     Null id or text: hashed like any value. Records that repeat id and text
     share a bucket. Extra columns live inside ``record`` and cannot clash. An
@@ -58,11 +63,13 @@ def write_shards(docs: DataFrame, path: str | None = None, n_shards: int = 16, s
     if n_buckets <= MAX_BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
 
-    gathered = (records.select(bucket, F.struct(F.xxhash64(F.lit(seed + 1), "id", "txt").alias("tie"), "record").alias("r"))
-                .groupBy("bucket").agg(F.collect_list("r").alias("rows")))
+    record = F.struct(F.xxhash64(F.lit(seed + 1), "id", "txt").alias("tie"), "record").alias("r")
+    dealt = records.select(bucket, record).repartition(min(n_buckets, MAX_PARTITIONS), "bucket")
+    gathered = dealt.groupBy("bucket").agg(F.collect_list("r").alias("rows"))
     in_order = F.array_sort("rows", lambda a, b: F.when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0))
-    placed = (gathered.join(offsets, "bucket")
-              .select("offset", "total", F.posexplode(F.shuffle(in_order, seed)).alias("pos", "r"))
+    shuffled = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle(in_order, seed).alias("rows"))
+    placed = (shuffled.join(offsets, "bucket")
+              .select("offset", "total", F.posexplode("rows").alias("pos", "r"))
               .select((F.col("offset") + F.col("pos")).alias("place"), "total", F.col("r.record").alias("record")))
     shard = F.expr(f"place * {n_shards} div total")
     # the first place of shard s is ceil(s * total / n_shards)

@@ -41,3 +41,16 @@ def test_query_and_seed(spark):
     assert place[42] == {r.doc_id: (r.shard, r.slot) for r in got} != place[43]
     order = [d for d, _ in sorted(place[42].items(), key=lambda x: x[1])]
     assert sum(abs(a - b) == 1 for a, b in zip(order, order[1:], strict=False)) < len(order) // 10
+
+
+def test_places_depend_on_the_seed_alone(spark):
+    frame = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    was, places = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = sharding.shard_digest(frame.repartition(n), bucket_bytes=5000).collect()
+            places.append({r.doc_id: (r.shard, r.slot) for r in got})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert places[0] == places[1]
