@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,11 @@ COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BITS = 60 // COUNTS
 NEAR = 8  # counts 1..8 are found in one look, longer runs of small ids in a second
 
+_NEWLINES = re.compile("(\n+)")
+_OTHER_SPACE = re.compile(r"[^\S\n]")
+# ASCII marks; the apostrophe, which may begin a match of letters, is not one.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, 1 at least (exact: halves of 32 bits fit a float)."""
@@ -157,8 +163,8 @@ def _tokenizer(blob: bytes):
 
     A byte-level tokenizer with the usual pattern and no normaliser cuts a
     text before the space of each word, so parts can be encoded alone: words
-    of letters by the library's merge model, other parts by its ``encode``,
-    both memoised. Any other tokenizer, and texts with a special token or with
+    of letters by the library's merge model, marks and lines apart, the rest by
+    its ``encode``, all memoised. Any other tokenizer, and texts with a special token or with
     runs of white space that straddle a cut, are encoded in one call."""
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,7 +185,23 @@ def _tokenizer(blob: bytes):
             return struct.pack(f"<{len(ids)}I", *ids)
         if is_marked_word(part):
             return after_space[part[:-1]] + after_word[part[-1]]
-        return ids_of(" " + part)
+        got = pieces(part)
+        return ids_of(" " + part) if got is None else got
+
+    def pieces(part: str) -> bytes | None:
+        """A word and a run of marks, or lines of words: neither the place
+        between letters and marks nor that beside a newline is inside a match."""
+        lines = _NEWLINES.split(part)
+        if len(lines) == 1:
+            letters = part.rstrip(_MARKS)
+            if letters != part and letters.isalpha():
+                return after_space[letters] + after_word[part[len(letters):]]
+            return None
+        if not lines[0] or not lines[-1] or _OTHER_SPACE.search(part):
+            return None
+        rest = ((after_word["\n" * (len(x) - 1)] if len(x) > 1 else b"") + after_word["\n"] if x[0] == "\n" else after_word[x]
+                for x in lines[1:])
+        return after_space[lines[0]] + b"".join(rest)
 
     after_space, after_word = Memo(word, longest=MEMO_KEY), Memo(ids_of, longest=MEMO_KEY)
 

@@ -1,5 +1,6 @@
 """Simple-8b coding, the file format, and the files as a whole."""
 
+import random
 import zlib
 
 import numpy as np
@@ -86,3 +87,15 @@ def test_edge_rows_in_many_files(spark):
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     _check(queries.QUERIES["op5_token_files"](spark, SF_SMALL).collect(), docs)
+
+
+def test_marks_lines_and_spaces_against_the_library():
+    """Texts of words, marks, contractions, newlines and other white space in
+    any order are cut where the library cuts them."""
+    with open(PATH, "rb") as f:
+        encode = token_files._tokenizer(f.read())
+    rng = random.Random(5)
+    bits = ["a", "the", "é", "1", "22", ".", "&&&", "'", "'s", "\n", "\n\n", " ", "  ", "\t", "\r\n", "$$", "-", "_", "word", "\xa0", "中", "!"]
+    for _ in range(20000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
