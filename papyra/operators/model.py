@@ -321,10 +321,12 @@ def _ordered_join(parts_col: str, order_col: str, sep: str) -> Column:
 
 def schema_context(types: DataFrame, docs: DataFrame, schema: DataFrame) -> DataFrame:
     """Per tenant, each type with id, document count and its own fields
-    (``schema`` per tenant and type name);
+    (``schema`` per tenant and type name; a field shows its ``label``, or its
+    name where the schema has none);
     a tenant without types gets the count of its untyped documents."""
     cnt = docs.groupBy(F.col("document_type_id").alias("_tid")).agg(F.count(F.lit(1)).alias("_n"))
-    line = F.format_string('    - "%s" (%s): %s%s', "name", "type", "name",
+    label = F.coalesce("label", "name") if "label" in schema.columns else F.col("name")
+    line = F.format_string('    - "%s" (%s): %s%s', "name", "type", label,
                            F.when(F.col("required"), " [required]").otherwise(""))
     fl = schema.withColumn("_line", line).groupBy(F.col("user_id").alias("_tuser"), F.col("type_name").alias("_tname")).agg(
         _ordered_join("_line", "position", "\n").alias("_fields"))

@@ -114,6 +114,16 @@ def consolidate_schema(fields: DataFrame, group_col="type_name", doc_col="doc_id
     return out if max_fields is None else out.filter(F.col("position") <= max_fields)
 
 
+def inference_report(fields: DataFrame, types: DataFrame) -> DataFrame:
+    """Per tenant and type its id (null while it has none), the fields
+    found and the documents sampled, and one row of totals over all (tenant and
+    type null). A type of the same name belongs to another tenant's row."""
+    counted = fields.groupingSets([["user_id", "type_name"], []], "user_id", "type_name").agg(
+        F.countDistinct("name").alias("field_count"), F.countDistinct("doc_id").alias("sample_count"))
+    ids = types.groupBy("user_id", F.col("name").alias("type_name")).agg(F.min("id").alias("type_id"))
+    return counted.join(ids, ["user_id", "type_name"], "left")
+
+
 def populated_fields(docs: DataFrame, json_col="extracted_data") -> DataFrame:
     """Non-null, non-empty values per document; low confidence when none."""
     fs = display_fields(parse_extracted(json_col))

@@ -301,12 +301,14 @@ def q_distinct_type_names(fx):
 
 
 @query("inference_report", """
-SELECT type_name, count(DISTINCT name) AS field_count, count(DISTINCT doc_id) AS sample_count
-FROM v_fields GROUP BY GROUPING SETS ((type_name), ())""")
+WITH r AS (SELECT user_id, type_name, count(DISTINCT name) AS field_count, count(DISTINCT doc_id) AS sample_count
+           FROM v_fields GROUP BY GROUPING SETS ((user_id, type_name), ())),
+ids AS (SELECT user_id, name AS type_name, min(id) AS type_id FROM v_document_types GROUP BY ALL)
+SELECT r.user_id, r.type_name, field_count, sample_count, type_id
+FROM r LEFT JOIN ids ON r.user_id = ids.user_id AND r.type_name = ids.type_name""")
 def q_inference_report(fx):
-    """Per type field and sample counts, plus the totals row."""
-    return fx.v_fields.rollup("type_name").agg(F.countDistinct("name").alias("field_count"),
-                                               F.countDistinct("doc_id").alias("sample_count"))
+    """Per tenant and type its id, field and sample counts, plus the totals row."""
+    return S.inference_report(fx.v_fields, fx.v_document_types)
 
 
 @query("chat_counts", """

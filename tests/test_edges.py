@@ -288,3 +288,11 @@ def test_utc_timestamp_offsets_and_bad_texts(spark):
              "2024-01-01T10:00:00.5-01:00": "2024-01-01 11:00:00.5", "no date": None, "": None, None: None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.u for r in df.select("t", utc_timestamp("t").cast("string").alias("u")).collect()} == texts
+
+
+def test_inference_report_keeps_tenants_apart(spark):
+    fields = spark.createDataFrame([(1, 1, "Venta", "a"), (1, 1, "Venta", "b"), (2, 2, "Venta", "a"), (3, 2, "Nota", "c")],
+                                   "doc_id long, user_id long, type_name string, name string")
+    types = spark.createDataFrame([(7, 1, "Venta"), (5, 1, "Venta"), (9, 3, "Nota")], "id long, user_id long, name string")
+    out = {(r.user_id, r.type_name): (r.type_id, r.field_count, r.sample_count) for r in S.inference_report(fields, types).collect()}
+    assert out == {(1, "Venta"): (5, 2, 1), (2, "Venta"): (None, 1, 1), (2, "Nota"): (None, 1, 1), (None, None): (None, 3, 3)}
