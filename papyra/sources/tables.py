@@ -57,3 +57,22 @@ def write_export(wide: DataFrame, path: str, fmt: str = "csv", mode: str = "over
         w.option("header", True).csv(path)
     else:
         w.json(path)
+
+
+def write_typed_export(conformed: DataFrame, path: str, type_cols=("user_id", "type_name"), key_col="doc_id", mode: str = "overwrite") -> None:
+    """A6, a table per type: JSON lines in ``path/user_id=U/type_name=T``, each
+    line the document's key and exactly its type's fields in schema order (nulls
+    written), so every folder reads as a table with the type's own schema.
+
+    ``conformed`` is the long form of J5; a document's fields (bounded by its
+    schema) are one group. No list of columns or types is gathered: rows are
+    rebalanced by type, which splits a hot type over many files and keeps small
+    ones together. A field named like the key is written as ``key_col`` plus
+    ``_field``. Types of a null name go to Hive's default folder."""
+    entry = F.struct("position", F.when(F.col("field") == key_col, f"{key_col}_field").otherwise(F.col("field")).alias("key"), "value")
+    rows = conformed.groupBy(key_col, *type_cols).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    pairs = F.transform("_entries", lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value")))
+    key = F.array(F.struct(F.lit(key_col).alias("key"), F.col(key_col).cast("string").alias("value")))
+    line = F.to_json(F.map_from_entries(F.concat(key, pairs)), {"ignoreNullFields": "false"})
+    out = rows.select(*type_cols, line.alias("value")).hint("rebalance", *type_cols)
+    out.write.mode(mode).partitionBy(*type_cols).text(path)

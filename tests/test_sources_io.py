@@ -85,3 +85,20 @@ def test_new_types_and_progress(spark):
     assert [tuple(x) for x in new_types_from_assignments(r).collect()] == [(7, "Boleta")]
     p = spark.createDataFrame([(1, 3), (0, 0)], "d int, t int").select(progress_percent("d", "t").alias("p"))
     assert [x.p for x in p.collect()] == [33, 0]
+
+
+def test_typed_export_is_a_table_per_type(spark, tmp_path):
+    """Each folder reads with its own type's columns, nulls and odd names kept;
+    documents of a hot type are all there."""
+    rows = [(d, 1, "Venta", 1, "folio", f'F"{d}') for d in range(300)] + [(d, 1, "Venta", 2, "total", None if d % 2 else "1.5") for d in range(300)]
+    rows += [(900, 2, "Venta", 1, "doc_id", "x"), (900, 2, "Venta", 2, "a", "ñ\n"), (901, 2, "Nota/é", 1, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, user_id long, type_name string, position int, field string, value string")
+    path = str(tmp_path / "export")
+    TB.write_typed_export(df.repartition(5), path)
+    hot = spark.read.json(f"{path}/user_id=1/type_name=Venta")
+    assert sorted(hot.columns) == ["doc_id", "folio", "total"]
+    assert {(int(r.doc_id), r.folio, r.total) for r in hot.collect()} == {(d, f'F"{d}', None if d % 2 else "1.5") for d in range(300)}
+    other = spark.read.json(f"{path}/user_id=2/type_name=Venta").collect()
+    assert [r.asDict() for r in other] == [{"doc_id": "900", "doc_id_field": "x", "a": "ñ\n"}]
+    lines = {(r.user_id, r.type_name, r.value) for r in spark.read.text(path).collect()}
+    assert len(lines) == 302 and (2, "Nota/é", '{"doc_id":"901","z":null}') in lines
