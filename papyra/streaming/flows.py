@@ -84,6 +84,19 @@ def stream_dedup(items: DataFrame, key="content_hash", delay: str = "24 hours",
     return kept.withColumnRenamed("content_hash", key)
 
 
+def next_sightings(runs: DataFrame) -> DataFrame:
+    """The probes of ``runs`` (sorted_runs of sightings and probes) with ``_next``,
+    the nearest sighting after each. Runs are read backwards, so that each frame
+    goes on from the one before and a run of n rows takes n steps."""
+    mark = F.when(F.col("_real") == 1, F.struct("_k", "_id", "_ts"))
+    after = Window.partitionBy("_run").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = runs.groupBy("_run").agg(F.min_by(mark, F.when(F.col("_real") == 1, F.col("_at"))).alias("_head"))
+    later = Window.orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    heads = heads.select("_run", F.last("_head", ignorenulls=True).over(later).alias("_carried"))
+    return (runs.withColumn("_next", F.last(mark, ignorenulls=True).over(after)).filter("_real = 0").join(heads, "_run")
+            .withColumn("_next", F.coalesce("_next", "_carried")))
+
+
 def kept_sightings(rows: DataFrame, delay_us: int) -> DataFrame:
     """I3 batch form without a sequential pass over a content's sightings:
     each sighting points to the first one ``delay_us`` or more later (one pass
@@ -99,13 +112,7 @@ def kept_sightings(rows: DataFrame, delay_us: int) -> DataFrame:
     # a sighting (1) and, delay later, its probe (0), which comes before the sightings of that instant
     both = long_.withColumn("_real", F.lit(1)).unionByName(long_.withColumns({"_t": F.col("_t") + delay_us, "_real": F.lit(0)}))
     runs = sorted_runs(both, ["_k", "_t", "_real", "_id"])
-    mark = F.when(F.col("_real") == 1, F.struct("_k", "_id", "_ts"))
-    after = Window.partitionBy("_run").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
-    heads = runs.groupBy("_run").agg(F.min_by(mark, F.when(F.col("_real") == 1, F.col("_at"))).alias("_head"))
-    later = Window.orderBy("_run").rowsBetween(1, Window.unboundedFollowing)  # one row a run
-    heads = heads.select("_run", F.first("_head", ignorenulls=True).over(later).alias("_carried"))
-    probes = (runs.withColumn("_next", F.first(mark, ignorenulls=True).over(after)).filter("_real = 0").join(heads, "_run")
-              .withColumn("_next", F.coalesce("_next", "_carried")))
+    probes = next_sightings(runs)
     same = F.col("_next._k").eqNullSafe(F.col("_k"))
     jumps = cut_lineage(probes.filter(same).select(F.struct("_k", "_id").alias("_from"), F.struct("_next._k", "_next._id").alias("_to"),
                                                    F.col("_next._ts").alias("_to_ts")))

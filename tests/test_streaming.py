@@ -177,6 +177,18 @@ def test_stream_dedup_equals_batch_and_a_plain_pass(spark, fx):
     assert ST.stream_dedup(r.limit(0)).count() == 0
 
 
+def test_next_sightings_take_one_step_a_row(spark):
+    """The nearest sighting after each probe, in its run or a later one; no
+    frame is built anew for every row, which is quadratic in a run."""
+    rows = [(run, at, at % 3 % 2, "k", 100 * run + at, float(at)) for run, n in ((0, 7), (1, 1), (2, 5), (3, 0), (4, 3)) for at in range(n)]
+    runs = spark.createDataFrame(rows, "_run long, _at long, _real int, _k string, _id long, _ts double")
+    got = ST.next_sightings(runs)
+    real = sorted((r[0], r[1], r[4]) for r in rows if r[2] == 1)
+    want = {(r[0], r[1]): next((i for run, at, i in real if (run, at) > (r[0], r[1])), None) for r in rows if r[2] == 0}
+    assert {(r._run, r._at): r._next and r._next._id for r in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_inbox_stream_upserts(spark, fx):
     files = fx.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
                              F.concat(F.lit("doc_"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("filename"),
