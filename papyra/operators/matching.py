@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .containment import containment_pairs
+from .containment import containment_pairs, merged
 
 
 def norm_name(c) -> Column:
@@ -31,9 +31,11 @@ def best_type_match(items: DataFrame, types: DataFrame, name_col: str = "classif
     the item's name; else (``partial``) the first type (lowest id) whose
     name contains the item's name or is contained in it.
 
-    An empty name matches nothing. Partial matching looks the distinct names
-    without an exact match up in a q-gram index of the tenant's type names
-    (``containment``); names and types are never paired as such. Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
+    An empty name matches nothing. Partial matching compares the distinct names
+    without an exact match with the types of a tenant that has few, and looks
+    them up in a q-gram index of the type names of one that has many
+    (``containment``). Catalogues are never broadcast: their size as planned is
+    that of a file, not of the rows made from it. Returns ``items`` plus ``match_type_id``, ``match_type_name`` and
     ``match_kind`` ('exact' | 'partial' | null)."""
     t = types.select(F.col(user_col).alias("_tu"), F.col("id").alias("_tid"),
                      F.col("name").alias("_tname"), norm_name("name").alias("_tn"))
@@ -41,16 +43,16 @@ def best_type_match(items: DataFrame, types: DataFrame, name_col: str = "classif
     names = items.select(F.col(user_col).alias("_u"), norm_name(name_col).alias("_cn")).filter(F.col("_cn") != "").distinct()
     first = F.min(F.struct(F.col("_tid").alias("tid"), F.col("_tname").alias("tname")))
     exact = t.groupBy(F.col("_tu").alias("_u"), F.col("_tn").alias("_cn")).agg(first.alias("_m"))
-    best = names.join(exact, ["_u", "_cn"]).withColumn("_kind", F.lit("exact"))
+    best = names.join(merged(exact), ["_u", "_cn"]).withColumn("_kind", F.lit("exact"))
     if partial:
-        rest = names.join(exact, ["_u", "_cn"], "left_anti")
+        rest = names.join(merged(exact), ["_u", "_cn"], "left_anti")
         named = exact.select("_u", F.col("_cn").alias("_tn"), F.col("_m").alias("_t"))
-        near = (containment_pairs(rest, named, "_u", "_cn", "_tn").join(named, ["_u", "_tn"])
+        near = (containment_pairs(rest, named, "_u", "_cn", "_tn").join(merged(named), ["_u", "_tn"])
                 .groupBy("_u", "_cn").agg(F.min("_t").alias("_m")))
         best = best.unionByName(near.withColumn("_kind", F.lit("partial")))
     best = best.select(F.col("_u").alias("_best_u"), F.col("_cn").alias("_best_name"), F.col("_m.tid").alias("match_type_id"),
                        F.col("_m.tname").alias("match_type_name"), F.col("_kind").alias("match_kind"))
-    return items.join(best, (items[user_col] == best["_best_u"]) & (norm_name(items[name_col]) == best["_best_name"]),
+    return items.join(merged(best), (items[user_col] == best["_best_u"]) & (norm_name(items[name_col]) == best["_best_name"]),
                       "left").drop("_best_u", "_best_name")
 
 

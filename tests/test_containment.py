@@ -22,6 +22,29 @@ def test_pairs_equal_brute_force(spark, one, two):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([1, 2, None]), NAME), max_size=25), st.lists(st.tuples(st.sampled_from([1, 2, None]), NAME), max_size=25),
+       st.sampled_from([0, 2, 5]))
+def test_pairs_do_not_depend_on_how_many_are_few(spark, one, two, few):
+    """Keys at the limit and beyond it, some of both in one call."""
+    a = spark.createDataFrame(one, "_u long, _a string")
+    b = spark.createDataFrame(two, "_u long, _b string")
+    got = [tuple(r) for r in containment_pairs(a, b, few=few).collect()]
+    want = {(u, x, y) for u, x in one for v, y in two if u is not None and u == v and x and y and (x in y or y in x)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_side_of_a_match_is_broadcast(spark):
+    """Names and types as the planner sees them are as small as their files;
+    exploded into grams they are not."""
+    ty = spark.createDataFrame([(1, 1, "a b c"), (2, 1, "nota")], "id long, user_id long, name string")
+    df = spark.createDataFrame([(1, 1, "a b c d", False), (2, 1, "x", None)], "id long, user_id long, classified_name string, is_others boolean")
+    hit, miss = M.split_matched(df, ty)
+    for out in (M.match_type_exact(df, ty), M.match_type_partial(df, ty), M.resolve_type(df, ty), hit, miss):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in hit.collect()] == [1] and [r.id for r in miss.collect()] == [2]
+
+
 def test_a_tenant_of_100_000_names_and_10_000_types(spark):
     """Candidates stay near the matches: no product of names and types."""
     rng = random.Random(5)
