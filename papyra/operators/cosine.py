@@ -5,7 +5,9 @@ directions. Rows of a group that share a band's code meet in a bucket; there
 every row is compared with the bucket's leader (its smallest id), those that
 match go to it, the others choose a leader again. A round is one aggregate and
 one equi-join, so no bucket gives all its pairs and a crowded one is split by
-AQE. What was matched is a forest of verified edges; its components, by
+AQE. Pairs are first judged on vectors of one byte a dimension with their
+rounding error, which rules out nearly all without a doubt; only the others
+fetch the whole vectors. What was matched is a forest of verified edges; its components, by
 alternating large and small stars, are the groups.
 """
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .containment import merged
 
 SEED = 20
 
@@ -36,45 +39,88 @@ def cosine(u: Column, v: Column) -> Column:
     return dot(u, v) / F.sqrt(dot(u, u) * dot(v, v))
 
 
+def byte_vectors(rows: DataFrame) -> DataFrame:
+    """``_id, _q`` for rows (_id, _v) whose vector has a direction: one byte a
+    dimension (``q``), its step ``s`` and its error ``e``; the unit vector is
+    within ``e`` of ``s * q``. Vectors so long or short that their squares may
+    leave the range of doubles have an infinite error."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes > 0]).astype(int):
+                at = pa.array(np.flatnonzero(sizes == dim))
+                x = batch.column(1).take(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                most = np.abs(x).max(axis=1, keepdims=True)
+                q = np.rint(x / most * 127).astype(np.int8)
+                with np.errstate(all="ignore"):
+                    squares = (x * x).sum(axis=1, keepdims=True)
+                    plain = (squares > 1e-120) & (squares < 1e120)
+                    norm = np.sqrt(squares)
+                    step = np.where(plain, most / 127 / norm, 0.0)
+                    error = np.where(plain, np.sqrt(((x / norm - q * step) ** 2).sum(axis=1, keepdims=True)), np.inf)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.ListArray.from_arrays(ends, pa.array(q.reshape(-1))),
+                                                  pa.array(step[:, 0]), pa.array(error[:, 0])], ["_id", "q", "s", "e"])
+
+    return (rows.select("_id", "_v").mapInArrow(short, "_id long, q array<tinyint>, s double, e double")
+            .select("_id", F.struct("q", "s", "e").alias("_q")))
+
+
+def may_reach(u: Column, v: Column, threshold: float) -> Column:
+    """Whether two vectors of ``byte_vectors`` can have a cosine of ``threshold``.
+    Never false for a pair that has; false for different dimensions."""
+    dot = F.aggregate(F.zip_with(u["q"], v["q"], lambda x, y: x.cast("bigint") * y), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    error = u["e"] + v["e"] + u["e"] * v["e"] + 1e-9
+    return F.coalesce(dot * u["s"] * v["s"] + error >= threshold, F.lit(False))
+
+
 def band_codes(rows: DataFrame, bits: int, bands: int) -> DataFrame:
-    """``_id, band, code`` for rows (_id, _v) whose vector has a direction."""
+    """``_id, _g, bucket`` (band and code) for rows (_id, _g, _v) whose vector
+    has a direction."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes[sizes > 0]).astype(int):
                 at = pa.array(np.flatnonzero(sizes == dim))
-                x = batch.column(1).take(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                x = batch.column(2).take(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(SEED).standard_normal((dim, bands * bits))
                 signs = (x @ planes[dim] > 0).reshape(len(x), bands, bits)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(batch.column(0).take(at).to_numpy(), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(x))),
-                    pa.array((signs @ weights).reshape(-1))], ["_id", "band", "code"])
+                ids, groups = (np.repeat(batch.column(k).take(at).to_numpy(), bands) for k in (0, 1))
+                bucket = (signs @ weights).reshape(-1) + (np.tile(np.arange(bands, dtype=np.int64), len(x)) << bits)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(groups), pa.array(bucket)], ["_id", "_g", "bucket"])
 
-    return rows.select("_id", "_v").mapInArrow(code, "_id long, band int, code long")
+    return rows.select("_id", F.col("_g").cast("bigint"), "_v").mapInArrow(code, "_id long, _g long, bucket long")
 
 
 def star_edges(rows: DataFrame, threshold: float, bits: int, bands: int, rounds: int) -> DataFrame:
     """Verified edges ``a, b`` (b < a) between rows (_id, _g, _v): in each
     bucket, rows to their leader, ``rounds`` times."""
-    left = cut_lineage(band_codes(rows, bits, bands).join(rows.select("_id", "_g"), "_id"))
+    left = band_codes(rows, bits, bands)
     vec = rows.select("_id", "_v")
-    key, edges = ["_g", "band", "code"], None
+    short = byte_vectors(rows)
+    key, edges = ["_g", "bucket"], None
+
+    def to_leader(side: DataFrame, of: str) -> DataFrame:
+        return side.select(F.col("_id").alias("b"), F.col(of).alias("_w"))
+
     for _ in range(rounds):
         leaders = left.groupBy(*key).agg(F.min("_id").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        met = left.join(leaders, key).filter("_id <> b")
+        met = cut_lineage(left.join(merged(leaders), key).filter("_id <> b"))
         pairs = met.select("_id", "b").distinct()
-        judged = cut_lineage(pairs.join(vec, "_id").join(vec.select(F.col("_id").alias("b"), F.col("_v").alias("_w")), "b")
-                             .select("_id", "b", (cosine(F.col("_v"), F.col("_w")) >= threshold).alias("_ok")))
-        found = judged.filter("_ok").select(F.col("_id").alias("a"), "b")
+        close = (pairs.join(short, "_id").join(to_leader(short, "_q"), "b")
+                 .filter(may_reach(F.col("_q"), F.col("_w"), threshold)).select("_id", "b"))
+        found = cut_lineage(close.join(vec, "_id").join(to_leader(vec, "_v"), "b")
+                            .filter(cosine(F.col("_v"), F.col("_w")) >= threshold).select("_id", "b"))
         edges = found if edges is None else edges.unionByName(found)
-        left = cut_lineage(met.join(judged.filter("NOT coalesce(_ok, false)"), ["_id", "b"]).select("_id", *key))
-        if not left.limit(1).count():
+        left = met.join(found, ["_id", "b"], "left_anti").select("_id", *key)
+        if not met.limit(1).count():
             break
-    return edges.distinct()
+    return edges.select(F.col("_id").alias("a"), "b").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

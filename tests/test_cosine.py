@@ -83,5 +83,58 @@ def test_hot_group_and_canonical(spark):
     assert edges.count() < 3 * 6 * 900
 
 
+def test_bytes_rule_out_no_pair_that_reaches(spark):
+    """Pairs around the threshold, unlike sizes and extreme lengths: what the
+    bytes rule out is below it, and far pairs are ruled out."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    for k in range(400):
+        u = rng.standard_normal(24)
+        v = u * rng.uniform(.1, 10) + rng.normal(0, .02 * (k % 60), 24)
+        pairs.append((u.tolist(), (v * 10.0 ** rng.integers(-30, 30)).tolist()))
+    pairs += [([1.0, 2.0], [1.0, 2.0]), ([1.0], [1.0, 2.0]), ([1e150, 1e150], [1e150, 1.1e150]), ([1e-140, 0.0], [1.0, 0.0]), ([0.0, 3.0], [0.0, 5.0])]
+    sides = [spark.createDataFrame([(k, p[side]) for k, p in enumerate(pairs)], "_id long, _v array<double>") for side in (0, 1)]
+    u, v = (df.join(CO.byte_vectors(df), "_id").select("_id", F.col("_v").alias(c), F.col("_q").alias(f"q{c}")) for df, c in zip(sides, "uv", strict=True))
+    got = u.join(v, "_id").select(CO.may_reach(F.col("qu"), F.col("qv"), 0.9).alias("may"), "u", "v").collect()
+    assert len(got) == len(pairs)
+    far = 0
+    for r in got:
+        if len(r.u) != len(r.v):
+            assert not r.may
+            continue
+        u, v = (np.array(x) / max(map(abs, x)) for x in (r.u, r.v))
+        cos = u @ v / math.sqrt((u @ u) * (v @ v))
+        assert r.may or cos < 0.9
+        far += not r.may
+        assert cos > 0.85 or not r.may
+    assert far > 30
+
+
+def test_a_row_ships_its_whole_vector_only_to_close_rows(spark):
+    """Pairs are judged on bytes before whole vectors are joined, what is stored
+    holds ids alone, and the exploded codes are not broadcast."""
+    rng = np.random.default_rng(4)
+    rows = [(k, 0, rng.standard_normal(256).tolist()) for k in range(1500)]
+    df = spark.createDataFrame(rows, "_id long, _g long, _v array<double>").repartition(4).localCheckpoint()
+    edges = CO.star_edges(df, 0.9, 6, 12, 1)
+    assert edges.count() == 0
+    plans = []
+    cut = CO.cut_lineage
+
+    def keep(frame):
+        plans.append(frame)
+        return cut(frame)
+
+    CO.cut_lineage = keep
+    try:
+        CO.star_edges(df, 0.9, 6, 12, 1)
+    finally:
+        CO.cut_lineage = cut
+    met, found = plans
+    assert "_v" not in met.columns and set(found.columns) == {"_id", "b"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bands_follow_the_threshold():
     assert CO.bands_needed(1.0, 20, 0.99) == 1 < CO.bands_needed(0.95, 8, 0.99) < CO.bands_needed(0.8, 8, 0.99)
