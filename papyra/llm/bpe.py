@@ -18,7 +18,6 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -26,16 +25,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, kept_alone
 
 # Entries a worker's memo may hold before it starts anew; results do not depend on it.
-MEMO = 500_000
+MEMO = 250_000
 # Longer keys (base64, addresses) seldom come again and are not kept, so a memo is bounded in bytes too.
 MEMO_KEY = 64
+# Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
 NEVER = 1 << 62
 # A space between two white-space characters (or before the end) belongs to a
 # run that the pattern splits as a whole.
-_IN_RUN = re.compile(r"\s (?!\S)")
+_IN_RUN = re.compile(r" (?!\S)(?<=\s )")
 
 
 class Memo(dict):
@@ -196,7 +197,7 @@ class BytePairEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@kept_alone
 def _encoder(blob: bytes, pattern: str) -> BytePairEncoder:
     return BytePairEncoder(read_ranks(blob), pattern)
 
@@ -248,7 +249,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     return base.mapInArrow(rows, schema + (", ids array<int>" if with_ids else ""))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of a few rows, so few Python texts live at a time."""
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+# What this process keeps between tasks: one result of one function.
+_KEPT: dict[tuple, object] = {}
+
+
+def drop_kept() -> None:
+    _KEPT.clear()
+
+
+def kept_alone(make: Callable) -> Callable:
+    """``make`` with its last result kept in the process until any function so
+    marked is called for another one. Spark hands a Python worker from operator
+    to operator, so it holds the memos of the running one, not of all so far."""
+    @wraps(make)
+    def get(*args):
+        key = (make.__module__, make.__qualname__, *args)
+        if key not in _KEPT:
+            drop_kept()
+            _KEPT[key] = make(*args)
+        return _KEPT[key]
+
+    return get
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMO_KEY, Memo, _slices
-from .common import free_name, stored
+from .common import free_name, kept_alone, stored
 
 WORD = re.compile(r"\w+")
 # Residue classes of the positions, bits of the test-hash bitmap.
@@ -34,12 +34,14 @@ def masks(errors: int) -> list[tuple[int, ...]]:
     return list(combinations(range(CLASSES), CLASSES - errors))
 
 
-_word_hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode()), longest=MEMO_KEY)
+@kept_alone
+def _word_hash() -> Memo:
+    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode()), longest=MEMO_KEY)
 
 
 def word_hashes(text: str) -> np.ndarray:
     words = WORD.findall(text.lower())
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_word_hash().__getitem__, words), np.uint64, len(words))
 
 
 def allowed(size: int, span: int, errors: int) -> int:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_KEY, Memo, _slices
-from .common import id_text, stored
+from .bpe import MEMO_KEY, SLICE, Memo, _slices
+from .common import drop_kept, id_text, stored
 
 WORD = re.compile(r"\w+")
 # Lengths of the beginnings of a word that back its own rate off, short first.
@@ -193,12 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     sample = base.join(F.broadcast(known), base["doc_id"] == F.col("_id")).select("text", "_y", "_fold")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             held: dict[tuple[int, bool], Counter] = {}
-            for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                c = held.setdefault((y, fold > 0), Counter())
-                c.update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-                c[""] += 1
+            for part in _slices(batch):
+                for text, y, fold in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    c = held.setdefault((y, fold > 0), Counter())
+                    c.update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
+                    c[""] += 1
             for (y, counted), c in held.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()),
@@ -228,16 +230,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, min_doc
     sent = spark.sparkContext.broadcast(draft)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer.passages(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([k for k, _ in found], pa.int64()),
-                 pa.array([[s for _, _, s, _ in x] for _, x in found], pa.list_(pa.float64())),
-                 pa.array([[d for *_, d in x] for _, x in found], pa.list_(pa.bool_()))], ["y", "n", "found", "distinct"])
+            for part in _slices(batch):
+                found = [scorer.passages(t or "") for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array([k for k, _ in found], pa.int64()),
+                     pa.array([[s for _, _, s, _ in x] for _, x in found], pa.list_(pa.float64())),
+                     pa.array([[d for *_, d in x] for _, x in found], pa.list_(pa.bool_()))], ["y", "n", "found", "distinct"])
 
     rest = sample.filter("_fold = 0").select("text", "_y").mapInArrow(
         best, "y int, n long, found array<double>, distinct array<boolean>").toPandas()
+    sent.unpersist()
     y = rest["y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return neutral
@@ -288,6 +293,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         scorer = Scorer(sent.value)
         for batch in batches:
             for part in _slices(batch):
@@ -306,12 +312,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """Pipeline form: rows of toxic texts go, the others keep all columns."""
+    """Pipeline form: rows of toxic texts go, the others keep all columns. One
+    scorer a task; few texts of an Arrow batch are Python objects at a time."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
+    @F.arrow_udf("boolean")
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         scorer = Scorer(sent.value)
-        return texts.map(lambda t: scorer.score(t or "")[0] >= threshold)
+        for texts in batches:
+            slices = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
+            yield pa.array([scorer.score(t or "")[0] >= threshold for some in slices for t in some], pa.bool_())
 
     return docs.filter(~toxic(docs["text"]))

@@ -1,9 +1,13 @@
 """The pipeline's stages: columns, decisions, edge rows, registration."""
 
+import base64
+import gc
+import weakref
+
 import corpus_pipeline
 import __spark_entry__ as E
-from papyra.llm import lines, queries, simhash
-from papyra.llm.common import stored
+from papyra.llm import bpe, decontaminate, lines, queries, simhash
+from papyra.llm.common import drop_kept, stored
 
 from ..conftest import SF_SMALL
 from . import edges
@@ -50,3 +54,19 @@ def test_edge_rows_pass_every_stage(spark):
             docs = out
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() == docs.count()
         assert docs.count() > 10 or not rows
+
+
+def test_a_worker_keeps_the_memos_of_one_operator():
+    """Stages run in the same Python workers: what one of them memoised goes
+    when another one begins."""
+    blob = b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256))
+    encoder = weakref.ref(bpe._encoder(blob, r"\w+"))
+    assert bpe._encoder(blob, r"\w+") is encoder()
+    assert len(decontaminate.word_hashes("one two one")) == 3
+    gc.collect()
+    assert encoder() is None
+    hashes = weakref.ref(decontaminate._word_hash())
+    assert decontaminate._word_hash() is hashes() and len(hashes()) == 2
+    drop_kept()
+    gc.collect()
+    assert hashes() is None

@@ -132,3 +132,21 @@ def test_query_leaves_clean_documents_alone(spark):
     got = queries.QUERIES["op9_toxicity"](spark, SF_SMALL).collect()
     assert got[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
     assert not [r.doc_id for r in got if truth.get(r.doc_id) == 0 and r.predicted]
+
+
+def test_rejection_over_many_arrow_batches(spark):
+    """Each text is judged for itself in slices and batches of any size."""
+    model = toxicity.ToxicityModel({"vile": 2.0, "rotten": 2.0, "nasty": 2.0}, 1.0, 0.0, 0.5, 0.01, (-3.0, 0.0, 2.0))
+    texts = [None, "", "plain words", "vile rotten nasty vile"]
+    rows = [(k, texts[k % 4]) for k in range(2 * toxicity.SLICE + 90)]
+    df = edges.frame(spark, rows, partitions=2)
+    bad = toxicity.Scorer(model).score(texts[3])[0] >= 0.7
+    assert bad
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            kept = toxicity.reject_toxic(df, model)
+            assert {r.doc_id for r in kept.collect()} == {k for k, t in rows if t != texts[3]}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
