@@ -17,7 +17,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_KEY, is_marked_word, Memo, _slices, word_parts
-from .common import id_text, shared_path
+from .bpe import MEMO, MEMO_KEY, Memo, _slices, word_parts
+from .common import id_text, kept_alone, shared_path
 
 # Fixed values of the format.
 MAGIC = b"PAPYRA8B"
@@ -38,6 +37,7 @@ NEAR = 8  # counts 1..8 are found in one look, longer runs of small ids in a sec
 
 _NEWLINES = re.compile("(\n+)")
 _OTHER_SPACE = re.compile(r"[^\S\n]")
+_LONE_NEWLINE = re.compile(r"\n(?<=\S\n)(?=\S)")
 # ASCII marks; the apostrophe, which may begin a match of letters, is not one.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -157,15 +157,16 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
-@lru_cache(maxsize=2)
+@kept_alone
 def _tokenizer(blob: bytes):
     """``encode(text)``: ids of a whole text as little-endian 32-bit integers.
 
     A byte-level tokenizer with the usual pattern and no normaliser cuts a
-    text before the space of each word, so parts can be encoded alone: words
-    of letters by the library's merge model, marks and lines apart, the rest by
-    its ``encode``, all memoised. Any other tokenizer, and texts with a special token or with
-    runs of white space that straddle a cut, are encoded in one call."""
+    text before the space of each word, and beside a newline between two words,
+    so parts can be encoded alone: words of letters by the library's merge
+    model, marks and lines apart, the rest by its ``encode``, all memoised. Any
+    other tokenizer, and texts with a special token or with runs of white space
+    that straddle a cut, are encoded in one call."""
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_buffer(blob)
@@ -174,42 +175,61 @@ def _tokenizer(blob: bytes):
     cut = file.get("pre_tokenizer") or {}
     by_words = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex"), file.get("normalizer"),
                 file["model"].get("type"), file["model"].get("dropout")) == ("ByteLevel", False, True, None, "BPE", None)
-    merge, character = tok.model.tokenize, byte_characters()
+    character = byte_characters()
+    if by_words:
+        tok.model._resize_cache(0)  # words are memoised here: its own cache would only be searched in vain
+    merge, space = tok.model.tokenize, character[32]
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(tok.encode(text, add_special_tokens=False).ids)
+
+    def match(lead: str, letters: str) -> bytes:
+        """A match of letters, after the character of a space or none."""
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(character)
+        return packed([t.id for t in merge(lead + shown)])
 
     def word(part: str) -> bytes:
         if part.isalpha():
-            ids = [t.id for t in merge((" " + part).encode().decode("latin-1").translate(character))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if is_marked_word(part):
-            return after_space[part[:-1]] + after_word[part[-1]]
-        got = pieces(part)
+            return match(space, part)
+        if part[:1] == "\n":  # in place of the space
+            return after_word["\n"] + after_word[part[1:]]
+        got = pieces(after_space, part)
         return ids_of(" " + part) if got is None else got
 
-    def pieces(part: str) -> bytes | None:
+    def first(part: str) -> bytes:
+        if part.isalpha():
+            return match("", part)
+        got = pieces(after_word, part)
+        return ids_of(part) if got is None else got
+
+    def pieces(of: Memo, part: str) -> bytes | None:
         """A word and a run of marks, or lines of words: neither the place
         between letters and marks nor that beside a newline is inside a match."""
+        letters = part.rstrip(_MARKS)
+        if letters != part and letters.isalpha():
+            return of[letters] + after_word[part[len(letters):]]
         lines = _NEWLINES.split(part)
-        if len(lines) == 1:
-            letters = part.rstrip(_MARKS)
-            if letters != part and letters.isalpha():
-                return after_space[letters] + after_word[part[len(letters):]]
-            return None
-        if not lines[0] or not lines[-1] or _OTHER_SPACE.search(part):
+        if len(lines) == 1 or not lines[0] or not lines[-1] or _OTHER_SPACE.search(part):
             return None
         rest = ((after_word["\n" * (len(x) - 1)] if len(x) > 1 else b"") + after_word["\n"] if x[0] == "\n" else after_word[x]
                 for x in lines[1:])
-        return after_space[lines[0]] + b"".join(rest)
+        return of[lines[0]] + b"".join(rest)
 
-    after_space, after_word = Memo(word, longest=MEMO_KEY), Memo(ids_of, longest=MEMO_KEY)
+    after_space, after_word = Memo(word, 2 * MEMO, MEMO_KEY), Memo(first, 2 * MEMO, MEMO_KEY)
 
     def encode(text: str) -> bytes:
-        parts = None if not by_words or any(s in text for s in specials) else word_parts(text)
+        if not by_words or any(s in text for s in specials):
+            return ids_of(text)
+        spaced = " \n" in text  # a part that begins with a newline follows a space there
+        parts = word_parts(text if spaced else _LONE_NEWLINE.sub(" \n", text))
         if parts is None:
             return ids_of(text)
-        return ids_of(parts[0]) + b"".join(map(after_space.__getitem__, parts[1:]))
+        rest = [ids_of(" " + p) if p[:1] == "\n" else after_space[p] for p in parts[1:]] if spaced else \
+            map(after_space.__getitem__, parts[1:])
+        return after_word[parts[0]] + b"".join(rest)
 
     return encode
 

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from papyra.llm import queries, token_files
+from papyra.llm.common import drop_kept
 
 from ..conftest import SF_SMALL
 from . import edges
@@ -99,3 +100,38 @@ def test_marks_lines_and_spaces_against_the_library():
     for _ in range(20000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
         assert np.frombuffer(encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+
+
+def test_new_words_need_no_whole_encoding(monkeypatch):
+    """Words that were not met yet, also those that begin a line or carry
+    marks, go to the merge model; the library's whole encoding, several times
+    dearer, is left the marks, the newline and what is no word."""
+    calls = []
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.model, self.get_added_tokens_decoder = tok, tok.model, tok.get_added_tokens_decoder
+
+        def encode(self, text, **how):
+            calls.append(text)
+            return self.tok.encode(text, **how)
+
+    class Maker:
+        @staticmethod
+        def from_buffer(blob):
+            return Counted(Tokenizer.from_buffer(blob))
+
+    with open(PATH, "rb") as f:
+        blob = f.read()
+    with monkeypatch.context() as m:
+        m.setattr("tokenizers.Tokenizer", Maker)
+        drop_kept()
+        encode = token_files._tokenizer(blob)
+    words = [f"{a}{b}{c}" for a in "ABÉ" for b in ("ou", "ßi", "中") for c in "klmnop"]
+    text = "\n".join(f"{w} x{w}, y{w}!!" for w in words) + "\n"
+    got = np.frombuffer(encode(text), "<u4").tolist()
+    assert got == WHOLE.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 5, calls
+    for odd in ("a \nb\nc", "a\n b", " \na", "a \n", "\na", "a\n\nb c\nd \n e", "'s\n's"):
+        assert np.frombuffer(encode(odd), "<u4").tolist() == WHOLE.encode(odd, add_special_tokens=False).ids, odd
+    drop_kept()
