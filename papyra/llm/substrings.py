@@ -254,13 +254,19 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 ["h1", "h2", "times", "key", "start"])
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """A grouped table dealt anew, so that the join on its key shuffles both
+    sides and AQE can split the hot keys of the other one."""
+    return keys.hint("rebalance")
+
+
 def repeated_spans(base: DataFrame, length: int, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
     """``key, start, n``: the starts of all windows of ``length`` bytes that
     come again, as spans of consecutive starts.
 
     1. Runs are counted by bucket (partial counts first); only those of
        buckets that can repeat are kept, by an equi-join whose hot buckets AQE
-       splits, and stored.
+       splits, and stored. Only what is read more than once is stored.
     2. Equal runs are counted; those found twice repeat as a whole, and one of
        them stands for all in the refinement.
     3. Buckets of several different runs are refined: their bytes are cut from
@@ -271,22 +277,20 @@ def repeated_spans(base: DataFrame, length: int, bucket_runs: int = BUCKET_RUNS)
     counted = (_runs(base, length, True).groupBy("bucket")
                .agg(F.count("*").alias("all_runs"), F.max("twice").alias("within"))
                .filter("all_runs > 1 OR within"))
-    several = stored(counted.select("bucket"), "buckets")
-    runs = stored(_runs(base, length, False).join(several, "bucket"), "runs")
+    runs = stored(_runs(base, length, False).join(_dealt(counted.select("bucket")), "bucket"), "runs")
     different = stored(runs.groupBy("bucket", "content").agg(
         F.count("*").alias("times"), F.max("twice").alias("within"), F.min(F.struct("key", "start", "n")).alias("one")), "contents")
     whole = (runs.join(different.filter("times > 1").select("bucket", "content"), ["bucket", "content"])
              .select("key", "start", "n"))
 
-    crowded = stored(different.groupBy("bucket").agg(F.count("*").alias("runs"), F.max("within").alias("within"))
-                     .filter("runs > 1 OR within").select("bucket", "runs"), "crowded")
-    wanted = (different.join(crowded, "bucket")
+    crowded = (different.groupBy("bucket").agg(F.count("*").alias("runs"), F.max("within").alias("within"))
+               .filter("runs > 1 OR within").select("bucket", "runs"))
+    wanted = (different.join(_dealt(crowded), "bucket")
               .groupBy(F.col("one.key").alias("in_key"))
               .agg(F.collect_list(F.struct("bucket", "runs", "times", F.col("one.start").alias("start"),
                                            F.col("one.n").alias("n"))).alias("want")))
-    wanted = stored(wanted, "wanted")
     texts = _packed(base).select("key", "packed")  # texts repeated with their id give their pieces again
-    pieces = stored(texts.join(wanted, texts["key"] == wanted["in_key"]).select("key", "packed", "want")
+    pieces = stored(texts.join(_dealt(wanted), F.col("key") == F.col("in_key")).select("key", "packed", "want")
                     .mapInArrow(lambda b: _cut_slices(b, length),
                                 "bucket long, runs long, times long, key long, start long, n int, slice binary"), "pieces")
     small = (pieces.filter(F.col("runs") <= bucket_runs).select("bucket", "times", "key", "start", "n", "slice")
@@ -295,9 +299,9 @@ def repeated_spans(base: DataFrame, length: int, bucket_runs: int = BUCKET_RUNS)
     large = stored(pieces.filter(F.col("runs") > bucket_runs).select("times", "key", "start", "n", "slice")
                    .mapInArrow(lambda b: _windows(b, length), "h1 long, h2 long, times long, key long, start long"), "windows")
     place = F.struct("key", "start")
-    again = stored(large.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("z"))
-                   .filter("a <> z").select("h1", "h2"), "again")
-    found = large.filter("times = 1").join(again, ["h1", "h2"]).select("key", "start", F.lit(1).alias("n"))
+    again = (large.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("z"))
+             .filter("a <> z").select("h1", "h2"))
+    found = large.filter("times = 1").join(_dealt(again), ["h1", "h2"]).select("key", "start", F.lit(1).alias("n"))
     return whole.unionByName(small).unionByName(found)
 
 
@@ -321,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = True,
         raise ValueError("windows must be of 128 bytes at least")
     base = _base(docs, id_col, text_col)
     hits = repeated_spans(base, length)
-    by_text = stored(hits.groupBy(F.col("key").alias("in_key")).agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
+    by_text = hits.groupBy(F.col("key").alias("in_key")).agg(F.collect_list(F.struct("start", "n")).alias("hits"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -349,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = True,
                     ["doc_id", *list(out)[:keep]])
 
     packed = _packed(base)
-    joined = packed.join(by_text, packed["key"] == by_text["in_key"], "left").select("doc_id", "packed", "hits")
+    joined = packed.join(_dealt(by_text), F.col("key") == F.col("in_key"), "left").select("doc_id", "packed", "hits")
     kind = base.schema["doc_id"].dataType.simpleString()
     more = ", spans array<struct<first:long,bytes:long>>, kept binary" if with_text else ""
     return joined.mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")

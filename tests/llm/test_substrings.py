@@ -94,6 +94,14 @@ def test_crowded_buckets_give_the_same(spark):
     assert starts(1024) == starts(2)
 
 
+def test_only_tables_read_twice_are_stored(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(substrings, "stored", lambda df, kind, store=substrings.stored: (written.append(kind), store(df, kind))[1])
+    rows = _awkward()
+    assert _bag(substrings.remove_repeats(edges.frame(spark, rows))) == _expected(rows)
+    assert written == ["runs", "contents", "pieces", "windows"]
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert _bag(queries.QUERIES["op10_substrings"](spark, SF_SMALL)) == _expected(docs)
