@@ -138,3 +138,81 @@ def test_a_row_ships_its_whole_vector_only_to_close_rows(spark):
 
 def test_bands_follow_the_threshold():
     assert CO.bands_needed(1.0, 20, 0.99) == 1 < CO.bands_needed(0.95, 8, 0.99) < CO.bands_needed(0.8, 8, 0.99)
+
+
+def _turned(rng, u, cos):
+    """A vector with this cosine to u."""
+    n = rng.standard_normal(len(u))
+    n -= (n @ u) / (u @ u) * u
+    return cos * u / np.linalg.norm(u) + math.sqrt(1 - cos * cos) * n / np.linalg.norm(n)
+
+
+def _joined(n, *edges):
+    return _components(n, [e for some in edges for e in some])
+
+
+def test_links_of_crowded_buckets_are_all_found(spark):
+    """Rows that share their buckets with more unlike ones than there are rounds."""
+    rng = np.random.default_rng(5)
+    centre = np.eye(128)[0]
+    rows = [(1, f"other{k:03d}", 1, _turned(rng, centre, .8 ** .5).tolist()) for k in range(120)]
+    for k in range(40):
+        u = _turned(rng, centre, .8 ** .5)
+        rows += [(1, f"twin{k:02d}a", 1, u.tolist()), (1, f"twin{k:02d}b", 1, _turned(rng, u, .93).tolist())]
+    want, n_links = _groups(rows, 0.9)
+    assert n_links == 40
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    got = {r.variant: r.canonical for r in CO.homologate_by_embedding(df, 0.9).collect()}
+    assert got == {v: rows[want[k]][1] for k, (_, v, *_) in enumerate(rows)}
+
+
+def test_rest_edges_join_what_links_join(spark):
+    """Groups of one chunk and of several, components that are given, one that
+    fills chunks of its own, unlike dimensions."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, dim, size in ((0, 12, 300), (1, 12, 40), (0, 5, 90), (2, 3, 1)):
+        centres = rng.standard_normal((size // 4 + 1, dim))
+        rows += [(g, dim, centres[rng.integers(len(centres))] + .3 * rng.standard_normal(dim)) for _ in range(size)]
+    big = rng.standard_normal(12)
+    rows += [(0, 12, big + .05 * rng.standard_normal(12)) for _ in range(150)]
+    big_at = list(range(len(rows) - 150, len(rows)))
+    links = []
+    for a, (g, dim, u) in enumerate(rows):
+        links += [(a, b) for b in range(a) if rows[b][:2] == (g, dim) and u @ rows[b][2] >= .9 * np.linalg.norm(u) * np.linalg.norm(rows[b][2])]
+    given = [e for e in links if set(e) <= set(big_at)] + links[::9]
+    roots = _joined(len(rows), given)
+    in_one = [(k, r) for k, r in enumerate(roots) if roots.count(r) > 1]
+    df = spark.createDataFrame([(k, g, v.tolist()) for k, (g, _, v) in enumerate(rows)], "_id long, _g long, _v array<double>").repartition(3)
+    for some in (in_one, []):
+        known = spark.createDataFrame(some, "node long, root long")
+        for most in (None, 25):
+            got = [(r.a, r.b) for r in CO.rest_edges(df, known, 0.9, most).collect()]
+            assert _joined(len(rows), links) == _joined(len(rows), some, got)
+            assert len(got) < 10 * len(rows) and all(b < a for a, b in got)
+    held = df.withColumnRenamed("_id", "node").join(spark.createDataFrame(in_one, "node long, root long"), "node", "left")
+    held = held.select(F.col("node").alias("_id"), "_g", F.size("_v").alias("dim"), F.coalesce("root", "node").alias("root"), "_v")
+    counts = held.groupBy("_g", "dim", "root").agg(F.count("*").alias("n"))
+    dealt = CO.chunk_pairs(held, counts, F.lit(25).cast("bigint")).withColumn("own", F.coalesce(F.col("lo.own") == F.col("hi.own"), F.lit(False)))
+    # chunks of one component do not meet, other chunks of a group all do
+    assert dealt.filter("lo.own >= 0 AND own").count() == 0
+    assert dealt.filter("_g = 1").count() > 40 == df.filter("_g = 1").count()
+
+
+def test_cosines_are_those_of_the_columns(spark):
+    rng = np.random.default_rng(9)
+    u, v = rng.standard_normal((2, 200, 16)).astype(np.float32)
+    v[:100] = u[:100] * 3 + rng.normal(0, .1, (100, 16))
+    df = spark.createDataFrame([(k, a.astype(float).tolist(), b.astype(float).tolist()) for k, (a, b) in enumerate(zip(u, v, strict=True))], "k long, u array<double>, v array<double>")
+    want = [r[0] for r in df.orderBy("k").select(CO.cosine(F.col("u"), F.col("v"))).collect()]
+    assert CO.cosines(u, v).tolist() == want
+
+
+def test_pairs_at_the_threshold_and_vectors_of_extreme_length(spark):
+    rows = [(1, "at", 1, [3.0, 4.0]), (1, "threshold", 1, [1.0, 0.0]), (1, "other", 1, [4.0, -3.0]),
+            (2, "long", 1, [1e200, 1e200, 0.0]), (2, "longer", 1, [3e200, 3.1e200, 0.0]), (2, "square", 1, [0.0, 0.0, 1e200]), (2, "unit", 1, [1.0, 1.0, 0.0]),
+            (3, "short", 1, [1e-200, 0.0]), (3, "shorter", 1, [1e-210, 1e-212]), (3, "across", 1, [0.0, 1e-200])]
+    df = spark.createDataFrame(rows, "user_id long, name string, n long, embedding array<double>")
+    got = {r.variant: r.canonical for r in CO.homologate_by_embedding(df, 0.6).collect()}
+    assert got == {"at": "at", "threshold": "at", "other": "at", "long": "long", "longer": "long", "unit": "long", "square": "square",
+                   "short": "short", "shorter": "short", "across": "across"}
