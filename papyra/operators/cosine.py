@@ -175,7 +175,7 @@ def joined(x: np.ndarray, label: np.ndarray, split: int, threshold: float) -> np
     """The smallest label that each label is joined with by links of rows of
     unlike labels: rows before ``split`` against those from it on, or all
     against all if it is 0. Rows with one label best stand together."""
-    top = np.arange(label.max() + 1)
+    top = np.arange(label.max() + 1, dtype=np.int32)
     unit, band = units(x), (x.shape[1] + 8) * 2.0 ** -23  # more than single precision can be off
     for i in range(0, split or len(x), TILE):
         one = slice(i, min(i + TILE, split or len(x)))
@@ -189,15 +189,11 @@ def joined(x: np.ndarray, label: np.ndarray, split: int, threshold: float) -> np
             if not near.any():
                 continue
             near &= a[:, None] != b[None, :]
-            clear = product >= threshold + band
-            sure = near & clear
-            while (row := np.flatnonzero(sure.any(axis=1))).size:
-                top = united(top, a[row], b[sure[row].argmax(axis=1)])
-                a, b = top[a], top[b]
-                sure &= a[:, None] != b[None, :]
-            near &= ~clear
-            near &= a[:, None] != b[None, :]
-            row, col = np.nonzero(near)
+            hits = np.flatnonzero(near)
+            row, col = np.divmod(hits, near.shape[1])
+            sure = product.reshape(-1)[hits] >= threshold + band
+            top = united(top, a[row[sure]], b[col[sure]])
+            row, col = row[~sure], col[~sure]
             step = max(1, PAIR_NUMBERS // x.shape[1])
             for k in range(0, len(row), step):
                 r, c = row[k:k + step], col[k:k + step]
